@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe
+from loomery.llm import bpe, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe": bpe.op4_bpe,
+        "op5_secrets": secrets.op5_secrets,
     }
 
 
