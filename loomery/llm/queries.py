@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, secrets
+from loomery.llm import bpe, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
+        "op9_packing": packing.op9_packing,
     }
 
 
