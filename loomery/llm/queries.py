@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, language, packing, secrets
+from loomery.llm import bpe, language, lm, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm": lm.op2_lm,
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
         "op9_packing": packing.op9_packing,
