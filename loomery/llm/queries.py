@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, language, lm, packing, secrets
+from loomery.llm import bpe, language, lm, minhash, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm": lm.op2_lm,
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
+        "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,
     }
