@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, fingerprint, language, lm, minhash, packing, secrets
+from loomery.llm import bpe, fingerprint, language, lm, minhash, packing, pages, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_lm": lm.op2_lm,
+        "op3_html": pages.op3_html,
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
         "op8_minhash": minhash.op8_minhash,
