@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomery.llm import spill, textkit
 
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_KEPT = 400_000  # pieces remembered in a worker
+_KEPT = 250_000  # pieces remembered in a worker, twice
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,8 +60,8 @@ class PrefixEncoder:
                 self.matches.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
         self.matches.make_automaton()
         self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        self.known = textkit.Recent(_KEPT)
+        self.known_pieces = textkit.Recent(_KEPT)
         s = _SPACES
         self.chunks = regex.compile(f" ?[^{s}]+|[{s}]+(?![^{s}])|[{s}]+")
         self.pieces = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{s}\\p{{L}}\\p{{N}}]+|[{s}]+(?![^{s}])|[{s}]+")
@@ -113,20 +113,20 @@ class PrefixEncoder:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        out, known = [], self.known_pieces
+        out = []
         for piece in self.pieces.findall(chunk):
-            ids = known.get(piece)
+            ids = self.known_pieces.now.get(piece)
+            if ids is None:
+                ids = self.known_pieces.recall(piece)
             if ids is None:
-                if len(known) > _KEPT:
-                    known.clear()
                 ids = self.piece(piece.encode())
                 if len(piece) < 64:
-                    known[piece] = ids
+                    self.known_pieces.put(piece, ids)
             out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        out, known = [], self.known
+        out, known = [], self.known.now
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
@@ -134,11 +134,11 @@ class PrefixEncoder:
             for chunk in self.chunks.findall(part):
                 ids = known.get(chunk)
                 if ids is None:
-                    if len(known) > _KEPT:
-                        known.clear()
+                    ids = self.known.recall(chunk)
+                if ids is None:
                     ids = self._chunk(chunk)
                     if len(chunk) < 64:
-                        known[chunk] = ids
+                        self.known.put(chunk, ids)
                 out.append(ids)
         return b"".join(out)
 

@@ -115,19 +115,22 @@ def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
             model = fit(np.stack([np.frombuffer(f, np.float32) for _, f in rows]).astype(float), [v for v, _ in rows])
     shared = spark.sparkContext.broadcast(model)  # _WIDTH x bits numbers, whatever the data
 
+    others = list(dict.fromkeys([key, *keep, text]))
+    at_text = others.index(text)
+    passed = [c for c in others if c in (key, *keep)]
+
     def predict(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.batches(tables):
-            found = [features(t) if shared.value else None for t in batch.column(0).to_pylist()]
+            found = [features(t) if shared.value else None for t in batch.column(at_text).to_pylist()]
             n = len(found)
             best, score, near = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             if at := [i for i, f in enumerate(found) if f is not None]:
                 best[at], score[at], near[at] = decode(shared.value, np.stack([found[i] for i in at]), margin)
             names = [*shared.value.languages, UNKNOWN] if shared.value else [UNKNOWN]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([names[i] for i in best], pa.string()), pa.array(score), pa.array(near)], [*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array([names[i] for i in best], pa.string()), pa.array(score), pa.array(near)], [*passed, "lang_pred", "score", "ambiguous"])
 
-    others = list(dict.fromkeys([key, *keep]))
-    out = df.select(df[text].cast("string").alias("__text"), *others)
-    fields = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in others)
+    out = df.select(*(df[c].cast("string").alias(c) if c == text else df[c] for c in others))
+    fields = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in passed)
     return out.mapInArrow(predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 

@@ -13,6 +13,9 @@ besides the key and the text are dropped. An empty table gives an empty table. s
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,36 +28,84 @@ from pyspark.sql import DataFrame
 
 from loomery.llm import spill, textkit
 
-_KEPT = 400_000
+_KEPT = 250_000  # chunks and words remembered in a worker, twice
 
 
 class WordIds:
-    """Ids by the tokenizers library, remembered by chunk between white space: no token and no normalisation of this
-    kind of vocabulary (white space dropped) reaches over it."""
+    """Ids by the tokenizers library for a vocabulary of lower-case words with word ends that drops white space: nothing
+    reaches over white space or from word to word, so what was encoded once is looked up. Chunks between white space are
+    remembered, and the words in them; new words are encoded many at once, as one text."""
 
     def __init__(self, spec: str):
-        import re
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.controls = re.compile("[\\x1c-\\x1f]")  # white space to Python, not to the vocabulary
-        self.spaces = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+        self.chunks, self.words = textkit.Recent(_KEPT), textkit.Recent(_KEPT)
+        self.controls = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
+        self.spaces = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        # Fixed value: how the vocabulary splits a chunk.
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        model = json.loads(spec)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in model["added_tokens"]))
+        self.plain = re.compile("[!-~\xa1-\u024f]*")  # where letters and digits are the same in every Unicode version
+        ends = model["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in model["model"]["vocab"].items() if t.endswith(ends)]] = True
+
+    def _words(self, chunk: str) -> list[str] | None:
+        """The chunk's words as the vocabulary sees them; None if only the library should say."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if "<|" in chunk and self.special.search(chunk):
+                return None
+        elif not self.plain.fullmatch(chunk) or self.special.search(chunk):
+            return None
+        return self.split.findall(chunk.lower())  # of such letters, lower() and the vocabulary's forms are the same
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        parts = {c: self._words(c) for c in chunks}
+        ids: dict[str, bytes] = {}
+        new = []
+        for w in {w for ws in parts.values() if ws for w in ws}:
+            found = self.words.now.get(w)
+            if found is None:
+                found = self.words.recall(w)
+            if found is None:
+                new.append(w)
+            else:
+                ids[w] = found
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            got = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stop = (np.flatnonzero(self.ends[got]) + 1) * 4
+            packed = got.tobytes()
+            for w, i, j in zip(some, [0, *stop.tolist()], stop.tolist(), strict=False):
+                ids[w] = packed[i:j]
+                self.words.put(w, packed[i:j])
+        return {c: b"".join(map(ids.__getitem__, ws)) if ws is not None else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c, ws in parts.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         split = [[c for c in self.spaces.split(t) if c] if self.controls.search(t) else t.split() for t in texts]
-        if len(known) > _KEPT:
-            known.clear()
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        known, here = self.chunks.now, {}
+        missing = []
+        for c in set().union(*split):
+            found = known.get(c)
+            if found is None:
+                found = self.chunks.older.get(c)
+            if found is None:
+                missing.append(c)
+            else:
+                here[c] = found
+        here |= self._learn(missing)
+        for c, ids in here.items():
+            if c not in known and len(c) < 64:
+                self.chunks.put(c, ids)
+        return [b"".join(map(here.__getitem__, chunks)) for chunks in split]
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, fingerprint, language, lm, minhash, packing, pages, secrets
+import corpus_pipeline
+from loomery.llm import bpe, fingerprint, language, linededup, lm, minhash, neighbours, packing, pages, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_lm": lm.op2_lm,
         "op3_html": pages.op3_html,
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
+        "op6_linededup": linededup.op6_linededup,
+        "op7_ann": neighbours.op7_ann,
         "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,
@@ -23,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_linededup": linededup.OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

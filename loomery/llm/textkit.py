@@ -85,3 +85,25 @@ def one_text_column(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written in decimal, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
+
+
+class Recent:
+    """A bounded memo. ``now`` is read directly; ``recall`` looks where older entries are and keeps what it finds. When
+    ``now`` is full it becomes the older half, so what is used stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def recall(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.now) >= self.most:
+            self.older = dict(self.now)
+            self.now.clear()  # the same object, as loops hold on to it
+        self.now[key] = value
