@@ -1,4 +1,4 @@
-"""All registered queries with their SQL."""
+"""All queries on the reference tables with their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.plans import jobs, linking, records, scoring, texts
+
+_ALL = scoring.QUERIES | texts.QUERIES | records.QUERIES | linking.QUERIES | jobs.QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return scoring.set_match_micro(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
