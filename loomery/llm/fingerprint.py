@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,9 @@ class Sum:
         with np.errstate(over="ignore"):
             digests = b"".join(hashlib.blake2b(x.encode(), person=p).digest() for x in lines for p in (b"lane 0-7", b"lane 8-15"))
             exact = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(0, dtype=np.uint64)
-            blank = "\0" * (GRAM - 1)
-            codes = np.frombuffer((blank + f"\n{blank}".join(lines)).encode("utf-32-le"), "<u4")
-            end = np.arange(GRAM, len(codes) + 1)
-            end = end[codes[GRAM - 1 :] != 10]  # runs that end in a paragraph lie in it
+            blank = "\n" * (GRAM - 1)  # in no paragraph
+            codes = np.frombuffer((blank + blank.join(lines)).encode("utf-32-le"), "<u4")
+            end = np.flatnonzero(codes != 10) + 1  # a run for each code point of a paragraph, ending there
             h = textkit.span_hashes(codes, end - GRAM, end)
             near = np.bincount(h >> np.uint64(56), np.where(h & np.uint64(1), 1.0, -1.0), NEAR).astype(np.int64).astype(np.uint32)
             if times < 0:
@@ -94,8 +94,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(run, f"k {rows.schema[key].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("k", key)
 
 
-def _range_of(key: Column, bounds: list[int], width: int = 16) -> Column:
-    """How many bounds are <= key (0 for a null), by two steps of at most ``width`` and len / width comparisons."""
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many bounds are <= key (0 for a null), in two steps of about sqrt(len) comparisons."""
+    width = math.isqrt(len(bounds)) + 1
     blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     if not blocks:
         return F.lit(0)
@@ -105,13 +106,15 @@ def _range_of(key: Column, bounds: list[int], width: int = 16) -> Column:
     return F.when(key.isNull() | (block < 0), 0).otherwise(block * width + inside)
 
 
-def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: int = 256) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, where the next row
     is the one with the next smaller key (rows of equal keys by text, null keys last) and, after the last, the first.
 
     Rows go once through a shuffle into ranges of keys, in order; each range also gets a copy of the first row of the
-    range after it. ``ranges``: of about equal numbers of rows; their bounds and first rows are all that the driver sees."""
+    range after it. ``ranges``: of about equal numbers of rows, eight for each shuffle partition if not given; their bounds and
+    largest keys are all that the driver sees."""
     spark = df.sparkSession
+    ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spill.small_batches(spark)
     rows = textkit.one_text_column(df, key, text=text).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     bounds = sorted({int(b) for b in rows.where("k is not null").approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)})

@@ -1,0 +1,167 @@
+"""Fingerprints, BPE, secrets, language ID, packing: per-row operators against brute force and odd input."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loomery.llm import automaton, bpe, fingerprint, language, packing, secrets, textkit
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [(1, "same text, twice"), (1, "same text, twice"), (2, None), (3, ""), (None, "no id"), (4, "word"), (5, "x y " * 40_000), (6, "é日本 😀\n\n \x1c<|endoftext|>'s 12")]
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls, repeats, an empty and a long text, and columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "k", 7) for i, t in ODD], "doc_id long, text string, k string, start int")
+
+
+def noise(n, letters, seed=1, size=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, size))) for _ in range(n)]
+
+
+def test_fingerprint_is_a_multiset_sum():
+    a, b = "one line\ntwo lines\nthree", "three\none line\n\ntwo lines"
+    assert fingerprint.Sum().plus(a).text() == fingerprint.Sum().plus(b).text()
+    assert fingerprint.Sum().plus(a).plus("two lines", -1).text() == fingerprint.Sum().plus("one line\nthree").text()
+    assert fingerprint.Sum().plus("a\na").text() != fingerprint.Sum().plus("a").text()
+    assert fingerprint.likeness(fingerprint.Sum(), fingerprint.Sum()) == 1 and fingerprint.likeness(fingerprint.Sum(), fingerprint.Sum().plus("x")) == 0
+
+
+def test_edited_sum_is_the_sum_of_the_edited_text():
+    for text, other in zip(noise(200, "ab \n", 2), noise(200, "cd \né", 3), strict=True):
+        new, total = fingerprint.edited_sum(text, fingerprint.Sum().plus(text), other)
+        assert new == fingerprint.edited(text, other) and total.text() == fingerprint.Sum().plus(new).text()
+
+
+def test_next_documents(spark, odd):
+    rows = fingerprint.neighbours(odd, ranges=3).collect()
+    order = sorted(((t or ""), i) for i, t in ODD if i is not None)
+    order = sorted(order, key=lambda x: (-x[1], x[0])) + [("no id", None)]
+    expected = sorted((str(i), len(t), hashlib.sha256(fingerprint.edited(t, order[(n + 1) % len(order)][0]).encode()).hexdigest()) for n, (t, i) in enumerate(order))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in rows) == expected
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert fingerprint.neighbours(odd.limit(0)).count() == 0
+    assert fingerprint.fingerprints(odd).count() == len(ODD)
+
+
+def test_bpe_equals_the_library():
+    ours, theirs = bpe.PrefixEncoder(open(BYTE).read()), Tokenizer.from_file(BYTE)
+    texts = [t or "" for _, t in ODD] + noise(800, "aaabethn  \n'sé,.1\t-=", 4) + ["a" * 3000, "=-" * 500, "I'll 'S it's", "   lead", "trail   \n", "0123 45", "\x85\xa0x"]
+    for text, enc in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = ours.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == enc.ids, text[:80]
+        assert ours.decode(ids) == theirs.decode(enc.ids, skip_special_tokens=False)
+
+
+def test_bpe_rows(odd):
+    rows = bpe.encode_decode(odd, BYTE).collect()
+    assert sorted(r.decoded for r in rows) == sorted(t or "" for _, t in ODD)
+    assert [r.n_tokens for r in rows if r.doc_id == 3] == [0] and all(len(r.ids) == 4 * r.n_tokens for r in rows)
+    assert bpe.encode_decode(odd.limit(0), BYTE).count() == 0
+
+
+BASES = [
+    (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+    (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
+
+
+def test_secrets_equal_the_expressions():
+    scan = secrets.Scanner(secrets.build(secrets.RULES), secrets.RULES).scan
+    bits = ["password", "TOKEN", "api_key", "secret", ":", "=", "  ", "'", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", "é", "x", "_", "\n", "passwd", "Apikey", "ſecret"]
+    rng = random.Random(5)
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        expected = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(BASES) for m in p.finditer(text) if ok(m))
+        assert [x for x in scan(text) if x[1] < 3] == expected, text
+
+
+def test_automaton_against_re():
+    rng = random.Random(6)
+    for pattern in ("a(b|c)*d", "[ab]{2,3}c?", "a+b{2}|c{1,}", "\\x61\\.[^x]".replace("[^x]", "[b-d]")):
+        moves, accept = automaton.compile_rules([automaton.parse(pattern)], False)
+        for _ in range(500):
+            text = "".join(rng.choice("abcd.") for _ in range(rng.randint(0, 7)))
+            q = 0
+            for ch in text.encode():
+                q = moves[q, ch]
+            assert bool(accept[q]) == bool(re.fullmatch(pattern, text)), (pattern, text)
+
+
+def test_secret_rows_and_redaction(spark, odd):
+    assert secrets.find_secrets(odd).count() == len(ODD)
+    df = spark.createDataFrame([(1, "é token = abcdefghijkl1 end", 3)], "doc_id long, text string, spans int")
+    assert [tuple(s) for s in secrets.find_secrets(df).first().spans] == [("assign", 2, 23)]
+    assert secrets.redact_secrets(df).first().text == "é [assign] end"
+    again = secrets.redact_secrets(odd)
+    assert again.columns == odd.columns and sorted(map(str, again.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_word_ids_equal_the_library():
+    ours, theirs = packing.WordIds(open(WORD).read()), Tokenizer.from_file(WORD)
+    texts = [t or "" for _, t in ODD] + noise(800, "aaabe thnS \n'sé,.1\t-=Σ́\x1eİ½", 7) + ["it's I'll 'S <|startoftext|>x", "ΑΣ ΣΑΣ. İI", "x́ ́a", "a.b,c 12 ..."]
+    for _ in range(2):  # remembered the second time
+        for text, ids, enc in zip(texts, ours(texts), theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.ids, text[:80]
+
+
+def test_packing_keeps_every_id_once(odd):
+    rows = packing.pack(odd.repartition(2), WORD, window=64).collect()
+    theirs = Tokenizer.from_file(WORD)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id, r.doc_tokens].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for i, t in ODD:
+        ids = np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        pieces = by_doc[i, len(ids)]
+        copies = sum((j, u) == (i, t) for j, u in ODD)
+        assert sum(p.length for p in pieces) == copies * len(ids)
+        assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 64
+    assert packing.pack(odd.limit(0), WORD).count() == 0
+
+
+def test_packing_pads_little():
+    lengths = np.random.default_rng(3).integers(1, 2049, 4000)
+    groups = packing.pack_lengths(lengths, 2048)
+    assert sorted(i for g in groups for i in g) == list(range(4000)) and all(lengths[g].sum() <= 2048 for g in groups)
+    assert 1 - lengths.sum() / (2048 * len(groups)) < 0.03
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.op10_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == docs.count() and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_odd_rows(spark, odd):
+    docs = odd.withColumn("lang", F.when(F.col("doc_id") == 1, "aa").when(F.col("doc_id") == 5, "bb"))
+    rows = {(r.doc_id, r.lang_pred) for r in language.identify(docs, F.lit(True)).collect()}
+    assert {(2, "und"), (3, "und"), (1, "aa"), (5, "bb")} <= rows
+    assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).collect()} == {"und"}
+    assert language.identify(docs.limit(0), F.lit(True)).count() == 0
+    code = language.codewords(12)
+    assert code.shape == (12, 48) and (code @ code.T - 48 * np.eye(12)).max() < 30
+
+
+def test_shingles():
+    assert len(textkit.shingle_hashes("a b c d", 3)) == 2 and len(textkit.shingle_hashes("A b", 3)) == 1 and not len(textkit.shingle_hashes(" \n", 3))
+    assert textkit.shingle_hashes("A\tb", 3)[0] == textkit.shingle_hashes("a  b", 3)[0]
