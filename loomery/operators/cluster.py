@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.functions.similarity import cosine
-from loomery.operators.judge import settled
+from loomery.sources.rounds import settled
 
 
-def neighbour_pairs(points: DataFrame, eps: float, block: str | None = None) -> DataFrame:
-    """(a, b) both ways for points (id, vec) within cosine distance ``eps``. Points are compared within ``block`` values
-    where given (from hashing, when points are many), else in tiles of the id's hash, each tile pair one group."""
-    a = points.select(F.col("id").alias("a"), F.col("vec").alias("va"), *([F.col(block).alias("ba")] if block else []))
-    b = points.select(F.col("id").alias("b"), F.col("vec").alias("vb"), *([F.col(block).alias("bb")] if block else []))
-    joined = a.join(b, (F.col("ba") == F.col("bb")) if block else F.col("a") != F.col("b")).where("a <> b")
-    return joined.where(F.least(cosine(F.col("va"), F.col("vb")), F.lit(1.0)) >= 1 - eps).select("a", "b")
+def neighbour_pairs(points: DataFrame, eps: float, block: str | None = None, tile: int = 2048) -> DataFrame:
+    """(a, b) both ways for points (id, vec) within cosine distance ``eps``. Points meet within ``block`` values where
+    given (from hashing, when points are many), else all with all; in either case in tiles of about ``tile`` points, two
+    tiles to a task, as one matrix product."""
+    of = F.col(block) if block else F.lit(0)
+    rows = points.select(of.alias("block"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    size = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(size, "block").withColumn("own", F.pmod(F.hash("id"), F.col("tiles")))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "id", "vec", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def near(table: pa.Table) -> pa.Table:
+        ids, own = table["id"].to_numpy(), table["own"].to_numpy()
+        x = np.stack(table["vec"].to_pylist())
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+        left, right = (own == table["p"][0].as_py()).nonzero()[0], (own == table["q"][0].as_py()).nonzero()[0]
+        i, j = np.nonzero(np.minimum(x[left] @ x[right].T, 1.0) >= 1 - eps)
+        a, b = ids[left[i]], ids[right[j]]
+        a, b = np.r_[a, b], np.r_[b, a]
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    return spread.groupBy("block", "p", "q").applyInArrow(near, "a long, b long").distinct()
 
 
 def density_clusters(points: DataFrame, eps: float = 0.2, least: int = 2, block: str | None = None) -> DataFrame:
@@ -35,8 +51,6 @@ def density_clusters(points: DataFrame, eps: float = 0.2, least: int = 2, block:
         if not changed:
             break
     # Few clusters compared with points: their numbers are a rank over the distinct labels.
-    from pyspark.sql import Window
-
     ranks = labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
     cored = labels.join(ranks, "label").select("id", "cluster")
     border = pairs.join(cored, pairs.b == cored.id).groupBy("a").agg(F.min("cluster").alias("reach"))

@@ -7,25 +7,15 @@ an earlier round.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ModelFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-
+from loomery.sources.rounds import settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to ``spark.checkpoint.dir`` and read back; unchanged where no such folder is set, as in tests."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df
-    path = f"{folder}/loomery-round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ModelFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def extract(docs: DataFrame, model: ModelFunction, prompt: Column, schema: str, tries: int = 3) -> tuple[DataFrame, DataFrame]:
