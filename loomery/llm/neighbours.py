@@ -40,8 +40,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def axes(x: np.ndarray, tables: int, probes: int, seed: int = 41) -> np.ndarray:
-    """For each row and table the ``probes`` nearest signed axes, nearest first: row x table x probe."""
+    """For each row and table the ``probes`` nearest signed axes (all, if there are fewer), nearest first: row x table x probe."""
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
+    probes = min(probes, 2 * max(1, size // 2))
     wide = np.zeros((len(x), size))
     wide[:, : x.shape[1]] = x
     rng = np.random.default_rng(seed)
