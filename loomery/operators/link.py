@@ -16,26 +16,26 @@ def exact(mentions: DataFrame, kb: DataFrame) -> DataFrame:
 
 
 def grams(c: Column, n: int = 3) -> Column:
-    """The distinct runs of n characters; a shorter text is one run."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    """The distinct runs of n characters of the text with n - 1 marks before and behind it."""
+    padded = F.concat(F.lit("\x01" * (n - 1)), c, F.lit("\x02" * (n - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + (n - 1)), lambda i: F.substring(padded, i, F.lit(n))))
 
 
 def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, n: int = 3) -> DataFrame:
-    """Pairs (mention, synonym, id) that an edit ratio of ``percent`` or more may join. Lengths in the ratio's bound, and a
-    common run in the rarest-first prefix of each side: with m runs, at most d = (1 - percent / 100) * both lengths
-    characters differ, each spoils n runs, so a match shares a run among the n * d + 1 rarest. Texts too short for that
-    bound meet by length alone. No list of a frequent run's pairs is made beyond those that lengths allow."""
+    """Pairs (mention, synonym, id) that an edit ratio of ``percent`` or more may join: lengths within the ratio's bound,
+    and a common run among the rarest of each side. A match leaves at most d = (200 / percent - 2) * length characters
+    over, each spoils at most n runs, and a text has length + n - 1 of them, so the n * d + 1 rarest hold a common one."""
     side = lambda df, c: df.select(c).distinct().withColumn("len", F.length(c)).withColumn("g", F.explode(grams(F.col(c), n)))
     left, right = side(mentions, "mention"), side(kb.withColumn("low", F.lower("synonym")), "low")
     often = right.groupBy("g").agg(F.count("*").alias("f"))
 
     def prefix(x: DataFrame, c: str) -> DataFrame:
-        spoiled = F.ceil((200 - 2 * percent) / percent * F.col("len")).cast("int") * n + 1  # the other may be longer by the bound
+        spoiled = F.ceil((200 - 2 * percent) / percent * F.col("len")).cast("int") * n + 1
         order = Window.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "g")
         return x.join(often, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= spoiled).select(c, "len", "g")
 
     a, b = prefix(left, "mention"), prefix(right, "low").withColumnRenamed("len", "len2")
-    bound = (200 * F.least("len", "len2") >= percent * (F.col("len") + F.col("len2")))
+    bound = 200 * F.least("len", "len2") >= percent * (F.col("len") + F.col("len2"))
     pairs = a.join(b, "g").where(bound).select("mention", "low").distinct()
     return pairs.join(kb.withColumn("low", F.lower("synonym")), "low").select("mention", "low", "synonym", "id")
 
