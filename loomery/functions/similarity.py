@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,35 @@ def rouge(candidate: Column, reference: Column, n: int) -> Column:
     hit = common_count(a, b)
     p, r = F.coalesce(F.try_divide(hit, F.size(a)), F.lit(0.0)), F.coalesce(F.try_divide(hit, F.size(b)), F.lit(0.0))
     return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def bleu(df: DataFrame, candidate: str, reference: str, n: int = 4) -> DataFrame:
+    """Corpus BLEU, one row: clipped n-gram counts summed over all rows, their geometric mean, and the brevity penalty; 0 if
+    some order has no hit."""
+    a, b = tokens(F.col(candidate)), tokens(F.col(reference))
+    sums = [F.sum(F.size(a)).alias("c"), F.sum(F.size(b)).alias("r")]
+    for k in range(1, n + 1):
+        sums += [F.sum(common_count(ngrams(a, k), ngrams(b, k))).alias(f"hit{k}"), F.sum(F.size(ngrams(a, k))).alias(f"all{k}")]
+    mean = sum((F.log(F.try_divide(F.col(f"hit{k}"), F.col(f"all{k}"))) for k in range(2, n + 1)), F.log(F.try_divide(F.col("hit1"), F.col("all1")))) / n
+    penalty = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("c"))))
+    return df.agg(*sums).select(F.coalesce(penalty * F.exp(mean), F.lit(0.0)).alias("bleu"))
+
+
+def chunk_cosine(pairs: DataFrame) -> DataFrame:
+    """(pair, score): mean cosine of aligned chunks (pair, chunk, a, b)."""
+    return pairs.groupBy("pair").agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("a"), F.col("b"))))).alias("score"))
+
+
+def token_scores(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """(pair, p, r, score) with all cosines within a pair, from token vectors (pair, idx, vec)."""
+    a = predicted.select("pair", F.col("idx").alias("p"), F.col("vec").alias("a"))
+    b = reference.select("pair", F.col("idx").alias("r"), F.col("vec").alias("b"))
+    return a.join(b, "pair").select("pair", "p", "r", cosine(F.col("a"), F.col("b")).alias("score"))
+
+
+def alignment(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per pair: precision, the mean of each predicted token's best cosine; recall, of each reference token's; F1."""
+    scores = token_scores(predicted, reference)
+    best = lambda side, name: scores.groupBy("pair", side).agg(F.max("score").alias("m")).groupBy("pair").agg(F.avg("m").alias(name))
+    both = best("p", "precision").join(best("r", "recall"), "pair")
+    return both.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))

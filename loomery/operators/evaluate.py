@@ -49,3 +49,10 @@ def expanded_ids(df: DataFrame, key: str, reference: str, predicted: str) -> Dat
     at = lambda x, i: F.when(F.size(x) > 0, F.get(x, F.pmod(i, F.greatest(F.size(x), F.lit(1)))))
     rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(a, i).alias("ref"), at(b, i).alias("pred")))
     return df.where(n > 0).select(key, F.explode(rows).alias("x")).select(key, "x.ref", "x.pred")
+
+
+def reference_comparison(df: DataFrame, category: str, reference: str, predicted: str, names: dict[str, str]) -> DataFrame:
+    """Accuracy by category and overall after both sides' names went through a fixed map; names it lacks stay."""
+    same = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    mapped = lambda c: F.coalesce(F.try_element_at(same, F.col(c)), F.col(c))
+    return metrics.accuracy(df, mapped(reference).eqNullSafe(mapped(predicted)), category)

@@ -3,10 +3,13 @@ before it left over; fuzzy stages compare only candidates that share a block."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.similarity import edit_ratio
+from loomery.operators.nested import steps, values_at, with_path
 
 
 def exact(mentions: DataFrame, kb: DataFrame) -> DataFrame:
@@ -92,3 +95,19 @@ def corrected(values: DataFrame, corrections: DataFrame) -> DataFrame:
     joined = values.join(corrections.select(F.col("value").alias("of"), F.col("ids").alias("more")), F.col("value") == F.col("of"), "left")
     union = F.array_sort(F.array_union("ids", F.coalesce("more", F.array().cast(dict(values.dtypes)["ids"]))))
     return joined.select(*[c for c in values.columns if c != "ids"], union.alias("ids"), F.col("more").isNotNull().alias("touched"))
+
+
+def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The records with each value at the paths as {value, sameAs}; unlinked values have no ids. The distinct mentions of
+    the whole corpus are linked once; each record gets only the links of its own mentions back."""
+    kind = df.schema[col].dataType
+    texts = F.concat(*[F.transform(values_at(F.col(col), kind, steps(p)), lambda x: x.value) for p in paths])
+    mentions = df.select(key, F.explode(F.array_distinct(texts)).alias("mention"))
+    links = linker(mentions.select("mention").distinct())
+    of_record = mentions.join(links.select("mention", "ids"), "mention").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mention", "ids"))).alias("__links"))
+    none = F.array().cast(dict(links.dtypes)["ids"])
+    put = lambda old: F.struct(old.alias("value"), F.coalesce(F.try_element_at(F.col("__links"), old), none).alias("sameAs"))
+    out = F.col(col)
+    for p in paths:
+        out = with_path(out, kind, steps(p), put)
+    return df.join(of_record, key, "left").withColumn(col, out).drop("__links")

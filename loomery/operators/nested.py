@@ -7,7 +7,7 @@ declared schema goes through ``typed``, which asks Spark for the schema that fit
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,21 +113,25 @@ def get_path(df: DataFrame, col: str, path: str, *keep: str) -> DataFrame:
     return rows.select(*keep, "x.path", "x.value")
 
 
-def with_path(value: Column, kind: T.DataType, path: Sequence[str | int | None], new: Column) -> Column:
-    """The value with ``new`` at a concrete path; unchanged where a parent is missing or an index out of range."""
+def with_path(value: Column, kind: T.DataType, path: Sequence[str | int | None], new: Column | Callable[[Column], Column]) -> Column:
+    """The value with ``new``, or ``new`` of what was there, at the path; unchanged where a parent is missing or an index
+    out of range. ``[*]`` changes every item."""
+    put = new if callable(new) and not isinstance(new, Column) else lambda _: new
     step, *rest = path
     if isinstance(step, str):
         if not isinstance(kind, T.StructType):
             return value
         if not rest:
-            return F.when(value.isNotNull(), value.withField(step, new))
+            return F.when(value.isNotNull(), value.withField(step, put(value.getField(step)) if step in kind.names else put(F.lit(None))))
         if step not in kind.names:
             return value
         return F.when(value.isNotNull(), value.withField(step, with_path(value.getField(step), kind[step].dataType, rest, new)))
     if not isinstance(kind, T.ArrayType):
         return value
-    change = lambda x: with_path(x, kind.elementType, rest, new) if rest else new
-    return F.transform(value, lambda x, i: change(x) if step is None else F.when(i == step, change(x)).otherwise(x))
+    change = lambda x: with_path(x, kind.elementType, rest, new) if rest else put(x)
+    if step is None:
+        return F.transform(value, change)
+    return F.transform(value, lambda x, i: F.when(i == step, change(x)).otherwise(x))
 
 
 def set_path(df: DataFrame, col: str, path: str, new: Column) -> DataFrame:

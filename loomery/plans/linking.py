@@ -70,6 +70,18 @@ CORRECT_SQL = """WITH f AS (SELECT p_brand AS value, list_distinct(list(p_size))
 SELECT p_partkey, p_brand AS value, array_to_string(list_sort(list_distinct(list_concat([p_size], coalesce(more, [])))), ',') AS ids, more IS NOT NULL AS touched FROM part LEFT JOIN f ON value = p_brand"""
 
 
+def in_place(spark, d):
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    kb = _kb(spark, d).where("cast(id AS bigint) % 2 = 0")
+    records = parts.select("p_partkey", F.struct(F.struct(F.col("p_name").alias("name")).alias("main"), F.array(F.struct(F.col("p_brand").alias("name"), "p_size")).alias("other")).alias("r"))
+    done = link.in_place(records, "p_partkey", "r", ["main.name", "other[*].name"], lambda m: link.exact(m, kb))
+    return done.select("p_partkey", F.col("r.main.name.value").alias("value"), F.array_join("r.main.name.sameAs", ",").alias("ids"), F.size(F.get("r.other.name", F.lit(0)).sameAs).alias("others"))
+
+
+PLACE_SQL = """WITH k AS (SELECT p_name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+SELECT p_partkey, p_name AS value, coalesce(ids, '') AS ids, 0 AS others FROM part LEFT JOIN k USING (p_name)"""
+
+
 def clusters(spark, d):
     points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return cluster.density_clusters(points, eps=0.65)
@@ -88,6 +100,7 @@ QUERIES = {
     "link_two_branches": (two_branches, TWO_SQL),
     "link_synonyms": (synonyms, "SELECT p_brand AS synonym, max_by(p_partkey, p_partkey)::VARCHAR AS id FROM part GROUP BY 1"),
     "link_representations": (representations, "SELECT n_nationkey AS id, any_value(n_name) AS n_name, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS synonyms FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "link_in_place": (in_place, PLACE_SQL),
     "link_corrected": (corrected, CORRECT_SQL),
     "cluster_density": (clusters, CLUSTER_SQL),
 }

@@ -174,6 +174,14 @@ l AS (SELECT label, count(*) FILTER (ref = label AND pred = label) AS tp, count(
 x AS (SELECT tp, n, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS q, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f FROM l)
 SELECT sum(tp) / sum(n) AS accuracy, sum(p * n) / sum(n) AS precision, sum(q * n) / sum(n) AS recall, sum(f * n) / sum(n) AS f1 FROM x"""
 
+def reference_set(spark, d):
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_brand", F.split("p_type", " ")[0].alias("ref"), F.split("p_name", " ")[0].alias("pred"))
+    return evaluate.reference_comparison(parts, "p_brand", "ref", "pred", {"STANDARD": "cold", "SMALL": "blue", "PROMO": "red", "LARGE": "hot"})
+
+
+REFERENCE_SQL = """WITH p AS (SELECT p_brand, string_split(p_type, ' ')[1] AS ref, string_split(p_name, ' ')[1] AS pred FROM part), m AS (SELECT p_brand, CASE ref WHEN 'STANDARD' THEN 'cold' WHEN 'SMALL' THEN 'blue' WHEN 'PROMO' THEN 'red' WHEN 'LARGE' THEN 'hot' ELSE ref END AS ref, pred FROM p)
+SELECT coalesce(p_brand, 'overall') AS p_brand, count(*) AS n, avg((ref IS NOT DISTINCT FROM pred)::INT) AS accuracy FROM m GROUP BY ROLLUP (p_brand)"""
+
 _MICRO = f"s AS (SELECT {_SUMS} FROM c) SELECT *, {_RATES} FROM s"
 _COUNTED = _set_sql("l_orderkey", "l_partkey, l_suppkey").replace(" AND count(*) FILTER (inp) > 0", "")
 QUERIES = {
@@ -191,6 +199,7 @@ QUERIES = {
     "score_coverage_match": (coverage_match, COVERAGE_SQL),
     "score_soft_match": (soft_match, None),
     "score_best_gold": (best_gold, BEST_SQL),
+    "score_reference_set": (reference_set, REFERENCE_SQL),
     "score_key_sets": (key_sets, KEY_SQL),
     "score_id_expansion": (id_expansion, EXPAND_SQL),
 }

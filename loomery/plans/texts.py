@@ -113,6 +113,32 @@ def vector_cosine(spark, d):
 COSINE_SQL = "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
+def bleu(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    pairs = b.join(b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before")), "item_id")
+    return S.bleu(pairs, "text", "before", 2).select(F.round("bleu", 9).alias("bleu"))
+
+
+BLEU_SQL = r"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ts FROM benchmark),
+g AS (SELECT item_id, n, list_transform(range(1, len(ts) - n + 2), lambda i: array_to_string(ts[i : i + n - 1], ' ')) AS gs FROM t, (VALUES (1), (2)) v(n)),
+c AS (SELECT item_id, n, w, count(*) AS k FROM (SELECT item_id, n, unnest(gs) AS w FROM g) GROUP BY ALL),
+h AS (SELECT a.n, sum(least(a.k, b.k)) AS hit FROM c a JOIN c b ON b.item_id = a.item_id - 1 AND a.n = b.n AND a.w = b.w GROUP BY ALL),
+s AS (SELECT a.n, sum(len(a.gs)) AS tot, sum(len(b.gs)) AS ref FROM g a JOIN g b ON b.item_id = a.item_id - 1 AND a.n = b.n GROUP BY ALL),
+m AS (SELECT exp(avg(ln(coalesce(hit, 0) / tot))) AS mean FROM s LEFT JOIN h USING (n) WHERE coalesce(hit, 0) > 0 HAVING count(*) = 2)
+SELECT round(coalesce((SELECT mean FROM m), 0) * least(1.0, exp(1 - ref / tot)), 9)::DOUBLE AS bleu FROM s WHERE n = 1"""
+
+
+def alignment(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("pair"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
+    got = S.alignment(e.where("idx % 20 = 0"), e.where("idx % 20 = 1"))
+    return got.select("pair", *[F.round(c, 7).alias(c) for c in ("precision", "recall", "f1")])
+
+
+ALIGN_SQL = """WITH s AS (SELECT a.label AS pair, a.vec_id AS p, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 1),
+p AS (SELECT pair, avg(m) AS precision FROM (SELECT pair, p, max(x) AS m FROM s GROUP BY ALL) GROUP BY ALL), r AS (SELECT pair, avg(m) AS recall FROM (SELECT pair, r, max(x) AS m FROM s GROUP BY ALL) GROUP BY ALL)
+SELECT pair, round(precision, 7) AS precision, round(recall, 7) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 7) AS f1 FROM p JOIN r USING (pair)"""
+
+
 def unicode_keys(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.length(X.unicode_form(F.col("text"), "NFKD")).cast("long").alias("n_decomposed"), F.md5(X.lenient(F.col("text"))).alias("lenient"))
@@ -127,6 +153,8 @@ QUERIES = {
     "text_unicode": (unicode_keys, None),
     "sim_token_jaccard": (jaccard, JACCARD_SQL),
     "sim_edit_ratio": (edit_ratios, None),
+    "sim_bleu": (bleu, BLEU_SQL),
+    "sim_alignment": (alignment, ALIGN_SQL),
     "sim_rouge": (rouge, ROUGE_SQL),
     "sim_cosine": (vector_cosine, COSINE_SQL),
 }
