@@ -9,16 +9,20 @@ from loomery.llm.spill import stash
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``edges`` (a, b): the least id that it reaches. Each round takes the least label
-    of the neighbours and then that label's own label, so the rounds grow with the logarithm of a path's length. Each
-    round is written to the shared folder."""
+    """(id, component) for every id in ``edges`` (a, b): the least id that it reaches. In each round an id takes the least
+    label among its own and its neighbours'; from the fourth round on also that label's own label, so that the rounds grow
+    with the logarithm of a path's length. Each round is written to the shared folder; the driver sees one sum, which stays
+    the same once no label falls."""
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
+    total, turn = None, 0
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
-        own = labels.select(F.col("id").alias("of"), F.col("label").alias("beyond"))
-        jumped = stash(step.join(own, step.next == own.of, "left").select("id", F.least("next", F.coalesce("beyond", "next")).alias("to"), "label"))
-        labels = jumped.select("id", F.col("to").alias("label"))
-        if not jumped.where("to <> label").limit(1).count():
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
             return labels.select("id", F.col("label").alias("component"))
+        total, turn = now, turn + 1
+        told = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "label").union(labels.select("id", "label"))
+        if turn > 3:
+            own = labels.select(F.col("id").alias("of"), F.col("label").alias("beyond"))
+            told = told.union(labels.join(own, labels.label == own.of).select("id", F.col("beyond").alias("label")))
+        labels = stash(told.groupBy("id").agg(F.min("label").alias("label")))

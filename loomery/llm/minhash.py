@@ -7,11 +7,13 @@ the Jaccard similarity of the full sets decides: 100 * intersection >= percent *
 
 How it scales. Documents with equal sets are one class from the start, so exact copies cost one row each. In each band
 bucket every class is first held against the bucket's least only (over all bands: against the least such class), and
-what these links join is one component. Only where a bucket still holds classes of different components are the rest of
-its pairs looked at: buckets are dealt in pieces of at most ``piece`` classes, two pieces to a task, where signatures are
-compared (with a margin of five standard errors) and pairs within one component are passed over. What remains is
-verified on the full sets. No pair of different components with a common band goes untested, and no group is gathered
-whole. With 32 bands of 5 rows a link at the threshold 0.85 is missed once in 10**8, at 0.8 three times in 10**6.
+what these links join is one component. Where a bucket still holds classes of different components, it is dealt in pieces
+of at most ``piece`` classes, two pieces to a task, where signatures are compared (with a margin of five standard errors)
+and pairs within one component are passed over. For TURNS turns each class draws one likely partner of another component,
+which joins nearly all that can be joined with a number of pairs that grows with the classes. Then, with signatures of
+LONG coordinates for the few classes that still share a bucket with another component, all pairs left within the margin
+are verified on the full sets. No pair of different components with a common band goes untested, and no group is
+gathered whole. With 32 bands of 5 rows a link at the threshold 0.85 is missed once in 10**8, at 0.8 three times in 10**6.
 
 Cases: null ids take no part and are left out. A repeated id is one document and gives one row; if its texts differ, the
 one with the least hash stands. A null or wordless text has an empty set, links with nothing and is its own component. Texts of fewer words than ``width`` are one
@@ -30,20 +32,23 @@ from pyspark.sql import functions as F
 from loomery.llm import graph, spill, textkit
 
 BANDS, ROWS = 32, 5
+TURNS = 1
+LONG = 1024  # coordinates, of a byte each, of the signatures for the last look
 _SPACE = 1 << 20  # numbers that shingles get
 _tables: list[np.ndarray] = []
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates: coordinate k is the least second[(first[s] + k) mod _SPACE] over shingles s."""
+def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """``size`` coordinates: coordinate k is the least second[(first[s] + k) mod _SPACE] over shingles s."""
     if not _tables:
         rng = np.random.default_rng(20)
         first, second = rng.permutation(_SPACE).astype(np.uint32), rng.permutation(_SPACE).astype(np.uint32)
-        _tables.extend([first, np.lib.stride_tricks.sliding_window_view(np.r_[second, second[: BANDS * ROWS]], BANDS * ROWS)])
+        _tables.extend([first, np.r_[second, second[:LONG]]])
+    shifted = np.lib.stride_tricks.sliding_window_view(_tables[1], size)
     at = _tables[0][shingles >> np.uint64(64 - 20)]
-    least = np.full(BANDS * ROWS, _SPACE, np.uint32)
-    for i in range(0, len(at), 4096):
-        np.minimum(least, _tables[1][at[i : i + 4096]].min(0), out=least)
+    least = np.full(size, _SPACE, np.uint32)
+    for i in range(0, len(at), 2048):
+        np.minimum(least, shifted[at[i : i + 2048]].min(0), out=least)
     return least
 
 
@@ -105,31 +110,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _rest(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, piece: int) -> DataFrame:
-    """Untested pairs (a, b) of different components in a common bucket whose signatures look similar enough."""
+def _long_signatures(texts: DataFrame, width: int) -> DataFrame:
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.batches(tables):
+            sigs = [signature(textkit.shingle_hashes(t, width), LONG).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sig binary")
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, tested: DataFrame, width: int, percent: int, piece: int, turn: int | None) -> DataFrame:
+    """Untested pairs (a, b) of different components in a common bucket whose signatures look similar enough; with a
+    ``turn``, for each class only one of them, another in each turn."""
     named = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     dealt = named.join(mixed.select("bucket", "m"), "bucket").withColumn("pieces", F.ceil(F.col("m") / piece).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.hash("id"), F.col("pieces")))
+    if turn is None:
+        dealt = spill.stash(dealt)
+        size, kind = LONG, np.dtype(np.uint8)
+        signed = _long_signatures(texts.join(dealt.select("id").distinct(), "id", "left_semi"), width)
+        sketches = classes.select("id", "n").join(signed, "id")
+    else:
+        size, kind = BANDS * ROWS, np.dtype("<u2")
+        sketches = classes.select("id", "n", "sig")
     # A piece meets every other piece, and itself, in one task each.
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("bucket", "id", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rows = spread.join(sketches.select("id", "n", "sig"), "id")
+    rows = spread.join(sketches, "id")
     jaccard = percent / 100
-    least = int((jaccard - 5 * (jaccard * (1 - jaccard) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS)
+    likely = int(jaccard * size)
+    least = int((jaccard - 5 * (jaccard * (1 - jaccard) / size) ** 0.5) * size)
 
     def pairs(table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy())
         ids, label, n, own = (table[c].to_numpy()[order] for c in ("id", "label", "n", "own"))
-        sig = np.stack([np.frombuffer(s, "<u2") for s in table["sig"].to_pylist()])[order]
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), kind).reshape(-1, size)[order]
         apart = table["p"][0].as_py() != table["q"][0].as_py()
-        out = []
-        for i in range(1, len(ids)):
-            could = np.flatnonzero((label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & ((own[:i] != own[i]) | (not apart)))
-            near = could[(sig[could] == sig[i]).sum(1) >= least] if len(could) else could
-            out += [(int(ids[j]), int(ids[i])) for j in near]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    return rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        out: list[tuple[int, int, int, int]] = []
+        for i in range(len(ids)):
+            could = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if apart:
+                could &= own != own[i]
+            if turn is None:
+                could[i:] = False
+            could = np.flatnonzero(could)
+            if not len(could):
+                continue
+            same = (sig[could] == sig[i]).sum(1)
+            near = could[same >= least]
+            if turn is not None and len(near):
+                near = could[same >= likely] if (same >= likely).any() else near
+                draw = textkit.mix(ids[near].view(np.uint64) ^ textkit.mix(ids[i : i + 1].view(np.uint64) + np.uint64(turn))) >> np.uint64(1)
+                out.append((int(ids[i]), int(ids[near[draw.argmin()]]), int(draw.min()), int((same >= likely).any())))
+            else:
+                out += [(int(ids[j]), int(ids[i]), 0, 0) for j in near]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["x", "y", "draw", "likely"])
+
+    found = rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "x long, y long, draw long, likely long")
+    if turn is not None:
+        found = found.groupBy("x").agg(F.min_by("y", F.struct(-F.col("likely"), F.col("draw"))).alias("y"))
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", piece: int = 512) -> DataFrame:
@@ -147,10 +188,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     first = spill.stash(buckets.where("id > low").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b")))
     wanted = buckets.select("id").distinct().join(classes.select("id", "h"), "id")
     texts = spill.stash(_texts(df, key, text).join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("id", "text"))
-    links = spill.stash(_verified(first, texts, width, percent))
+    links, tested = spill.stash(_verified(first, texts, width, percent)), first
     labels = graph.components(links)
-    more = _verified(_rest(buckets.select("bucket", "id"), classes, labels, first, percent, piece), texts, width, percent)
-    labels = graph.components(links.union(more))
+    for turn in [*range(TURNS), None]:
+        more = spill.stash(_rest(buckets.select("bucket", "id"), classes, texts, labels, tested, width, percent, piece, turn))
+        found = spill.stash(_verified(more, texts, width, percent))
+        tested = tested.union(more)
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = graph.components(links)
     by_class = leads.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return sketches.join(by_class, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
