@@ -130,10 +130,10 @@ def _rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, labels: Data
         dealt = spill.stash(dealt)
         size, kind = LONG, np.dtype(np.uint8)
         signed = _long_signatures(texts.join(dealt.select("id").distinct(), "id", "left_semi"), width)
-        sketches = classes.select("id", "n").join(signed, "id")
+        sketches = classes.select("id", "n", "bands").join(signed, "id")
     else:
         size, kind = BANDS * ROWS, np.dtype("<u2")
-        sketches = classes.select("id", "n", "sig")
+        sketches = classes.select("id", "n", "bands", "sig")
     # A piece meets every other piece, and itself, in one task each.
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("bucket", "id", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     rows = spread.join(sketches, "id")
@@ -145,6 +145,8 @@ def _rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, labels: Data
         order = np.argsort(table["id"].to_numpy())
         ids, label, n, own = (table[c].to_numpy()[order] for c in ("id", "label", "n", "own"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), kind).reshape(-1, size)[order]
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)[order]
+        here = table["bucket"][0].as_py()
         apart = table["p"][0].as_py() != table["q"][0].as_py()
         out: list[tuple[int, int, int, int]] = []
         for i in range(len(ids)):
@@ -162,8 +164,9 @@ def _rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, labels: Data
                 near = could[same >= likely] if (same >= likely).any() else near
                 draw = textkit.mix(ids[near].view(np.uint64) ^ textkit.mix(ids[i : i + 1].view(np.uint64) + np.uint64(turn))) >> np.uint64(1)
                 out.append((int(ids[i]), int(ids[near[draw.argmin()]]), int(draw.min()), int((same >= likely).any())))
-            else:
-                out += [(int(ids[j]), int(ids[i]), 0, 0) for j in near]
+            elif len(near):  # only where they meet first
+                first = (bands[near] == bands[i]).argmax(1)
+                out += [(int(ids[j]), int(ids[i]), 0, 0) for j in near[bands[i][first] == here]]
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["x", "y", "draw", "likely"])
 
     found = rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "x long, y long, draw long, likely long")
