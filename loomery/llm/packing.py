@@ -45,66 +45,77 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunks, self.words = textkit.Recent(_KEPT), textkit.Recent(_KEPT)
-        self.controls = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
-        self.spaces = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        self.spaces = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         # Fixed value: how the vocabulary splits a chunk.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         model = json.loads(spec)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in model["added_tokens"]))
-        self.plain = re.compile("[!-~\xa1-\u024f]*")  # where letters and digits are the same in every Unicode version
+        # Letters that composing leaves alone and that lower() and the vocabulary lower alike; blanks as both know them.
+        self.plain = re.compile("[\\t-\\r -~\\xa0-\\u012f\\u0131-\\u024f]*")
         ends = model["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in model["model"]["vocab"].items() if t.endswith(ends)]] = True
 
-    def _words(self, chunk: str) -> list[str] | None:
-        """The chunk's words as the vocabulary sees them; None if only the library should say."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if "<|" in chunk and self.special.search(chunk):
-                return None
-        elif not self.plain.fullmatch(chunk) or self.special.search(chunk):
-            return None
-        return self.split.findall(chunk.lower())  # of such letters, lower() and the vocabulary's forms are the same
+    def _is_plain(self, text: str) -> bool:
+        return bool(self.plain.fullmatch(text)) and not ("<|" in text and self.special.search(text))
+
+    def _chunks(self, text: str) -> list[str]:
+        if self._is_plain(text):
+            return text.lower().split()
+        return [c.lower() if self._is_plain(c) else c for c in self.spaces.split(text) if c]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        parts = {c: self._words(c) for c in chunks}
+        parts: dict[str, list[str]] = {}
+        out: dict[str, bytes] = {}
+        for c in chunks:
+            if c.isalpha() and self._is_plain(c):
+                parts[c] = [c]
+            elif c[:-1].isalpha() and not c[-1].isalnum() and self._is_plain(c):
+                parts[c] = [c[:-1], c[-1]]
+            elif self._is_plain(c):
+                parts[c] = self.split.findall(c)
+            else:  # only the library says
+                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
         ids: dict[str, bytes] = {}
-        new = []
-        for w in {w for ws in parts.values() if ws for w in ws}:
-            found = self.words.now.get(w)
-            if found is None:
-                found = self.words.recall(w)
-            if found is None:
-                new.append(w)
-            else:
+        fresh: dict[str, bytes] = {}
+        new, now, older = [], self.words.now, self.words.older
+        for w in set().union(*parts.values()):
+            found = now.get(w)
+            if found is not None:
                 ids[w] = found
+            elif (found := older.get(w)) is not None:
+                fresh[w] = found
+            else:
+                new.append(w)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            got = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stop = (np.flatnonzero(self.ends[got]) + 1) * 4
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
             packed = got.tobytes()
-            for w, i, j in zip(some, [0, *stop.tolist()], stop.tolist(), strict=False):
-                ids[w] = packed[i:j]
-                self.words.put(w, packed[i:j])
-        return {c: b"".join(map(ids.__getitem__, ws)) if ws is not None else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c, ws in parts.items()}
+            fresh.update(zip(some, (packed[i:j] for i, j in zip([0, *stop], stop, strict=False)), strict=True))
+        self.words.update(fresh)
+        ids |= fresh
+        for c, ws in parts.items():
+            out[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [[c for c in self.spaces.split(t) if c] if self.controls.search(t) else t.split() for t in texts]
-        known, here = self.chunks.now, {}
+        split = [self._chunks(t) for t in texts]
+        now, older = self.chunks.now, self.chunks.older
+        here: dict[str, bytes] = {}
+        fresh: dict[str, bytes] = {}
         missing = []
         for c in set().union(*split):
-            found = known.get(c)
-            if found is None:
-                found = self.chunks.older.get(c)
-            if found is None:
-                missing.append(c)
-            else:
+            found = now.get(c)
+            if found is not None:
                 here[c] = found
-        here |= self._learn(missing)
-        for c, ids in here.items():
-            if c not in known and len(c) < 64:
-                self.chunks.put(c, ids)
+            elif (found := older.get(c)) is not None:
+                fresh[c] = found
+            else:
+                missing.append(c)
+        fresh |= self._learn(missing)
+        self.chunks.update(fresh)
+        here |= fresh
         return [b"".join(map(here.__getitem__, chunks)) for chunks in split]
 
 
@@ -189,7 +200,7 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
     """One row per piece, see the module. No shuffle. ``most``: documents packed together; a task with more packs several
     times, so that it holds that many numbers at most."""
     spark = df.sparkSession
-    spill.small_batches(spark)
+    spill.small_batches(spark, rows=4000)
     spec = spark.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a file of 1.7 MB, whatever the data
     rows = textkit.one_text_column(df, key, text=text)
     kind = rows.schema[key].dataType.simpleString()
@@ -217,7 +228,7 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
             keys.clear(), whole.clear(), rests.clear()
             return batch
 
-        for batch in textkit.batches(tables):
+        for batch in textkit.batches(tables, 4000, 16 << 20):
             key_type = batch.column(0).type
             end = np.array([end_id], "<u4").tobytes()
             for k, ids in zip(batch.column(0).to_pylist(), _ids[vocabulary]([t or "" for t in batch.column(1).to_pylist()]), strict=True):

@@ -107,3 +107,10 @@ class Recent:
             self.older = dict(self.now)
             self.now.clear()  # the same object, as loops hold on to it
         self.now[key] = value
+
+    def update(self, found: dict) -> None:
+        """Keeps all of ``found``, but for keys of 64 and more characters."""
+        if len(self.now) >= self.most:
+            self.older = dict(self.now)
+            self.now.clear()
+        self.now.update((k, v) for k, v in found.items() if len(k) < 64)
