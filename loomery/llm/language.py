@@ -70,15 +70,15 @@ def fit(x: np.ndarray, lang: list[str], ridge: float = 0.05) -> Model:
     languages = sorted(set(lang))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in lang]].astype(float)
-    mean = x.mean(0)
-    z = x - mean
-    inverse = np.linalg.inv(z @ z.T + ridge * np.eye(len(z)))
+    mean = x.mean(0, dtype=float)
+    z = x - mean.astype(np.float32)
+    inverse = np.linalg.inv((z @ z.T).astype(float) + ridge * np.eye(len(z)))
     bias = y.mean(0)
     dual = inverse @ (y - bias)
     left_out = y - dual / np.diag(inverse)[:, None]
     error = np.clip((left_out * y <= 0).mean(0), 0.5 / len(y), 0.5)
     trust = np.log((1 - error) / error) + 1e-6
-    weights = z.T @ dual
+    weights = (z.T @ dual.astype(np.float32)).astype(float)
     return Model(languages, code, weights, bias - mean @ weights, trust / trust.sum())
 
 
@@ -92,7 +92,7 @@ def decode(model: Model, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.n
     return loss.argmin(1), 1 / share.sum(1), near
 
 
-def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2000, margin: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1000, margin: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and the columns named in ``keep``. ``learn`` says
     which rows teach. One narrow pass counts languages, one gathers ``sample`` rows of features, one predicts."""
     spark = df.sparkSession
@@ -112,7 +112,7 @@ def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
 
         rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(gather, "l string, f binary").limit(2 * sample + 2 * len(counts)).collect())
         if rows:
-            model = fit(np.stack([np.frombuffer(f, np.float32) for _, f in rows]).astype(float), [v for v, _ in rows])
+            model = fit(np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(len(rows), -1), [v for v, _ in rows])
     shared = spark.sparkContext.broadcast(model)  # _WIDTH x bits numbers, whatever the data
 
     others = list(dict.fromkeys([key, *keep, text]))
