@@ -6,12 +6,13 @@ the probabilities of all outcomes sum to one. f is a quantised count, rounded do
 filter as the q items (bigram, 1), ..., (bigram, q) and read by probing level after level until one is missing. A false
 positive (below one in a hundred) adds a little mass. A text begins after an end token. D is DISCOUNT.
 
-The filter holds every bigram that makes up RARE or more of all N tokens; a rarer one is left to P1. There are at most
-1 / RARE of them, whatever the corpus, and with counts that sum to N at most 1.82 / RARE items (the maximum of
-k (1 + log(1 / (RARE k)) / log(BASE)) over k), so at 12 to 24 bits an item the filter never exceeds 64 MB; it is
-broadcast. All else grows with the corpus and is exchanged: documents are read once into blocks, each a list of its
-distinct tokens and, for each document, its places in that list. Token counts are one window over the lists, and go back
-to the blocks they came from; a frequent token costs one row per block, not one per use.
+The filter holds every bigram, cut into hash shards whose number grows with the corpus, so that a shard has about
+SHARD_TOKENS tokens' bigrams and one task holds it. All is exchanged: documents are read once into blocks, each a list of
+its distinct tokens and, for each document, its places in that list. A block sends its distinct bigrams, with their counts
+in the texts that teach, to their shards; a shard sums the counts, builds its filter, and answers each block with the
+levels that the filter has, in the order of the block's bigrams, which are not sent back. Token counts are one window over
+the lists, and go back to the blocks they came from; a frequent token or bigram costs one row or entry per block, not one
+per use.
 
 Cases: a null text is the empty text: one end token. A row whose ``learn`` is null does not teach. Repeated rows each
 count and each get their row. Null ids are kept. Other columns are dropped. An empty table gives an empty table; if no
@@ -26,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 from loomery.llm import spill, textkit
 
 DISCOUNT = 0.75
-RARE = 2.0**-23
+SHARD_TOKENS = 1 << 21
 BASE = 1.3  # of the quantisation
 _PROBES = 4
+_BLOCK_TOKENS = 4_000_000
+_BLOCK_PAIRS = 2_000_000
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -52,15 +56,33 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _packed_keys(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int) -> DataFrame:
-    """Rows of two kinds: a document (k, learn, places) and the list of its block (hashes, trained)."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int32)
+
+
+def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (textkit.mix(keys) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+
+
+def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int, bits: int) -> DataFrame:
+    """Rows of three kinds: a document (k, learn, places), the list of its block (hashes, trained), and the block's
+    bigrams of a shard (shard, pairs, seen), sorted, with their counts in texts that teach."""
     rows = df.select(df[key].alias("k"), learn.alias("learn"), df[text].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    names = ["block", "k", "learn", "n_tokens", "places", "hashes", "trained"]
+    names = ["block", "k", "learn", "n_tokens", "places", "hashes", "trained", "shard", "pairs", "seen"]
     longs = pa.list_(pa.int64())
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +90,27 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int)
         block = (task.partitionId() if task else 0) << 32
         place: dict[bytes, int] = {}
         trained = np.zeros(1 << 20, np.int64)
-
-        def listed() -> pa.RecordBatch:
-            none = [pa.nulls(1, t) for t in (key_type, pa.bool_(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *none, pa.array([_hashes(list(place)).view(np.int64)], longs), pa.array([trained[: len(place)]], longs)], names)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh = used = 0
+        key_type = pa.null()
+
+        def row(n: int, **given: pa.Array) -> pa.RecordBatch:
+            kinds = [pa.int64(), key_type, pa.bool_(), pa.int64(), pa.binary(), longs, longs, pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(given.get(c, pa.nulls(n, t)) for c, t in zip(names[1:], kinds[1:], strict=True))], names)
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            hashes = _hashes(list(place))
+            yield row(1, hashes=pa.array([hashes.view(np.int64)], longs), trained=pa.array([trained[: len(place)]], longs))
+            pairs, seen = _merged(held)
+            half = hashes >> np.uint64(32)
+            keys, seen = _merged([(half[pairs >> 32] << np.uint64(32) | half[pairs & 0xFFFFFFFF], seen)])
+            shard = _shard_of(keys, bits)
+            order = np.argsort(shard, kind="stable")
+            found, first = np.unique(shard[order], return_index=True)
+            packed = [(_packed_keys(keys[at]), _packed(seen[at])) for at in np.split(order, first[1:])]
+            for i in range(0, len(found), 1000):
+                part = packed[i : i + 1000]
+                yield row(len(part), shard=pa.array(found[i : i + 1000].astype(np.int32)), pairs=pa.array([x for x, _ in part], pa.binary()), seen=pa.array([x for _, x in part], pa.binary()))
 
         for batch in textkit.batches(tables):
             key_type = batch.column(0).type
@@ -82,59 +121,26 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int)
                     if len(place) > len(trained):
                         trained = np.r_[trained, np.zeros(len(place), np.int64)]
                     np.add.at(trained, at, 1)
+                wide = at.astype(np.int64)
+                held.append((np.r_[place[b""], wide[:-1]] << 32 | wide, np.full(len(at), bool(learns), np.int32)))
+                fresh += len(at)
                 sizes.append(len(at))
                 packed.append(_packed(at))
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(n, longs), pa.nulls(n, longs)], names)
-            if len(place) >= most_words:
-                yield listed()
+            yield row(len(sizes), k=batch.column(0), learn=batch.column(1), n_tokens=pa.array(sizes, pa.int64()), places=pa.array(packed, pa.binary()))
+            used += sum(sizes)
+            if fresh > 1_000_000:
+                held = [_merged(held)]
+                fresh = 0
+            if len(place) >= most_words or used >= _BLOCK_TOKENS or len(held[0][0]) >= _BLOCK_PAIRS:
+                yield from listed()
                 block += 1
-                place = {}
+                place, held = {}, []
+                fresh = used = 0
                 trained[:] = 0
         if place:
-            yield listed()
-
-    return rows.mapInArrow(run, f"block long, k {kind}, learn boolean, n_tokens long, places binary, hashes array<long>, trained array<long>")
-
+            yield from listed()
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """A bigram's key: 32 bits of the first token's hash, then of the second's. The first token follows an end."""
-    half = hashes >> np.uint64(32)
-    end = _hashes([b""]) >> np.uint64(32)
-    return np.r_[end, half[:-1]] << np.uint64(32) | half
-
-
-def count_bigrams(df: DataFrame, learn: Column, text: str) -> DataFrame:
-    """(pair, n) over the texts that teach. A task counts before it hands on."""
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        size = 0
-        for batch in textkit.batches(tables):
-            for t in batch.column(0).to_pylist():
-                keys = _pairs(_hashes(_tokens(t)))
-                held.append((keys, np.ones(len(keys), np.int64)))
-                size += len(keys)
-            if size > 4_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 3_000_000:
-                    yield from _columns(*held.pop())
-                    size = 0
-        if held:
-            yield from _columns(*merged())
-
-    return df.where(learn).select(df[text].cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _columns(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["pair", "n"])
+    return rows.mapInArrow(run, f"block long, k {kind}, learn boolean, n_tokens long, places binary, hashes array<long>, trained array<long>, shard int, pairs binary, seen binary")
 
 
 def _positions(keys: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
@@ -147,11 +153,9 @@ def _positions(keys: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.
 class LogFrequencyFilter(NamedTuple):
     words: np.ndarray  # the bits, as 64-bit integers
     top: int  # the highest level entered
-    least: float  # the count that level 1 stands for
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of the keys, 0 where not even level 1 is there."""
-        keys, back = np.unique(keys, return_inverse=True)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of the keys, 0 where not even level 1 is there."""
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for j in range(1, self.top + 1):
@@ -162,28 +166,49 @@ class LogFrequencyFilter(NamedTuple):
             if not len(alive):
                 break
             level[alive] = j
-        return np.where(level > 0, self.least * BASE ** (level - 1.0), 0.0)[back]
-
-
-def build_filter(levels: DataFrame, least: float) -> LogFrequencyFilter:
-    """From (pair, level); see the module for its bound."""
-    size = levels.agg(F.sum("level").alias("n"), F.max("level").alias("top")).first()
-    bits = 1 << max(16, int(12 * (size.n or 1) - 1).bit_length())
-    words = np.zeros(bits // 64, np.uint64)
-
-    def enter(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.batches(tables, 100_000, 2 << 20):
-            level = batch.column(1).to_numpy()
-            each = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
-            p = np.unique(np.concatenate(_positions(np.repeat(batch.column(0).to_numpy().view(np.uint64), level), each, bits)))
-            at, first = np.unique(p >> np.uint64(6), return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
-            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
-
-    if size.n:
-        made = levels.select("pair", "level").mapInArrow(enter, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words[made["at"].to_numpy()] = made["mask"].to_numpy().view(np.uint64)
-    return LogFrequencyFilter(words, int(size.top or 0), least)
+        return level
+
+
+def build_filter(keys: np.ndarray, level: np.ndarray) -> LogFrequencyFilter:
+    """Of keys with levels from 1 on; 12 to 24 bits an item."""
+    bits = 1 << max(16, int(12 * max(1, level.sum()) - 1).bit_length())
+    words = np.zeros(bits // 8, np.uint8)
+    top = int(level.max(initial=0))
+    for j in range(1, top + 1):
+        for p in _positions(keys[level >= j], j, bits):
+            np.bitwise_or.at(words, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    return LogFrequencyFilter(words.view("<u8"), top)
+
+
+def shard_levels(blocks: DataFrame) -> DataFrame:
+    """Rows of two kinds: for each block and shard the ``levels`` of its bigrams in their order, and, in slices, the mass
+    that a shard's bigrams give to their first tokens (halves, sums)."""
+    names = ["of_block", "shard", "levels", "halves", "sums"]
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = [_unpacked_keys(x) for x in table["pairs"].to_pylist()]
+        keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
+        n = np.bincount(back, np.concatenate([_unpacked(x) for x in table["seen"].to_pylist()]), len(keys))
+        taught = n > 0
+        level = (np.floor(np.log(n[taught]) / np.log(BASE) + 1e-9) + 1).astype(np.int64)
+        known = build_filter(keys[taught], level).levels(keys).astype(np.uint8)
+        ends = np.cumsum([len(x) for x in pairs])
+        answers = [zlib.compress(known[x], 1) for x in np.split(back, ends[:-1])]
+        half, first = np.unique(keys[taught] >> np.uint64(32), return_index=True)
+        mass = np.add.reduceat(BASE ** (level - 1.0) - DISCOUNT, first) if len(first) else np.zeros(0)
+        cuts = range(0, len(half), 50_000)
+        ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
+        m, k = len(answers), len(cuts)
+        shard = table["shard"][0].as_py()
+        return pa.table([
+            pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(k, pa.int64())]),
+            pa.array([shard] * (m + k), pa.int32()),
+            pa.array([*answers, *[None] * k], pa.binary()),
+            pa.array([*[None] * m, *(half[i : i + 50_000].astype(np.uint32).view(np.int32) for i in cuts)], ints),
+            pa.array([*[None] * m, *(mass[i : i + 50_000] for i in cuts)], doubles),
+        ], names)
+
+    return blocks.select("block", "shard", "pairs", "seen").groupBy("shard").applyInArrow(run, "of_block long, shard int, levels binary, halves array<int>, sums array<double>")
 
 
 def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", most_words: int = 250_000) -> DataFrame:
@@ -192,24 +217,29 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     spill.small_batches(spark)
     learn = F.coalesce(learn, F.lit(False))
-    stored = spill.stash(_blocks(df, learn, key, text, most_words))
+    size = df.agg(F.sum(F.octet_length(df[text].cast("string")))).first()[0] or 0
+    bits = max(6, int(size // (8 * SHARD_TOKENS)).bit_length())  # a token has some 6 bytes
+    stored, bigrams, drop_bigrams = spill.stash_passing(_blocks(df, learn, key, text, most_words, bits), F.col("pairs").isNotNull())
     docs = stored.where(F.col("places").isNotNull()).select("block", "k", "learn", "n_tokens", "places")
     total = docs.where("learn").agg(F.sum("n_tokens")).first()[0] or 0
 
-    least = max(1.0, RARE * total)
-    level = F.floor(F.log(F.col("n") / F.lit(least)) / F.log(F.lit(BASE)) + 1e-9).cast("long") + 1
-    levels = spill.stash(count_bigrams(df, learn, text).where(F.col("n") >= least).select("pair", level.alias("level")))
-    shared = spark.sparkContext.broadcast(build_filter(levels, least))
-    given = levels.groupBy(F.shiftrightunsigned("pair", 32).alias("half")).agg(F.sum(F.lit(least) * F.pow(F.lit(BASE), F.col("level") - 1.0) - DISCOUNT).alias("given"))
-
-    lists = stored.where(F.col("places").isNull()).select(F.col("block").alias("of_block"), F.posexplode(F.arrays_zip("hashes", "trained")).alias("at", "x")).select("of_block", "at", F.col("x.hashes").alias("hash"), F.col("x.trained").alias("n"))
-    word = Window.partitionBy("half", "hash")  # one exchange, by half, serves the window and the join
-    counted = lists.withColumn("half", F.shiftrightunsigned("hash", 32)).repartition("half").select("of_block", "at", "half", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("of_block")) == 1).alias("first"))
-    answers = counted.join(given, "half", "left").select("of_block", "at", "half", "c", (F.col("first") & (F.col("c") > 0)).alias("new"), F.coalesce("given", F.lit(0.0)).alias("given"))
+    levels = spill.stash_last(shard_levels(bigrams))
+    drop_bigrams()
+    masses = levels.where(F.col("halves").isNotNull()).select(F.explode(F.arrays_zip("halves", "sums")).alias("x"))
+    given = masses.groupBy(F.col("x.halves").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")).agg(F.sum("x.sums").alias("given"))
+
+    lists = stored.where(F.col("hashes").isNotNull()).select(F.col("block").alias("of_block"), F.posexplode(F.arrays_zip("hashes", "trained")).alias("at", "x")).select("of_block", "at", F.col("x.hashes").alias("hash"), F.col("x.trained").alias("n"))
+    word = Window.partitionBy("half", "rest")  # one exchange, by half, serves the window and the join
+    counted = lists.select("of_block", "at", F.shiftrightunsigned("hash", 32).alias("half"), F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest"), "n").repartition("half").select("of_block", "at", "half", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("of_block")) == 1).alias("first"))
+    answers = counted.join(given, "half", "left").select("of_block", "at", "half", "c", (F.col("first") & (F.col("c") > 0)).alias("new"), F.coalesce("given", F.lit(0.0)).alias("given"), F.lit(None).cast("binary").alias("levels"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in answers.dtypes[2:-1]]
+    answers = answers.union(levels.where(F.col("levels").isNotNull()).select("of_block", F.col("shard").cast("long"), *none, "levels"))
     kind = docs.schema["k"].dataType.simpleString()
     names = ["k", "learned", "n_tokens", "n_known", "base", "score", "new"]
 
     def sums(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        of_shards = answers.filter(pc.is_valid(answers["levels"])).sort_by("at")
+        answers = answers.filter(pc.is_null(answers["levels"]))
         order = np.argsort(answers["at"].to_numpy())
         half, c, given = (answers[x].to_numpy()[order] for x in ("half", "c", "given"))
         half = half.view(np.uint64)
@@ -219,23 +249,31 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             single = np.where(c > 0, (c - DISCOUNT) / max(total, 1), 1.0)  # the unknown outcome's share comes later
         start = int(np.flatnonzero(half == (_hashes([b""]) >> np.uint64(32))[0])[0])
         places = [_unpacked(x) for x in docs["places"].to_pylist()]
+
+        def runs() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            i = 0
+            while i < len(places):  # some documents at a time
+                j, size = i, 0
+                while j < len(places) and (j == i or size < 500_000):
+                    size += len(places[j])
+                    j += 1
+                at, of = np.concatenate(places[i:j]), np.repeat(np.arange(j - i), [len(x) for x in places[i:j]])
+                before = np.r_[start, at[:-1]]
+                before[np.flatnonzero(np.diff(of, prepend=-1))] = start
+                yield i, j, at, of, before, half[before] << np.uint64(32) | half[at]
+                i = j
+
+        pairs = np.unique(np.concatenate([np.unique(pair) for *_, pair in runs()]))
+        level = np.zeros(len(pairs), np.uint8)  # a shard's levels are in the order of the block's sorted pairs
+        level[np.argsort(_shard_of(pairs, bits), kind="stable")] = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in of_shards["levels"].to_pylist()])
         rows: list[np.ndarray] = []
-        i = 0
-        while i < len(places):  # some documents at a time
-            j, size = i, 0
-            while j < len(places) and (j == i or size < 500_000):
-                size += len(places[j])
-                j += 1
-            at, of = np.concatenate(places[i:j]), np.repeat(np.arange(j - i), [len(x) for x in places[i:j]])
-            before = np.r_[start, at[:-1]]
-            before[np.flatnonzero(np.diff(of, prepend=-1))] = start
+        for i, j, at, of, before, pair in runs():
             known = c[at] > 0
             p = rest[before] * single[at]
             found = np.flatnonzero(known & (given[before] > 0))
-            f = shared.value.counts(half[before[found]] << np.uint64(32) | half[at[found]])
-            p[found] += np.maximum(f - DISCOUNT, 0) / c[before[found]]
+            q = level[np.searchsorted(pairs, pair[found])]
+            p[found] += np.where(q > 0, BASE ** (q - 1.0) - DISCOUNT, 0) / c[before[found]]
             rows.append(np.stack([np.bincount(of, x, j - i) for x in (known, np.log10(c[at] + 0.5), np.log10(np.clip(p, 1e-300, 1)))]))
-            i = j
         n_known, base, scores = np.concatenate(rows, 1)
         new = [int(answers["new"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(places) - 1)
         return pa.table([docs["k"], docs["learn"], docs["n_tokens"], pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array(new, pa.int64())], names)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,13 +30,52 @@ _local: str | None = None
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back. Later stages start from the files, so a
     lost executor costs no more than its own tasks. The files go when the session's JVM ends."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, df.write))
+
+
+def stash_passing(df: DataFrame, part: Column) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
+    """A stash in two: the rows where ``part`` does not hold, those where it does, and what deletes the latter's files
+    once nothing reads them any more."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):  # no sort by part
+        marked = df.withColumn("__part", F.when(part, 1).otherwise(0))
+        path = _written(df, marked.write.partitionBy("__part"))
+    rows = spark.read.schema(marked.schema).option("basePath", path).parquet(path)
+    return *(rows.where(F.col("__part") == i).drop("__part") for i in (0, 1)), lambda: _delete(spark, f"{path}/__part=1")
+
+
+def stash_last(df: DataFrame) -> DataFrame:
+    """A stash of ``df`` that takes the shuffles it was made from off the disks."""
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return stash(df)
+
+
+def _written(df: DataFrame, writer: DataFrameWriter) -> str:
+    path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    writer.parquet(path)
+    system, target = _file(df.sparkSession, path)
+    system.deleteOnExit(target)
+    return path
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.delete(target, True)
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:

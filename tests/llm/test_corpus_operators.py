@@ -215,3 +215,13 @@ def test_pipeline_odd_rows(spark):
         assert stage(spark, docs, "").count() >= 0 and stage(spark, docs.limit(0), "").count() == 0
         docs = docs if stage is corpus_pipeline.pack_sequences else stage(spark, docs, "")
     assert docs.where("doc_id = 1").count() == 1
+
+
+def test_lm_holds_every_bigram(spark):
+    """Among 18 million tokens, bigrams that came once still count."""
+    common = spark.range(180).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 100_000).alias("text"))
+    rare = [(1000 + i, f"u{i} v{i}") for i in range(300)]
+    asked = [(2000 + i, f"u{i} v{i}") for i in range(300)] + [(3000 + i, f"u{i} v{(i + 1) % 300}") for i in range(300)]
+    df = common.union(spark.createDataFrame(rare + asked, "doc_id long, text string")).repartition(4)
+    rows = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 2000, most_words=100).collect()}
+    assert all(rows[2000 + i] > rows[3000 + i] + 0.5 for i in range(300))
