@@ -4,8 +4,8 @@ Each language has a codeword of bits; one binary classifier on hashed character
 takes the codeword with the least weighted loss; bits whose classifier errs more weigh less. Where a second codeword is
 about as near, the row is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample: ``sample`` labelled rows, spread evenly over the languages and chosen by
-a hash of the text. Every row is predicted, from its whole text.
+The classifiers are fitted on a bounded sample: ``sample`` labelled rows, distinct texts with letters, spread evenly over the languages;
+of each language those of the least hashes, so copies count once and every run fits the same model. Every row is predicted, from its whole text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous. A null or repeated id is a row
 like any other. Rows with a null language teach nothing. Without labelled rows all is ``und``. Other columns are dropped.
@@ -94,23 +94,42 @@ def decode(model: Model, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.n
 
 def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1000, margin: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and the columns named in ``keep``. ``learn`` says
-    which rows teach. One narrow pass counts languages, one gathers ``sample`` rows of features, one predicts."""
+    which rows teach. One pass counts distinct texts by language (exchanging their hashes), one finds the least hashes, one
+    gathers the features of ``sample`` texts, one predicts."""
     spark = df.sparkSession
     spill.small_batches(spark)
-    teach = df.where(learn & df[lang].isNotNull() & df[text].isNotNull()).select(df[lang].cast("string").alias("l"), df[text].cast("string").alias("t"))
-    counts = {r[0]: r[1] for r in teach.groupBy("l").count().collect()}  # one row per language
+    teach = df.where(learn & df[lang].isNotNull()).select(df[lang].cast("string").alias("l"), df[text].cast("string").alias("t"))
+    teach = teach.where(F.col("t").rlike(r"\p{L}")).select("l", F.xxhash64("t").alias("h"), "t")
+    counts = {r[0]: r[1] for r in teach.select("l", "h").distinct().groupBy("l").count().collect()}  # one row per language
     model = None
     if counts:
         each = max(2, sample // len(counts))
-        part = F.create_map(*(F.lit(v) for name, n in counts.items() for v in (name, min(1.0, each / n))))
-        chosen = teach.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < part[F.col("l")] * float(1 << 30))
+
+        def below(most: dict[str, int]) -> DataFrame:
+            return teach.where(F.col("h") <= F.create_map(*(F.lit(v) for pair in most.items() for v in pair))[F.col("l")])
+
+        # of hashes spread evenly, fewer than ``each`` fall below twice the share once in 10^20 fits or more rarely
+        likely = {name: min((1 << 63) - 1, (2 * each + 100 << 64) // n - (1 << 63)) for name, n in counts.items()}
+        hashes: dict[str, list[int]] = {}
+        for name, h in below(likely).select("l", "h").distinct().collect():
+            hashes.setdefault(name, []).append(h)
+        chosen = below({name: sorted(found)[:each][-1] for name, found in hashes.items()})
+
+        def once(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A task hands on the first of its copies."""
+            seen: set[tuple[str, int]] = set()
+            for batch in textkit.batches(tables):
+                new = [not (x in seen or seen.add(x)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(new, pa.bool_()))
+
+        distinct = chosen.mapInArrow(once, "l string, h long, t string").groupBy("l", "h").agg(F.min("t").alias("t")).select("l", "t")
 
         def gather(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in textkit.batches(tables):
                 found = [(v, f.tobytes()) for v, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (f := features(t)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([f for _, f in found], pa.binary())], ["l", "f"])
 
-        rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(gather, "l string, f binary").limit(2 * sample + 2 * len(counts)).collect())
+        rows = sorted((r[0], bytes(r[1])) for r in distinct.mapInArrow(gather, "l string, f binary").collect())
         if rows:
             model = fit(np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(len(rows), -1), [v for v, _ in rows])
     shared = spark.sparkContext.broadcast(model)  # _WIDTH x bits numbers, whatever the data

@@ -165,3 +165,15 @@ def test_language_odd_rows(spark, odd):
 def test_shingles():
     assert len(textkit.shingle_hashes("a b c d", 3)) == 2 and len(textkit.shingle_hashes("A b", 3)) == 1 and not len(textkit.shingle_hashes(" \n", 3))
     assert textkit.shingle_hashes("A\tb", 3)[0] == textkit.shingle_hashes("a  b", 3)[0]
+
+
+def test_language_copies_count_once(spark):
+    """Thousands of copies of one text with a small hash, read first, leave the other languages their share."""
+    alphabets = {"aa": "abcde", "bb": "klmno", "cc": "vwxyz"}
+    texts = [(k, " ".join("".join(a[(i // 5**j + i * j) % 5] for j in range(4)) for i in range(n, n + 9))) for k, a in alphabets.items() for n in range(60)]
+    each = spark.createDataFrame(texts, "lang string, text string")
+    least = [each.where("lang = 'aa'").orderBy(h).limit(1) for h in (F.xxhash64("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)))]
+    copies = least[0].union(least[1]).crossJoin(spark.range(4000)).select("lang", "text")
+    docs = copies.union(each).coalesce(1).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = language.identify(docs, F.lit(True), keep=("lang",)).groupBy("lang", "lang_pred").count().collect()
+    assert sorted((r.lang, r.lang_pred) for r in rows) == [("aa", "aa"), ("bb", "bb"), ("cc", "cc")]
