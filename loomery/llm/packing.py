@@ -3,12 +3,16 @@
 Each task packs the documents it reads. A document longer than the window gives whole windows from its start and one
 rest. For the rests, their lengths in classes, all combinations of few classes that fill a window are listed; repeat
 counts for them are solved by non-negative least squares against the histogram of lengths and rounded down; documents
-fill these patterns, and what is left goes greedily into the fullest sequence with room. A task with some thousands of
-documents pads far below one percent, so no exchange between tasks is needed.
-
-Cases: a null text is the empty text, which still has its end token. Repeated rows each get their pieces. Columns
-besides the key and the text are dropped. An empty table gives an empty table. sequence_id is the task's number times
-2**32 plus a count, so it is unique without coordination; a task that runs again reads the same rows and packs alike.
+fill these patterns, the last place of each by the longest document that fits. What is left goes greedily into the
+fullest sequence with room. Sequences that are still short by more than a 256th of the window are dissolved: their
+documents are laid end to end and cut into windows, and the last part of less than a window into powers of two, which
+need no padding. So no sequence pads more than a 256th, whatever the number of documents in a task, and no exchange
+between tasks is needed.
+
+Cases: a null text is the empty text, which still has its end token. Very long texts are encoded in parts, cut at white
+space. Repeated rows each get their pieces. Columns besides the key and the text are dropped. An empty table gives an
+empty table. sequence_id is the task's number times 2**32 plus a count, so it is unique without coordination; a task that
+runs again reads the same rows and packs alike.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,30 +33,31 @@ from pyspark.sql import DataFrame
 
 from loomery.llm import spill, textkit
 
-_KEPT = 250_000  # chunks and words remembered in a worker, twice
+_KEPT = 300_000  # words remembered in a worker, twice
+_PART = 1 << 22  # characters of a text that are encoded at a time
 
 
 class WordIds:
     """Ids by the tokenizers library for a vocabulary of lower-case words with word ends that drops white space: nothing
-    reaches over white space or from word to word, so what was encoded once is looked up. Chunks between white space are
-    remembered, and the words in them; new words are encoded many at once, as one text."""
+    reaches over white space or from word to word, so what was encoded once is looked up. Plain texts are split into words
+    by arrays, their distinct words looked up once a call and new ones encoded many at once, as one text; of other texts,
+    chunks between white space that are not plain are given to the library one by one."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks, self.words = textkit.Recent(_KEPT), textkit.Recent(_KEPT)
+        self.words = textkit.Recent(_KEPT)
         self.spaces = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-        # Fixed value: how the vocabulary splits a chunk.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         model = json.loads(spec)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in model["added_tokens"]))
         # Letters that composing leaves alone and that lower() and the vocabulary lower alike; blanks as both know them.
         self.plain = re.compile("[\\t-\\r -~\\xa0-\\u012f\\u0131-\\u024f]*")
+        # The vocabulary splits a chunk into runs of letters, single digits and runs of the rest.
+        self.kind = np.array([0 if self.spaces.match(chr(c)) else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x250 + 1)], np.uint8)
         ends = model["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in model["model"]["vocab"].items() if t.endswith(ends)]] = True
@@ -59,64 +65,105 @@ class WordIds:
     def _is_plain(self, text: str) -> bool:
         return bool(self.plain.fullmatch(text)) and not ("<|" in text and self.special.search(text))
 
-    def _chunks(self, text: str) -> list[str]:
-        if self._is_plain(text):
-            return text.lower().split()
-        return [c.lower() if self._is_plain(c) else c for c in self.spaces.split(text) if c]
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        parts: dict[str, list[str]] = {}
-        out: dict[str, bytes] = {}
-        for c in chunks:
-            if c.isalpha() and self._is_plain(c):
-                parts[c] = [c]
-            elif c[:-1].isalpha() and not c[-1].isalnum() and self._is_plain(c):
-                parts[c] = [c[:-1], c[-1]]
-            elif self._is_plain(c):
-                parts[c] = self.split.findall(c)
-            else:  # only the library says
-                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        ids: dict[str, bytes] = {}
+    def _split(self, text: str) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Where the words of a plain lower-case text start, and the words."""
+        codes = np.frombuffer((text + "\n\n\n").encode("utf-32-le"), "<u4")
+        kind = self.kind[codes]
+        before = np.r_[np.uint8(0), kind[:-1]]
+        start = (kind > 0) & ((kind != before) | (kind == 2))
+        at = np.flatnonzero((codes == 39) & (before != 3))  # an apostrophe that begins a run may take letters with it
+        if len(at):
+            # Fixed values: 's 't 'm 'd 're 've 'll are words.
+            after, third = codes[at + 1], codes[at + 2]
+            one = np.isin(after, [115, 116, 109, 100])
+            two = (third == 101) & ((after == 114) | (after == 118)) | (third == 108) & (after == 108)
+            start[at[one | two] + 1] = False
+            stop = np.r_[at[one] + 2, at[two] + 3]
+            start[stop] = kind[stop] > 0
+        first = np.flatnonzero(start)
+        data = np.frombuffer(text.encode(), np.uint8)
+        kept, width = kind[:-3] > 0, None
+        if len(data) == len(text):
+            data, size = data[kept], np.cumsum(kept, dtype=np.int32)
+        else:
+            width = 1 + (codes[:-3] >= 0x80).astype(np.int32)
+            data, size = data[np.repeat(kept, width)], np.cumsum(kept * width, dtype=np.int32)
+        offsets = np.r_[size[first - 1], np.int32(len(data))]
+        if len(first) and first[0] == 0:
+            offsets[0] = 0
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        return first, words.dictionary_encode()
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = list(map(self.words.now.get, words))
         fresh: dict[str, bytes] = {}
-        new, now, older = [], self.words.now, self.words.older
-        for w in set().union(*parts.values()):
-            found = now.get(w)
-            if found is not None:
-                ids[w] = found
-            elif (found := older.get(w)) is not None:
-                fresh[w] = found
+        new, older = [], self.words.older
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            if (found := older.get(words[i])) is not None:
+                fresh[words[i]] = found
             else:
-                new.append(w)
+                new.append(words[i])
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stop = ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
             packed = got.tobytes()
             fresh.update(zip(some, (packed[i:j] for i, j in zip([0, *stop], stop, strict=False)), strict=True))
+        for i in missing:
+            out[i] = fresh[words[i]]
         self.words.update(fresh)
-        ids |= fresh
-        for c, ws in parts.items():
-            out[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
         return out
 
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Of plain lower-case texts."""
+        first, words = self._split("\n".join(texts))
+        if not len(first):
+            return [b""] * len(texts)
+        found = self._of_words(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        where, store, index = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        sizes = size[index]
+        stop = np.cumsum(sizes)
+        ids = store[np.repeat(where[index] - stop + sizes, sizes) + np.arange(stop[-1])].tobytes()
+        ends = np.searchsorted(first, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+        ends = (np.r_[0, stop][ends] * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _parts(self, text: str) -> list[str]:
+        if len(text) <= _PART:
+            return [text]
+        cuts, at = [0], _PART
+        while at < len(text) and (m := self.spaces.search(text, at)):
+            cuts.append(m.start())
+            at = m.start() + _PART
+        return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._chunks(t) for t in texts]
-        now, older = self.chunks.now, self.chunks.older
-        here: dict[str, bytes] = {}
-        fresh: dict[str, bytes] = {}
-        missing = []
-        for c in set().union(*split):
-            found = now.get(c)
-            if found is not None:
-                here[c] = found
-            elif (found := older.get(c)) is not None:
-                fresh[c] = found
-            else:
-                missing.append(c)
-        fresh |= self._learn(missing)
-        self.chunks.update(fresh)
-        here |= fresh
-        return [b"".join(map(here.__getitem__, chunks)) for chunks in split]
+        out: list[list[bytes]] = [[] for _ in texts]
+        pieces: list[tuple[int, int, str]] = []  # text, place in its list, what it says
+        for i, text in enumerate(texts):
+            for part in self._parts(text):
+                if self._is_plain(part):
+                    pieces.append((i, len(out[i]), part.lower()))
+                    out[i].append(b"")
+                    continue
+                for chunk in self.spaces.split(part):
+                    if self._is_plain(chunk):
+                        pieces.append((i, len(out[i]), chunk.lower()))
+                        out[i].append(b"")
+                    else:  # only the library says
+                        out[i].append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+        at = 0
+        while at < len(pieces):
+            stop, size = at, 0
+            while stop < len(pieces) and (stop == at or size + len(pieces[stop][2]) <= _PART):
+                size += len(pieces[stop][2])
+                stop += 1
+            for (i, n, _), ids in zip(pieces[at:stop], self._plain_ids([x for *_, x in pieces[at:stop]]), strict=True):
+                out[i][n] = ids
+            at = stop
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -153,13 +200,35 @@ def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray
 _plans: dict[tuple[int, int], np.ndarray] = {}
 
 
+class _Shelf:
+    """Indices by length; takes the longest that is no longer than asked."""
+
+    def __init__(self, lengths: np.ndarray, window: int):
+        self.by_length: dict[int, list[int]] = defaultdict(list)
+        for i in np.argsort(lengths, kind="stable").tolist():
+            self.by_length[int(lengths[i])].append(i)
+        self.there = np.zeros(window + 1, bool)
+        self.there[list(self.by_length)] = True
+
+    def take(self, most: int, least: int = 1) -> int | None:
+        back = self.there[least : most + 1][::-1]
+        if not len(back) or not back[at := int(back.argmax())]:
+            return None
+        pile = self.by_length[most - at]
+        i = pile.pop()
+        self.there[most - at] = bool(pile)
+        return i
+
+    def put(self, i: int, length: int) -> None:
+        self.by_length[length].append(i)
+        self.there[length] = True
+
+
 def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int = 3) -> list[list[int]]:
     """Groups of indices whose lengths (1..window) sum to at most the window."""
     width = window // classes
     of = -(-lengths // width)  # a class holds lengths up to its size
-    piles: dict[int, list[int]] = defaultdict(list)
-    for i in np.argsort(lengths, kind="stable").tolist():
-        piles[int(of[i])].append(i)
+    shelf = _Shelf(lengths, window)
     if (classes, depth) not in _plans:
         _plans[classes, depth] = combinations(classes, depth)
     ways = _plans[classes, depth]
@@ -168,24 +237,35 @@ def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int
     for j in np.argsort(-counts, kind="stable").tolist():
         if counts[j] == 0:
             break
-        sizes = [(int(s) + 1, int(ways[s, j])) for s in np.flatnonzero(ways[:, j])]
-        for _ in range(min([int(counts[j]), *(len(piles[s]) // n for s, n in sizes)])):
-            groups.append([piles[s].pop() for s, n in sizes for _ in range(n)])
+        sizes = [int(s) + 1 for s in np.flatnonzero(ways[:, j])[::-1] for _ in range(int(ways[s, j]))]
+        for _ in range(int(counts[j])):
+            group, room = [], window
+            for n, s in enumerate(sizes):
+                last = n == len(sizes) - 1
+                i = shelf.take(room if last else s * width, 1 if last else (s - 1) * width + 1)
+                if i is None:
+                    break
+                group.append(i)
+                room -= int(lengths[i])
+            if len(group) < len(sizes):
+                for i in group:
+                    shelf.put(i, int(lengths[i]))
+                break
+            groups.append(group)
     # Greedy rest: longest first, each into the sequence with the least room that still holds it.
     room: dict[int, list[int]] = defaultdict(list)
     for k, g in enumerate(groups):
         room[window - int(lengths[g].sum())].append(k)
     free = np.zeros(window + 1, bool)
-    for r, ks in room.items():
-        free[r] = bool(ks)
-    for i in sorted((i for pile in piles.values() for i in pile), key=lambda i: -lengths[i]):
+    free[list(room)] = True
+    while (i := shelf.take(window)) is not None:
         size = int(lengths[i])
-        at = np.argmax(free[size:]) + size if free[size:].any() else window
+        at = int(np.argmax(free[size:])) + size
         if free[at]:
             k = room[at].pop()
             free[at] = bool(room[at])
         else:
-            k = len(groups)
+            at, k = window, len(groups)
             groups.append([])
         groups[k].append(i)
         room[at - size].append(k)
@@ -193,10 +273,36 @@ def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int
     return groups
 
 
+def place(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (index, start, length); a sequence of less than the window is short by its 256th at most, or its length
+    is a power of two."""
+    out, loose = [], []
+    for group in pack_lengths(lengths, window):
+        short = window - int(lengths[group].sum())
+        if short > window // 256:
+            loose += group
+        else:
+            out.append([(i, 0, int(lengths[i])) for i in group])
+    rest = int(lengths[loose].sum())
+    room = sequence = None
+    for i in loose:
+        at = 0
+        while at < lengths[i]:
+            if not room:
+                room = window if rest >= window else 1 << rest.bit_length() - 1
+                rest -= room
+                sequence = []
+                out.append(sequence)
+            n = min(room, int(lengths[i]) - at)
+            sequence.append((i, at, n))
+            at, room = at + n, room - n
+    return out
+
+
 SCHEMA = "k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", most: int = 200_000) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", most: int = 50_000) -> DataFrame:
     """One row per piece, see the module. No shuffle. ``most``: documents packed together; a task with more packs several
     times, so that it holds that many numbers at most."""
     spark = df.sparkSession
@@ -217,27 +323,29 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
             pieces = [(*p, base + made + n, 0) for n, p in enumerate(whole)]
             made += len(whole)
             if rests:
-                for group in pack_lengths(np.array([p[2] for p in rests]), window):
+                for sequence in place(np.array([len(ids) // 4 for *_, ids in rests]), window):
                     at = 0
-                    for i in group:
-                        pieces.append((*rests[i], base + made, at))
-                        at += rests[i][2]
+                    for i, start, size in sequence:
+                        k, begun, total, ids = rests[i]
+                        pieces.append((k, begun + start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total, base + made, at))
+                        at += size
                     made += 1
             cols = list(zip(*pieces, strict=True))
             batch = pa.RecordBatch.from_arrays([pa.array([keys[i] for i in cols[0]], key_type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             keys.clear(), whole.clear(), rests.clear()
             return batch
 
-        for batch in textkit.batches(tables, 4000, 16 << 20):
+        for batch in textkit.batches(tables, 4000, 8 << 20):
             key_type = batch.column(0).type
             end = np.array([end_id], "<u4").tobytes()
             for k, ids in zip(batch.column(0).to_pylist(), _ids[vocabulary]([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += end
                 total = len(ids) // 4
                 keys.append(k)
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    (whole if len(piece) == 4 * window else rests).append((len(keys) - 1, start, len(piece) // 4, zlib.crc32(piece), total))
+                for start in range(0, total - window + 1, window):
+                    whole.append((len(keys) - 1, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), total))
+                if start := total % window:
+                    rests.append((len(keys) - 1, total - start, total, ids[-4 * start :]))
             if len(keys) >= most:
                 yield out()
         if keys:
