@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomery.llm import linededup, lm, minhash, neighbours, pages, textkit
+from loomery.llm import linededup, lm, minhash, neighbours, pages, skew, textkit
 
 ODD = [(1, "same text, twice"), (1, "same text, twice"), (2, None), (3, ""), (None, "no id"), (4, "word"), (5, "x y " * 30_000)]
 
@@ -182,6 +182,29 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert got == brute_components(docs, width, percent)
 
 
+def test_near_duplicates_in_one_large_group(spark, monkeypatch):
+    """1200 copies, each edited a little, most of them too much for a link: all pairs are tested, few rows come out."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join(f"x{rng.randrange(10**9)}" if rng.random() < 0.04 else w for w in base)) for i in range(1200)]
+    docs += [(5000 + i, docs[i % 7][1]) for i in range(600)]
+    emitted, rest = [], minhash._rest
+    monkeypatch.setattr(minhash, "_rest", lambda *a: emitted.append(rest(*a)) or emitted[0])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85, piece=400).collect()}
+    assert got == brute_components(docs, 3, 85) and len({c for _, c in got.values()}) > 300
+    assert emitted[0].count() < 1200
+
+
+def test_split_join_equals_join(spark):
+    many = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 5 > 0, F.col("id")).alias("k"), "id")
+    one = spark.range(0, 30_000, 2).union(spark.range(7, 8)).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left", "left_semi"):
+        split = skew.split_join(many, one, "k", counts, 30_000, F.col("id"), how)
+        assert sorted(map(str, split.select("k", "id").collect())) == sorted(map(str, many.join(one, "k", how).select("k", "id").collect()))
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd).collect()}
     assert got == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (2, 5)}
