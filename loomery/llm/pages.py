@@ -3,11 +3,18 @@
 A page is read once into a tree of open elements; text between block borders is a paragraph. Paragraphs give points for
 length and commas to their container, half of them to the container above, a third of that half further up; a container's
 points count less by its share of link text. The best container is kept, with those siblings that score well beside it; if
-it lies in an article element, that whole article. Elements that are no text by their tag, role or class (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) and lists made of links give none.
+it lies in an article element, that whole article and other articles that score well.
+
+Elements that are no text by their tag, role or as hidden (menus, headers, footers, sidebars, forms, scripts) give none.
+Class names and ids only speak of boxes: one made of nothing but words for adverts, comments, notices, menus and the like
+takes its box away, unless the box holds most of the page (comments stay away). Words that also name text (social, related,
+share ...) take it away only if it scores low beside the best container. Lists made of links go where they stand before
+or after all other text of the container, but stay inside an article element. Ids of paragraphs and headings are anchors
+and say nothing.
 
 Cases: a null or empty page has the empty text, as has a page without any text. Unclosed and crossing tags are closed as
-browsers do; a tag that the page's end cuts off is dropped. Repeated rows each get their row; other columns are dropped.
+browsers do; a tag that the page's end cuts off is dropped. Pages may be of any length and depth: reading and scoring take
+time in proportion to the length. Repeated rows each get their row; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -33,67 +40,84 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of the same group, up to the nearest element named after it.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-NOT_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar side aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip topbar toolbar hidden".split()
+#: Words of class names. A name that joins them with BOX_WORDS only marks its box.
+COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus respond replies reply".split())
+NOT_TEXT_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr popup modal overlay "
+    "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead newsletter pagination pager toolbar signup login".split()
 )
-_TEXT_WORDS = frozenset("article entry post content body main story text title".split())
+MAYBE_WORDS = frozenset("notice notices alert social share sharing related recommended recommendations promoted subscribe subscription widget widgets search skip topbar side hidden".split())
+BOX_WORDS = frozenset("area bar block box button buttons col column container content count footer form group header inner item items left line link links list main message outer panel post posts articles stories right row section site slot text title top bottom global unit wrap wrapper page".split())
+TEXT_WORDS = frozenset("article entry post content body main story text".split())
 
 
 class _Node:
-    __slots__ = ("tag", "up", "off", "points", "size", "linked", "links")
+    __slots__ = ("tag", "up", "block", "off", "inside", "header", "mark", "inline", "near", "own", "below", "size", "linked", "links", "kept", "menu")
 
-    def __init__(self, tag: str, up: _Node | None, off: bool):
-        self.tag, self.up, self.off = tag, up, off
-        self.points, self.size, self.linked, self.links = 0.0, 0, 0, 0
+    def __init__(self, tag: str, up: _Node | None, off: bool = False, mark: int = 0):
+        self.tag, self.up, self.off, self.mark = tag, up, off, mark
+        inline = tag in INLINE and up is not None
+        self.block = up.block if inline else self
+        self.inline = None if inline else {}  # open inline elements by tag
+        self.inside = tag in ("article", "main") or (up is not None and up.inside)
+        self.header = tag == "header" or (up is not None and up.header)
+        self.near = up.near if up else {}  # the nearest element of each group in CLOSES
+        if tag in _GROUP:
+            self.near = self.near | {_GROUP[tag]: self}
+        self.own = self.below = 0.0
+        self.size = self.linked = self.links = 0
+        self.kept = self.menu = False
 
 
-def _off(tag: str, attributes: str, up: _Node, by_class: bool) -> bool:
-    if tag in NO_TEXT:
-        return True
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    inside = tag in ("article", "main") or _above(up, ("article", "main"))
-    if tag == "header" and not inside:
-        return True
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    if found.get("role", "").lower() in NOT_TEXT_ROLES:
+#: The group of tags in which an element's end may be left out, for each tag of it.
+_GROUP = {"li": "list", "ul": "list", "ol": "list", "dt": "dl", "dd": "dl", "dl": "dl", "tr": "table", "td": "table", "th": "table", "table": "table"}
+
+
+def _off(tag: str, found: dict[str, str], up: _Node) -> bool:
+    if tag in NO_TEXT or (tag == "header" and not up.inside):
         return True
-    if not by_class or tag in ("html", "body", "main"):
+    if not found:
         return False
-    words = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    words = re.sub(r"\b(with|has|no)[-_]\w+", " ", words)
-    parts = set(re.split(r"[^a-z]+", words))
-    if "header" in parts and not inside and not parts & _TEXT_WORDS:
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
-    return bool(parts & NOT_TEXT_WORDS)
-
-
-def _above(node: _Node | None, tags: tuple[str, ...]) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
-
-
-def _read(page: str, by_class: bool) -> list[tuple[_Node, str, int, int]]:
-    """Paragraphs in page order: innermost block element, text, length of its link text, number of links."""
-    here = root = _Node("", None, False)
+    return found.get("role", "").lower() in NOT_TEXT_ROLES
+
+
+def _mark(tag: str, found: dict[str, str], up: _Node) -> int:
+    """0, or what class and id say of a box: 1 for maybe no text, 2 for no text, 3 for comments."""
+    if not found or tag in ("html", "body", "main"):
+        return 0
+    names = found.get("class", "").split()
+    if tag not in INLINE and tag != "p" and tag not in HEADINGS and tag != "li":
+        names += found.get("id", "").split()
+    mark = 0
+    for name in names:
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+        if words == {"header"} or (words == {"site", "header"}):
+            mark = max(mark, 0 if up.inside else 2)
+        for kind, known in ((3, COMMENT_WORDS), (2, NOT_TEXT_WORDS), (1, MAYBE_WORDS)):
+            if words & known and words <= known | NOT_TEXT_WORDS | MAYBE_WORDS | BOX_WORDS:
+                mark = max(mark, kind)
+    return 0 if mark == 1 and TEXT_WORDS & set(names) else mark
+
+
+def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int, int]]]:
+    """All elements that may hold text, parents first, and the paragraphs in page order: innermost block element, text,
+    length of its link text, number of links."""
+    here = root = _Node("", None)
+    nodes = [root]
     out: list[tuple[_Node, str, int, int]] = []
     held: list[str] = []
     linked = links = 0
     in_link = False
+    blocks: dict[str, int] = {}  # open block elements by tag
 
     def flush() -> None:
         nonlocal linked, links, in_link
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                block = here
-                while block.tag in INLINE and block.up:
-                    block = block.up
-                out.append((block, text, min(linked, len(text)), links))
+                out.append((here.block, text, min(linked, len(text)), links))
             held.clear()
         linked = links = 0
         in_link = False
@@ -105,6 +129,20 @@ def _read(page: str, by_class: bool) -> list[tuple[_Node, str, int, int]]:
             if in_link:
                 linked += len(text.strip())
 
+    def close(last: _Node) -> None:
+        """Ends all open elements up to ``last``."""
+        nonlocal here
+        node = here
+        while True:
+            if node.inline is None:
+                node.block.inline[node.tag] -= 1
+            else:
+                blocks[node.tag] -= 1
+            if node is last:
+                break
+            node = node.up
+        here = last.up
+
     at, find = 0, _TAG.search
     while m := find(page, at):
         take(page[at : m.start()])
@@ -112,32 +150,34 @@ def _read(page: str, by_class: bool) -> list[tuple[_Node, str, int, int]]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag
-            node = here
-            while node.tag != tag and node.up and not (tag in INLINE and node.tag not in INLINE):
-                node = node.up
-            if node.tag == tag and node.up:
-                if tag not in INLINE:
-                    flush()
-                here = node.up
+        if m[1] or m[4]:  # an end tag; of an inline element, only within its block
+            if tag in INLINE:
+                if here.block.inline.get(tag):
+                    node = here
+                    while node.tag != tag:
+                        node = node.up
+                    close(node)
+            elif blocks.get(tag):
+                flush()
+                node = here
+                while node.tag != tag or node.inline is None:
+                    node = node.up
+                close(node)
             if tag == "a":
                 in_link = False
             continue
         if tag not in INLINE:
             flush()
-            if tag not in VOID or tag == "hr":
-                node = here
-                while node.tag in INLINE:
-                    node = node.up
-                if node.tag == "p":  # a block ends an open p
-                    here = node.up
+            if (tag not in VOID or tag == "hr") and here.block.tag == "p":  # a block ends an open p
+                close(here.block)
             if tag in CLOSES:
                 ends, stop = CLOSES[tag]
-                node, last = here, None
-                while node.up and node.tag not in stop:
+                node, last = here.near.get(_GROUP[tag]), None
+                while node and node.tag not in stop:
                     last = node if node.tag in ends else last
-                    node = node.up
-                here = last.up if last else here
+                    node = node.up.near.get(_GROUP[tag])
+                if last:
+                    close(last)
         if tag == "br":
             held.append(" ")
         elif tag == "a":
@@ -149,67 +189,89 @@ def _read(page: str, by_class: bool) -> list[tuple[_Node, str, int, int]]:
             at = page.find(">", end.end() - 1) + 1 if end else len(page)
             at = at or len(page)
             continue
-        here = _Node(tag, here, here.off or _off(tag, m[3] or m[6], here, by_class))
+        attributes = m[3] or m[6]
+        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        off = here.off or _off(tag, found, here)
+        here = _Node(tag, here, off, 0 if off else _mark(tag, found, here))
+        nodes.append(here)
+        if here.inline is None:
+            here.block.inline[tag] = here.block.inline.get(tag, 0) + 1
+        else:
+            blocks[tag] = blocks.get(tag, 0) + 1
     take(page[at:])
     flush()
-    return [x for x in out if not x[0].off]
-
-
-def _within(node: _Node | None, tops: set[int]) -> bool:
-    while node:
-        if id(node) in tops:
-            return True
-        node = node.up
-    return False
+    return [n for n in nodes if not n.off], [x for x in out if not x[0].off]
 
 
-def _choose(blocks: list[tuple[_Node, str, int, int]]) -> list[str]:
-    nodes: dict[int, _Node] = {}
+def _score(nodes: list[_Node], blocks: list[tuple[_Node, str, int, int]]) -> None:
+    """Points, text, link text and links of every element, from the leaves up."""
+    for n in nodes:
+        n.own = n.below = 0.0
+        n.size = n.linked = n.links = 0
     for node, text, linked, links in blocks:
         points = (1 if len(text) >= 25 else 0.25) + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - linked / len(text)
-        share, box = 1.0, node
-        if box.tag == "p" or box.tag in HEADINGS:
-            box = box.up or box
-        while box:
-            nodes[id(box)] = box
-            box.points += points * share
-            share = share / 2 if share == 1 else share / 3
-            box = box.up
-        box = node
-        while box:
-            nodes[id(box)] = box
-            box.size, box.linked, box.links = box.size + len(text), box.linked + linked, box.links + links
-            box = box.up
-    if not nodes:
+        box = node.up if (node.tag == "p" or node.tag in HEADINGS) and node.up else node
+        box.own += points * (1 - linked / len(text))
+        node.size, node.linked, node.links = node.size + len(text), node.linked + linked, node.links + links
+    for n in reversed(nodes):
+        if up := n.up:
+            up.below += n.own / 2 + n.below / 3
+            up.size, up.linked, up.links = up.size + n.size, up.linked + n.linked, up.links + n.links
+
+
+def _worth(n: _Node) -> float:
+    return (n.own + n.below) * (1 - n.linked / max(1, n.size))
+
+
+def _without_boxes(nodes: list[_Node], blocks: list[tuple[_Node, str, int, int]]) -> list[tuple[_Node, str, int, int]]:
+    """The paragraphs outside boxes that their names and scores say are no text."""
+    if not any(n.mark for n in nodes):
+        return blocks
+    _score(nodes, blocks)
+    best = max((_worth(n) for n in nodes if not n.mark), default=0.0)
+    page = nodes[0].size if nodes else 0
+    for n in nodes:
+        up = bool(n.up and n.up.menu)
+        mark = n.mark
+        if mark == 2 and 3 * n.size > 2 * page:
+            mark = 0
+        if mark == 1 and n.tag != "p" and _worth(n) >= 0.25 * best:
+            mark = 0
+        n.menu = up or mark > 0
+    left = [x for x in blocks if not x[0].menu]
+    return left or blocks
+
+
+def _choose(nodes: list[_Node], blocks: list[tuple[_Node, str, int, int]]) -> list[str]:
+    blocks = _without_boxes(nodes, blocks)
+    if not blocks:
         return []
-    worth = {k: n.points * (1 - n.linked / max(1, n.size)) for k, n in nodes.items()}
-    best = max(nodes, key=lambda k: worth[k])
-    top = nodes[best]
-    box: _Node | None = top
+    _score(nodes, blocks)
+    best = max((n for n in nodes if n.size), key=_worth)
+    top = best
+    box: _Node | None = best
     while box:
         if box.tag == "article":
             top = box
         box = box.up
-    tops = {id(top)}
-    if top.tag != "article":
-        for k, n in nodes.items():
-            if n.up is top.up and n is not top and (worth[k] >= max(10, 0.2 * worth[best]) or n.tag in HEADINGS or (n.tag == "p" and n.size > 80 and n.linked < 0.25 * n.size)):
-                tops.add(k)
-    menu = lambda n: n.tag in ("ul", "ol", "div") and n.links >= 3 and n.linked >= 0.75 * n.size and id(n) not in tops
-    menus = {k for k, n in nodes.items() if menu(n)}
-    titles = lambda n: not _above(n, ("header",)) or n.tag in HEADINGS
-    return [text for node, text, _, _ in blocks if _within(node, tops) and not _within(node, menus) and titles(node)]
+    enough = max(10, 0.2 * _worth(best))
+    for n in nodes:
+        up = bool(n.up and n.up.kept)
+        if top.tag == "article":
+            n.kept = up or n is top or (n.tag == "article" and _worth(n) >= enough)
+        else:
+            beside = n.up is top.up and n.size and (_worth(n) >= enough or n.tag in HEADINGS or (n.tag == "p" and n.size > 80 and n.linked < 0.25 * n.size))
+            n.kept = up or n is top or bool(beside)
+        listed = up and top.tag != "article" and n.tag in ("ul", "ol", "div") and n.links >= 3 and n.linked >= 0.75 * n.size
+        n.menu = bool(n.up and n.up.menu) or listed
+    found = [(node.menu, text) for node, text, _, _ in blocks if node.kept and (not node.header or node.tag in HEADINGS)]
+    texts = [i for i, (menu, _) in enumerate(found) if not menu]
+    return [text for _, text in found[texts[0] : texts[-1] + 1]] if texts else []
 
 
 def main_text(page: str | None) -> str:
     """Paragraphs of the main text, joined by one newline."""
-    if not page:
-        return ""
-    text = "\n".join(_choose(_read(page, True)))
-    if not text:  # a class name may have hidden all
-        text = "\n".join(_choose(_read(page, False)))
-    return text
+    return "\n".join(_choose(*_read(page))) if page else ""
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -1,7 +1,10 @@
 """Language model, pages, line dedup, neighbours, near-duplicates and the pipeline."""
 
+import html
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +87,57 @@ def test_pages():
     assert pages.main_text("<div>" * 3000 + "x") == "x"
 
 
+def gold(page):
+    """Plainly, for the given pages: what stands in their one article, by paragraphs."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub(r"<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|div)[^>]*>", re.sub(r"</?b>", "", inner))]
+    return "\n".join(x for x in parts if x)
+
+
+def test_pages_equal_gold(sf):
+    given = duckdb.sql(f"SELECT html FROM '{sf.replace('0.001', '0.01')}/pages.parquet'").fetchall()
+    for (page,) in given:
+        assert pages.main_text(page) == gold(page)
+
+
+def test_pages_built_from_parts():
+    """Random layouts around known paragraphs, with and without article elements."""
+    rng = random.Random(12)
+    words = "alpha beta gamma delta, epsilon zeta, eta theta iota".split()
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=x>{said(2)}</a>" for _ in range(n)) + "</ul>"
+    noise = [
+        lambda: f"<nav>{links(5)}</nav>", lambda: f"<div class='ad'>{said(12)}</div>", lambda: f"<div id=cookie-notice>{said(20)}</div>", lambda: f"<aside>{said(30)}</aside>",
+        lambda: f"<div class='comments'><p>{said(40)}<p>{said(60)}</div>", lambda: f"<form><p>{said(9)}<input></form>", lambda: f"<div class='share-buttons'>{links(4)}</div>", lambda: "<script>var p = '<p>x</p>'</script>",
+    ]
+    for case in range(300):
+        texts = [said(rng.randint(25, 90)) for _ in range(rng.randint(3, 9))]
+        inside = []
+        for n, t in enumerate(texts):
+            inside.append(rng.choice(["<p>{}</p>", "<p>{}", "<p class='side-note'>{}</p>", "<p id=related>{}</p>", "<div>{}</div>"]).format(t.replace(" gamma", " <b>gamma</b>", 1)))
+            if n < len(texts) - 1 and rng.random() < 0.3:
+                inside.append(rng.choice([noise[1], noise[6], noise[7]])())
+        box = rng.choice(["<article>{}</article>", "<div class='social-impact story'>{}</div>", "<div>{}</div>", "<main><section>{}</section></main>"])
+        around = [f() for f in rng.sample(noise, 6)]
+        page = "<html><body><header><h1>Site</h1></header>" + "".join(around[:3]) + "<div>" * (case % 4) + box.format("".join(inside)) + "</div>" * (case % 4) + "".join(around[3:]) + "<footer>(c) x</footer></body></html>"
+        assert pages.main_text(page) == "\n".join(texts), page
+
+
+def test_pages_keep_text_in_articles():
+    long = "Some words, then more words, and yet more words that go on and on, for a while at least. " * 3
+    links = "<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>"
+    page = f"<article><p>{long}</p>{links}<div class='social-impact story'><p>{long}</p></div><p id='related'>R {long}</p><p class='side-note'>S</p></article><article><p>{long}</p></article>"
+    one = " ".join(long.split())
+    assert pages.main_text(page) == "\n".join([one, "One", "Two", "Three", one, f"R {one}", "S", one])
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.process_time()
+    for page in ("<div>" * 50_000 + "x" + "</span></p></section>" * 50_000, "<div><p>some text, here" * 30_000, "<div>" * 20_000 + "<li>a</b>" * 40_000, "<i><div>" + "<b>" * 30_000 + "x" + "</i>" * 30_000):
+        assert pages.main_text(page)
+    assert time.process_time() - began < 60
+
+
 def test_page_rows(spark, sf):
     rows = pages.op3_html(spark, sf).collect()
     assert all(r.text and r.n_chars == len(r.text) and "track(" not in r.text for r in rows)
