@@ -2,11 +2,13 @@
 
 The heads of all rules become one minimal automaton over bytes (see ``automaton``), which reads every byte of a text
 once. Where a rule's head ends, its reversed automaton finds the start, and its own automaton reads on to the longest
-end. Matches of one rule don't overlap: a head inside the match before it is part of that match. A rule's shortest length
+end. What such a scan read is remembered: a later scan of the same rule that comes to the same state at the same byte ends
+as the first did, so a text takes time in proportion to its length even where heads stand close and their ends fail.
+Matches of one rule don't overlap: a head inside the match before it is part of that match. A rule's shortest length
 is tested on the match, which counts as read even when it fails.
 
-Cases: a null text is the empty text (no spans). Repeated rows each get their row; other columns are dropped. Any bytes
-outside ASCII belong to no rule. An empty table gives an empty table.
+Cases: a null text is the empty text (no spans). Very long texts are scanned whole. Repeated rows each get their row;
+other columns are dropped. Any bytes outside ASCII belong to no rule. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,11 +43,20 @@ RULES = (
     Rule("google", "AIza[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 39),
     Rule("stripe", "sk_live_[A-Za-z0-9]", "[A-Za-z0-9]*", 24),
     Rule("jwt", "eyJ[A-Za-z0-9_-]", r"[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", "-----BEGIN ", "[A-Z ]*PRIVATE KEY-----"),
+    # The body goes, too, as long lines of base64 where the end is missing.
+    Rule("pem", "-----BEGIN ", r"[A-Z ]*PRIVATE KEY-----([\x20\x09-\x0D]*[A-Za-z0-9+/=]{20,})*([\x20\x09-\x0D]*[A-Za-z0-9+/=]*[\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
 BASE = ("assign", "access", "hex")
 
 
+class _Trail(NamedTuple):
+    """The states of one scan from ``start`` on, and where its longest match ends."""
+
+    start: int
+    states: list[list]
+    best: int
+
+
 class Scanner:
     """Lists in place of arrays: a state is the list of its next states, with the rules it accepts in place 256."""
 
@@ -76,9 +87,27 @@ class Scanner:
                 break
         return best
 
+    @staticmethod
+    def _end(state: list, data: bytes, start: int, trails: list[_Trail]) -> int:
+        """Where the longest match from ``start`` ends, or ``start``."""
+        trails[:] = [t for t in trails if t.start + len(t.states) > start]
+        best, states = start, []
+        for at in range(start, len(data)):
+            state = state[data[at]]
+            if state[256]:
+                best = at + 1
+            elif state[257]:
+                break
+            for t in trails:
+                if t.start <= at < t.start + len(t.states) and t.states[at - t.start] is state:  # from here on as before
+                    return max(best, t.best) if t.best > at else best
+            states.append(state)
+        trails.append(_Trail(start, states, best))  # in a place where trails meet none, states differ: few stay
+        return best
+
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, by start and then rule."""
-        data = text.encode()
+        data = text.encode("utf-8", "surrogatepass")
         hits, state, was = [], self.all, 0
         for at, b in enumerate(data):
             state = state[b]
@@ -89,6 +118,7 @@ class Scanner:
         if not hits:
             return []
         spans, free = [], [0] * len(self.rules)
+        trails: list[list[_Trail]] = [[] for _ in self.rules]
         for stop, bits in hits:
             for k, rule in enumerate(self.rules):
                 if bits >> k & 1 and stop > free[k]:
@@ -96,17 +126,17 @@ class Scanner:
                     start = stop - size
                     if start < free[k]:
                         continue
-                    size = self._longest(self.ahead[k], memoryview(data)[start:])
-                    if not size:  # the head alone
+                    end = self._end(self.ahead[k], data, start, trails[k])
+                    if end == start:  # the head alone
                         continue
-                    free[k] = start + size
-                    found = data[start : free[k]]
+                    free[k] = end
+                    found = data[start:end]
                     if rule.value:
                         cut = min(x for x in (found.find(b":"), found.find(b"=")) if x >= 0)
                         found = found[cut + 1 :].lstrip(b" ")
                         found = found[found[:1] in (b'"', b"'") :]
                     if len(found) >= rule.least:
-                        spans.append((start, k, free[k]))
+                        spans.append((start, k, end))
         if len(data) != len(text):
             heads = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # code points begun up to each byte
             place = lambda i: int(heads[i - 1]) if i else 0
