@@ -10,12 +10,15 @@ each shortest window of ``words`` words, forward from a line and backward from a
 occurrence, and windows that came before mark their lines. The marked lines of a document are merged to runs and deleted;
 so every maximal repeated run goes, and the first occurrence of every line stays.
 
-How it scales. Hashes of lines, not texts, are shuffled; a line that a million documents share is one group with partial
-aggregation, not pairs. Texts are shuffled once, to meet the runs to delete.
+How it scales. Hashes of lines, not texts, are shuffled, 128 bits for each line and window; at 10**12 windows two that
+differ agree once in 10**14 corpora. A passage that a million documents share is one group with partial aggregation, not
+pairs; where its places meet the group's first they are dealt over several tasks. Texts are shuffled once, to meet the
+runs to delete.
 
 Cases: a null text stays null, with 0 lines. Lines are compared without white space around them. "Earlier" is by key, null
 keys last, then by a hash of the text, then by place. Rows that repeat both key and text are one document: each comes out,
-changed alike. A document all of whose lines go keeps its row, with an empty text. Other columns stay as they are.
+changed alike. A document all of whose lines go keeps its row, with an empty text. Very long texts are taken whole; one
+document's lines are one sorted group. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm import spill
+from loomery.llm import skew, spill
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,7 +35,8 @@ def repeated_runs(df: DataFrame, words: int = 50, key: str = "doc_id", text: str
     """(k, h, runs): for each document with repeated runs its key, its text's hash and an array of (lo, hi) line numbers."""
     docs = df.where(df[text].isNotNull()).select(df[key].alias("k"), F.xxhash64(df[text].cast("string")).alias("h"), df[text].cast("string").alias("t"))
     lines = docs.select("k", "h", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("k", "h", "pos", F.xxhash64(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))).alias("hash"), F.regexp_count("line", F.lit(_WORD)).alias("w")).where("w > 0")
+    bare = F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))
+    lines = lines.select("k", "h", "pos", F.struct(F.xxhash64(bare).alias("x"), F.xxhash64(F.lit(1), bare).alias("y")).alias("hash"), F.regexp_count("line", F.lit(_WORD)).alias("w")).where("w > 0")
     lines = lines.dropDuplicates(["k", "h", "pos"])  # of repeated rows
 
     of = Window.partitionBy("k", "h")
@@ -41,23 +45,27 @@ def repeated_runs(df: DataFrame, words: int = 50, key: str = "doc_id", text: str
     half = words // 2
     starting = lambda a, b: of.orderBy("start").rangeBetween(a, b)
     whole = F.col("total") - F.col("start")
-    grams = lines.withColumn("gram", F.when(whole >= half, F.xxhash64(F.collect_list("hash").over(starting(0, half - 1)))))
+    grams = lines.withColumn("gram", F.when(whole >= half, F.xxhash64(F.collect_list("hash.x").over(starting(0, half - 1)))))
     grams = grams.withColumn("least", F.min("gram").over(starting(0, half - 1)))
     grams = grams.withColumn("chosen", F.max("least").over(starting(1 - half, 0)) == F.col("gram"))
     ahead, behind = starting(0, words - 1), of.orderBy("end").rangeBetween(1 - words, 0)
+    grams = grams.withColumn("after", F.collect_list("hash").over(ahead)).withColumn("until", F.collect_list("hash").over(behind))
+    sides = lambda way, lines: (F.xxhash64(F.lit(way), lines).alias("x"), F.xxhash64(F.lit(way + 2), lines).alias("y"))
     both = F.array(
-        F.struct(F.col("least").alias("print"), F.xxhash64(F.lit(0), F.collect_list("hash").over(ahead)).alias("window"), F.col("pos").alias("lo"), F.max("pos").over(ahead).alias("hi"), (whole >= words).alias("full")),
-        F.struct(F.first("least").over(behind).alias("print"), F.xxhash64(F.lit(1), F.collect_list("hash").over(behind)).alias("window"), F.min("pos").over(behind).alias("lo"), F.col("pos").alias("hi"), (F.col("end") >= words).alias("full")),
+        F.struct(F.col("least").alias("gram"), *sides(0, F.col("after")), F.col("pos").alias("lo"), F.max("pos").over(ahead).alias("hi"), (whole >= words).alias("full")),
+        F.struct(F.first("least").over(behind).alias("gram"), *sides(1, F.col("until")), F.min("pos").over(behind).alias("lo"), F.col("pos").alias("hi"), (F.col("end") >= words).alias("full")),
     )
     sequence = spill.stash(grams.select("k", "h", "gram", "chosen", both.alias("both")))
 
-    prints = sequence.where("chosen").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    windows = sequence.select("k", "h", F.explode("both").alias("x")).select("k", "h", "x.*").where("full")
-    windows = spill.stash(windows.join(prints, F.col("print") == F.col("gram"), "left_semi").select("k", "h", "window", "lo", "hi"))
-    # Hashes of hashes are compared here; two of 64 bits agree by chance once in 10**7 corpora of 10**6 windows.
+    prints = spill.stash(sequence.where("chosen").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    windows = sequence.select("k", "h", F.explode("both").alias("of")).select("k", "h", "of.*").where("full").drop("full")
+    at = F.struct("k", "h", "lo", "hi")
+    near = skew.split_join(windows, prints.select("gram"), "gram", prints, sequence.count(), at, "left_semi")
+    windows = spill.stash(near.select("k", "h", "x", "y", "lo", "hi"))
     place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "lo", "hi")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-    marked = windows.join(first, "window").where(place > F.col("first")).select("k", "h", "lo", "hi")
+    first = spill.stash(windows.groupBy("x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    met = skew.split_join(windows, first.select("x", "y", "first"), ["x", "y"], first, windows.count(), at)
+    marked = met.where(place > F.col("first")).select("k", "h", "lo", "hi")
 
     order = of.orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
