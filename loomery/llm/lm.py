@@ -7,14 +7,14 @@ filter as the q items (bigram, 1), ..., (bigram, q) and read by probing level af
 positive (below one in a hundred) adds a little mass. A text begins after an end token. D is DISCOUNT.
 
 The filter holds every bigram, cut into hash shards whose number grows with the corpus, so that a shard has about
-SHARD_TOKENS tokens' bigrams and one task holds it. All is exchanged: documents are read once into blocks, each a list of
-its distinct tokens and, for each document, its places in that list. A block sends its distinct bigrams, with their counts
-in the texts that teach, to their shards; a shard sums the counts, builds its filter, and answers each block with the
-levels that the filter has, in the order of the block's bigrams, which are not sent back. Token counts are one window over
-the lists, and go back to the blocks they came from; a frequent token or bigram costs one row or entry per block, not one
-per use.
-
-Cases: a null text is the empty text: one end token. A row whose ``learn`` is null does not teach. Repeated rows each
+SHARD_TOKENS tokens' bigrams and one task holds it. All is exchanged in packets: documents are read once into blocks, each
+a list of its distinct tokens and, for each document, its places in that list. A block sends its distinct bigrams, with
+their counts in the texts that teach, to their shards; a shard sums the counts, builds its filter, and answers each block
+with the levels that the filter has, in the order of the block's bigrams, which are not sent back. What a shard's bigrams
+give to their first tokens goes to the shards of tokens, which get and answer the blocks' tokens likewise. A frequent
+token or bigram costs one entry per block, not one per use.
+
+Cases: a null text is the empty text: one end token. A very long text is one row of its block. A row whose ``learn`` is null does not teach. Repeated rows each
 count and each get their row. Null ids are kept. Other columns are dropped. An empty table gives an empty table; if no
 row teaches, base and score are 0, as the unknown outcome is the only one.
 """
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import spill, textkit
@@ -49,19 +49,21 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T), 1)
+    """The bytes of all numbers, place by place."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _packed_keys(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), 1)
+    return _packed(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -73,44 +75,50 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int32)
 
 
-def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (textkit.mix(keys) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """The shards, by the first ``bits`` bits, of sorted keys, and where their keys stand."""
+    found, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    return found, [slice(i, j) for i, j in zip(first, [*first[1:], len(keys)][: len(first)], strict=True)]
+
+
+TOKENS, BIGRAMS = 1, 2
 
 
 def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int, bits: int) -> DataFrame:
-    """Rows of three kinds: a document (k, learn, places), the list of its block (hashes, trained), and the block's
-    bigrams of a shard (shard, pairs, seen), sorted, with their counts in texts that teach."""
+    """Rows of four kinds: a document (k, learn, n_tokens, places); the list of its block (the halves of its tokens'
+    hashes); and packets of its tokens or bigrams for a shard (packet, shard, keys, seen), with their counts in texts that
+    teach. Bigrams stand in the order of their mixed keys, tokens in that of their halves and then the list."""
     rows = df.select(df[key].alias("k"), learn.alias("learn"), df[text].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    names = ["block", "k", "learn", "n_tokens", "places", "hashes", "trained", "shard", "pairs", "seen"]
-    longs = pa.list_(pa.int64())
+    names = ["block", "k", "learn", "n_tokens", "places", "halves", "packet", "shard", "keys", "seen"]
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 32
         place: dict[bytes, int] = {}
-        trained = np.zeros(1 << 20, np.int64)
+        trained = np.zeros(1 << 18, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         fresh = used = 0
         key_type = pa.null()
 
         def row(n: int, **given: pa.Array) -> pa.RecordBatch:
-            kinds = [pa.int64(), key_type, pa.bool_(), pa.int64(), pa.binary(), longs, longs, pa.int32(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), key_type, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(given.get(c, pa.nulls(n, t)) for c, t in zip(names[1:], kinds[1:], strict=True))], names)
 
+        def packets(packet: int, keys: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+            shards, parts = _by_shard(keys, bits)
+            for i in range(0, len(parts), 1000):
+                some = parts[i : i + 1000]
+                yield row(len(some), packet=pa.array([packet] * len(some), pa.int32()), shard=pa.array(shards[i : i + 1000].astype(np.int64)), keys=pa.array([_packed_keys(keys[at]) for at in some], pa.binary()), seen=pa.array([_packed(seen[at].astype("<i4")) for at in some], pa.binary()))
+
         def listed() -> Iterator[pa.RecordBatch]:
             hashes = _hashes(list(place))
-            yield row(1, hashes=pa.array([hashes.view(np.int64)], longs), trained=pa.array([trained[: len(place)]], longs))
-            pairs, seen = _merged(held)
             half = hashes >> np.uint64(32)
-            keys, seen = _merged([(half[pairs >> 32] << np.uint64(32) | half[pairs & 0xFFFFFFFF], seen)])
-            shard = _shard_of(keys, bits)
-            order = np.argsort(shard, kind="stable")
-            found, first = np.unique(shard[order], return_index=True)
-            packed = [(_packed_keys(keys[at]), _packed(seen[at])) for at in np.split(order, first[1:])]
-            for i in range(0, len(found), 1000):
-                part = packed[i : i + 1000]
-                yield row(len(part), shard=pa.array(found[i : i + 1000].astype(np.int32)), pairs=pa.array([x for x, _ in part], pa.binary()), seen=pa.array([x for _, x in part], pa.binary()))
+            yield row(1, halves=pa.array([half.astype("<u4").tobytes()], pa.binary()))
+            order = np.argsort(half, kind="stable")
+            yield from packets(TOKENS, hashes[order], trained[: len(place)][order])
+            pairs, seen = _merged(held)
+            yield from packets(BIGRAMS, *_merged([(textkit.mix(half[pairs >> 32] << np.uint64(32) | half[pairs & 0xFFFFFFFF]), seen)]))
 
         for batch in textkit.batches(tables):
             key_type = batch.column(0).type
@@ -125,7 +133,7 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int,
                 held.append((np.r_[place[b""], wide[:-1]] << 32 | wide, np.full(len(at), bool(learns), np.int32)))
                 fresh += len(at)
                 sizes.append(len(at))
-                packed.append(_packed(at))
+                packed.append(_packed(at.astype("<i4")))
             yield row(len(sizes), k=batch.column(0), learn=batch.column(1), n_tokens=pa.array(sizes, pa.int64()), places=pa.array(packed, pa.binary()))
             used += sum(sizes)
             if fresh > 1_000_000:
@@ -140,7 +148,7 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int,
         if place:
             yield from listed()
 
-    return rows.mapInArrow(run, f"block long, k {kind}, learn boolean, n_tokens long, places binary, hashes array<long>, trained array<long>, shard int, pairs binary, seen binary")
+    return rows.mapInArrow(run, f"block long, k {kind}, learn boolean, n_tokens long, places binary, halves binary, packet int, shard long, keys binary, seen binary")
 
 
 def _positions(keys: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
@@ -180,35 +188,57 @@ def build_filter(keys: np.ndarray, level: np.ndarray) -> LogFrequencyFilter:
     return LogFrequencyFilter(words.view("<u8"), top)
 
 
-def shard_levels(blocks: DataFrame) -> DataFrame:
-    """Rows of two kinds: for each block and shard the ``levels`` of its bigrams in their order, and, in slices, the mass
-    that a shard's bigrams give to their first tokens (halves, sums)."""
-    names = ["of_block", "shard", "levels", "halves", "sums"]
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a shard's packets: the distinct keys, their counts, and for each packet where its keys stand among them."""
+    parts = [_unpacked_keys(x) for x in table["keys"].to_pylist()]
+    keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+    n = np.bincount(back, np.concatenate([_unpacked(x, "<i4") for x in table["seen"].to_pylist()]), len(keys))
+    return keys, n, np.split(back, np.cumsum([len(x) for x in parts])[:-1])
+
+
+def shard_levels(bigrams: DataFrame, bits: int) -> DataFrame:
+    """Rows of two kinds: for each block (of_block, shard) the ``levels`` of its bigrams in their order; and, for each shard
+    of tokens, what this shard's bigrams give to their first tokens (shard, halves, sums)."""
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = [_unpacked_keys(x) for x in table["pairs"].to_pylist()]
-        keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
-        n = np.bincount(back, np.concatenate([_unpacked(x) for x in table["seen"].to_pylist()]), len(keys))
+        keys, n, places = _counted(table)
         taught = n > 0
         level = (np.floor(np.log(n[taught]) / np.log(BASE) + 1e-9) + 1).astype(np.int64)
         known = build_filter(keys[taught], level).levels(keys).astype(np.uint8)
-        ends = np.cumsum([len(x) for x in pairs])
-        answers = [zlib.compress(known[x], 1) for x in np.split(back, ends[:-1])]
-        half, first = np.unique(keys[taught] >> np.uint64(32), return_index=True)
-        mass = np.add.reduceat(BASE ** (level - 1.0) - DISCOUNT, first) if len(first) else np.zeros(0)
-        cuts = range(0, len(half), 50_000)
-        ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
-        m, k = len(answers), len(cuts)
-        shard = table["shard"][0].as_py()
+        answers = [zlib.compress(known[x], 1) for x in places]
+        half, back = np.unique(textkit.unmix(keys[taught]) >> np.uint64(32), return_inverse=True)
+        mass = np.bincount(back, BASE ** (level - 1.0) - DISCOUNT, len(half))
+        shards, parts = _by_shard(half << np.uint64(32), bits)
+        m, k = len(answers), len(parts)
         return pa.table([
             pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(k, pa.int64())]),
-            pa.array([shard] * (m + k), pa.int32()),
+            pa.array([*table["shard"].to_pylist(), *shards.tolist()], pa.int64()),
             pa.array([*answers, *[None] * k], pa.binary()),
-            pa.array([*[None] * m, *(half[i : i + 50_000].astype(np.uint32).view(np.int32) for i in cuts)], ints),
-            pa.array([*[None] * m, *(mass[i : i + 50_000] for i in cuts)], doubles),
-        ], names)
+            pa.array([*[None] * m, *(_packed_keys(half[x]) for x in parts)], pa.binary()),
+            pa.array([*[None] * m, *(_packed(mass[x]) for x in parts)], pa.binary()),
+        ], ["of_block", "shard", "levels", "halves", "sums"])
+
+    return bigrams.select("block", "shard", "keys", "seen").groupBy("shard").applyInArrow(run, "of_block long, shard long, levels binary, halves binary, sums binary")
+
+
+def shard_counts(tokens: DataFrame, masses: DataFrame) -> DataFrame:
+    """For each block and shard, in the order of the block's tokens: their ``counts`` and what their bigrams were ``given``;
+    ``new``: distinct tokens with a count, told once for each shard."""
+
+    def run(packets: pa.Table, masses: pa.Table) -> pa.Table:
+        keys, c, places = _counted(packets)
+        given = np.zeros(len(keys))
+        if masses.num_rows:
+            half, back = np.unique(np.concatenate([_unpacked_keys(x) for x in masses["halves"].to_pylist()]), return_inverse=True)
+            mass = np.bincount(back, np.concatenate([_unpacked(x, "<f8") for x in masses["sums"].to_pylist()]), len(half))
+            at = np.minimum(np.searchsorted(half, keys >> np.uint64(32)), len(half) - 1)
+            given = np.minimum(np.where(half[at] == keys >> np.uint64(32), mass[at], 0.0), c)
+        new = [int((c > 0).sum()), *[0] * (len(places) - 1)]
+        answers = [pa.array([_packed(x[at]) for at in places], pa.binary()) for x in (c.astype("<i8"), given)]
+        return pa.table([packets["block"], packets["shard"], *answers, pa.array(new, pa.int64())], ["of_block", "shard", "counts", "given", "new"])
 
-    return blocks.select("block", "shard", "pairs", "seen").groupBy("shard").applyInArrow(run, "of_block long, shard int, levels binary, halves array<int>, sums array<double>")
+    left = tokens.select("block", "shard", "keys", "seen").groupBy("shard")
+    return left.cogroup(masses.select("shard", "halves", "sums").groupBy("shard")).applyInArrow(run, "of_block long, shard long, counts binary, given binary, new long")
 
 
 def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", most_words: int = 250_000) -> DataFrame:
@@ -219,36 +249,34 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     learn = F.coalesce(learn, F.lit(False))
     size = df.agg(F.sum(F.octet_length(df[text].cast("string")))).first()[0] or 0
     bits = max(6, int(size // (8 * SHARD_TOKENS)).bit_length())  # a token has some 6 bytes
-    stored, bigrams, drop_bigrams = spill.stash_passing(_blocks(df, learn, key, text, most_words, bits), F.col("pairs").isNotNull())
-    docs = stored.where(F.col("places").isNotNull()).select("block", "k", "learn", "n_tokens", "places")
+    stored, bigrams, drop_bigrams = spill.stash_passing(_blocks(df, learn, key, text, most_words, bits), F.coalesce(F.col("packet") == BIGRAMS, F.lit(False)))
+    docs = stored.where(F.col("packet").isNull()).select("block", "k", "learn", "n_tokens", "places", "halves")
     total = docs.where("learn").agg(F.sum("n_tokens")).first()[0] or 0
 
-    levels = spill.stash_last(shard_levels(bigrams))
+    levels = spill.stash_last(shard_levels(bigrams, bits))
     drop_bigrams()
-    masses = levels.where(F.col("halves").isNotNull()).select(F.explode(F.arrays_zip("halves", "sums")).alias("x"))
-    given = masses.groupBy(F.col("x.halves").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")).agg(F.sum("x.sums").alias("given"))
-
-    lists = stored.where(F.col("hashes").isNotNull()).select(F.col("block").alias("of_block"), F.posexplode(F.arrays_zip("hashes", "trained")).alias("at", "x")).select("of_block", "at", F.col("x.hashes").alias("hash"), F.col("x.trained").alias("n"))
-    word = Window.partitionBy("half", "rest")  # one exchange, by half, serves the window and the join
-    counted = lists.select("of_block", "at", F.shiftrightunsigned("hash", 32).alias("half"), F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest"), "n").repartition("half").select("of_block", "at", "half", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("of_block")) == 1).alias("first"))
-    answers = counted.join(given, "half", "left").select("of_block", "at", "half", "c", (F.col("first") & (F.col("c") > 0)).alias("new"), F.coalesce("given", F.lit(0.0)).alias("given"), F.lit(None).cast("binary").alias("levels"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in answers.dtypes[2:-1]]
-    answers = answers.union(levels.where(F.col("levels").isNotNull()).select("of_block", F.col("shard").cast("long"), *none, "levels"))
+    counts = spill.stash_last(shard_counts(stored.where(F.col("packet") == TOKENS), levels.where(F.col("halves").isNotNull())))
+    distinct = counts.agg(F.sum("new")).first()[0] or 0
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    answers = counts.select("of_block", "shard", "counts", "given", *none("levels")).union(levels.where(F.col("levels").isNotNull()).select("of_block", "shard", *none("counts", "given"), "levels"))
     kind = docs.schema["k"].dataType.simpleString()
-    names = ["k", "learned", "n_tokens", "n_known", "base", "score", "new"]
+    names = ["k", "learned", "n_tokens", "n_known", "base", "score"]
 
     def sums(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        of_shards = answers.filter(pc.is_valid(answers["levels"])).sort_by("at")
-        answers = answers.filter(pc.is_null(answers["levels"]))
-        order = np.argsort(answers["at"].to_numpy())
-        half, c, given = (answers[x].to_numpy()[order] for x in ("half", "c", "given"))
-        half = half.view(np.uint64)
-        given = np.minimum(given, c)
+        listed = docs.filter(pc.is_valid(docs["halves"]))
+        docs = docs.filter(pc.is_null(docs["halves"]))
+        answers = answers.sort_by("shard")
+        of_tokens, of_bigrams = answers.filter(pc.is_valid(answers["counts"])), answers.filter(pc.is_valid(answers["levels"]))
+        half = np.frombuffer(listed["halves"][0].as_py(), "<u4").astype(np.uint64)
+        order = np.argsort(half, kind="stable")
+        c, given = np.zeros(len(half), np.int64), np.zeros(len(half))
+        c[order] = np.concatenate([_unpacked(x, "<i8") for x in of_tokens["counts"].to_pylist()])
+        given[order] = np.concatenate([_unpacked(x, "<f8") for x in of_tokens["given"].to_pylist()])
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(c > 0, 1 - given / np.maximum(c, 1), 1.0)
             single = np.where(c > 0, (c - DISCOUNT) / max(total, 1), 1.0)  # the unknown outcome's share comes later
         start = int(np.flatnonzero(half == (_hashes([b""]) >> np.uint64(32))[0])[0])
-        places = [_unpacked(x) for x in docs["places"].to_pylist()]
+        places = [_unpacked(x, "<i4") for x in docs["places"].to_pylist()]
 
         def runs() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
             i = 0
@@ -264,8 +292,8 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
                 i = j
 
         pairs = np.unique(np.concatenate([np.unique(pair) for *_, pair in runs()]))
-        level = np.zeros(len(pairs), np.uint8)  # a shard's levels are in the order of the block's sorted pairs
-        level[np.argsort(_shard_of(pairs, bits), kind="stable")] = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in of_shards["levels"].to_pylist()])
+        level = np.zeros(len(pairs), np.uint8)  # levels are in the order of the mixed pairs
+        level[np.argsort(textkit.mix(pairs))] = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in of_bigrams["levels"].to_pylist()])
         rows: list[np.ndarray] = []
         for i, j, at, of, before, pair in runs():
             known = c[at] > 0
@@ -275,11 +303,9 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             p[found] += np.where(q > 0, BASE ** (q - 1.0) - DISCOUNT, 0) / c[before[found]]
             rows.append(np.stack([np.bincount(of, x, j - i) for x in (known, np.log10(c[at] + 0.5), np.log10(np.clip(p, 1e-300, 1)))]))
         n_known, base, scores = np.concatenate(rows, 1)
-        new = [int(answers["new"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(places) - 1)
-        return pa.table([docs["k"], docs["learn"], docs["n_tokens"], pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array(new, pa.int64())], names)
+        return pa.table([docs["k"], docs["learn"], docs["n_tokens"], pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores)], names)
 
-    rows = spill.stash(docs.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(sums, f"k {kind}, learned boolean, n_tokens long, n_known long, base double, score double, new long"))
-    distinct = rows.agg(F.sum("new")).first()[0] or 0
+    rows = docs.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(sums, f"k {kind}, learned boolean, n_tokens long, n_known long, base double, score double")
     unknown = F.lit(float(np.log10(DISCOUNT * distinct / total)) if total else 0.0)
     return rows.select(F.col("k").alias(key), "learned", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"), (F.col("score") + (F.col("n_tokens") - F.col("n_known")) * unknown).alias("score"))
 

@@ -32,6 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` turns into x."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+        x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each codes[start:end], whatever its place, from one running sum."""
     n = len(codes)
