@@ -10,7 +10,8 @@ vector has two parts:
   runs, so the cosine of the sums is a likeness, with a standard error of about 1 / sqrt(NEAR).
 
 Cases: a null text is the empty text, which has no paragraphs; so are empty lines no paragraphs. Two empty documents have
-likeness 1, an empty and another 0. Equal sums have likeness 1. Repeated rows each get their row.
+likeness 1, an empty and another 0. Equal sums have likeness 1. Very long texts are taken whole, one at a time. Repeated
+rows each get their row; other columns are dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,31 +110,41 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, where the next row
-    is the one with the next smaller key (rows of equal keys by text, null keys last) and, after the last, the first.
+    is the one with the next smaller key (rows of equal keys by a hash of the text and by text, null keys last) and, after
+    the last, the first.
 
     Rows go once through a shuffle into ranges of keys, in order; each range also gets a copy of the first row of the
-    range after it. ``ranges``: of about equal numbers of rows, eight for each shuffle partition if not given; their bounds and
-    largest keys are all that the driver sees."""
+    range after it. ``ranges``: of about equal numbers of rows, eight for each shuffle partition if not given; their bounds
+    and first keys are all that the driver sees. A key that many rows share, or none, is cut further by the hash."""
     spark = df.sparkSession
     ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spill.small_batches(spark)
-    rows = textkit.one_text_column(df, key, text=text).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    bounds = sorted({int(b) for b in rows.where("k is not null").approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)})
-    rows = rows.withColumn("r", -_range_of(F.col("k"), bounds))  # so ranges, too, run from large keys to small
-    heads = sorted((r[0], r[1]) for r in rows.groupBy("r").agg(F.max("k")).collect())
+    rows = textkit.one_text_column(df, key, text=text).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    least = [int(b) for b in rows.where("k is not null").approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)]
+    bounds, often = sorted(set(least)), {k: n for k, n in Counter(least).items() if n > 1}
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("k").isNull())).first()
+    pieces = F.when(F.col("k").isNull(), F.lit(max(1, -(-ranges * nulls // max(1, n)))))
+    if often:
+        pieces = pieces.otherwise(F.create_map(*(F.lit(v) for pair in often.items() for v in pair))[F.col("k")])
+    part = F.floor((F.shiftright("h", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53)) * pieces)
+    # so ranges, too, run from large keys to small; a frequent key comes after the other keys of its range
+    place = F.when(F.col("k").isNull(), 1).otherwise(-_range_of(F.col("k"), bounds)).cast("long") * (1 << 20) + F.coalesce(part + 1, F.lit(0))
+    rows = rows.withColumn("r", place)
+    first = F.min(F.struct((-F.col("k")).alias("k"), "h")).alias("first")
+    heads = [(r[0], None if r[1] is None else -r[1], r[2]) for r in sorted(rows.groupBy("r").agg(first).select("r", "first.*").collect())]
     if not heads:
         return spark.createDataFrame([], f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    turn = [(heads[i][0], *heads[(i + 1) % len(heads)]) for i in range(len(heads))]  # range, the one after it, its largest key
-    heads_table = F.broadcast(spark.createDataFrame(turn, "of int, after int, top long"))
-    guests = rows.join(heads_table, (F.col("r") == F.col("after")) & F.col("k").eqNullSafe(F.col("top"))).groupBy("of").agg(F.first("k").alias("k"), F.min(F.coalesce("t", F.lit(""))).alias("t"))
-    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests.select("k", "t", F.col("of").alias("r"), F.lit(True).alias("guest")))
-    ordered = dealt.repartition("r").sortWithinPartitions("r", "guest", F.col("k").desc_nulls_last(), F.coalesce("t", F.lit("")))
+    turn = [(heads[i][0], *heads[(i + 1) % len(heads)]) for i in range(len(heads))]  # range, the one after it, its first row
+    heads_table = F.broadcast(spark.createDataFrame(turn, "of long, after long, top long, hash long"))
+    guests = rows.join(heads_table, (F.col("r") == F.col("after")) & F.col("k").eqNullSafe(F.col("top")) & (F.col("h") == F.col("hash"))).groupBy("of").agg(F.first("k").alias("k"), F.min(F.coalesce("t", F.lit(""))).alias("t"), F.first("h").alias("h"))
+    dealt = rows.select("k", "t", "h", "r", F.lit(False).alias("guest")).union(guests.select("k", "t", "h", F.col("of").alias("r"), F.lit(True).alias("guest")))
+    ordered = dealt.repartition("r").sortWithinPartitions("r", "guest", F.col("k").desc_nulls_last(), "h", F.coalesce("t", F.lit(""))).select("k", "t", "guest")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, str, Sum] | None = None
         for batch in textkit.batches(tables):
             out = []
-            for k, t, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for k, t, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 t = t or ""
                 whole = Sum().plus(t)
                 if last:

@@ -44,15 +44,36 @@ def test_edited_sum_is_the_sum_of_the_edited_text():
         assert new == fingerprint.edited(text, other) and total.text() == fingerprint.Sum().plus(new).text()
 
 
-def test_next_documents(spark, odd):
+def _next_to(rows, docs):
+    """Every row against sums over whole texts."""
+    order = [(i, t or "") for i, t in docs]
+    expected = []
+    for n, (i, t) in enumerate(order):
+        other = order[(n + 1) % len(order)][1]
+        new = fingerprint.edited(t, other)
+        a, b, c = (fingerprint.Sum().plus(x) for x in (t, new, other))
+        expected.append((str(i), len(t), hashlib.sha256(new.encode()).hexdigest(), a.text(), b.text(), fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in rows]
+    assert sorted(got) == sorted(expected)
+
+
+def test_next_documents(spark, odd, sf):
     rows = fingerprint.neighbours(odd, ranges=3).collect()
-    order = sorted(((t or ""), i) for i, t in ODD if i is not None)
-    order = sorted(order, key=lambda x: (-x[1], x[0])) + [("no id", None)]
-    expected = sorted((str(i), len(t), hashlib.sha256(fingerprint.edited(t, order[(n + 1) % len(order)][0]).encode()).hexdigest()) for n, (t, i) in enumerate(order))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in rows) == expected
+    _next_to(rows, sorted(ODD, key=lambda x: (x[0] is None, -(x[0] or 0))))
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert fingerprint.neighbours(odd.limit(0)).count() == 0
     assert fingerprint.fingerprints(odd).count() == len(ODD)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    _next_to(fingerprint.op1_fingerprint(spark, sf).collect(), sorted(((r.doc_id, r.text) for r in docs), key=lambda x: -x[0]))
+
+
+def test_next_documents_of_frequent_keys(spark):
+    """Rows without a key, and of one key, are cut into ranges by their hash."""
+    docs = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = fingerprint.neighbours(df, ranges=10).collect()
+    _next_to(rows, sorted(docs, key=lambda x: (x[0] is None, -(x[0] or 0), hashed[x[1]])))
 
 
 def test_bpe_equals_the_library():
