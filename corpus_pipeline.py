@@ -20,9 +20,10 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: what has no letters (so also a null text), and what two languages fit about equally."""
+    """Goes: what has no letters (so also a null text), and what two languages fit about equally. Without labelled rows no
+    language is told, and all with letters stays."""
     said = language.identify(docs.select(*COLUMNS), F.lit(True), keep=tuple(COLUMNS))
-    return said.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
+    return said.where(F.col("text").rlike(r"\p{L}") & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
