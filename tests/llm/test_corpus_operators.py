@@ -294,6 +294,11 @@ def test_pipeline_odd_rows(spark):
     assert docs.where("doc_id = 1").count() == 1
 
 
+def test_pipeline_without_languages(spark):
+    docs = spark.createDataFrame([(1, "abc def", None, None, 7), (2, "123", None, None, 3), (3, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_lm_holds_every_bigram(spark):
     """Among 18 million tokens, bigrams that came once still count."""
     common = spark.range(180).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 100_000).alias("text"))
