@@ -78,6 +78,26 @@ def rouge(candidate: Column, reference: Column, n: int) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def rouge_l(candidate: Column, reference: Column) -> Column:
+    """ROUGE-L as a struct: precision, recall and F1 of the longest common subsequence of words."""
+
+    @F.pandas_udf("int")
+    def longest(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: np.ndarray | None, q: np.ndarray | None) -> int | None:
+            if p is None or q is None:
+                return None
+            code: dict[str, str] = {}
+            as_text = lambda ws: "".join(code.setdefault(w, chr(0x10000 + len(code))) for w in ws)
+            return common_subsequence(as_text(p), as_text(q))
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    a, b = tokens(candidate), tokens(reference)
+    hit = longest(a, b)
+    p, r = F.coalesce(F.try_divide(hit, F.size(a)), F.lit(0.0)), F.coalesce(F.try_divide(hit, F.size(b)), F.lit(0.0))
+    return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
 def bleu(df: DataFrame, candidate: str, reference: str, n: int = 4) -> DataFrame:
     """Corpus BLEU, one row: clipped n-gram counts summed over all rows, their geometric mean, and the brevity penalty; 0 if
     some order has no hit."""

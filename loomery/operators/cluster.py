@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators import graph
 from loomery.sources.rounds import settled
 
 
@@ -34,25 +35,39 @@ def neighbour_pairs(points: DataFrame, eps: float, block: str | None = None, til
     return spread.groupBy("block", "p", "q").applyInArrow(near, "a long, b long").distinct()
 
 
+def numbered(keys: DataFrame, key: str) -> DataFrame:
+    """(key, nth): distinct keys numbered from 0 in order. Ranges of keys are numbered each by itself; the driver adds up
+    the sizes of the ranges only."""
+    ranged = settled(keys.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("part").count().collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    if not starts:
+        return keys.select(key, F.lit(0).cast("long").alias("nth"))
+    before = F.create_map(*(F.lit(x) for part, n in starts for x in (part, n)))[F.col("part")]
+    return ranged.select(key, (before + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).cast("long").alias("nth"))
+
+
 def density_clusters(points: DataFrame, eps: float = 0.2, least: int = 2, block: str | None = None) -> DataFrame:
     """(id, cluster): points with ``least`` neighbours, themselves included, are cores; cores within ``eps`` are one
-    cluster; other points take the lowest cluster of a neighbouring core, or -1. Clusters are numbered by least core id."""
-    pairs = settled(neighbour_pairs(points, eps, block).distinct())
-    degree = points.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
-    cores = settled(degree.where(F.coalesce("n", F.lit(0)) + 1 >= least).select("id"))
-    links = settled(pairs.join(cores, pairs.a == cores.id, "left_semi").join(cores, pairs.b == cores.id, "left_semi"))
-    labels = cores.select("id", F.col("id").alias("label"))
-    while True:
-        near = links.join(labels, links.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("to"), "label")
-        new = settled(new)
-        changed = new.where("to <> label").limit(1).count()
-        labels = new.select("id", F.col("to").alias("label"))
-        if not changed:
-            break
-    # Few clusters compared with points: their numbers are a rank over the distinct labels.
-    ranks = labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
-    cored = labels.join(ranks, "label").select("id", "cluster")
-    border = pairs.join(cored, pairs.b == cored.id).groupBy("a").agg(F.min("cluster").alias("reach"))
-    out = points.select("id").join(cored, "id", "left").join(border, F.col("id") == F.col("a"), "left")
-    return out.select("id", F.coalesce("cluster", "reach", F.lit(-1)).alias("cluster"))
+    cluster; other points take the lowest cluster of a neighbouring core, or -1. Clusters are numbered by least core id.
+    Points with equal vectors are one point of their number, so copies make no pairs; a zero vector is near to none."""
+    zero = F.forall("vec", lambda x: x == 0)
+    same = F.struct(F.col("vec").cast("array<double>").alias("vec"), F.when(zero, F.col("id")).alias("alone"), *([F.col(block).alias("block")] if block else []))
+    keyed = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *([F.col(block).alias("block")] if block else []), F.xxhash64(same).alias("h"), F.md5(F.to_json(same)).alias("m"))
+    keyed = settled(keyed)
+    one = settled(keyed.groupBy("h", "m").agg(F.min("id").alias("lead"), F.count("*").alias("n")))
+    leads = keyed.join(one.select(F.col("lead").alias("id")), "id", "left_semi")
+    pairs = settled(neighbour_pairs(leads, eps, "block" if block else None))
+    weight = one.select(F.col("lead").alias("id"), "n")
+    around = pairs.join(weight.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("k"))
+    cores = settled(weight.join(around, "id", "left").where(F.coalesce("k", F.lit(0)) + F.col("n") >= least).select("id"))
+    links = pairs.join(cores, pairs.a == cores.id, "left_semi").join(cores, pairs.b == cores.id, "left_semi")
+    labels = settled(graph.components(links.select("a", "b").union(cores.select(F.col("id").alias("a"), F.col("id").alias("b")))))
+    ranks = numbered(labels.select("component").distinct(), "component")
+    cored = settled(labels.join(ranks, "component").select("id", F.col("nth").alias("cluster")))
+    border = pairs.join(cored, pairs.b == cored.id).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("reach"))
+    of_lead = weight.select("id").join(cored, "id", "left").join(border, "id", "left").select(F.col("id").alias("lead"), F.coalesce("cluster", "reach", F.lit(-1)).alias("cluster"))
+    return keyed.join(one, ["h", "m"]).select("id", "lead").join(of_lead, "lead").select("id", "cluster")

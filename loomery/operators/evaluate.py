@@ -31,15 +31,28 @@ def sentence_corpus(gold: DataFrame, predicted: DataFrame, doc: str, sentence: s
     return metrics.micro(matching.set_counts(gold, predicted, [doc, sentence], keys))
 
 
-def field_scores(gold: DataFrame, predicted: DataFrame, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Each gold row against each prediction of its group, field by field: ratings by field and overall. A value that only
-    one side has is a miss or a false hit, two different ones are both."""
+def field_scores(gold: DataFrame, predicted: DataFrame, group: Sequence[str], fields: Sequence[str], by: str | None = None) -> DataFrame:
+    """Each gold row against each prediction of its group, field by field: ratings by field and overall, and each of these
+    by the group's column ``by`` (a material) too, if given. A value that only one side has is a miss or a false hit, two
+    different ones are both."""
     both = matching.pairs(gold, predicted, group)
-    rows = both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g.{f}").cast("string").alias("g"), F.col(f"p.{f}").cast("string").alias("p")) for f in fields])).alias("x")).select("x.*")
+    rows = both.select(*([by] if by else []), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g.{f}").cast("string").alias("g"), F.col(f"p.{f}").cast("string").alias("p")) for f in fields])).alias("x")).select(*([by] if by else []), "x.*")
     g, p = F.coalesce("g", F.lit("")), F.coalesce("p", F.lit(""))
     one = lambda c: F.when(c, 1).otherwise(0)
-    counts = rows.select("field", one((g == p) & (g != "")).alias("tp"), one((p != "") & (g != p)).alias("fp"), one((g != "") & (g != p)).alias("fn"))
-    return metrics.by_category(counts, "field")
+    counts = rows.select(*([by] if by else []), "field", one((g == p) & (g != "")).alias("tp"), one((p != "") & (g != p)).alias("fp"), one((g != "") & (g != p)).alias("fn"))
+    if by is None:
+        return metrics.by_category(counts, "field")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]
+    cube = counts.cube(by, "field").agg(*sums, F.grouping(by).alias("a"), F.grouping("field").alias("b"))
+    named = [F.when(F.col("a") == 1, "all").otherwise(F.col(by)).alias(by), F.when(F.col("b") == 1, "overall").otherwise(F.col("field")).alias("field")]
+    return metrics.prf(cube.select(*named, "tp", "fp", "fn"))
+
+
+def expert_comparison(scored: DataFrame, gold: DataFrame, predicted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row: accuracy and weighted scores of the values at common paths, each predicted record held against the gold
+    record that ``scored`` (group, g, p, score) rates best for it."""
+    pairs = matching.best_gold(scored, group)
+    return metrics.weighted(matching.aligned_values(pairs, gold, predicted, group), F.col("gold_value"), F.col("value"))
 
 
 def expanded_ids(df: DataFrame, key: str, reference: str, predicted: str) -> DataFrame:

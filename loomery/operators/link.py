@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.functions.similarity import edit_ratio
+from loomery.functions.similarity import edit_ratio, token_set_ratio, tokens
 from loomery.operators.nested import steps, values_at, with_path
 
 
@@ -24,12 +24,13 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + (n - 1)), lambda i: F.substring(padded, i, F.lit(n))))
 
 
-def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, n: int = 3) -> DataFrame:
-    """Pairs (mention, synonym, id) that an edit ratio of ``percent`` or more may join: lengths within the ratio's bound,
-    and a common run among the rarest of each side. A match leaves at most d = (200 / percent - 2) * length characters
-    over, each spoils at most n runs, and a text has length + n - 1 of them, so the n * d + 1 rarest hold a common one."""
+def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, n: int = 3, form: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """Pairs (mention, low, synonym, id) that an edit ratio of ``percent`` or more may join, between a mention and a
+    synonym's ``form`` (low): lengths within the ratio's bound, and a common run among the rarest of each side. A match
+    leaves at most d = (200 / percent - 2) * length characters over, each spoils at most n runs, and a text has
+    length + n - 1 of them, so the n * d + 1 rarest hold a common one."""
     side = lambda df, c: df.select(c).distinct().withColumn("len", F.length(c)).withColumn("g", F.explode(grams(F.col(c), n)))
-    left, right = side(mentions, "mention"), side(kb.withColumn("low", F.lower("synonym")), "low")
+    left, right = side(mentions, "mention"), side(kb.withColumn("low", form(F.col("synonym"))), "low")
     often = right.groupBy("g").agg(F.count("*").alias("f"))
 
     def prefix(x: DataFrame, c: str) -> DataFrame:
@@ -40,7 +41,54 @@ def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, n: int = 3) -
     a, b = prefix(left, "mention"), prefix(right, "low").withColumnRenamed("len", "len2")
     bound = 200 * F.least("len", "len2") >= percent * (F.col("len") + F.col("len2"))
     pairs = a.join(b, "g").where(bound).select("mention", "low").distinct()
-    return pairs.join(kb.withColumn("low", F.lower("synonym")), "low").select("mention", "low", "synonym", "id")
+    return pairs.join(kb.withColumn("low", form(F.col("synonym"))), "low").select("mention", "low", "synonym", "id")
+
+
+def contained(inner: DataFrame, x: str, outer: DataFrame, y: str, n: int = 3) -> DataFrame:
+    """Pairs (x, y) of distinct texts where x, in any case, is part of y. A part's runs of n characters are all in the
+    whole, so a part looks only where the rarest of its runs is; parts shorter than n look by themselves."""
+    runs = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k) if isinstance(k, int) else k)))
+    parts = inner.select(x).where(F.col(x) != "").distinct().withColumn("low", F.lower(x)).withColumn("k", F.least(F.lit(n), F.length("low")))
+    parts = parts.select(x, "low", F.explode(runs(F.col("low"), F.col("k"))).alias("g"))
+    wholes = outer.select(y).where(F.col(y) != "").distinct().withColumn("whole", F.lower(y))
+    every = F.flatten(F.array(*[F.when(F.length("whole") >= k, runs(F.col("whole"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, n + 1)]))
+    wholes = wholes.select(y, "whole", F.explode(F.array_distinct(every)).alias("g")).join(parts.select("g").distinct(), "g", "left_semi")
+    often = wholes.groupBy("g").agg(F.count("*").alias("f"))
+    rarest = parts.join(often, "g", "left").groupBy(x, "low").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r"))
+    return rarest.select(x, "low", F.col("r.g").alias("g")).join(wholes, "g").where(F.contains("whole", F.col("low"))).select(x, y)
+
+
+def substring(mentions: DataFrame, kb: DataFrame) -> DataFrame:
+    """(mention, synonym, id): a mention is part of the synonym or the synonym of the mention, in any case."""
+    pairs = contained(mentions, "mention", kb, "synonym").unionByName(contained(kb, "synonym", mentions, "mention"))
+    return pairs.distinct().join(kb, "synonym").select("mention", "synonym", "id")
+
+
+def lookup(mentions: DataFrame, kb: DataFrame, percent: int | None = None) -> DataFrame:
+    """(mention, synonym, id): equal synonyms; for mentions without any, substring hits, with ``percent`` only those of at
+    least that edit ratio."""
+    asked = mentions.select("mention").where(F.col("mention").isNotNull()).distinct()
+    equal = asked.join(kb, F.col("mention") == F.col("synonym")).select("mention", "synonym", "id")
+    near = substring(asked.join(equal, "mention", "left_anti"), kb)
+    return equal.unionByName(near if percent is None else near.where(edit_ratio("mention", "synonym") >= percent))
+
+
+def shared_words(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
+    """Pairs (mention, synonym) whose common words may make up ``percent`` of the ratio with either text: they must then
+    hold 100 / (200 / percent - 1) percent of its characters, so among the rarest words of one of the two, up to the rest,
+    is a common one."""
+    words = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("w", F.explode(F.array_distinct(tokens(F.col(c)))))
+    left, right = words(mentions, "mention"), words(kb, "synonym")
+    often = left.union(right).groupBy("w").agg(F.count("*").alias("f"))
+    free = 1 - 1 / (200 / percent - 1)
+
+    def rare(x: DataFrame, c: str) -> DataFrame:
+        order = Window.partitionBy(c).orderBy("f", "w")
+        before = F.coalesce(F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum(F.length("w") + 1).over(Window.partitionBy(c))
+        return x.join(often, "w").withColumn("before", before).withColumn("total", total).where(F.col("before") <= free * F.col("total") + 1).select(c, "w")
+
+    return rare(left, "mention").join(right, "w").select("mention", "synonym").union(left.join(rare(right, "synonym"), "w").select("mention", "synonym")).distinct()
 
 
 def fuzzy(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
@@ -51,12 +99,37 @@ def fuzzy(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def best(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
-    """(mention, synonym, score): the best edit ratio among the candidates, the earliest synonym on ties."""
-    scored = blocked(mentions, kb, percent).withColumn("score", edit_ratio("mention", "low"))
+    """(mention, synonym, score): the synonym that scores best from ``percent`` on, the earliest on ties. A synonym that
+    holds the mention, in any case, scores 100, others their edit ratio; below ``percent`` the token-set ratio counts.
+    Candidates come from substrings, blocks of edit ratios (also between texts with their words sorted) and shared words;
+    of the token-set ratio's three parts, the one between both texts with common words put first is found if the sorted
+    texts are as near or common words make up most of a text."""
+    asked = mentions.select("mention").where(F.col("mention") != "").distinct()
+    plain = lambda c: c
+    in_order = lambda c: F.array_join(F.array_sort(F.array_distinct(tokens(c))), " ")
+    sorted_ = asked.select("mention", in_order(F.col("mention")).alias("said"))
+    by_words = blocked(sorted_.select(F.col("said").alias("mention")), kb, percent, form=in_order).select(F.col("mention").alias("said"), "synonym")
+    pairs = contained(asked, "mention", kb, "synonym").unionByName(blocked(asked, kb, percent, form=plain).select("mention", "synonym"))
+    pairs = pairs.unionByName(sorted_.join(by_words, "said").select("mention", "synonym")).unionByName(shared_words(asked, kb, percent)).distinct()
+    first = F.when(F.contains(F.lower("synonym"), F.lower("mention")), 100.0).otherwise(edit_ratio("mention", "synonym"))
+    scored = pairs.withColumn("score", first)
+    scored = scored.where(F.col("score") >= percent).unionByName(scored.where(F.col("score") < percent).withColumn("score", token_set_ratio(F.col("mention"), F.col("synonym"))))
     pick = F.struct(-F.col("score"), F.col("synonym"))
     return scored.where(F.col("score") >= percent).groupBy("mention").agg(F.min_by("synonym", pick).alias("synonym"), F.max("score").alias("score"))
 
 
+def by_formula(mentions: DataFrame, formulas: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(mention, ids): mentions looked up again under the ``formula`` that a table (mention, formula) gives for them."""
+    said = mentions.select("mention").distinct().join(formulas.select("mention", "formula").where("formula <> ''"), "mention")
+    found = stage(said.select(F.col("formula").alias("mention")).distinct())
+    return said.join(found.select(F.col("mention").alias("formula"), "ids"), "formula").groupBy("mention").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+
+def synonym_of_id(ids: DataFrame, kb: DataFrame, order: str = "synonym") -> DataFrame:
+    """(id, synonym): for each id its first synonym."""
+    return ids.select("id").distinct().join(kb, "id").groupBy("id").agg(F.min_by("synonym", order).alias("synonym"))
+
+
 def cascade(mentions: DataFrame, *stages) -> DataFrame:
     """(mention, ids, stage): each stage, a function of the mentions left, in turn; unlinked mentions get no ids."""
     left = mentions.select("mention").where(F.col("mention").isNotNull()).distinct()

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.functions.similarity import token_jaccard
+from loomery.functions.similarity import token_jaccard, token_scores
+from loomery.operators import graph
+from loomery.sources.rounds import settled
 
 
-def set_counts(gold: DataFrame, predicted: DataFrame, group: Sequence[str], keys: Sequence[str], unpredicted: str = "skip") -> DataFrame:
-    """tp, fp and fn per group, comparing distinct keys; a null key equals a null. Groups without any gold row are left
+def set_counts(gold: DataFrame, predicted: DataFrame, group: Sequence[str], keys: Sequence[str], unpredicted: str = "skip", form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """tp, fp and fn per group, comparing distinct keys, as ``form`` gives their text if named; a null key equals a null. Groups without any gold row are left
     out, those without any prediction too unless ``unpredicted`` is "count". One shuffle: both sides go to their groups
     and keys as flags, so a pair never meets by a join."""
+    if form:
+        texts = lambda df: df.withColumns({k: form(F.col(k)) for k in keys if dict(df.dtypes)[k] == "string"})
+        gold, predicted = texts(gold), texts(predicted)
     flag = lambda df, g, p: df.select(*group, *keys, F.lit(g).alias("in_gold"), F.lit(p).alias("in_predicted"))
     both = flag(gold, 1, 0).unionByName(flag(predicted, 0, 1))
     distinct = both.groupBy(*group, *keys).agg(F.max("in_gold").alias("g"), F.max("in_predicted").alias("p"))
@@ -91,10 +96,11 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(of[j]) - 1, j - 1) for j in range(1, m + 1) if of[j])
 
 
-def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0) -> DataFrame:
+def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0, most: int = 100_000) -> DataFrame:
     """From scored pairs (group, g, p, score), missing pairs scoring 0: the assignment of greatest total score, rows with
-    at least ``least``. Pairs that are each other's only partner are settled in Spark; Python sees the rest, one group at a
-    time, as an assignment needs a group whole."""
+    at least ``least``. Pairs that are each other's only partner are settled in Spark. Python sees the rest, one group at a
+    time; groups of more than ``most`` pairs are first cut into the components that positive scores connect, as no pair
+    reaches from one to another."""
     scored = scored.where("score > 0").select(*group, "g", "p", "score")
     only = lambda c: scored.groupBy(*group, c).agg(F.count("*").alias(f"n_{c}"))
     counted = scored.join(only("g"), [*group, "g"]).join(only("p"), [*group, "p"])
@@ -109,8 +115,16 @@ def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0) -> D
         chosen = {(g[i], p[j]) for i, j in assign(-score) if score[i, j] > 0}
         return pdf[[x in chosen for x in zip(pdf["g"], pdf["p"], strict=True)]]
 
-    rest = counted.where(~alone).select(*columns)
-    found = counted.where(alone).select(*columns).unionByName(rest.groupBy(*group).applyInPandas(settle, rest.schema))
+    rest = counted.where(~alone).select(*columns).withColumn("__part", F.lit(0).cast("long"))
+    large = rest.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*group)
+    if large.limit(1).count():
+        # equal hashes of two ends would only keep two components together
+        ends = settled(rest.join(large, list(group), "left_semi").withColumns({"__a": F.xxhash64(*group, F.lit("g"), "g"), "__b": F.xxhash64(*group, F.lit("p"), "p")}))
+        labels = graph.components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+        cut = ends.join(labels, ends["__a"] == labels["id"]).select(*columns, F.col("component").alias("__part"))
+        rest = rest.join(large, list(group), "left_anti").unionByName(cut)
+    kind = scored.schema
+    found = counted.where(alone).select(*columns).unionByName(rest.groupBy(*group, "__part").applyInPandas(lambda pdf: settle(pdf[columns]), kind))
     return found.where(F.col("score") >= least)
 
 
@@ -128,3 +142,30 @@ def soft_counts(gold: DataFrame, predicted: DataFrame, group: Sequence[str], tex
 def best_gold(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     """From scored pairs (group, g, p, score): for each prediction the gold that scores best, above 0, the earliest on ties."""
     return scored.where("score > 0").groupBy(*group, "p").agg(F.max_by("g", F.struct("score", -F.col("g"))).alias("g"), F.max("score").alias("score"))
+
+
+def token_alignment(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """(pair, score): the best one-to-one assignment of token vectors (pair, idx, vec) by cosine, its sum over the longer
+    side's number of tokens."""
+    size = lambda df, c: df.groupBy("pair").agg(F.count("*").alias(c))
+    chosen = one_to_one(token_scores(predicted, reference).withColumnRenamed("r", "g"), ["pair"]).groupBy("pair").agg(F.sum("score").alias("s"))
+    both = size(predicted, "n").join(size(reference, "m"), "pair", "full").join(chosen, "pair", "left")
+    longer = F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)))
+    return both.select("pair", F.coalesce(F.col("s") / longer, F.lit(0.0)).alias("score"))
+
+
+def embedding_match(scored: DataFrame, gold: DataFrame, predicted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Per group with rows on both sides: the mean precision, recall and F1 of the pairs (g, p, precision, recall, f1) of
+    the assignment of greatest F1; 0 where a group has one side only."""
+    sides = gold.select(*group).distinct().withColumn("a", F.lit(1)).join(predicted.select(*group).distinct().withColumn("b", F.lit(1)), list(group), "full")
+    chosen = one_to_one(scored.withColumn("score", F.col("f1")), group).select(*group, "g", "p").join(scored, [*group, "g", "p"])
+    means = chosen.groupBy(*group).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    return sides.join(means, list(group), "left").select(*group, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def aligned_values(pairs: DataFrame, gold: DataFrame, predicted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """From paired records (group, g, p) and their leaves (group, g or p, nth, path, value): values that stand at the same
+    path on both sides, the first of each path."""
+    first = lambda df, side, name: df.groupBy(*group, side, "path").agg(F.min_by("value", "nth").alias(name))
+    left, right = first(gold, "g", "gold_value"), first(predicted, "p", "value")
+    return pairs.select(*group, "g", "p").join(left, [*group, "g"]).join(right, [*group, "p", "path"]).select(*group, "g", "p", "path", "gold_value", "value")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.functions.text import MISSING
+from loomery.sources.rounds import settled
 
 _ENTRY = "array<struct<path:string,value:string>>"
 
@@ -57,22 +58,21 @@ def flatten(df: DataFrame, col: str, *keep: str, style: str = "flat") -> DataFra
 
 
 def flatten_variant(df: DataFrame, col: str, *keep: str) -> DataFrame:
-    """The same for a VARIANT column of any shape, a level at a time: leaves leave, what is nested goes on. The driver
-    only learns whether a level was the last."""
-    view = "loomery_nested_level"
-    here = df.select(*keep, F.lit("").alias("path"), F.col(col).alias("v"))
+    """The same for a VARIANT column of any shape, a level at a time: leaves leave, what is nested goes on. A level is
+    written once to the shared folder, so each is worked out once; the driver only learns whether it was the last."""
     done: DataFrame | None = None
-    names = "".join(f"`{k}`, " for k in keep)
+    here = df.select(*keep, F.lit("").alias("path"), F.col(col).alias("v"))
+    kind = F.schema_of_variant("v")
+    inner = F.coalesce(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), F.lit(False))
     while True:
-        here.createOrReplaceTempView(view)
-        kind = "schema_of_variant(v)"
-        leaves = df.sparkSession.sql(f"SELECT {names} CASE WHEN path = '' THEN '(root)' ELSE path END AS path, CAST(v AS STRING) AS value FROM {view} WHERE v IS NULL OR NOT ({kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%')")
+        leaves = here.where(~inner).select(*keep, F.when(F.col("path") == "", "(root)").otherwise(F.col("path")).alias("path"), F.col("v").cast("string").alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
-        sep = "CASE WHEN path = '' THEN '' ELSE concat(path, '.') END"
-        below = df.sparkSession.sql(
-            f"SELECT {names} CASE WHEN x.key IS NOT NULL THEN concat({sep}, x.key) WHEN {kind} RLIKE '^ARRAY<.*(OBJECT|ARRAY|VARIANT)' THEN concat(path, '.[', x.pos, ']') ELSE path END AS path, x.value AS v "
-            f"FROM {view}, LATERAL variant_explode(v) AS x WHERE {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%'"
-        )
+        above = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+        at = F.when(kind.rlike("^ARRAY<.*(OBJECT|ARRAY|VARIANT)"), F.concat("path", F.lit(".["), F.lit("%d"), F.lit("]")))
+        of_object = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(above, e.key).alias("path"), e.value.alias("v")))
+        of_list = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.coalesce(F.replace(at, F.lit("%d"), i.cast("string")), F.col("path")).alias("path"), x.alias("v")))
+        below = here.where(inner).select(*keep, F.explode(F.coalesce(of_object, of_list)).alias("__x"))
+        below = settled(below.select(*keep, "__x.path", "__x.v"))
         if below.isEmpty():
             return done
         here = below
@@ -195,8 +195,34 @@ def zipped(df: DataFrame, col: str, paths: Sequence[str], *keep: str) -> DataFra
 
 def items(df: DataFrame, col: str, *keep: str) -> DataFrame:
     """The objects of a VARIANT column: a list's objects, or the one object; nothing else."""
-    view = "loomery_nested_items"
-    df.select(*keep, F.col(col).alias("v")).createOrReplaceTempView(view)
-    names = "".join(f"`{k}`, " for k in keep)
-    sql = f"SELECT {names} v AS item FROM {view} WHERE schema_of_variant(v) LIKE 'OBJECT%' UNION ALL SELECT {names} x.value FROM {view}, LATERAL variant_explode(v) AS x WHERE schema_of_variant(v) LIKE 'ARRAY%' AND schema_of_variant(x.value) LIKE 'OBJECT%'"
-    return df.sparkSession.sql(sql)
+    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    v = F.col(col)
+    each = F.when(is_object(v), F.array(v)).otherwise(F.try_variant_get(v, "$", "array<variant>"))
+    return df.select(*keep, F.explode(each).alias("item")).where(is_object(F.col("item")))
+
+
+def field_value(v: Column) -> Column:
+    """Of a VARIANT field, plain or {value, sameAs}: its text."""
+    plain = F.when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.try_variant_get(v, "$", "string"))
+    return F.coalesce(F.try_variant_get(v, "$.value", "string"), plain)
+
+
+def field_ids(v: Column, pattern: str = "([^/]+)$") -> Column:
+    """Of such a field: the ids in its ``sameAs``, one URI or a list of them."""
+    uris = F.coalesce(F.try_variant_get(v, "$.sameAs", "array<string>"), F.filter(F.array(F.try_variant_get(v, "$.sameAs", "string")), lambda x: x.isNotNull()))
+    found = F.transform(F.coalesce(uris, F.array().cast("array<string>")), lambda x: F.regexp_extract(x, pattern, 1))
+    return F.filter(found, lambda x: x != "")
+
+
+def entity_list(v: Column) -> Column:
+    """A VARIANT list as an array of (text, item): texts as they are, objects with their ``text``, anything else by its
+    text; [] for what is no list."""
+    members = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.try_variant_get(x, "$.text", "string")).otherwise(F.try_variant_get(x, "$", "string"))
+    return F.transform(members, lambda x: F.struct(text(x).alias("text"), x.alias("item")))
+
+
+def numbered_items(df: DataFrame, items: str, *keep: str) -> DataFrame:
+    """One row per item of an array, with its number from 1."""
+    rows = df.select(*keep, F.posexplode(items).alias("n", "item"))
+    return rows.select(*keep, (F.col("n") + 1).alias("n"), "item")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import holds_any, present, to_number
@@ -35,7 +37,75 @@ def counts_pivot(df: DataFrame, row: str, column: Column, columns: list[str]) ->
 
 def numbered(df: DataFrame, by: Column, order: Column, key: Column) -> Column:
     """``key``, ``key_2``, ...: repeated keys told apart."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(by, key).orderBy(order))
     return F.when(n == 1, key).otherwise(F.concat(key, F.lit("_"), n.cast("string")))
+
+
+def extraction_statistics(processes: DataFrame, model: str, paper: str, n: str) -> DataFrame:
+    """Per model, from one row per process with its ``n`` properties (null for a paper without any process): processes in
+    all, their mean and most by paper, and the mean number of properties."""
+    papers = processes.groupBy(model, paper).agg(F.count(n).alias("k"), F.sum(n).alias("p"))
+    sums = papers.groupBy(model).agg(F.sum("k").alias("processes"), F.avg("k").alias("by_paper"), F.max("k").alias("most"), F.sum("p").alias("p"))
+    return sums.select(model, "processes", F.round("by_paper", 2).alias("mean_by_paper"), F.col("most").alias("most_in_paper"), F.round(F.coalesce(F.try_divide("p", "processes"), F.lit(0.0)), 2).alias("mean_properties"))
+
+
+def property_frequency(leaves: DataFrame, only: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """How often each path stands, most first; of paths that hold one of ``only``, if given, and none of ``skip``."""
+    named = leaves.where((holds_any(F.col("path"), only) if only else F.lit(True)) & ~holds_any(F.col("path"), skip or []))
+    return named.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path")
+
+
+def relation_statistics(documents: DataFrame, variant: str, n: str, variants: list[str]) -> DataFrame:
+    """Per variant of a list: relations in all, and mean, least and most by document; zeros where it has no document."""
+    listed = documents.sparkSession.createDataFrame([(v,) for v in variants], f"{variant} string")
+    sums = documents.groupBy(variant).agg(F.sum(n).alias("total"), F.round(F.avg(n), 2).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+    zero = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c)
+    return listed.join(sums, variant, "left").select(variant, zero("total", "long"), zero("mean", "double"), zero("least", "long"), zero("most", "long"))
+
+
+def dataset_profile(mentions: DataFrame, split: str, kind: str, doc: str, identifier: str, novel: Column | None = None) -> DataFrame:
+    """By split and type, and by split over all types ("all"): documents, mentions, distinct ids and the share of novel
+    ones. One pass; distinct values are counted, not gathered."""
+    share = F.avg((novel if novel is not None else F.lit(False)).cast("int"))
+    sums = [F.count_distinct(doc).alias("docs"), F.count("*").alias("mentions"), F.count_distinct(identifier).alias("ids"), F.round(share, 6).alias("novel")]
+    sets = mentions.groupingSets([[split, kind], [split]], split, kind).agg(*sums, F.grouping(kind).alias("g"))
+    return sets.select(split, F.when(F.col("g") == 1, "all").otherwise(F.col(kind).cast("string")).alias(kind), "docs", "mentions", "ids", "novel")
+
+
+def ids_in_text(df: DataFrame, text: Column, pattern: str, group: int = 0) -> DataFrame:
+    """The distinct ids that a pattern finds anywhere in the texts."""
+    return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("id")).distinct()
+
+
+def merged_ids(values: DataFrame, *by: str, ids: str = "ids") -> DataFrame:
+    """The union of the ids that a key has anywhere, sorted. Ids, not lists of them, are shuffled, each once a key."""
+    each = values.select(*by, F.explode_outer(ids).alias("id")).distinct()
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias(ids))
+
+
+def linking_statistics(values: DataFrame) -> DataFrame:
+    """From values (path, value, ids), by path and overall: linked and not linked ones, distinct values, distinct first ids."""
+    linked = F.size("ids") > 0
+    sums = [F.count_if(linked).alias("linked"), F.count_if(~linked).alias("unlinked"), F.count_distinct("value").alias("texts"), F.count_distinct(F.get("ids", F.lit(0))).alias("ids")]
+    return values.rollup("path").agg(*sums, F.grouping("path").alias("g")).select(F.when(F.col("g") == 1, "overall").otherwise(F.col("path")).alias("path"), "linked", "unlinked", "texts", "ids")
+
+
+def linking_table(values: DataFrame, paths: list[str]) -> DataFrame:
+    """Side by side, one row per place: for each path its values in order with their ids, joined by commas; "" beyond a
+    path's last value. A path's values are numbered in one window, so a path is for a vocabulary, not for a corpus."""
+    merged = merged_ids(values.where(F.col("path").isin(*paths)), "path", "value")
+    place = merged.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("value")))
+    cell = lambda p, c: F.coalesce(F.max(F.when(F.col("path") == p, c)), F.lit(""))
+    columns = [x for p in paths for x in (cell(p, F.col("value")).alias(p), cell(p, F.array_join("ids", ",")).alias(f"{p}_ids"))]
+    return place.groupBy("nth").agg(*columns)
+
+
+def similarity_matrix(outputs: DataFrame, file: str, model: str, text: str, similarity: Callable[[Column, Column], Column], models: list[str]) -> DataFrame:
+    """Mean similarity of two models' outputs for the same file, as a table with a column per model; 1 on the diagonal.
+    Each unordered pair is computed once."""
+    a = outputs.select(file, F.col(model).alias("a"), F.col(text).alias("x"))
+    b = outputs.select(file, F.col(model).alias("b"), F.col(text).alias("y"))
+    mean = a.join(b, file).where("a < b").select("a", "b", similarity(F.col("x"), F.col("y")).alias("s")).groupBy("a", "b").agg(F.avg("s").alias("s"))
+    both = mean.select("a", F.explode(F.array(F.struct(F.col("a").alias("m"), F.col("b").alias("o")), F.struct(F.col("b").alias("m"), F.col("a").alias("o")))).alias("x"), "s").select("x.m", "x.o", "s")
+    own = outputs.select(F.col(model).alias("m"), F.col(model).alias("o"), F.lit(1.0).alias("s")).distinct()
+    return both.union(own).groupBy(F.col("m").alias(model)).agg(*[F.max(F.when(F.col("o") == m, F.col("s"))).alias(m) for m in models])

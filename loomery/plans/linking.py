@@ -72,14 +72,15 @@ SELECT p_partkey, p_brand AS value, array_to_string(list_sort(list_distinct(list
 
 def in_place(spark, d):
     parts = spark.read.parquet(f"{d}/part.parquet")
-    kb = _kb(spark, d).where("cast(id AS bigint) % 2 = 0")
-    records = parts.select("p_partkey", F.struct(F.struct(F.col("p_name").alias("name")).alias("main"), F.array(F.struct(F.col("p_brand").alias("name"), "p_size")).alias("other")).alias("r"))
+    kb = _kb(spark, d)
+    said = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" x")))
+    records = parts.select("p_partkey", F.struct(F.struct(said.alias("name")).alias("main"), F.array(F.struct(F.col("p_brand").alias("name"), "p_size")).alias("other")).alias("r"))
     done = link.in_place(records, "p_partkey", "r", ["main.name", "other[*].name"], lambda m: link.exact(m, kb))
     return done.select("p_partkey", F.col("r.main.name.value").alias("value"), F.array_join("r.main.name.sameAs", ",").alias("ids"), F.size(F.get("r.other.name", F.lit(0)).sameAs).alias("others"))
 
 
-PLACE_SQL = """WITH k AS (SELECT p_name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
-SELECT p_partkey, p_name AS value, coalesce(ids, '') AS ids, 0 AS others FROM part LEFT JOIN k USING (p_name)"""
+PLACE_SQL = """WITH k AS (SELECT p_name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids FROM part GROUP BY 1)
+SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_name || ' x' END AS value, CASE p_partkey % 2 WHEN 0 THEN ids ELSE '' END AS ids, 0 AS others FROM part JOIN k USING (p_name)"""
 
 
 def clusters(spark, d):

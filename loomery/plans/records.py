@@ -71,7 +71,7 @@ COVER_SQL = f"""WITH {_LEAVES}, c AS (SELECT o_orderkey, count(*) FILTER (value
 def wide_table(spark, d):
     leaves = nested.flatten(_orders(spark, d), "record", "o_orderkey")
     leaves = leaves.where("value is not null").withColumn("nth", F.coalesce(F.regexp_extract("path", r"\[(\d+)\]", 1).try_cast("int"), F.lit(0))).withColumn("path", F.regexp_replace("path", r"\.?\[\d+\]", ""))
-    return sinks.wide(leaves.withColumn("path", F.replace("path", F.lit("."), F.lit("_"))), ["o_orderkey"])
+    return sinks.wide(leaves.withColumn("path", F.replace("path", F.lit("."), F.lit("_"))), ["o_orderkey"], ["customer_key", "customer_priority", "lines_note", "lines_part", "lines_quantity", "status"])
 
 
 WIDE_SQL = f"""WITH {_LEAVES}, k AS (SELECT o_orderkey, regexp_replace(path, '\\.?\\[\\d+\\]', '') AS p, coalesce(try_cast(regexp_extract(path, '\\[(\\d+)\\]', 1) AS INT), 0) AS i, value FROM l WHERE value IS NOT NULL)

@@ -133,6 +133,14 @@ a AS (SELECT l_orderkey, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT l_orde
 SELECT l_orderkey, coalesce(tp, 0) AS tp, coalesce(b.n, 0) - coalesce(w, 0) AS fp, coalesce(a.n, 0) - coalesce(tp, 0) AS fn FROM a FULL JOIN b USING (l_orderkey) LEFT JOIN h USING (l_orderkey)"""
 
 
+GREEDY_SQL = f"""WITH RECURSIVE {_SIDES},
+m AS MATERIALIZED (SELECT DISTINCT g.l_orderkey, g.l_linenumber AS g, p.l_linenumber AS p FROM g JOIN p USING (l_orderkey) WHERE abs(g.l_quantity - p.l_quantity) <= 5),
+q AS MATERIALIZED (SELECT l_orderkey, list(g ORDER BY g) AS gs, row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS k FROM m GROUP BY l_orderkey, p),
+r AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, []::INT[] AS used FROM q UNION ALL SELECT r.l_orderkey, r.k + 1, CASE WHEN len(list_filter(gs, lambda x: NOT list_contains(used, x))) > 0 THEN list_append(used, list_filter(gs, lambda x: NOT list_contains(used, x))[1]) ELSE used END FROM r JOIN q ON q.l_orderkey = r.l_orderkey AND q.k = r.k + 1),
+h AS (SELECT l_orderkey, max(len(used)) AS tp FROM r GROUP BY 1), a AS (SELECT l_orderkey, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT l_orderkey, count(*) AS n FROM p GROUP BY ALL)
+SELECT l_orderkey, coalesce(tp, 0) AS tp, coalesce(b.n, 0) - coalesce(tp, 0) AS fp, coalesce(a.n, 0) - coalesce(tp, 0) AS fn FROM a FULL JOIN b USING (l_orderkey) LEFT JOIN h USING (l_orderkey)"""
+
+
 def soft_match(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
     side = lambda x: x.join(part, x.l_partkey == part.p_partkey).select("l_orderkey", F.col("l_linenumber").alias("id"), F.col("p_name").alias("text"))
@@ -195,7 +203,7 @@ QUERIES = {
     "score_weighted": (weighted_scores, WEIGHTED_SQL),
     "score_category_accuracy": (category_accuracy, "SELECT coalesce(l_linestatus, 'overall') AS status, count(*) AS n, avg(((l_returnflag = 'R') = (l_discount >= 0.05))::INT) AS accuracy FROM lineitem GROUP BY ROLLUP (l_linestatus)"),
     "score_field_evaluation": (field_evaluation, FIELD_SQL),
-    "score_greedy_match": (greedy_match, None),
+    "score_greedy_match": (greedy_match, GREEDY_SQL),
     "score_coverage_match": (coverage_match, COVERAGE_SQL),
     "score_soft_match": (soft_match, None),
     "score_best_gold": (best_gold, BEST_SQL),

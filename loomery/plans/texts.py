@@ -68,23 +68,24 @@ c AS (SELECT doc_id, n::INT AS n, ts[n * 64 + 1 : n * 64 + 64] AS c FROM t, unne
 SELECT doc_id, n, len(c)::INT AS tokens, md5(array_to_string(c, ' ')) AS hash FROM c"""
 
 
+def _next_parts(spark, d, most):
+    """Each part with those of the next keys; a bounded number of pairs for each."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("name2"))
+    return p.withColumn("other", F.explode(F.sequence(F.col("p_partkey") + 1, F.col("p_partkey") + most))).join(q, "other")
+
+
 def jaccard(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_name")
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.col("p_name").alias("name2"))
-    pairs = p.join(q, ["p_brand", "p_size"]).where("p_partkey < other")
-    return pairs.select("p_partkey", "other", S.token_jaccard(F.lower("p_name"), F.lower("name2")).alias("score"))
+    return _next_parts(spark, d, 6).select("p_partkey", "other", S.token_jaccard(F.lower("p_name"), F.lower("name2")).alias("score"))
 
 
 JACCARD_SQL = r"""WITH p AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '\s+'), lambda x: x <> '')) AS ts FROM part)
 SELECT a.p_partkey, b.p_partkey AS other, CASE WHEN len(a.ts) + len(b.ts) = 0 THEN 1.0 ELSE len(list_intersect(a.ts, b.ts)) / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) END::DOUBLE AS score
-FROM p a JOIN p b USING (p_brand, p_size) WHERE a.p_partkey < b.p_partkey"""
+FROM p a JOIN p b ON b.p_partkey BETWEEN a.p_partkey + 1 AND a.p_partkey + 6"""
 
 
 def edit_ratios(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_name")
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.col("p_name").alias("name2"))
-    pairs = p.join(q, ["p_brand", "p_size"]).where("p_partkey < other")
-    return pairs.select("p_partkey", "other", F.round(S.edit_ratio("p_name", "name2"), 6).alias("ratio"), F.round(S.token_set_ratio(F.col("p_name"), F.col("name2")), 6).alias("set_ratio"))
+    return _next_parts(spark, d, 3).select("p_partkey", "other", F.round(S.edit_ratio("p_name", "name2"), 6).alias("ratio"), F.round(S.token_set_ratio(F.col("p_name"), F.col("name2")), 6).alias("set_ratio"))
 
 
 def rouge(spark, d):
@@ -129,12 +130,13 @@ SELECT round(coalesce((SELECT mean FROM m), 0) * least(1.0, exp(1 - ref / tot)),
 
 
 def alignment(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("pair"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
-    got = S.alignment(e.where("idx % 20 = 0"), e.where("idx % 20 = 1"))
+    """Sixteen vectors are a pair: those with even numbers are predicted, the others the reference."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 16).alias("pair"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
+    got = S.alignment(e.where("idx % 2 = 0"), e.where("idx % 2 = 1"))
     return got.select("pair", *[F.round(c, 7).alias(c) for c in ("precision", "recall", "f1")])
 
 
-ALIGN_SQL = """WITH s AS (SELECT a.label AS pair, a.vec_id AS p, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 1),
+ALIGN_SQL = """WITH s AS (SELECT a.vec_id // 16 AS pair, a.vec_id AS p, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON a.vec_id // 16 = b.vec_id // 16 WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
 p AS (SELECT pair, avg(m) AS precision FROM (SELECT pair, p, max(x) AS m FROM s GROUP BY ALL) GROUP BY ALL), r AS (SELECT pair, avg(m) AS recall FROM (SELECT pair, r, max(x) AS m FROM s GROUP BY ALL) GROUP BY ALL)
 SELECT pair, round(precision, 7) AS precision, round(recall, 7) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 7) AS f1 FROM p JOIN r USING (pair)"""
 

@@ -46,8 +46,10 @@ def read_bioc(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_bioc(docs: DataFrame) -> DataFrame:
     each = F.flatten(F.flatten(F.transform("passages", lambda p: F.transform(p.annotations, lambda a: F.transform(a.locations, lambda x: F.struct(a.text.alias("text"), a.infons.type.alias("type"), a.infons.identifier.alias("identifier"), x.offset.alias("offset"), x.length.alias("length")))))))
-    same = lambda x, y: x.identifier.eqNullSafe(y.identifier) & (x.offset == y.offset) & (x.length == y.length)
-    kept = F.filter(each, lambda x, i: ~F.exists(F.slice(each, F.lit(1), i), lambda y: same(x, y)))
+    # The least place of each (identifier, offset, length), by one sort.
+    placed = F.array_sort(F.transform(each, lambda x, i: F.struct(x.identifier.alias("identifier"), x.offset.alias("offset"), x.length.alias("length"), i.alias("nth"))))
+    firsts = F.filter(placed, lambda x, i: (i == 0) | ~(x.identifier.eqNullSafe(F.get(placed, i - 1).identifier) & x.offset.eqNullSafe(F.get(placed, i - 1).offset) & x.length.eqNullSafe(F.get(placed, i - 1).length)))
+    kept = F.transform(F.array_sort(F.transform(firsts, lambda x: x.nth)), lambda i: F.get(each, i))
     text = F.array_join(F.transform(F.array_sort(F.transform("passages", lambda p: F.struct(p.offset, p.text))), lambda p: p.text), " ")
     relations = F.transform("relations", lambda r: F.struct(r.infons.type.alias("type"), r.infons.entity1.alias("entity1"), r.infons.entity2.alias("entity2"), (r.infons.novel == "Novel").alias("novel")))
     return docs.select(F.col("id").alias("doc_id"), text.alias("text"), kept.alias("entities"), relations.alias("relations"))

@@ -13,13 +13,52 @@ def write_documents(df: DataFrame, root: str, *by: str) -> None:
     df.write.partitionBy(*by).mode("append").option("ignoreNullFields", True).json(root)
 
 
-def wide(leaves: DataFrame, by: Sequence[str], paths: Sequence[str] | None = None, sep: str = ", ", missing: str | None = "") -> DataFrame:
-    """One row per record, one column per path in order, values of a repeated path joined in order of ``nth``. The paths
-    are found by one pass unless given."""
-    paths = sorted(paths if paths is not None else [r[0] for r in leaves.select("path").distinct().collect()])
-    cell = lambda p: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("path") == p, F.struct("nth", F.coalesce("value", F.lit("")).alias("v"))))), lambda x: x.v), sep)
-    text = lambda p: F.when(F.count_if(F.col("path") == p) > 0, cell(p))
-    return leaves.groupBy(*by).agg(*[(text(p) if missing is None else F.coalesce(text(p), F.lit(missing))).alias(p) for p in paths])
+def wide(leaves: DataFrame, by: Sequence[str], paths: Sequence[str], sep: str = ", ", missing: str | None = "") -> DataFrame:
+    """One row per record, one column per named path in order, values of a repeated path joined in order of ``nth``. One
+    exchange by record serves both aggregations, first to one cell per path, then to one row."""
+    dealt = leaves.where(F.col("path").isin(*paths)).select(*by, "path", "nth", "value").repartition(*by)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x.v), sep)
+    rows = dealt.groupBy(*by, "path").agg(text.alias("cell")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("path", "cell"))).alias("cells"))
+    cell = lambda p: F.try_element_at("cells", F.lit(p))
+    return rows.select(*by, *[(cell(p) if missing is None else F.coalesce(cell(p), F.lit(missing))).alias(p) for p in sorted(paths)])
+
+
+def flat_export(leaves: DataFrame, meta: Sequence[str], paths: Sequence[str], sep: str = "; ") -> DataFrame:
+    """Records with their meta columns and a column per path; a path that is named like a meta column comes as
+    ``process.`` and its name."""
+    cells = wide(leaves, meta, paths, sep)
+    taken = set(meta)
+    if not taken & set(paths):
+        return cells
+    renamed = leaves.withColumn("path", F.when(F.col("path").isin(*taken), F.concat(F.lit("process."), F.col("path"))).otherwise(F.col("path")))
+    return wide(renamed, meta, [f"process.{p}" if p in taken else p for p in paths], sep)
+
+
+def parsed_or_rejects(raw: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Raw JSON texts with a VARIANT ``v``, and the rows that can't be read."""
+    made = raw.withColumn("v", F.try_parse_json(text))
+    return made.where("v is not null"), made.where("v is null").drop("v")
+
+
+#: What a table of ratings must have.
+RATINGS = {"tp": "bigint", "fp": "bigint", "fn": "bigint", "precision": "double", "recall": "double", "f1": "double"}
+
+
+def write_ratings(df: DataFrame, path: str) -> None:
+    """Ratings as JSON, after a look at their shape: columns, kinds, and no rate outside 0 to 1."""
+    kinds = dict(df.dtypes)
+    wrong = [c for c, kind in RATINGS.items() if kinds.get(c) != kind]
+    if wrong:
+        raise ValueError(f"no ratings: {', '.join(wrong)}")
+    if df.where(" or ".join(f"{c} is null or {c} not between 0 and 1" for c in ("precision", "recall", "f1"))).limit(1).count():
+        raise ValueError("a rate is missing or outside 0 to 1")
+    df.write.mode("overwrite").json(path)
+
+
+def same_as(values: DataFrame, subject: Column) -> DataFrame:
+    """(subject, predicate, object, datatype) edges from linked values (path, ids)."""
+    rows = values.select(F.sha2(subject.cast("string"), 256).alias("subject"), F.concat("path", F.lit(".sameAs")).alias("predicate"), F.explode("ids").alias("object"))
+    return rows.select("subject", "predicate", "object", F.lit("iri").alias("datatype"))
 
 
 def triples(leaves: DataFrame, subject: Column) -> DataFrame:
