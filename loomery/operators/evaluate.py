@@ -26,6 +26,15 @@ def category_corpus(gold: DataFrame, predicted: DataFrame, doc: str, category: s
     return metrics.by_category(counts, category)
 
 
+def positional_corpus(gold: DataFrame, predicted: DataFrame, items: str, keys: Sequence[str], idx: str = "idx") -> DataFrame:
+    """Micro ratings of corpora that are joined by their documents' place ``idx``: rows of a document with an array of
+    ``items``, structs that hold the keys. Documents that only one side has are skipped."""
+    side = lambda df: df.select(idx, F.explode(items).alias("x")).select(idx, *[F.col(f"x.{k}").alias(k) for k in keys])
+    both = gold.select(idx).join(predicted.select(idx), idx)
+    counted = matching.set_counts(side(gold).join(both, idx, "left_semi"), side(predicted).join(both, idx, "left_semi"), [idx], keys, "count")
+    return metrics.micro(counted)
+
+
 def sentence_corpus(gold: DataFrame, predicted: DataFrame, doc: str, sentence: str, keys: Sequence[str]) -> DataFrame:
     """Micro ratings where only sentences on both sides count."""
     return metrics.micro(matching.set_counts(gold, predicted, [doc, sentence], keys))

@@ -128,3 +128,11 @@ def timings(events: DataFrame, steps: list[str]) -> DataFrame:
     """From (doc, iteration, step, seconds): a column per step and their total."""
     return events.groupBy("doc", "iteration").agg(*[F.sum(F.when(F.col("step") == s, F.col("seconds"))).alias(s) for s in steps], F.sum("seconds").alias("total"))
 
+
+
+def finished(records: DataFrame, valid: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame] | None = None, clean: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Extracted records after the steps in their fixed order: validation, then linking and cleaning where they are given."""
+    for step in (valid, linked, clean):
+        if step is not None:
+            records = records.transform(step)
+    return records

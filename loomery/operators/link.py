@@ -170,10 +170,18 @@ def corrected(values: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.select(*[c for c in values.columns if c != "ids"], union.alias("ids"), F.col("more").isNotNull().alias("touched"))
 
 
-def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The records with each value at the paths as {value, sameAs}; unlinked values have no ids. The distinct mentions of
+#: The paths of process records that name compounds.
+COMPOUND_PATHS = (
+    "aldSystem.aldMethod[*].compound", "aldSystem.materialDeposited", "reactantSelection.precursor[*].compound", "reactantSelection.precursor[*].precursor", "reactantSelection.coReactant[*].compound",
+    "reactantSelection.coReactant[*].coReactant", "reactantSelection.carrierGas", "reactantSelection.purgingGas", "processParameters.substrate",
+)
+
+
+def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame], skip: Sequence[str] = ()) -> DataFrame:
+    """The records with each value at the paths, but those in ``skip``, as {value, sameAs}; unlinked values have no ids. The distinct mentions of
     the whole corpus are linked once; each record gets only the links of its own mentions back."""
     kind = df.schema[col].dataType
+    paths = [p for p in paths if p not in set(skip)]
     texts = F.concat(*[F.transform(values_at(F.col(col), kind, steps(p)), lambda x: x.value) for p in paths])
     mentions = df.select(key, F.explode(F.array_distinct(texts)).alias("mention"))
     links = linker(mentions.select("mention").distinct())

@@ -169,3 +169,11 @@ def aligned_values(pairs: DataFrame, gold: DataFrame, predicted: DataFrame, grou
     first = lambda df, side, name: df.groupBy(*group, side, "path").agg(F.min_by("value", "nth").alias(name))
     left, right = first(gold, "g", "gold_value"), first(predicted, "p", "value")
     return pairs.select(*group, "g", "p").join(left, [*group, "g"]).join(right, [*group, "p", "path"]).select(*group, "g", "p", "path", "gold_value", "value")
+
+
+def matches_by(gold: DataFrame, predicted: DataFrame, group: Sequence[str], ids_of: Callable[[Column], Column], agree: Callable[[Column, Column], Column], field: str = "field") -> DataFrame:
+    """(group, p, g): match pairs by two functions of the caller, on columns: ``ids_of`` a predicted field gives an array of
+    identifiers, and one of them ``agree``s with a gold field. Pairs meet within their group only."""
+    a = gold.select(*group, "g", F.col(field).alias("__gold"))
+    b = predicted.select(*group, "p", F.explode(ids_of(F.col(field))).alias("__id")).distinct()
+    return b.join(a, list(group)).where(agree(F.col("__id"), F.col("__gold"))).select(*group, "p", "g").distinct()

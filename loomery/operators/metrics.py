@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def micro(counts: DataFrame, *by: str) -> DataFrame:
     return prf(counts.groupBy(*by).agg(*sums))
 
 
+def macro(scores: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """Means of scores over documents, by some columns; 0 where there are none."""
+    return scores.groupBy(*by).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns])
+
+
 def by_category(counts: DataFrame, category: str) -> DataFrame:
     """Micro ratings of each category and, as "overall", of all; one shuffle."""
     sums = [F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]

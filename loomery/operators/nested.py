@@ -158,12 +158,23 @@ def prune_nulls(df: DataFrame, col: str, skip: Sequence[str] = ()) -> DataFrame:
     return df.withColumn(col, pruned(F.col(col), df.schema[col].dataType, frozenset(skip)))
 
 
-def is_empty_quantity(value: Column, number: str = "quantityValue.numericValue") -> Column:
-    """A quantity without its number, whatever else it says."""
-    inner = value
-    for name in number.split("."):
-        inner = inner.getField(name)
-    return value.isNotNull() & inner.isNull()
+#: Fields that say how a quantity is meant, not what it is.
+QUANTITY_MARKS = ("quantityKind", "hasQuantityKind", "sameAs", "unit")
+
+
+def is_empty_quantity(value: Column, kind: T.StructType, field: str = "quantityValue", number: str = "numericValue", marks: Sequence[str] = QUANTITY_MARKS) -> Column:
+    """Whether a struct is nothing but marks, or a ``field`` without a ``number`` beside marks. A key that is null counts
+    as not there; a struct without any key is not an empty quantity."""
+    given = lambda names: F.coalesce(*[F.when(value.getField(n).isNotNull(), True) for n in names], F.lit(False)) if names else F.lit(False)
+    some, rest = given(kind.names), given([n for n in kind.names if n not in (*marks, field)])
+    filled = F.lit(False)
+    if field in kind.names:
+        inner = kind[field].dataType
+        if not isinstance(inner, T.StructType):
+            filled = value.getField(field).isNotNull()
+        elif number in inner.names:
+            filled = value.getField(field).getField(number).isNotNull()
+    return some & ~rest & ~filled
 
 
 def prune_quantities(df: DataFrame, col: str, field: str = "quantityValue", number: str = "numericValue") -> DataFrame:
@@ -182,8 +193,26 @@ def prune_quantities(df: DataFrame, col: str, field: str = "quantityValue", numb
 
 
 def rebuild(leaves: DataFrame, *by: str) -> DataFrame:
-    """From rows (by, parent, key, value) of flat objects, one map per parent: ``fields``."""
-    return leaves.groupBy(*by, "parent").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+    """From leaves (by.., path, value) of records without lists, paths with dots: the records as JSON text ``record``. One
+    aggregation; a record's leaves are put together level by level, innermost first."""
+    parts = F.split("path", r"\.")
+    rows = leaves.where(F.col("value").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(parts.alias("at"), F.to_json(F.struct(F.col("value").alias("v"))).alias("text")))).alias("ls"))
+    bare = lambda x: F.substring(x.text, 6, F.length(x.text) - 6)
+    rows = rows.select(*by, F.transform("ls", lambda x: F.struct(x["at"].alias("at"), bare(x).alias("text"))).alias("ls"), F.array_max(F.transform("ls", lambda x: F.size(x["at"]))).alias("depth"))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+
+    def closed(ls: Column, depth: int) -> Column:
+        """Leaves of ``depth`` steps are put into one of depth - 1."""
+        parent = lambda x: F.slice(x["at"], 1, depth - 1)
+        at_depth = F.filter(ls, lambda x: F.size(x["at"]) == depth)
+        key = lambda x: F.substring(F.to_json(F.struct(F.element_at(x["at"], -1).alias("v"))), F.lit(6), F.length(F.to_json(F.struct(F.element_at(x["at"], -1).alias("v")))) - 6)
+        one = lambda p: F.concat(F.lit("{"), F.array_join(F.transform(F.filter(at_depth, lambda x: parent(x) == p), lambda x: F.concat(key(x), F.lit(":"), x.text)), ","), F.lit("}"))
+        made = F.transform(F.array_distinct(F.transform(at_depth, parent)), lambda p: F.struct(p.alias("at"), one(p).alias("text")))
+        return F.array_sort(F.concat(F.filter(ls, lambda x: F.size(x["at"]) < depth), made))
+
+    for depth in range(deepest, 0, -1):
+        rows = rows.withColumn("ls", closed(F.col("ls"), depth))
+    return rows.select(*by, F.get("ls", F.lit(0)).text.alias("record"))
 
 
 def zipped(df: DataFrame, col: str, paths: Sequence[str], *keep: str) -> DataFrame:

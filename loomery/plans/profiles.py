@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import similarity as S
 from loomery.functions import text as X
-from loomery.operators import choose, evaluate, idmatch, link, matching, metrics, nested, stats
+from loomery.operators import choose, evaluate, idmatch, judge, link, matching, metrics, nested, stats
 from loomery.plans import records
 from loomery.plans.scoring import _RATES, _SIDES, _SUMS
 from loomery.sources import corpora, kb, sinks
@@ -321,6 +321,58 @@ def union_distinct(spark, d):
     return _table(spark, d, "part").select(F.col("p_size").alias("key")).union(_table(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
+def positional(spark, d):
+    """An order's gold and predicted lines as documents that have nothing but their place in common."""
+    lines = _table(spark, d, "lineitem")
+    side = lambda df: df.groupBy(F.col("l_orderkey").alias("idx")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("kind"))).alias("items"))
+    return evaluate.positional_corpus(side(lines.where("l_returnflag = 'R'")), side(lines.where("l_discount >= 0.05")), "items", ["part", "kind"])
+
+
+POSITIONAL_SQL = f"""WITH {_SIDES}, k AS (SELECT l_orderkey, l_partkey, l_linestatus, bool_or(l_returnflag = 'R') AS ing, bool_or(l_discount >= 0.05) AS inp FROM lineitem WHERE l_returnflag = 'R' OR l_discount >= 0.05 GROUP BY ALL),
+c AS (SELECT l_orderkey, count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (inp AND NOT ing) AS fp, count(*) FILTER (ing AND NOT inp) AS fn FROM k GROUP BY ALL HAVING bool_or(ing) AND bool_or(inp)), s AS (SELECT {_SUMS} FROM c) SELECT *, {_RATES} FROM s"""
+
+
+def matched_by(spark, d):
+    """Pairs by functions of the caller: a predicted field's identifiers are its key and brand, gold has a brand."""
+    part = _table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = _table(spark, d, "lineitem").join(part, "l_partkey")
+    gold = lines.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("g"), F.col("p_brand").alias("field"))
+    predicted = lines.where("l_discount >= 0.05").select("l_orderkey", F.col("l_linenumber").alias("p"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.lower("p_brand")).alias("field"))
+    return matching.matches_by(gold, predicted, ["l_orderkey"], lambda f: F.split(f, "/"), lambda i, f: i == F.lower(f))
+
+
+def property_texts(spark, d):
+    leaves = nested.flatten(records._orders(spark, d), "record", "o_orderkey").withColumn("path", F.regexp_replace("path", r"\[\d+\]", "[]"))
+    return stats.property_statistics(leaves, "o_orderkey", skip=["status"], list_most=100).select("path", "distinct_texts", F.array_join("texts", "|").alias("texts"))
+
+
+TEXTS_SQL = f"""WITH {records._LEAVES}, k AS (SELECT regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS path, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS t FROM l WHERE value IS NOT NULL AND value NOT IN ('', 'Not Found') AND path NOT LIKE '%status%')
+SELECT path, count(DISTINCT t) AS distinct_texts, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), '') AS texts FROM k GROUP BY path"""
+
+
+def rebuilt(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.struct(F.col("o_orderpriority").alias("p")).alias("in"), F.col("o_custkey").alias("key")).alias("customer")).alias("r"))
+    return nested.rebuild(nested.flatten(o, "r", "o_orderkey"), "o_orderkey")
+
+
+def empty_quantities(spark, d):
+    """Parts as quantities: without a number where the size is odd, with a note where it is above 40."""
+    size = F.col("p_size")
+    number = F.struct(F.when(size % 2 == 0, size.cast("double")).alias("numericValue"), F.struct(F.col("p_type").alias("hasQuantityKind")).alias("unit"))
+    made = _table(spark, d, "part").select("p_partkey", F.struct(F.when(size > 5, number).alias("quantityValue"), F.lit("kind").alias("quantityKind"), F.when(size > 40, F.lit("note")).alias("note")).alias("q"))
+    return made.select("p_partkey", nested.is_empty_quantity(F.col("q"), made.schema["q"].dataType).alias("empty"))
+
+
+def critics(spark, d):
+    n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("evaluator"))
+    return judge.critics(n, _table(spark, d, "region").select(F.col("r_regionkey").alias("idx"), F.col("r_name").alias("critic")))
+
+
+def macro_scores(spark, d):
+    labels = _table(spark, d, "labels")
+    return metrics.macro(labels.withColumns({"quality": F.col("quality").cast("double"), "toxic": F.col("toxic").cast("double")}), ["quality", "toxic"]).select(F.round("quality", 9).alias("quality"), F.round("toxic", 9).alias("toxic"))
+
+
 _KIND = "p_partkey % 3"
 QUERIES = {
     "score_normalised_match": (normalised_match, NORMALISED_SQL),
@@ -357,5 +409,12 @@ QUERIES = {
     "source_sentence_texts": (sentence_texts, "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn, text)) AS hash FROM conversations GROUP BY 1"),
     "source_parallel_rows": (parallel_rows, "SELECT 0 AS idx, p_name AS text, p_type AS label, count(*) AS n FROM part GROUP BY ALL"),
     "source_synonym_dictionary": (synonym_dictionary, "SELECT p_name AS synonym, count(*) AS n FROM (SELECT p_name, p_partkey AS id FROM part UNION ALL SELECT p_name, p_size FROM part) GROUP BY 1"),
+    "score_positional": (positional, POSITIONAL_SQL),
+    "score_matches_by_functions": (matched_by, f"WITH l AS (SELECT l_orderkey, l_linenumber, p_brand, l_returnflag, l_discount FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT DISTINCT a.l_orderkey, b.l_linenumber AS p, a.l_linenumber AS g FROM l a JOIN l b USING (l_orderkey, p_brand) WHERE a.l_returnflag = 'R' AND b.l_discount >= 0.05"),
+    "score_macro": (macro_scores, "SELECT round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic FROM labels"),
+    "nest_property_texts": (property_texts, TEXTS_SQL),
+    "nest_rebuild": (rebuilt, """SELECT o_orderkey, '{"customer":{"in":{"p":"' || o_orderpriority || '"},"key":"' || o_custkey || '"},"status":"' || o_orderstatus || '"}' AS record FROM orders"""),
+    "nest_empty_quantities": (empty_quantities, "SELECT p_partkey, p_size <= 40 AND (p_size <= 5 OR p_size % 2 = 1) AS empty FROM part"),
+    "judge_critics": (critics, "SELECT n_nationkey AS idx, n_name AS evaluator, r_name AS critic FROM nation JOIN region ON r_regionkey = n_nationkey % 5"),
     "set_union": (union_distinct, "SELECT p_size AS key FROM part UNION SELECT s_nationkey FROM supplier"),
 }

@@ -22,9 +22,11 @@ def parse_synonyms(lines: DataFrame, on_duplicate: str = "last") -> DataFrame:
     return rows.groupBy("synonym").agg(F.max_by("id", "place").alias("id"))
 
 
-def store(kb: DataFrame, table: str, buckets: int = 64) -> None:
-    """Bucketed by synonym, so that lookups need no shuffle of the large side."""
-    kb.write.bucketBy(buckets, "synonym").sortBy("synonym").mode("overwrite").saveAsTable(table)
+def store(kb: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Bucketed by synonym, so that lookups need no shuffle of the large side; below ``path`` if given, else in the
+    warehouse."""
+    writer = kb.write.bucketBy(buckets, "synonym").sortBy("synonym").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def curated(json: Column) -> Column:

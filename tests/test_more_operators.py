@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from loomery.functions import similarity as S
 from loomery.functions import text as X
-from loomery.operators import choose, cluster, evaluate, graph, idmatch, link, matching, nested, stats
+from loomery.operators import choose, cluster, evaluate, graph, idmatch, judge, link, matching, nested, stats
 from loomery.plans import texts
 from loomery.sources import corpora, kb, records, sinks
+from loomery.streaming import feed
 
 
 def lcs(a, b):
@@ -82,6 +83,38 @@ def test_best_equals_brute_force(spark):
     assert got == expected
 
 
+def test_cascade_equals_brute_force(spark, sf):
+    from loomery.plans import linking
+
+    base = [(r.synonym, r.id) for r in linking._kb(spark, sf).collect()]
+    expected = {}
+    for a in {r.mention for r in linking._mentions(spark, sf).collect()}:
+        ids = {i for s, i in base if s == a}
+        stage = "exact"
+        if not ids:
+            near = [s for s, _ in base if ratio(a, s.lower()) >= 90]
+            ids, stage = ({i for s, i in base if s == min(near)}, "fuzzy") if near else (set(), "none")
+        expected[a] = (",".join(sorted(ids)), stage)
+    assert {r.mention: (r.ids, r.stage) for r in linking.cascade(spark, sf).collect()} == expected
+
+
+def test_soft_match_has_the_greatest_total(spark):
+    rng = random.Random(8)
+    words = "red blue big small ring bolt".split()
+    rows = [(d, i, side, " ".join(rng.sample(words, 2))) for d in range(12) for side in "gp" for i in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(rows, "doc long, id long, side string, text string")
+    gold, predicted = (df.where(F.col("side") == x).drop("side") for x in "gp")
+    got = {r.doc: (r.tp, r.fp, r.fn) for r in matching.soft_counts(gold, predicted, ["doc"]).collect()}
+    alike = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    for d in range(12):
+        g, p = ([t for doc, _, side, t in rows if doc == d and side == x] for x in "gp")
+        short, long_ = sorted((g, p), key=len)
+        ways = [[alike(a, long_[j]) for a, j in zip(short, way, strict=True)] for way in itertools.permutations(range(len(long_)), len(short))]
+        best = max(map(sum, ways))
+        hits = {sum(x >= 0.8 for x in w) for w in ways if abs(sum(w) - best) < 1e-9}
+        assert got[d][0] in hits and got[d][1:] == (len(p) - got[d][0], len(g) - got[d][0])
+
+
 def test_lookup_narrows_substrings(spark):
     base = spark.createDataFrame([("zinc oxide", "1"), ("zinc", "2"), ("Z", "3")], "synonym string, id string")
     asked = spark.createDataFrame([("Zinc Oxides",), ("zinc",), (None,), ("q",)], "mention string")
@@ -219,3 +252,36 @@ def test_statistics_of_nothing(spark):
     assert [tuple(r) for r in stats.relation_statistics(none, "variant", "n", ["a"]).collect()] == [("a", 0, 0.0, 0, 0)]
     one = spark.createDataFrame([("m", "p", None)], "model string, paper string, n long")
     assert tuple(stats.extraction_statistics(one, "model", "paper", "n").first()) == ("m", 0, 0.0, 0, 0.0)
+
+
+def test_stored_knowledge_base_needs_no_exchange(spark, tmp_path):
+    table = spark.createDataFrame([(f"s{i % 50}", str(i)) for i in range(200)], "synonym string, id string")
+    kb.store(table, "stored_kb", 4, str(tmp_path / "kb"))
+    asked = spark.range(60).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("mention"))
+    found = link.exact(asked, spark.table("stored_kb"))
+    assert {r.mention: len(r.ids) for r in found.collect()} == {f"s{i}": 4 for i in range(50)}
+    joined = spark.table("stored_kb").hint("merge").join(asked.withColumnRenamed("mention", "synonym").hint("merge"), "synonym")
+    assert joined._jdf.queryExecution().toString().count("Exchange hashpartitioning(synonym") <= 1
+    spark.sql("DROP TABLE stored_kb")
+
+
+def test_batches_of_a_feed(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string").coalesce(1).write.parquet(str(source))
+    counts = lambda df, n: df.groupBy("k").count().write.mode("overwrite").parquet(f"{target}/{n}")
+    for _ in range(2):  # the second run finds nothing new
+        feed.batches(spark, str(source), "k long, v string", counts, str(tmp_path / "log")).awaitTermination()
+    assert {(r.k, r["count"]) for r in spark.read.parquet(f"{target}/*").collect()} == {(1, 2), (2, 1)}
+
+
+def test_linking_skips_paths(spark):
+    base = spark.createDataFrame([("a", "1"), ("b", "2")], "synonym string, id string")
+    df = spark.createDataFrame([(1, "a", "b")], "k long, x string, y string").select("k", F.struct("x", "y").alias("r"))
+    done = link.in_place(df, "k", "r", ["x", "y"], lambda m: link.exact(m, base), skip=["y"]).first()
+    assert (done.r.x.value, done.r.x.sameAs, done.r.y) == ("a", ["1"], "b") and len(link.COMPOUND_PATHS) == 9
+
+
+def test_steps_in_their_order(spark):
+    df = spark.createDataFrame([(1, "x")], "k long, v string")
+    add = lambda mark: lambda d: d.withColumn("v", F.concat("v", F.lit(mark)))
+    assert [judge.finished(df, add("v"), *more).first().v for more in ((), (add("l"),), (None, add("c")), (add("l"), add("c")))] == ["xv", "xvl", "xvc", "xvlc"]
