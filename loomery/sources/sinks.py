@@ -13,9 +13,14 @@ def write_documents(df: DataFrame, root: str, *by: str) -> None:
     df.write.partitionBy(*by).mode("append").option("ignoreNullFields", True).json(root)
 
 
-def wide(leaves: DataFrame, by: Sequence[str], paths: Sequence[str], sep: str = ", ", missing: str | None = "") -> DataFrame:
+def wide(leaves: DataFrame, by: Sequence[str], paths: Sequence[str] | None = None, sep: str = ", ", missing: str | None = "", most: int = 2000) -> DataFrame:
     """One row per record, one column per named path in order, values of a repeated path joined in order of ``nth``. One
-    exchange by record serves both aggregations, first to one cell per path, then to one row."""
+    exchange by record serves both aggregations, first to one cell per path, then to one row. Without ``paths`` one pass
+    finds them; more than ``most`` are no table and an error."""
+    if paths is None:
+        paths = [r[0] for r in leaves.select("path").distinct().limit(most + 1).collect()]
+        if len(paths) > most:
+            raise ValueError(f"more than {most} paths: name those to be columns")
     dealt = leaves.where(F.col("path").isin(*paths)).select(*by, "path", "nth", "value").repartition(*by)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x.v), sep)
     rows = dealt.groupBy(*by, "path").agg(text.alias("cell")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("path", "cell"))).alias("cells"))
