@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from loomery.llm import spill, textkit
 
 _KEPT = 300_000  # words remembered in a worker, twice
-_PART = 1 << 22  # characters of a text that are encoded at a time
+_PART = 1 << 21  # characters of a text that are encoded at a time
 
 
 class WordIds:
