@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomery.llm import bpe, fingerprint, language, linededup, lm, minhash, neighbours, packing, pages, secrets
+from loomery.llm import bpe, fingerprint, language, linededup, lm, minhash, neighbours, packing, pages, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,
+        "op11_simhash": simhash.op11_simhash,
     }
 
 
