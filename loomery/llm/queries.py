@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomery.llm import bpe, fingerprint, language, linededup, lm, minhash, neighbours, packing, pages, secrets, simhash
+from loomery.llm import bpe, fingerprint, language, linededup, lm, minhash, negatives, neighbours, packing, pages, secrets, simhash, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,
         "op11_simhash": simhash.op11_simhash,
+        "op12_negatives": negatives.op12_negatives,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_linededup": linededup.OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_linededup": linededup.OP6_SQL, "op12_negatives": negatives.OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
