@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Hashable, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    if not a or not b:
-        return 0
-    other = np.frombuffer(b.encode("utf-32-le"), "<u4")
-    row = np.zeros(len(other) + 1, np.int32)
-    for c in a:
-        step = row[:-1] + (other == ord(c))
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
-    return int(row[-1])
+def common_subsequence(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Length of the longest common subsequence, by one addition for each item of the longer side: the columns of the table
+    are the bits of one number, and a 0 stands where the length grows."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[Hashable, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    for x in b:
+        if here := places.get(x):
+            hit = row & here
+            row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
 
 
 def edit_ratio(a: Column | str, b: Column | str) -> Column:
@@ -83,13 +88,7 @@ def rouge_l(candidate: Column, reference: Column) -> Column:
 
     @F.pandas_udf("int")
     def longest(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: np.ndarray | None, q: np.ndarray | None) -> int | None:
-            if p is None or q is None:
-                return None
-            code: dict[str, str] = {}
-            as_text = lambda ws: "".join(code.setdefault(w, chr(0x10000 + len(code))) for w in ws)
-            return common_subsequence(as_text(p), as_text(q))
-
+        one = lambda p, q: None if p is None or q is None else common_subsequence(p.tolist(), q.tolist())
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
     a, b = tokens(candidate), tokens(reference)

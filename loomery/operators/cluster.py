@@ -1,38 +1,126 @@
-"""Density clustering of values by cosine distance."""
+"""Density clustering of values by cosine distance, in overlapping blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.operators import graph
+from loomery.operators.skewed import split_join
 from loomery.sources.rounds import settled
 
+_SLACK = 1e-6  # radians, beyond what rounding can do to an angle
+
+
+class Cover:
+    """Blocks of unit vectors around pivots. A vector lives in the block of its nearest pivot. Two vectors within an angle
+    ``reach`` meet in the later of their two blocks, where the other one visits: by the triangle inequality it is no farther
+    from that pivot than the block's radius and ``reach``, nor farther than from its own pivot and twice ``reach``. No
+    near pair is lost, however the pivots lie; where vectors form clusters, few blocks are visited."""
+
+    def __init__(self, pivots: np.ndarray, reach: float):
+        self.pivots, self.reach, self.radius = pivots, reach, np.zeros(len(pivots))
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ self.pivots.T, -1, 1))
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angle = self.angles(x)
+        home = angle.argmin(1)
+        return home, angle[np.arange(len(x)), home]
+
+    def blocks(self, x: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        """The block of each vector and the later ones that it visits."""
+        angle = self.angles(x)
+        far = np.minimum(self.radius + self.reach, angle[np.arange(len(x)), home][:, None] + 2 * self.reach) + _SLACK
+        at = np.arange(len(self.pivots))
+        return [np.flatnonzero((a <= f) & (at > h) | (at == h)) for a, f, h in zip(angle, far, home, strict=True)]
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    x = np.array(vectors.to_pylist(), float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cover(points: DataFrame, reach: float, size: int, most: int = 1024) -> tuple[Cover, DataFrame]:
+    """Blocks for ``points`` (id, vec, h), about ``size`` to a block, and (id, vec, home). The pivots are the at most
+    ``most`` points of least ``h``; the driver sees them and the radius of each block."""
+    k = min(most, max(1, -(-points.count() // size)))
+    found = Cover(np.array([r.vec for r in points.orderBy("h").limit(k).collect()], float), reach)
+    found.pivots /= np.linalg.norm(found.pivots, axis=1, keepdims=True)
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            home, angle = found.home(_unit(batch.column(1))) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(angle)], ["id", "vec", "home", "angle"])
 
-def neighbour_pairs(points: DataFrame, eps: float, block: str | None = None, tile: int = 2048) -> DataFrame:
-    """(a, b) both ways for points (id, vec) within cosine distance ``eps``. Points meet within ``block`` values where
-    given (from hashing, when points are many), else all with all; in either case in tiles of about ``tile`` points, two
-    tiles to a task, as one matrix product."""
-    of = F.col(block) if block else F.lit(0)
-    rows = points.select(of.alias("block"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    size = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = rows.join(size, "block").withColumn("own", F.pmod(F.hash("id"), F.col("tiles")))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "id", "vec", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    placed = settled(points.select("id", "vec").mapInArrow(run, "id long, vec array<double>, home int, angle double"))
+    for r in placed.groupBy("home").agg(F.max("angle").alias("angle")).collect():
+        found.radius[r.home] = r.angle
+    return found, placed.drop("angle")
 
-    def near(table: pa.Table) -> pa.Table:
-        ids, own = table["id"].to_numpy(), table["own"].to_numpy()
-        x = np.stack(table["vec"].to_pylist())
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
-        left, right = (own == table["p"][0].as_py()).nonzero()[0], (own == table["q"][0].as_py()).nonzero()[0]
-        i, j = np.nonzero(np.minimum(x[left] @ x[right].T, 1.0) >= 1 - eps)
-        a, b = ids[left[i]], ids[right[j]]
-        a, b = np.r_[a, b], np.r_[b, a]
-        return pa.table({"a": a[a != b], "b": b[a != b]})
 
-    return spread.groupBy("block", "p", "q").applyInArrow(near, "a long, b long").distinct()
+def meet(points: DataFrame, blocks: Cover, eps: float, work: Callable, schema: str, tile: int = 2048) -> DataFrame:
+    """What ``work`` makes of each two tiles of a block: its residents by all that are there. ``points``: id, vec, home and
+    two numbers w and c. ``work`` gets the residents' (id, w, c), the others', which of these are residents elsewhere, and
+    the matrix of who is near to whom; nobody is near to oneself."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            home = batch.column(2).to_numpy()
+            at = blocks.blocks(_unit(batch.column(1)), home) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32()))], ["id", "vec", "home", "w", "c", "blocks"])
+
+    there = points.select("id", "vec", "home", F.col("w").cast("long").alias("w"), F.col("c").cast("long").alias("c")).mapInArrow(run, "id long, vec array<double>, home int, w long, c long, blocks array<int>")
+    there = there.select("id", "vec", "home", "w", "c", F.explode("blocks").alias("block"))
+    tiles = lambda n: F.ceil(n / tile).cast("int")
+    sizes = settled(there.groupBy("block").agg(tiles(F.count_if(F.col("home") == F.col("block"))).alias("own"), tiles(F.count("*")).alias("all")))
+    dealt = there.join(F.broadcast(sizes), "block")  # a row for each pivot
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    residents = dealt.where("home = block").withColumn("p", place(F.col("own"))).withColumn("q", every(F.col("all"))).withColumn("side", F.lit(0))
+    others = dealt.where("own > 0").withColumn("q", place(F.col("all"))).withColumn("p", every(F.col("own"))).withColumn("side", F.lit(1))
+    columns = ["block", "p", "q", "side", "id", "vec", "home", "w", "c"]
+
+    def task(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        a, b = (table.filter(pa.array(side == s)) for s in (0, 1))
+        if not a.num_rows or not b.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in made})
+        near = np.minimum(_unit(a["vec"]) @ _unit(b["vec"]).T, 1.0) >= 1 - eps
+        of = [[t[c].to_numpy() for c in ("id", "w", "c")] for t in (a, b)]
+        near &= of[0][0][:, None] != of[1][0]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in work(*of, b["home"].to_numpy() != b["block"].to_numpy(), near)], schema=made)
+
+    made = pa.schema([(part.split()[0], pa.int64()) for part in schema.split(", ")])
+    return residents.select(*columns).union(others.select(*columns)).groupBy("block", "p", "q").applyInArrow(task, schema)
+
+
+def _weights(a: list[np.ndarray], b: list[np.ndarray], guest: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, k): how many are near, in this tile, to each resident and guest."""
+    return np.r_[a[0], b[0][guest]], np.r_[near @ b[1], a[1] @ near[:, guest]]
+
+
+def _links(a: list[np.ndarray], b: list[np.ndarray], guest: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links that join all that the near pairs join."""
+    i, j = np.nonzero(near)
+    ids, at = np.unique(np.r_[a[0], b[0]], return_inverse=True)
+    kept = graph.spanning(len(ids), at[: len(a[0])][i], at[len(a[0]) :][j])
+    return a[0][i[kept]], b[0][j[kept]]
+
+
+def _lowest(a: list[np.ndarray], b: list[np.ndarray], guest: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, reach): for each without a cluster (c < 0) the lowest cluster near to it."""
+    none = np.iinfo(np.int64).max
+    ids, least = [], []
+    for mine, theirs, who, pairs in ((a, b, a[2] < 0, near), (b, a, guest & (b[2] < 0), near.T)):
+        reach = np.where(pairs[who] & (theirs[2] >= 0), theirs[2], none).min(1, initial=none)
+        ids.append(mine[0][who][reach < none]), least.append(reach[reach < none])
+    return np.concatenate(ids), np.concatenate(least)
 
 
 def numbered(keys: DataFrame, key: str) -> DataFrame:
@@ -50,24 +138,41 @@ def numbered(keys: DataFrame, key: str) -> DataFrame:
     return ranged.select(key, (before + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).cast("long").alias("nth"))
 
 
-def density_clusters(points: DataFrame, eps: float = 0.2, least: int = 2, block: str | None = None) -> DataFrame:
+def density_clusters(points: DataFrame, eps: float = 0.2, least: int = 2, size: int = 1024, tile: int = 2048) -> DataFrame:
     """(id, cluster): points with ``least`` neighbours, themselves included, are cores; cores within ``eps`` are one
     cluster; other points take the lowest cluster of a neighbouring core, or -1. Clusters are numbered by least core id.
-    Points with equal vectors are one point of their number, so copies make no pairs; a zero vector is near to none."""
-    zero = F.forall("vec", lambda x: x == 0)
-    same = F.struct(F.col("vec").cast("array<double>").alias("vec"), F.when(zero, F.col("id")).alias("alone"), *([F.col(block).alias("block")] if block else []))
-    keyed = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *([F.col(block).alias("block")] if block else []), F.xxhash64(same).alias("h"), F.md5(F.to_json(same)).alias("m"))
-    keyed = settled(keyed)
-    one = settled(keyed.groupBy("h", "m").agg(F.min("id").alias("lead"), F.count("*").alias("n")))
-    leads = keyed.join(one.select(F.col("lead").alias("id")), "id", "left_semi")
-    pairs = settled(neighbour_pairs(leads, eps, "block" if block else None))
+
+    Exact, in overlapping blocks (``Cover``), each dealt in tiles. Neighbours are counted where they meet; of links between
+    cores each task hands on a spanning forest, so a dense cluster makes no rows in the square of its size. Points with equal
+    vectors are one point of their number. Near to none: zero and null vectors, those with null or undefined components,
+    and those of another length than the most frequent one."""
+    plain = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    sound = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    length = plain.where(sound).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    fit = F.coalesce(sound & (F.size("vec") == (length[0].d if length else 0)), F.lit(False))
+    same = F.struct("vec", F.when(~fit, F.col("id")).alias("alone"))
+    keyed = settled(plain.withColumn("fit", fit).withColumn("h", F.xxhash64(same)).withColumn("m", F.md5(F.to_json(same))))
+    one = settled(keyed.groupBy("h", "m", "fit").agg(F.min("id").alias("lead"), F.count("*").alias("n"), F.min_by("vec", "id").alias("vec")))
+    leads = one.where("fit").select(F.col("lead").alias("id"), "vec", "h")
     weight = one.select(F.col("lead").alias("id"), "n")
-    around = pairs.join(weight.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("k"))
-    cores = settled(weight.join(around, "id", "left").where(F.coalesce("k", F.lit(0)) + F.col("n") >= least).select("id"))
-    links = pairs.join(cores, pairs.a == cores.id, "left_semi").join(cores, pairs.b == cores.id, "left_semi")
-    labels = settled(graph.components(links.select("a", "b").union(cores.select(F.col("id").alias("a"), F.col("id").alias("b")))))
+    if length:
+        blocks, placed = cover(leads, float(np.arccos(np.clip(1 - eps, -1, 1))), size)
+        placed = settled(placed.join(weight, "id"))
+        around = meet(placed.select("id", "vec", "home", F.col("n").alias("w"), F.lit(0).alias("c")), blocks, eps, _weights, "id long, k long", tile).groupBy("id").agg(F.sum("k").alias("k"))
+        known = settled(weight.join(around, "id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
+        cores = known.where(F.col("k") + F.col("n") >= least).select("id")
+        links = meet(placed.join(cores, "id", "left_semi").select("id", "vec", "home", F.lit(0).alias("w"), F.lit(0).alias("c")), blocks, eps, _links, "a long, b long", tile)
+    else:
+        cores = weight.where(F.col("n") >= least).select("id")
+        links = cores.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = settled(graph.components(links.union(cores.select(F.col("id").alias("a"), F.col("id").alias("b")))))
     ranks = numbered(labels.select("component").distinct(), "component")
-    cored = settled(labels.join(ranks, "component").select("id", F.col("nth").alias("cluster")))
-    border = pairs.join(cored, pairs.b == cored.id).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("reach"))
-    of_lead = weight.select("id").join(cored, "id", "left").join(border, "id", "left").select(F.col("id").alias("lead"), F.coalesce("cluster", "reach", F.lit(-1)).alias("cluster"))
-    return keyed.join(one, ["h", "m"]).select("id", "lead").join(of_lead, "lead").select("id", "cluster")
+    cored = settled(split_join(labels, ranks, "component", F.col("id")).select("id", F.col("nth").alias("cluster")))
+    found = weight.select("id").join(cored, "id", "left")
+    if length:
+        edge = known.where(F.col("k") > 0).select("id").join(cored, "id", "left_anti").select("id", F.lit(-1).cast("long").alias("cluster"))
+        if not edge.isEmpty():
+            border = meet(placed.join(cored.union(edge), "id").select("id", "vec", "home", F.lit(0).alias("w"), F.col("cluster").alias("c")), blocks, eps, _lowest, "id long, reach long", tile).groupBy("id").agg(F.min("reach").alias("reach"))
+            found = found.join(border, "id", "left").select("id", F.coalesce("cluster", "reach").alias("cluster"))
+    of_lead = one.select("h", "m", F.col("lead").alias("id")).join(found, "id").select("h", "m", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return split_join(keyed.select("id", "h", "m"), of_lead, ["h", "m"], F.col("id")).select("id", "cluster")

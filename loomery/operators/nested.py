@@ -192,27 +192,61 @@ def prune_quantities(df: DataFrame, col: str, field: str = "quantityValue", numb
     return df.withColumn(col, walk(F.col(col), df.schema[col].dataType))
 
 
-def rebuild(leaves: DataFrame, *by: str) -> DataFrame:
-    """From leaves (by.., path, value) of records without lists, paths with dots: the records as JSON text ``record``. One
-    aggregation; a record's leaves are put together level by level, innermost first."""
-    parts = F.split("path", r"\.")
-    rows = leaves.where(F.col("value").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(parts.alias("at"), F.to_json(F.struct(F.col("value").alias("v"))).alias("text")))).alias("ls"))
-    bare = lambda x: F.substring(x.text, 6, F.length(x.text) - 6)
-    rows = rows.select(*by, F.transform("ls", lambda x: F.struct(x["at"].alias("at"), bare(x).alias("text"))).alias("ls"), F.array_max(F.transform("ls", lambda x: F.size(x["at"]))).alias("depth"))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-
-    def closed(ls: Column, depth: int) -> Column:
-        """Leaves of ``depth`` steps are put into one of depth - 1."""
-        parent = lambda x: F.slice(x["at"], 1, depth - 1)
-        at_depth = F.filter(ls, lambda x: F.size(x["at"]) == depth)
-        key = lambda x: F.substring(F.to_json(F.struct(F.element_at(x["at"], -1).alias("v"))), F.lit(6), F.length(F.to_json(F.struct(F.element_at(x["at"], -1).alias("v")))) - 6)
-        one = lambda p: F.concat(F.lit("{"), F.array_join(F.transform(F.filter(at_depth, lambda x: parent(x) == p), lambda x: F.concat(key(x), F.lit(":"), x.text)), ","), F.lit("}"))
-        made = F.transform(F.array_distinct(F.transform(at_depth, parent)), lambda p: F.struct(p.alias("at"), one(p).alias("text")))
-        return F.array_sort(F.concat(F.filter(ls, lambda x: F.size(x["at"]) < depth), made))
+def _json(value: Column) -> Column:
+    """A plain value as JSON text; null stays null."""
+    text = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNotNull(), F.substring(text, F.lit(6), F.length(text) - 6))
 
+
+def leaves(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """One row per leaf (kept columns, path, value) from which ``rebuild`` gives the record back: every list writes its
+    indices, values are JSON text, so that numbers and booleans stay what they are. Empty lists are leaves; null fields are
+    left out, null list members are not."""
+    none = F.array().cast(_ENTRY)
+    one = lambda path, text: F.array(F.struct(path.alias("path"), text.alias("value"))).cast(_ENTRY)
+
+    def walk(value: Column, kind: T.DataType, path: Column | None, member: bool) -> Column:
+        at = path if path is not None else F.lit("(root)")
+        missing = one(at, F.lit("null")) if member else none
+        if isinstance(kind, T.StructType):
+            parts = F.concat(none, *[walk(value.getField(f.name), f.dataType, _join(path, f.name), False) for f in kind.fields])
+            return F.when(value.isNull(), missing).when(F.size(parts) == 0, one(at, F.lit("{}"))).otherwise(parts)
+        if isinstance(kind, T.ArrayType):
+            inside = path if path is not None else F.lit("")
+            parts = F.flatten(F.transform(value, lambda x, i: walk(x, kind.elementType, F.concat(inside, F.lit("["), i.cast("string"), F.lit("]")), True)))
+            return F.when(value.isNull(), missing).when(F.size(value) == 0, one(at, F.lit("[]"))).otherwise(parts)
+        return F.when(value.isNull(), missing).otherwise(one(at, _json(value)))
+
+    rows = df.select(*keep, F.explode(walk(F.col(col), df.schema[col].dataType, None, False)).alias("x"))
+    return rows.select(*keep, "x.path", "x.value")
+
+
+def rebuild(leaves: DataFrame, *by: str, texts: bool = False) -> DataFrame:
+    """From leaves (by.., path, value) the records as VARIANT ``record``: trees put together from the innermost level out.
+    Steps are keys and list indices, ``a.b[0]`` or ``a.b.[0]``; a list is made of the indices that there are, in order, and
+    a path that comes more than once is a list of its values (by ``nth`` where the leaves have it). Values are JSON text, or,
+    with ``texts``, plain texts. Null values are left out. Where a path is both a leaf and has leaves below, those below
+    count. Keys must not hold dots or brackets. Rows meet once, by record; the levels need no further exchange."""
+    value = _json(F.col("value")) if texts else F.col("value")
+    order = F.col("nth").cast("long") if "nth" in leaves.columns else F.lit(0).cast("long")
+    marked = F.ltrim(F.regexp_replace("path", r"\.?\[(\d+)\]", r".[$1]"), F.lit("."))
+    at = F.when(F.col("path") == "(root)", F.array().cast("array<string>")).otherwise(F.split(marked, r"\."))
+    rows = settled(leaves.where(F.col("value").isNotNull()).select(*by, at.alias("at"), order.alias("nth"), value.alias("text")))
+    deepest = rows.agg(F.max(F.size("at"))).first()[0] or 0
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x.text)
+    rows = rows.repartition(*by).groupBy(*by, "at").agg(listed.alias("all"))
+    rows = rows.select(*by, "at", F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))).alias("text"))
     for depth in range(deepest, 0, -1):
-        rows = rows.withColumn("ls", closed(F.col("ls"), depth))
-    return rows.select(*by, F.get("ls", F.lit(0)).text.alias("record"))
+        deep = F.size("at") == depth
+        step = F.when(deep, F.element_at("at", -1))
+        part = F.struct(F.coalesce(F.regexp_extract(step, r"^\[(\d+)\]$", 1).try_cast("long"), F.lit(-1).cast("long")).alias("i"), step.alias("step"), "text")
+        here = rows.select(*by, F.when(deep, F.slice("at", 1, depth - 1)).otherwise(F.col("at")).alias("at"), part.alias("part"))
+        met = here.groupBy(*by, "at").agg(F.array_sort(F.collect_list(F.when(F.col("part.step").isNotNull(), F.col("part")))).alias("parts"), F.max(F.when(F.col("part.step").isNull(), F.col("part.text"))).alias("text"))
+        as_list = F.concat(F.lit("["), F.array_join(F.transform("parts", lambda x: x.text), ","), F.lit("]"))
+        as_object = F.concat(F.lit("{"), F.array_join(F.transform("parts", lambda x: F.concat(_json(x.step), F.lit(":"), x.text)), ","), F.lit("}"))
+        made = F.when(F.size("parts") == 0, F.col("text")).when(F.forall("parts", lambda x: x.i >= 0), as_list).otherwise(as_object)
+        rows = met.select(*by, "at", made.alias("text"))
+    return rows.select(*by, F.try_parse_json("text").alias("record"))
 
 
 def zipped(df: DataFrame, col: str, paths: Sequence[str], *keep: str) -> DataFrame:
@@ -222,9 +256,13 @@ def zipped(df: DataFrame, col: str, paths: Sequence[str], *keep: str) -> DataFra
     return df.select(*keep, found.alias("values")).where(F.size("values") == len(paths))
 
 
+def is_object(v: Column) -> Column:
+    """Whether a VARIANT is an object, without looking at what is in it."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def items(df: DataFrame, col: str, *keep: str) -> DataFrame:
     """The objects of a VARIANT column: a list's objects, or the one object; nothing else."""
-    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     v = F.col(col)
     each = F.when(is_object(v), F.array(v)).otherwise(F.try_variant_get(v, "$", "array<variant>"))
     return df.select(*keep, F.explode(each).alias("item")).where(is_object(F.col("item")))
@@ -232,7 +270,7 @@ def items(df: DataFrame, col: str, *keep: str) -> DataFrame:
 
 def field_value(v: Column) -> Column:
     """Of a VARIANT field, plain or {value, sameAs}: its text."""
-    plain = F.when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.try_variant_get(v, "$", "string"))
+    plain = F.when(~is_object(v), F.try_variant_get(v, "$", "string"))
     return F.coalesce(F.try_variant_get(v, "$.value", "string"), plain)
 
 
@@ -247,7 +285,7 @@ def entity_list(v: Column) -> Column:
     """A VARIANT list as an array of (text, item): texts as they are, objects with their ``text``, anything else by its
     text; [] for what is no list."""
     members = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    text = lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.try_variant_get(x, "$.text", "string")).otherwise(F.try_variant_get(x, "$", "string"))
+    text = lambda x: F.when(is_object(x), F.try_variant_get(x, "$.text", "string")).otherwise(F.try_variant_get(x, "$", "string"))
     return F.transform(members, lambda x: F.struct(text(x).alias("text"), x.alias("item")))
 
 

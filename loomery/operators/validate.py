@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,3 +37,111 @@ def only_keys(json: Column, allowed: Sequence[str]) -> Column:
 def wrapped(json: Column, key: str) -> Column:
     """A bare array put under the only list field."""
     return F.when(F.startswith(F.ltrim(json), F.lit("[")), F.concat(F.lit(f'{{"{key}":'), json, F.lit("}"))).otherwise(json)
+
+
+#: Keywords of JSON Schema (draft 7) that are understood, and those that say nothing about validity.
+_CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "anyOf", "oneOf", "allOf", "$ref"}
+_SILENT = {"title", "description", "default", "examples", "format", "$schema", "$id", "$comment", "$defs", "definitions"}
+_FAILS = "array<struct<path:string,rule:string>>"
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def schema_failures(v: Column, schema: Mapping[str, Any] | bool) -> Column:
+    """An array of (path, rule) with all that a VARIANT breaks of a JSON schema, list indices as they are in the record:
+    ``lines[2].note``. The schema is compiled to one expression of built-in functions. ``$ref`` into the schema's own
+    definitions is resolved; one that comes back to itself, and keywords that are not understood, raise a ValueError rather
+    than let a record pass. A whole number written 1.0 is an integer."""
+    none = F.array().cast(_FAILS)
+    fail = lambda path, rule, wrong: F.when(F.coalesce(wrong, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule"))).cast(_FAILS)).otherwise(none)
+    below = lambda path, key: F.concat(path, F.when(path == "", "").otherwise("."), key)
+
+    def resolved(ref: str) -> Mapping[str, Any]:
+        at: Any = schema
+        for step in ref.removeprefix("#").split("/")[1:]:
+            name = step.replace("~1", "/").replace("~0", "~")
+            if not isinstance(at, Mapping) or name not in at:
+                raise ValueError(f"{ref} is not in the schema")
+            at = at[name]
+        return at
+
+    def check(v: Column, s: Mapping[str, Any] | bool, path: Column, above: tuple[str, ...]) -> Column:
+        if isinstance(s, bool):
+            return none if s else fail(path, "never", F.lit(True))
+        if unknown := set(s) - _CHECKED - _SILENT:
+            raise ValueError(f"keywords that are not understood: {sorted(unknown)}")
+        if "$ref" in s:
+            if s["$ref"] in above:
+                raise ValueError(f"{s['$ref']} refers to itself")
+            return check(v, resolved(s["$ref"]), path, (*above, s["$ref"]))
+        members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+        shape = F.when(F.is_variant_null(v), "null").when(members.isNotNull(), "object").when(items.isNotNull(), "array").otherwise(F.schema_of_variant(v))
+        parts = F.struct(shape.alias("shape"), members.alias("members"), items.alias("items"), v.alias("v"))
+        return _bound(parts, lambda x: inside(x, s, path, above))
+
+    def inside(x: Column, s: Mapping[str, Any], path: Column, above: tuple[str, ...]) -> Column:
+        shape, v, out = x["shape"], x["v"], []
+        is_number = shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        number, text = F.when(is_number, F.try_variant_get(v, "$", "double")), F.when(shape == "STRING", F.try_variant_get(v, "$", "string"))
+        kinds = {"string": shape == "STRING", "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": shape == "BOOLEAN", "null": shape == "null", "object": shape == "object", "array": shape == "array"}
+        if "type" in s:
+            named = [s["type"]] if isinstance(s["type"], str) else s["type"]
+            fits = F.lit(False)
+            for name in named:
+                fits = fits | kinds[name]
+            out.append(fail(path, "type", ~fits))
+        for rule, allowed in (("enum", s.get("enum")), ("const", [s["const"]] if "const" in s else None)):
+            if allowed is not None:
+                same = F.lit(False)
+                for value in allowed:  # as VARIANT, so that spelling and the order of keys do not matter
+                    same = same | (number == float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+                out.append(fail(path, rule, ~F.coalesce(same, F.lit(False))))
+        for rule, wrong in (("minimum", lambda m: number < m), ("maximum", lambda m: number > m), ("exclusiveMinimum", lambda m: number <= m), ("exclusiveMaximum", lambda m: number >= m), ("minLength", lambda m: F.length(text) < m), ("maxLength", lambda m: F.length(text) > m), ("pattern", lambda m: ~text.rlike(m)), ("minItems", lambda m: F.size(x["items"]) < m), ("maxItems", lambda m: F.size(x["items"]) > m)):
+            if rule in s:
+                out.append(fail(path, rule, wrong(s[rule])))
+        for name in s.get("required", ()):
+            out.append(fail(below(path, F.lit(name)), "required", ~F.map_contains_key(x["members"], F.lit(name))))
+        known = s.get("properties", {})
+        for name, inner in known.items():
+            out.append(F.when(F.map_contains_key(x["members"], F.lit(name)), check(F.element_at(x["members"], F.lit(name)), inner, below(path, F.lit(name)), above)).otherwise(none))
+        extra = s.get("additionalProperties", True)
+        if extra is not True:
+            others = F.filter(F.map_entries(x["members"]), lambda e: ~e.key.isin(*known)) if known else F.map_entries(x["members"])
+            rule = lambda e: F.array(F.struct(below(path, e.key).alias("path"), F.lit("extra").alias("rule"))).cast(_FAILS)
+            each = rule if extra is False else lambda e: check(e.value, extra, below(path, e.key), above)
+            out.append(F.coalesce(F.flatten(F.transform(others, each)), none))
+        if "items" in s:
+            if not isinstance(s["items"], (Mapping, bool)):
+                raise ValueError("items must be one schema")
+            at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            out.append(F.coalesce(F.flatten(F.transform(x["items"], lambda y, i: check(y, s["items"], at(i), above))), none))
+        for inner in s.get("allOf", ()):
+            out.append(check(v, inner, path, above))
+        for rule, wrong in (("anyOf", lambda n: n == 0), ("oneOf", lambda n: n != 1)):
+            if rule in s:
+                passed = [F.when(F.size(check(v, inner, path, above)) == 0, 1).otherwise(0) for inner in s[rule]]
+                out.append(fail(path, rule, wrong(sum(passed, F.lit(0)))))
+        return F.concat(none, *out)
+
+    return check(v, schema, F.lit(""), ())
+
+
+def schema_violations(df: DataFrame, doc: str, col: str, schema: Mapping[str, Any]) -> DataFrame:
+    """(doc, path, rule) for each record, JSON text or VARIANT, and each rule of the schema that it breaks. Text that is no
+    JSON breaks "json"; so does a null."""
+    text = df.schema[col].dataType.typeName() == "string"
+    v = F.try_parse_json(col) if text else F.col(col)
+    bad = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule"))).cast(_FAILS)
+    rows = df.select(doc, v.alias("__v")).select(doc, F.explode(F.when(F.col("__v").isNull(), bad).otherwise(schema_failures(F.col("__v"), schema))).alias("x"))
+    return rows.select(doc, "x.path", "x.rule")
+
+
+def schema_valid(df: DataFrame, doc: str, col: str, schema: Mapping[str, Any]) -> DataFrame:
+    """(doc, valid): whether all records of a document satisfy the schema."""
+    v = F.try_parse_json(col) if df.schema[col].dataType.typeName() == "string" else F.col(col)
+    rows = df.select(doc, v.alias("__v"))
+    ok = F.col("__v").isNotNull() & F.coalesce(F.size(schema_failures(F.col("__v"), schema)) == 0, F.lit(False))
+    return rows.groupBy(doc).agg(F.bool_and(ok).alias("valid"))

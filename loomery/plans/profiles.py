@@ -352,7 +352,7 @@ SELECT path, count(DISTINCT t) AS distinct_texts, coalesce(string_agg(DISTINCT t
 
 def rebuilt(spark, d):
     o = _table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.struct(F.col("o_orderpriority").alias("p")).alias("in"), F.col("o_custkey").alias("key")).alias("customer")).alias("r"))
-    return nested.rebuild(nested.flatten(o, "r", "o_orderkey"), "o_orderkey")
+    return nested.rebuild(nested.flatten(o, "r", "o_orderkey"), "o_orderkey", texts=True).withColumn("record", F.to_json("record"))
 
 
 def empty_quantities(spark, d):

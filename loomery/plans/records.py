@@ -119,6 +119,46 @@ def valid_documents(spark, d):
     return validate.valid(lines, "l_orderkey", {"enum": ("returnflag", validate.one_of(F.col("l_returnflag"), ["R", "A"])), "range": ("discount", F.col("l_discount") <= 0.08)})
 
 
+#: Orders: two of three statuses, a priority that some lack, lines that some lack, few notes, no more than 45 pieces.
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["status", "customer", "lines"],
+    "additionalProperties": False,
+    "properties": {
+        "status": {"type": "string", "enum": ["F", "O"]},
+        "customer": {"$ref": "#/$defs/customer"},
+        "lines": {"type": "array", "maxItems": 6, "items": {"type": "object", "required": ["part"], "additionalProperties": False, "properties": {"part": {"type": "integer"}, "quantity": {"anyOf": [{"type": "number", "maximum": 45}, {"type": "null"}]}, "note": {"enum": ["A", "R"]}}}},
+    },
+    "$defs": {"customer": {"type": "object", "required": ["key", "priority"], "properties": {"key": {"type": "integer", "minimum": 10}, "priority": {"type": "string", "pattern": "^[1-3]-"}}, "additionalProperties": {"type": "null"}}},
+}
+
+
+def schema_violations(spark, d):
+    return validate.schema_violations(_orders(spark, d).withColumn("record", F.to_json("record")), "o_orderkey", "record", ORDER_SCHEMA)
+
+
+SCHEMA_SQL = f"""WITH {_LEAVES}, c AS (SELECT l_orderkey, count(*) AS n FROM n GROUP BY 1)
+SELECT o_orderkey, 'status' AS path, 'enum' AS rule FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, 'customer.priority', 'required' FROM o WHERE priority IS NULL
+UNION ALL SELECT o_orderkey, 'customer.priority', 'pattern' FROM o WHERE priority NOT SIMILAR TO '[1-3]-.*'
+UNION ALL SELECT o_orderkey, 'customer.key', 'minimum' FROM o WHERE o_custkey < 10
+UNION ALL SELECT o_orderkey, 'lines', 'required' FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT o_orderkey, 'lines', 'maxItems' FROM o JOIN c ON l_orderkey = o_orderkey WHERE c.n > 6
+UNION ALL SELECT o_orderkey, 'lines[' || i || '].quantity', 'anyOf' FROM o JOIN n ON l_orderkey = o_orderkey WHERE l_quantity > 45
+UNION ALL SELECT o_orderkey, 'lines[' || i || '].note', 'enum' FROM o JOIN n ON l_orderkey = o_orderkey WHERE note NOT IN ('A', 'R')"""
+
+
+def rebuilt(spark, d):
+    """Taken apart to leaves and put together again: the same record, lists, numbers and all."""
+    orders = _orders(spark, d)
+    again = nested.rebuild(nested.leaves(orders, "record", "o_orderkey"), "o_orderkey").join(orders.withColumnRenamed("record", "before"), "o_orderkey")
+    parts = F.transform(F.try_variant_get("record", "$.lines", "array<variant>"), lambda x: F.try_variant_get(x, "$.part", "string"))
+    return again.select("o_orderkey", (F.to_json("record") == F.to_json(F.parse_json(F.to_json("before")))).alias("same"), F.schema_of_variant(F.try_variant_get("record", "$.customer.key", "variant")).alias("kind"), F.array_join(parts, ",").alias("parts"))
+
+
+REBUILD_SQL = f"WITH {_LEAVES} SELECT o_orderkey, true AS same, 'BIGINT' AS kind, string_agg(l_partkey::VARCHAR, ',' ORDER BY i) AS parts FROM o LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY o_orderkey"
+
+
 def page_metadata(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     m = records.path_metadata(F.regexp_replace("url", "[?#].*$", ""))
@@ -186,6 +226,8 @@ QUERIES = {
     "sink_remaining": (remaining, "SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1"),
     "valid_violations": (violations, VIOLATION_SQL),
     "valid_documents": (valid_documents, "SELECT l_orderkey, bool_and(l_returnflag IN ('R', 'A') AND l_discount <= 0.08) AS valid FROM lineitem GROUP BY 1"),
+    "valid_schema": (schema_violations, SCHEMA_SQL),
+    "nest_rebuild_lists": (rebuilt, REBUILD_SQL),
     "source_page_metadata": (page_metadata, PAGE_SQL),
     "source_page_text": (page_text, PAGE_TEXT_SQL),
     "source_folder_gold": (folder_gold, FOLDER_SQL),
