@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.similarity import token_jaccard, token_scores
 from loomery.operators import graph
+from loomery.operators.skewed import split_join
 from loomery.sources.rounds import settled
 
 
@@ -39,7 +41,9 @@ def pairs(gold: DataFrame, predicted: DataFrame, group: Sequence[str]) -> DataFr
 
 
 def greedy(matches: DataFrame, group: Sequence[str]) -> DataFrame:
-    """From match pairs (group, p, g): predictions in order take the first gold that is still free. tp per group."""
+    """From match pairs (group, p, g): predictions in order take the first gold that is still free. tp per group. Each choice
+    hangs on all before it, so a group is one row, in time of its pairs and the square of its predictions: a group is meant to
+    be a document."""
     lists = matches.groupBy(*group, "p").agg(F.array_sort(F.collect_set("g")).alias("gs")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("p", "gs"))).alias("ps"))
     kind = dict(matches.dtypes)["g"]
     taken = F.aggregate("ps", F.array().cast(f"array<{kind}>"), lambda used, x: F.concat(used, F.slice(F.array_except(x.gs, used), 1, 1)))
@@ -96,11 +100,92 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(of[j]) - 1, j - 1) for j in range(1, m + 1) if of[j])
 
 
-def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0, most: int = 100_000) -> DataFrame:
+def assign_sparse(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Of scored pairs the places of those that make up the assignment of greatest total score, in memory of the order of
+    the pairs. Rows are 0 .. n-1 on either side. Each left row in turn finds its shortest augmenting path among the pairs
+    that it reaches; a path may also end in leaving a row of it without a partner. Of several best assignments the order of
+    the rows decides, and what lies in other components has no say."""
+    n, m = int(left.max(initial=-1)) + 1, int(right.max(initial=-1)) + 1
+    by = np.argsort(left, kind="stable")
+    start = np.searchsorted(left[by], np.arange(n + 1)).tolist()
+    to, gain, place = right[by].tolist(), score[by].astype(float).tolist(), by.tolist()
+    u, v = [max(0.0, max(gain[start[i] : start[i + 1]], default=0.0)) for i in range(n)], [0.0] * m  # what rows are worth: u + v >= score
+    owner, chosen = [-1] * m, [-1] * n  # of a right row its left row; of a left row its pair
+    for first in range(n):
+        far, back, seen, heap = {}, {}, {}, []
+        reached = {first: 0.0}
+        end, row, here = (float("inf"), -1, -1), first, 0.0
+        while True:
+            if here + u[row] < end[0]:
+                end = (here + u[row], row, -1)  # leaves this row alone
+            for k in range(start[row], start[row + 1]):
+                j = to[k]
+                d = here + max(0.0, u[row] + v[j] - gain[k])
+                if j not in seen and d < far.get(j, float("inf")):
+                    far[j], back[j] = d, (row, k)
+                    heapq.heappush(heap, (d, j))
+            while heap and heap[0][1] in seen:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end[0]:
+                break
+            d, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                end = (d, -1, j)
+                break
+            seen[j] = d
+            row, here = owner[j], d
+            reached[row] = d
+        total, alone, j = end
+        for i, d in reached.items():
+            u[i] = max(0.0, u[i] - (total - d)) if d < total else u[i]
+        for k, d in seen.items():
+            v[k] += total - d
+        if alone >= 0:  # its right row goes to the row before it on the path
+            if alone == first:
+                continue
+            j = to[chosen[alone]]
+            chosen[alone] = -1
+        while True:
+            i, k = back[j]
+            old, chosen[i], owner[j] = chosen[i], k, i
+            if i == first:
+                break
+            j = to[old]
+    return np.array(sorted(place[k] for k in chosen if k >= 0), np.int64)
+
+
+def auction(scored: DataFrame, by: Sequence[str], step: float = 0.01, rounds: int = 10_000) -> DataFrame:
+    """From scored pairs (by.., g, p, score > 0) an assignment whose total is within ``step`` for each assigned pair of the
+    greatest. In each round every g without a partner bids for the p of most value to it, what it can gain over its second
+    choice and ``step``; a p goes to the highest bid and its price rises to that. A g to which nothing is worth its price
+    drops out. Each round is a few joins and aggregates over the bidders' pairs, written to the shared folder."""
+    by = list(by)
+    all_pairs = settled(scored.select(*by, "g", "p", "score"))
+    free = settled(all_pairs.select(*by, "g").distinct())
+    held = settled(all_pairs.limit(0).select(*by, "p", F.col("g"), F.col("score").cast("double").alias("price")))
+    for _ in range(rounds):
+        if free.isEmpty():
+            break
+        prices = held.select(*by, "p", "price")
+        offers = all_pairs.join(free, [*by, "g"], "left_semi").join(prices, [*by, "p"], "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("value", F.col("score") - F.col("price"))
+        order = Window.partitionBy(*by, "g").orderBy(F.desc("value"), "p")
+        two = offers.withColumn("nth", F.row_number().over(order)).where("nth <= 2").groupBy(*by, "g").agg(F.max(F.when(F.col("nth") == 1, F.struct("value", "p", "price"))).alias("best"), F.max(F.when(F.col("nth") == 2, F.col("value"))).alias("second"))
+        bids = two.where("best.value > 0").select(*by, "g", F.col("best.p").alias("p"), (F.col("best.price") + F.col("best.value") - F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0)) + step).alias("bid"))
+        bids = settled(bids)
+        won = settled(bids.groupBy(*by, "p").agg(F.min_by("g", F.struct(-F.col("bid"), F.col("g"))).alias("g"), F.max("bid").alias("price")))
+        lost = bids.join(won.select(*by, "p", "g"), [*by, "p", "g"], "left_anti").select(*by, "g")
+        ousted = held.join(won.select(*by, "p"), [*by, "p"], "left_semi").select(*by, "g")
+        held = settled(held.join(won.select(*by, "p"), [*by, "p"], "left_anti").select(*by, "p", "g", "price").union(won.select(*by, "p", "g", "price")))
+        free = settled(lost.union(ousted))
+    return all_pairs.join(held.select(*by, "g", "p"), [*by, "g", "p"], "left_semi")
+
+
+def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0, most: int = 100_000, largest: int = 2_000_000, step: float = 0.01) -> DataFrame:
     """From scored pairs (group, g, p, score), missing pairs scoring 0: the assignment of greatest total score, rows with
     at least ``least``. Pairs that are each other's only partner are settled in Spark. Python sees the rest, one group at a
-    time; groups of more than ``most`` pairs are first cut into the components that positive scores connect, as no pair
-    reaches from one to another."""
+    time, in memory of the order of its pairs; groups of more than ``most`` pairs are first cut into the components that
+    positive scores connect, which changes nothing in what comes out. A component of more than ``largest`` pairs is no
+    single task's work: it is settled by an ``auction``, within ``step`` a pair of the greatest total."""
     scored = scored.where("score > 0").select(*group, "g", "p", "score")
     only = lambda c: scored.groupBy(*group, c).agg(F.count("*").alias(f"n_{c}"))
     counted = scored.join(only("g"), [*group, "g"]).join(only("p"), [*group, "p"])
@@ -108,24 +193,25 @@ def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0, most
     columns = [*group, "g", "p", "score"]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(pdf["g"], return_inverse=True)
-        p, pi = np.unique(pdf["p"], return_inverse=True)
-        score = np.zeros((len(g), len(p)))
-        score[gi, pi] = pdf["score"]
-        chosen = {(g[i], p[j]) for i, j in assign(-score) if score[i, j] > 0}
-        return pdf[[x in chosen for x in zip(pdf["g"], pdf["p"], strict=True)]]
+        pdf = pdf.sort_values(["g", "p"], kind="stable")
+        sides = [np.unique(pdf[c], return_inverse=True)[1] for c in ("g", "p")]
+        return pdf.iloc[assign_sparse(*sides, pdf["score"].to_numpy())]
 
     rest = counted.where(~alone).select(*columns).withColumn("__part", F.lit(0).cast("long"))
     large = rest.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*group)
+    found = counted.where(alone).select(*columns)
     if large.limit(1).count():
         # equal hashes of two ends would only keep two components together
         ends = settled(rest.join(large, list(group), "left_semi").withColumns({"__a": F.xxhash64(*group, F.lit("g"), "g"), "__b": F.xxhash64(*group, F.lit("p"), "p")}))
         labels = graph.components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
-        cut = ends.join(labels, ends["__a"] == labels["id"]).select(*columns, F.col("component").alias("__part"))
+        cut = settled(split_join(ends.withColumnRenamed("__a", "id"), labels, "id", F.col("__b")).select(*columns, F.col("component").alias("__part")))
+        huge = settled(cut.groupBy("__part").agg(F.count("*").alias("__n")).where(F.col("__n") > largest).select("__part"))
+        if not huge.isEmpty():
+            found = found.unionByName(auction(cut.join(huge, "__part", "left_semi"), group, step).select(*columns))
+            cut = cut.join(huge, "__part", "left_anti")
         rest = rest.join(large, list(group), "left_anti").unionByName(cut)
-    kind = scored.schema
-    found = counted.where(alone).select(*columns).unionByName(rest.groupBy(*group, "__part").applyInPandas(lambda pdf: settle(pdf[columns]), kind))
-    return found.where(F.col("score") >= least)
+    settled_in_tasks = rest.groupBy(*group, "__part").applyInPandas(lambda pdf: settle(pdf[columns]), scored.schema)
+    return found.unionByName(settled_in_tasks).where(F.col("score") >= least)
 
 
 def soft_counts(gold: DataFrame, predicted: DataFrame, group: Sequence[str], text: str = "text", least: float = 0.8) -> DataFrame:
