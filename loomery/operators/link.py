@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions.similarity import edit_ratio, token_set_ratio, tokens
 from loomery.operators.nested import steps, values_at, with_path
+from loomery.operators.skewed import split_join
 
 
 def exact(mentions: DataFrame, kb: DataFrame) -> DataFrame:
@@ -18,29 +19,45 @@ def exact(mentions: DataFrame, kb: DataFrame) -> DataFrame:
     return found.groupBy("mention").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def grams(c: Column, n: int = 3) -> Column:
-    """The distinct runs of n characters of the text with n - 1 marks before and behind it."""
-    padded = F.concat(F.lit("\x01" * (n - 1)), c, F.lit("\x02" * (n - 1)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + (n - 1)), lambda i: F.substring(padded, i, F.lit(n))))
+def _spare(length: Column, percent: int) -> Column:
+    """The most characters that may be over, on both sides together, between a text of this length and one of any length
+    whose edit ratio with it is ``percent`` or more."""
+    return F.floor(length * (2 * (100 - percent)) / percent + 1e-9).cast("int")
 
 
-def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, n: int = 3, form: Callable[[Column], Column] = F.lower) -> DataFrame:
+def _segment(i: Column, length: Column, parts: Column) -> tuple[Column, Column]:
+    """Start, from 0, and length of segment i of ``parts``."""
+    at = lambda k: F.floor(k * length / parts).cast("int")
+    return at(i), at(i + 1) - at(i)
+
+
+def blocked(mentions: DataFrame, kb: DataFrame, percent: int = 85, form: Callable[[Column], Column] = F.lower) -> DataFrame:
     """Pairs (mention, low, synonym, id) that an edit ratio of ``percent`` or more may join, between a mention and a
-    synonym's ``form`` (low): lengths within the ratio's bound, and a common run among the rarest of each side. A match
-    leaves at most d = (200 / percent - 2) * length characters over, each spoils at most n runs, and a text has
-    length + n - 1 of them, so the n * d + 1 rarest hold a common one."""
-    side = lambda df, c: df.select(c).distinct().withColumn("len", F.length(c)).withColumn("g", F.explode(grams(F.col(c), n)))
-    left, right = side(mentions, "mention"), side(kb.withColumn("low", form(F.col("synonym"))), "low")
-    often = right.groupBy("g").agg(F.count("*").alias("f"))
-
-    def prefix(x: DataFrame, c: str) -> DataFrame:
-        spoiled = F.ceil((200 - 2 * percent) / percent * F.col("len")).cast("int") * n + 1
-        order = Window.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "g")
-        return x.join(often, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= spoiled).select(c, "len", "g")
-
-    a, b = prefix(left, "mention"), prefix(right, "low").withColumnRenamed("len", "len2")
-    bound = 200 * F.least("len", "len2") >= percent * (F.col("len") + F.col("len2"))
-    pairs = a.join(b, "g").where(bound).select("mention", "low").distinct()
+    synonym's ``form`` (low). No such pair is lost.
+
+    A synonym with up to d characters over is cut in d + 1 segments. One of them, the i-th, stands whole in the mention, at most
+    i places from its own place counted from the left, and at most d - i counted from the right: of the first segments whose
+    sum of changes is no more than their number, the last is unchanged. So a mention looks up, for every length that a partner
+    can have, its pieces at those places. Pieces that many synonyms share are dealt over several tasks."""
+    ends = lambda c: F.length(c).alias("len")
+    right = kb.select(form(F.col("synonym")).alias("low")).where("low is not null").distinct().select("low", ends("low"))
+    parts = _spare(F.col("len"), percent) + 1
+    right = right.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    start, size = _segment(F.col("i"), F.col("len"), F.col("parts"))
+    right = right.select("low", F.col("len").alias("len2"), "i", F.substring("low", start + 1, size).alias("piece"))
+
+    left = mentions.select("mention").where(F.col("mention").isNotNull()).distinct().select("mention", ends("mention"))
+    lowest, highest = F.ceil(F.col("len") * percent / (200 - percent) - 1e-9).cast("int"), F.floor(F.col("len") * (200 - percent) / percent + 1e-9).cast("int")
+    left = left.withColumn("len2", F.explode(F.sequence(lowest, highest))).withColumn("d", _spare(F.col("len2"), percent))
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), "d"))).withColumn("over", F.col("len") - F.col("len2"))
+    start, size = _segment(F.col("i"), F.col("len2"), F.col("d") + 1)
+    left = left.withColumn("start", start).withColumn("size", size)
+    least = F.greatest(-F.col("i"), F.col("over") - (F.col("d") - F.col("i")), -F.col("start"))
+    most = F.least(F.col("i"), F.col("over") + (F.col("d") - F.col("i")), F.col("len") - F.col("size") - F.col("start"))
+    left = left.where(least <= most).withColumn("shift", F.explode(F.sequence(least, most)))
+    left = left.select("mention", "len2", "i", F.substring("mention", F.col("start") + F.col("shift") + 1, F.col("size")).alias("piece")).distinct()
+
+    pairs = split_join(right, left, ["len2", "i", "piece"], F.col("low")).select("mention", "low").distinct()
     return pairs.join(kb.withColumn("low", form(F.col("synonym"))), "low").select("mention", "low", "synonym", "id")
 
 
@@ -55,7 +72,8 @@ def contained(inner: DataFrame, x: str, outer: DataFrame, y: str, n: int = 3) ->
     wholes = wholes.select(y, "whole", F.explode(F.array_distinct(every)).alias("g")).join(parts.select("g").distinct(), "g", "left_semi")
     often = wholes.groupBy("g").agg(F.count("*").alias("f"))
     rarest = parts.join(often, "g", "left").groupBy(x, "low").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r"))
-    return rarest.select(x, "low", F.col("r.g").alias("g")).join(wholes, "g").where(F.contains("whole", F.col("low"))).select(x, y)
+    met = split_join(wholes, rarest.select(x, "low", F.col("r.g").alias("g")), "g", F.col(y))
+    return met.where(F.contains("whole", F.col("low"))).select(x, y)
 
 
 def substring(mentions: DataFrame, kb: DataFrame) -> DataFrame:
@@ -88,7 +106,45 @@ def shared_words(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataF
         total = F.sum(F.length("w") + 1).over(Window.partitionBy(c))
         return x.join(often, "w").withColumn("before", before).withColumn("total", total).where(F.col("before") <= free * F.col("total") + 1).select(c, "w")
 
-    return rare(left, "mention").join(right, "w").select("mention", "synonym").union(left.join(rare(right, "synonym"), "w").select("mention", "synonym")).distinct()
+    one, two = split_join(right, rare(left, "mention"), "w", F.col("synonym")), split_join(rare(right, "synonym"), left, "w", F.col("synonym"))
+    return one.select("mention", "synonym").union(two.select("mention", "synonym")).distinct()
+
+
+def _words(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(tokens(c)))
+
+
+def reordered(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
+    """Pairs (mention, synonym) that may reach ``percent`` with their common words put first in both and the rest behind,
+    in order. Without a common word these are the texts of their sorted words, which ``blocked`` joins. With one, the pair meets at
+    that word and at the synonym's length, if the counts of characters, in 16 classes, differ by no more than may be over:
+    no order of the words can make up for a character that is missing. Words that many synonyms share are dealt over several
+    tasks, and only the first common word of a pair, the rarest, hands it on."""
+    text = lambda c: F.array_join(_words(c), " ")
+    asked = mentions.select("mention").where(F.size(tokens(F.col("mention"))) > 0).distinct().withColumn("said", text(F.col("mention")))
+    known = kb.select("synonym").where(F.size(tokens(F.col("synonym"))) > 0).distinct().withColumn("low", text(F.col("synonym")))
+    apart = blocked(asked.select(F.col("said").alias("mention")), kb, percent, form=text).select(F.col("mention").alias("said"), "synonym")
+
+    def sides(df: DataFrame, name: str) -> DataFrame:
+        chars = F.split(name, "")
+        counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(chars, lambda c: (c != "") & (F.pmod(F.ascii(c), F.lit(16)) == k))))
+        return df.withColumn("n", F.length(name)).withColumn("counts", counts).withColumn("ws", F.split(name, " "))
+
+    a, b = sides(asked, "said"), sides(known, "low")
+    often = b.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+
+    def rarest_first(df: DataFrame, key: str) -> DataFrame:
+        each = df.select(key, F.explode("ws").alias("w")).join(often, "w").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x.w).alias("ws"))
+        return df.drop("ws").join(each, key).withColumn("w", F.explode("ws"))
+
+    lowest, highest = F.ceil(F.col("n") * percent / (200 - percent) - 1e-9).cast("int"), F.floor(F.col("n") * (200 - percent) / percent + 1e-9).cast("int")
+    a = rarest_first(a.select("mention", "said", "n", "counts", "ws"), "mention").withColumn("n2", F.explode(F.sequence(lowest, highest)))
+    a = a.select("mention", "w", "n2", "n", F.col("counts").alias("counts1"), F.col("ws").alias("ws1"))
+    b = rarest_first(b.select("synonym", "low", "n", "counts", "ws"), "synonym").select("synonym", "w", F.col("n").alias("n2"), "counts", "ws")
+    over = F.aggregate(F.zip_with("counts", "counts1", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    met = split_join(b, a, ["w", "n2"], F.col("synonym")).where(100 * over <= (100 - percent) * (F.col("n") + F.col("n2")))
+    met = met.where(F.get(F.array_intersect("ws1", "ws"), F.lit(0)) == F.col("w")).select("mention", "synonym")
+    return asked.join(apart, "said").select("mention", "synonym").union(met).distinct()
 
 
 def fuzzy(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
@@ -101,16 +157,12 @@ def fuzzy(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
 def best(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
     """(mention, synonym, score): the synonym that scores best from ``percent`` on, the earliest on ties. A synonym that
     holds the mention, in any case, scores 100, others their edit ratio; below ``percent`` the token-set ratio counts.
-    Candidates come from substrings, blocks of edit ratios (also between texts with their words sorted) and shared words;
-    of the token-set ratio's three parts, the one between both texts with common words put first is found if the sorted
-    texts are as near or common words make up most of a text."""
+    Candidates come from substrings, blocks of edit ratios, shared words and reordered words; no pair that reaches
+    ``percent`` is lost."""
     asked = mentions.select("mention").where(F.col("mention") != "").distinct()
     plain = lambda c: c
-    in_order = lambda c: F.array_join(F.array_sort(F.array_distinct(tokens(c))), " ")
-    sorted_ = asked.select("mention", in_order(F.col("mention")).alias("said"))
-    by_words = blocked(sorted_.select(F.col("said").alias("mention")), kb, percent, form=in_order).select(F.col("mention").alias("said"), "synonym")
     pairs = contained(asked, "mention", kb, "synonym").unionByName(blocked(asked, kb, percent, form=plain).select("mention", "synonym"))
-    pairs = pairs.unionByName(sorted_.join(by_words, "said").select("mention", "synonym")).unionByName(shared_words(asked, kb, percent)).distinct()
+    pairs = pairs.unionByName(reordered(asked, kb, percent)).unionByName(shared_words(asked, kb, percent)).distinct()
     first = F.when(F.contains(F.lower("synonym"), F.lower("mention")), 100.0).otherwise(edit_ratio("mention", "synonym"))
     scored = pairs.withColumn("score", first)
     scored = scored.where(F.col("score") >= percent).unionByName(scored.where(F.col("score") < percent).withColumn("score", token_set_ratio(F.col("mention"), F.col("synonym"))))
