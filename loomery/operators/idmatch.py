@@ -12,13 +12,13 @@ from loomery.functions.similarity import token_set_ratio
 from loomery.functions.text import key_form
 from loomery.operators import matching, metrics
 
-SYNONYMS = 200  # of an id, in their order, that are compared by similarity
+SYNONYMS = 200  # fixed value: of an id, in their order, that are compared by similarity
 
 
-def name_matches(gold: DataFrame, predicted: DataFrame, known: DataFrame, group: Sequence[str], percent: int | None = 85, form=key_form) -> DataFrame:
+def name_matches(gold: DataFrame, predicted: DataFrame, known: DataFrame, group: Sequence[str], percent: int | None = 85, form=key_form, synonyms: int | None = SYNONYMS) -> DataFrame:
     """(group, p, g): predictions (group, p, ids, value) and gold names (group, g, text) that agree. Equal keys first: an
     id's ``name``, ``formula`` or any of its ``synonyms`` in ``known`` (id, ...), or the value itself, joined on the key.
-    With ``percent``, names, the first SYNONYMS synonyms and values also match from that token-set ratio on; those pairs
+    With ``percent``, names, the first ``synonyms`` synonyms (None: all) and values also match from that token-set ratio on; those pairs
     meet only within their group."""
     golds = gold.where(F.col("text") != "").select(*group, "g", form(F.col("text")).alias("key"))
     asked = predicted.select(*group, "p", F.explode("ids").alias("id"))
@@ -28,7 +28,9 @@ def name_matches(gold: DataFrame, predicted: DataFrame, known: DataFrame, group:
     by_key = asked.join(exact, "id").select(*group, "p", "key").unionByName(own).join(golds, [*group, "key"])
     found = [by_key.select(*group, "p", "g")]
     if percent is not None:
-        near = known.select("id", F.explode(names(F.concat(F.array("name"), F.slice(F.coalesce("synonyms", F.array()), 1, SYNONYMS)))).alias("said"))
+        compared = F.coalesce("synonyms", F.array().cast("array<string>"))
+        compared = compared if synonyms is None else F.slice(compared, 1, synonyms)
+        near = known.select("id", F.explode(names(F.concat(F.array("name"), compared))).alias("said"))
         said = asked.join(near, "id").select(*group, "p", form(F.col("said")).alias("said")).unionByName(own.withColumnRenamed("key", "said"))
         pairs = said.distinct().join(golds, list(group)).where(token_set_ratio(F.col("key"), F.col("said")) >= percent)
         found.append(pairs.select(*group, "p", "g"))

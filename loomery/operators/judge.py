@@ -13,18 +13,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.sources.ledger import Ledger
 from loomery.sources.rounds import settled
 
 ModelFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def extract(docs: DataFrame, model: ModelFunction, prompt: Column, schema: str, tries: int = 3) -> tuple[DataFrame, DataFrame]:
+def extract(docs: DataFrame, model: ModelFunction, prompt: Column, schema: str, tries: int = 3, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): the model sees ``doc_id`` and ``prompt`` and returns ``doc_id`` and ``reply``; replies that are
-    not JSON of the schema are asked for again, up to ``tries`` times in all."""
+    not JSON of the schema are asked for again, up to ``tries`` times in all. A ``ledger`` of (doc_id, attempt) and (reply)
+    keeps the replies for later runs."""
     left = docs.select("doc_id", prompt.alias("prompt"))
     records: DataFrame | None = None
-    for _ in range(tries):
-        replies = settled(left.join(left.mapInPandas(model, "doc_id long, reply string"), "doc_id", "left"))
+    for attempt in range(tries):
+        if ledger is None:
+            said = left.mapInPandas(model, "doc_id long, reply string")
+        else:
+            numbered = lambda frames, attempt=attempt: (f.assign(attempt=attempt) for f in model(frames))
+            said = ledger.ask(left.withColumn("attempt", F.lit(attempt)), numbered).select("doc_id", "reply")
+        replies = settled(left.join(said, "doc_id", "left"))
         parsed = replies.withColumn("record", F.from_json("reply", schema)).withColumn("ok", F.col("record").isNotNull() & F.try_parse_json("reply").isNotNull())
         good = parsed.where("ok").select("doc_id", "record")
         records = good if records is None else records.unionByName(good)
@@ -32,13 +39,19 @@ def extract(docs: DataFrame, model: ModelFunction, prompt: Column, schema: str,
     return records, left
 
 
-def rate(docs: DataFrame, rubrics: DataFrame, judges: list[tuple[str, ModelFunction]]) -> DataFrame:
-    """(doc_id, rubric, judge, idx, rating, rationale) by every judge for every enabled rubric; failed ratings left out."""
+def rate(docs: DataFrame, rubrics: DataFrame, judges: list[tuple[str, ModelFunction]], ledger: Ledger | None = None) -> DataFrame:
+    """(doc_id, rubric, judge, idx, rating, rationale) by every judge for every enabled rubric; failed ratings left out. A
+    judge is called once for a document and rubric: the ratings are written to the shared folder, or to a ``ledger`` of (doc_id,
+    rubric, judge) and (rating, rationale), which later runs find again."""
     few = F.array(*[F.struct(F.lit(r.rubric).alias("rubric"), F.lit(r.description).alias("description")) for r in rubrics.where("enabled").collect()])
     asked = docs.withColumn("r", F.explode(few)).select(*docs.columns, "r.*")
     out: DataFrame | None = None
     for idx, (name, model) in enumerate(judges):
-        one = asked.mapInPandas(model, "doc_id long, rubric string, rating int, rationale string").where("rating is not null")
+        if ledger is None:
+            one = settled(asked.mapInPandas(model, "doc_id long, rubric string, rating int, rationale string").where("rating is not null"))
+        else:
+            named = lambda frames, model=model, name=name: (f.assign(judge=name) for f in model(frames))
+            one = ledger.ask(asked.withColumn("judge", F.lit(name)), named)
         one = one.select("doc_id", "rubric", F.lit(name).alias("judge"), F.lit(idx).alias("idx"), "rating", "rationale")
         out = one if out is None else out.unionByName(one)
     return out

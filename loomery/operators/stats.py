@@ -81,6 +81,16 @@ def dataset_profile(mentions: DataFrame, split: str, kind: str, doc: str, identi
     return sets.select(split, F.when(F.col("g") == 1, "all").otherwise(F.col(kind).cast("string")).alias(kind), "docs", "mentions", "ids", "novel")
 
 
+def relation_profile(relations: DataFrame, split: str, kind: str, doc: str, members: list[str], novel: Column | None = None) -> DataFrame:
+    """By split, type and arity (the members that are not null), and by split and arity over all types ("all"): relations,
+    documents and the share of novel ones. Relations of fewer than two members are none."""
+    arity = sum((F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in members), F.lit(0)).cast("int")
+    share = F.avg((novel if novel is not None else F.lit(False)).cast("int"))
+    rows = relations.withColumn("arity", arity).where("arity >= 2")
+    sets = rows.groupingSets([[split, kind, "arity"], [split, "arity"]], split, kind, "arity").agg(F.count("*").alias("relations"), F.count_distinct(doc).alias("docs"), F.round(share, 6).alias("novel"), F.grouping(kind).alias("g"))
+    return sets.select(split, F.when(F.col("g") == 1, "all").otherwise(F.col(kind).cast("string")).alias(kind), "arity", "relations", "docs", "novel")
+
+
 def ids_in_text(df: DataFrame, text: Column, pattern: str, group: int = 0) -> DataFrame:
     """The distinct ids that a pattern finds anywhere in the texts."""
     return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("id")).distinct()

@@ -290,7 +290,9 @@ def sentence_texts(spark, d):
 
 
 def parallel_rows(spark, d):
-    docs = _table(spark, d, "part").select(F.array(F.struct("p_partkey", "p_name", "p_type").alias("x")).alias("x")).select(F.col("x.p_name").alias("text"), F.col("x.p_type").alias("label"))
+    """A brand's parts as parallel arrays, in order of their numbers."""
+    listed = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type")))
+    docs = _table(spark, d, "part").groupBy("p_brand").agg(listed.alias("x")).select(F.col("x.p_name").alias("text"), F.col("x.p_type").alias("label"))
     return corpora.positions(docs, "text", "label").groupBy("idx", "text", "label").agg(F.count("*").alias("n"))
 
 
@@ -407,7 +409,7 @@ QUERIES = {
     "sink_flat_export": (flat_export, EXPORT_SQL),
     "source_pubtator": (pubtator, PUBTATOR_SQL),
     "source_sentence_texts": (sentence_texts, "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn, text)) AS hash FROM conversations GROUP BY 1"),
-    "source_parallel_rows": (parallel_rows, "SELECT 0 AS idx, p_name AS text, p_type AS label, count(*) AS n FROM part GROUP BY ALL"),
+    "source_parallel_rows": (parallel_rows, "WITH p AS (SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS idx, p_name AS text, p_type AS label FROM part) SELECT idx::INT AS idx, text, label, count(*) AS n FROM p GROUP BY ALL"),
     "source_synonym_dictionary": (synonym_dictionary, "SELECT p_name AS synonym, count(*) AS n FROM (SELECT p_name, p_partkey AS id FROM part UNION ALL SELECT p_name, p_size FROM part) GROUP BY 1"),
     "score_positional": (positional, POSITIONAL_SQL),
     "score_matches_by_functions": (matched_by, f"WITH l AS (SELECT l_orderkey, l_linenumber, p_brand, l_returnflag, l_discount FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT DISTINCT a.l_orderkey, b.l_linenumber AS p, a.l_linenumber AS g FROM l a JOIN l b USING (l_orderkey, p_brand) WHERE a.l_returnflag = 'R' AND b.l_discount >= 0.05"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.plans import annotations, jobs, linking, profiles, records, scoring, texts
+from loomery.plans import annotations, jobs, linking, mechanisms, profiles, records, scoring, texts
 
-_ALL = scoring.QUERIES | texts.QUERIES | records.QUERIES | linking.QUERIES | jobs.QUERIES | profiles.QUERIES | annotations.QUERIES
+_ALL = scoring.QUERIES | texts.QUERIES | records.QUERIES | linking.QUERIES | jobs.QUERIES | profiles.QUERIES | annotations.QUERIES | mechanisms.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.operators.skewed import split_join
+
 #: Folder names that say nothing about a record.
 STRUCTURAL = ("results", "extractions", "experimental-usecase", "simulation-usecase", "processed", "raw", "data")
 
@@ -62,3 +64,12 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def of_document(extractions: DataFrame, documents: DataFrame, how: str = "inner") -> DataFrame:
+    """Extractions (path, ..) with the ``text`` of the document (stem, text) they were made from, by the file name without its
+    ending. Extractions without a document are left out, or, with ``how`` "left", have a null text. Of documents of one name in
+    several folders the first path counts; a document of very many extractions is dealt over several tasks."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    first = documents.groupBy("stem").agg(F.min_by("text", "path").alias("text"))
+    return split_join(extractions.withColumn("stem", stem), first, "stem", F.col("path"), how)

@@ -5,25 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written once below ``spark.checkpoint.dir`` and read back: a later round starts from the files, and a lost executor
-    repeats no model call of an earlier one. Where the setting is unset, a temporary folder in local mode; elsewhere an
-    error, as a machine-local folder would lose rows."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``. Where the setting is unset, a temporary folder in local
+    mode; elsewhere an error, as a machine-local folder would lose rows."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="spark-rounds-"))
-        folder = f"file://{_local[0]}"
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="spark-rounds-"))
+    return f"file://{_local[0]}"
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written once in the shared folder and read back: a later round starts from the files, and a lost executor repeats no
+    model call of an earlier one."""
+    path = passing_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
