@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled to one sphere (with one more coordinate, so that the nearest point has the largest inner product, also
-between vectors of different length). In each of ``tables`` tables a pseudo-rotation, three rounds of random signs and a
-fast Hadamard transform, is applied, and the vector goes to the signed axis that it is nearest to. A query looks in the
-``probes`` nearest axes of each table, and all vectors found there are ranked by their exact inner product.
+Vectors are cut into slices by length, each within a factor of the fourth root of two (the last one takes all that are shorter),
+and scaled to one sphere per slice, with one more coordinate, so that the nearest point has the largest inner product. In
+each of ``tables`` tables a pseudo-rotation, three rounds of random signs and a fast Hadamard transform, is applied, and the
+vector goes to the signed axis that it is nearest to. A query looks in the ``probes`` nearest axes of each table and slice,
+and all vectors found there are ranked by their exact inner product. Queries that found fewer than ``k`` look again, in four
+times as many axes, and if that is not enough in all axes of one table, which hold every vector.
 
-How it scales. Equal vectors are one entry with their k + 1 smallest ids, so a group of copies costs one. A table's cell
-with many entries is dealt in pieces, and so are the queries that look there; each task ranks one piece of queries against
-one piece of entries and hands on k + 1 per query. No list of candidate pairs is ever made.
+How it scales. Equal vectors are one entry with their k + 1 smallest ids, so a group of copies costs one; their queries
+search once. A table's cell with many entries is dealt in pieces, and so are the queries that look there; each task ranks one
+piece of queries against one piece of entries and hands on k + 1 per query. No list of candidate pairs is ever made.
 
 On the given tables (random directions, the hardest case) recall is 0.95 and more; see the tests and the README.
 
 Cases: null vectors, zero vectors, and vectors with a null, infinite or undefined component take no part, nor do rows with
 a null id or vectors of another length than the most frequent one. An id given twice with one vector counts once. Ties go
-to the smaller id. A query with fewer than k candidates gets all that were found. Other columns are dropped.
+to the smaller id. A query with fewer than k candidates gets all. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm import spill, textkit
+from loomery.llm import skew, spill, textkit
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,21 +59,28 @@ def axes(x: np.ndarray, tables: int, probes: int, seed: int = 41) -> np.ndarray:
     return out
 
 
-def _cells(rows: DataFrame, longest: float, tables: int, probes: int, query: bool) -> DataFrame:
-    """(key, low, vec, cell): cells are table * 2**16 + axis, as many rows as there are."""
+SLICES = 32  # by length, of a factor of the fourth root of two each
+
+
+def _cells(rows: DataFrame, longest: dict[int, float], tables: int, probes: int, query: bool) -> DataFrame:
+    """(key, low, vec, cell), as many rows as there are cells to look in: slice, table and axis in one number. ``rows``:
+    key, low, vec, slice; a query looks in all slices."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.batches(given, 2000):
-            x = np.stack(batch.column(2).to_pylist()) / longest
+            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
+            at = batch.column(3).to_numpy()
+            x /= np.linalg.norm(x, axis=1, keepdims=True) if query else np.array([longest[s] for s in at])[:, None]
             rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-            cells = axes(np.c_[x, rest], tables, probes) + (np.arange(tables, dtype=np.int32) << 16)[:, None]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells.reshape(len(x), -1)), pa.list_(pa.int32()))], ["key", "low", "vec", "cells"])
+            cells = (axes(np.c_[x, rest], tables, probes) + (np.arange(tables, dtype=np.int32) << 16)[:, None]).reshape(len(x), -1)
+            cells = np.concatenate([cells + (s << 24) for s in sorted(longest)], 1) if query else cells + (at[:, None] << 24)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], ["key", "low", "vec", "cells"])
 
-    made = rows.select("key", "low", "vec").mapInArrow(run, "key string, low long, vec array<double>, cells array<int>")
-    return made.select("key", "low", F.col("vec").cast("array<double>").alias("vec"), F.explode("cells").alias("cell"))
+    made = rows.select("key", "low", "vec", "slice").mapInArrow(run, "key string, low long, vec array<double>, cells array<int>")
+    return made.select("key", "low", "vec", F.explode("cells").alias("cell"))
 
 
-def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = 16, probes: int = 8, piece: int = 4096) -> DataFrame:
+def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = 16, probes: int = 12, piece: int = 4096) -> DataFrame:
     """For each row that ``queries`` selects: query_id, rank (from 1), vec_id and score of its ``k`` nearest others."""
     spark = df.sparkSession
     spill.small_batches(spark)
@@ -84,17 +93,44 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     if not sizes:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("vec") == sizes[0].d).withColumn("key", F.concat_ws(".", F.xxhash64("vec").cast("string"), F.xxhash64(F.lit(1), "vec").cast("string")))
+    at = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(4 * F.log2(F.lit(sizes[0].norm) / F.col("norm"))))).cast("int")
 
     of_key = Window.partitionBy("key").orderBy("id")
-    copies = spill.stash(rows.select("key", "id", "vec").withColumn("nth", F.dense_rank().over(of_key)).where(F.col("nth") <= k + 1))
-    entries = copies.where("nth = 1").dropDuplicates(["key"]).select("key", F.col("id").alias("low"), "vec")
-    asking = rows.where("asks").select(F.col("id").alias("query_id"), "key").distinct()
-    asked = asking.select("key").distinct().join(entries, "key")
-
-    held = spill.stash(_cells(entries, sizes[0].norm, tables, 1, False))
-    looks = spill.stash(_cells(asked, sizes[0].norm, tables, probes, True))
+    copies = spill.stash(rows.select("key", "id", "vec", "norm", at.alias("slice")).withColumn("nth", F.dense_rank().over(of_key)).where(F.col("nth") <= k + 1))
+    entries = copies.where("nth = 1").dropDuplicates(["key"]).select("key", F.col("id").alias("low"), "vec", "norm", "slice")
+    longest = {r.slice: r.norm for r in entries.groupBy("slice").agg(F.max("norm").alias("norm")).collect()}
+    asking = spill.stash(rows.where("asks").select(F.col("id").alias("query_id"), "key").distinct())
+    counts = spill.stash(asking.groupBy("key").agg(F.count("*").alias("n")))
+    asked = spill.stash(entries.join(counts.select("key"), "key", "left_semi"))
+    held = spill.stash(_cells(entries, longest, tables, 1, False))
+    ids = spill.stash(copies.select("key", "id").distinct().groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # at most k + 1 each
+    due = min(k + 1, ids.select(F.size("ids").alias("n")).agg(F.sum("n")).first()[0])
+
+    best = near = None
+    # All axes of the first table hold every entry.
+    for turn, (n_tables, n_probes) in enumerate(((tables, probes), (tables, 4 * probes), (1, 1 << 16))):
+        if turn:
+            enough = near.groupBy("asker").agg(F.count("*").alias("n")).where(F.col("n") >= due).select(F.col("asker").alias("key"))
+            asked = spill.stash(asked.join(enough, "key", "left_anti"))
+            if asked.isEmpty():
+                break
+        found = _ranked(held, _cells(asked, longest, n_tables, n_probes, True), k, piece)
+        found = found if best is None else found.unionByName(best)
+        found = found.groupBy("asker", "key").agg(F.max("score").alias("score"), F.min("low").alias("low"))
+        best = spill.stash(found.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "low"))).where(F.col("nth") <= k + 1).drop("nth"))
+        each = best.join(ids, "key").select("asker", "score", F.explode("ids").alias("vec_id"))
+        near = spill.stash(each.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1))
+    lists = near.groupBy(F.col("asker").alias("key")).agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))  # k + 1 each
+    own = F.slice(F.filter("near", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    met = skew.split_join(asking, lists, "key", counts, asking.count(), F.col("query_id"))
+    return met.select("query_id", F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+
+
+def _ranked(held: DataFrame, looks: DataFrame, k: int, piece: int) -> DataFrame:
+    """(asker, key, low, score): of every piece of every cell the k + 1 nearest entries of each query that looks there."""
+    looks = spill.stash(looks)
     shares = lambda x, name, most: x.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    pieces = F.broadcast(shares(held, "pieces", piece).join(shares(looks, "turns", piece // 4), "cell"))  # one row per cell, at most tables * 2 * axes
+    pieces = F.broadcast(shares(held, "pieces", piece).join(shares(looks, "turns", piece // 4), "cell"))  # one row per cell, at most SLICES * tables * 2 * axes
     held = held.join(pieces, "cell").select("cell", F.pmod(F.hash("key"), "pieces").alias("p"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("q"), "key", "low", "vec")
     looks = looks.join(pieces, "cell").select(F.col("cell").alias("at"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("ap"), F.pmod(F.hash("key"), "turns").alias("aq"), F.col("key").alias("asker"), F.col("vec").alias("to"))
 
@@ -120,15 +156,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
             keys, low, scores = held["key"].combine_chunks().take(pa.array(best)), low[best], np.concatenate(scores)
         return pa.table([pa.array(askers, pa.string()) if isinstance(askers, list) else askers, pa.array(keys, pa.string()) if isinstance(keys, list) else keys, pa.array(low, pa.int64()), pa.array(np.ravel(scores), pa.float64())], ["asker", "key", "low", "score"])
 
-    found = held.groupBy("cell", "p", "q").cogroup(looks.groupBy("at", "ap", "aq")).applyInArrow(rank, "asker string, key string, low long, score double")
-    best = found.groupBy("asker", "key").agg(F.max("score").alias("score"), F.min("low").alias("low"))
-    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "low"))).where(F.col("nth") <= k + 1)
-    ids = copies.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # at most k + 1 each
-    near = best.join(ids, "key").select("asker", "score", F.explode("ids").alias("vec_id"))
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
-    each = asking.join(near, asking.key == near.asker).where("vec_id <> query_id")
-    rank_of = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank_of).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return held.groupBy("cell", "p", "q").cogroup(looks.groupBy("at", "ap", "aq")).applyInArrow(rank, "asker string, key string, low long, score double")
 
 
 def op7_ann(spark, sf_dir: str) -> DataFrame:

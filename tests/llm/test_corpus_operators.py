@@ -192,6 +192,35 @@ def test_neighbours_recall(spark):
     assert _near(neighbours.op7_ann(spark, path).collect(), vectors, [i for i in vectors if i % 20 == 0], 20) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "k"), [(25, 20), (40, 20), (12, 20)])
+def test_neighbours_of_few_vectors_are_all_there(spark, n, k):
+    rng = np.random.default_rng(n)
+    vectors = {i: rng.normal(size=64) for i in range(n)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 10 == 0, k).collect()
+    assert Counter(r.query_id for r in got) == {i: min(k, n - 1) for i in range(0, n, 10)}
+    assert all(math.isclose(r.score, vectors[r.query_id] @ vectors[r.vec_id]) for r in got)
+
+
+def test_neighbours_recall_with_mixed_lengths(spark):
+    rng = np.random.default_rng(7)
+    for lengths in ([0.1, 1, 10], [1, 1.1, 1.3, 1.5]):
+        vectors = {i: v for i, v in enumerate(rng.normal(size=(400, 64)) * rng.choice(lengths, (400, 1)) / 8)}
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+        assert _near(neighbours.search(df, F.col("vec_id") % 20 == 0).collect(), vectors, [i for i in vectors if i % 20 == 0], 20) >= 0.9
+
+
+def test_neighbours_of_many_copies(spark):
+    """Queries that are copies of one vector search once and each get their own list."""
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i % 7), 1.0, -1.0]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, k=4)
+    lists = {r.query_id: r.ids for r in got.groupBy("query_id").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).collect()}
+    x = dict(rows)
+    want = {q: sorted(sorted((-sum(a * b for a, b in zip(x[q], v, strict=True)), i) for i, v in rows if i != q)[:4], key=lambda t: t[1]) for q in range(0, 1500, 20)}
+    assert lists == {q: [i for _, i in w] for q, w in want.items()}
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (20, [3.0, 0.1])]
