@@ -16,7 +16,7 @@ the square of those of its classes that no link has joined; rows do so only beyo
 at the threshold 0.85 is missed once in 10**8, at 0.8 three times in 10**6. Texts of hundreds of thousands of distinct
 shingles share their least numbers and so become candidates of each other; the test on full sets decides all the same.
 
-Cases: null ids take no part and are left out. A repeated id is one document and gives one row; if its texts differ, the
+Cases: rows with a null id link with nothing; each comes out, with its size and a null ``component_id``. A repeated id is one document and gives one row; if its texts differ, the
 one with the least hash stands. A null or wordless text has an empty set, links with nothing and is its own component.
 Texts of fewer words than ``width`` are one shingle; very long ones are taken whole. Other columns are dropped. An empty
 table gives an empty table.
@@ -78,7 +78,7 @@ def _sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = textkit.one_text_column(df, key, text=text).where(F.col(key).isNotNull())
+    rows = textkit.one_text_column(df, key, text=text)
     return rows.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
 
@@ -175,9 +175,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     """One row per id: key, ``n_shingles``, ``component_id`` (the least id reachable by links, itself included)."""
     spark = df.sparkSession
     spill.small_batches(spark)
-    sketches = _sketches(df, key, text, width)
+    all_sketches = spill.stash(_sketches(df, key, text, width))
     one = Window.partitionBy("id").orderBy("h")
-    sketches = spill.stash(sketches.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy"))
+    sketches = spill.stash(all_sketches.where("id is not null").withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy"))
     leads = spill.stash(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n")))  # one for each distinct set
     classes = spill.stash(sketches.join(leads.select("id"), "id", "left_semi").where("n > 0"))
     all_buckets = classes.select("id", "n", F.explode("bands").alias("bucket"))
@@ -194,9 +194,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
         labels = graph.components(links.union(more))
     by_class = leads.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     joined = skew.split_join(sketches, by_class, "digest", leads.select("digest", "n"), sketches.count(), F.col("id"), "left")
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    nameless = all_sketches.where("id is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.union(nameless)
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
-    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
