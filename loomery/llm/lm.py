@@ -7,12 +7,17 @@ filter as the q items (bigram, 1), ..., (bigram, q) and read by probing level af
 positive (below one in a hundred) adds a little mass. A text begins after an end token. D is DISCOUNT.
 
 The filter holds every bigram, cut into hash shards whose number grows with the corpus, so that a shard has about
-SHARD_TOKENS tokens' bigrams and one task holds it. All is exchanged in packets: documents are read once into blocks, each
-a list of its distinct tokens and, for each document, its places in that list. A block sends its distinct bigrams, with
-their counts in the texts that teach, to their shards; a shard sums the counts, builds its filter, and answers each block
-with the levels that the filter has, in the order of the block's bigrams, which are not sent back. What a shard's bigrams
-give to their first tokens goes to the shards of tokens, which get and answer the blocks' tokens likewise. A frequent
-token or bigram costs one entry per block, not one per use.
+SHARD_TOKENS tokens' bigrams and one task builds it. Documents are read once into blocks, each a list of its distinct
+tokens and, for each document, its places in that list. A block's distinct bigrams, with their counts in the texts that
+teach, stand in stored packets, one for each shard. Shards sum the counts and build their filters, and that is the last
+that is seen of the counts: filters are broadcast, as many shards at a time as make up FILTER_BYTES, and the stored packets
+of these shards probe them, level after level. What a block gets back are the levels found for its bigrams in their order. What a
+shard's bigrams give to their first tokens goes to the shards of tokens, which count the blocks' tokens and answer them
+likewise. A frequent token or bigram costs one entry per block, not one per use. The rounds of broadcasts grow with the
+corpus, at some 20 million tokens to a round; each reads its own packets only.
+
+A bigram is known by two 32-bit halves of its tokens' hashes. Of the tokens 0.2 % share their half with another one at 10**7
+distinct tokens, 2 % at 10**8, 21 % at 10**9; their bigrams are then counted together.
 
 Cases: a null text is the empty text: one end token. A very long text is one row of its block. A row whose ``learn`` is null does not teach. Repeated rows each
 count and each get their row. Null ids are kept. Other columns are dropped. An empty table gives an empty table; if no
@@ -37,6 +42,8 @@ from loomery.llm import spill, textkit
 DISCOUNT = 0.75
 SHARD_TOKENS = 1 << 21
 BASE = 1.3  # of the quantisation
+GROUP_TOKENS = 1 << 24  # tokens whose bigrams' packets are stored together
+FILTER_BYTES = 64 << 20  # of filters that are broadcast at once; one shard has some megabytes
 _PROBES = 4
 _BLOCK_TOKENS = 4_000_000
 _BLOCK_PAIRS = 2_000_000
@@ -196,29 +203,56 @@ def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return keys, n, np.split(back, np.cumsum([len(x) for x in parts])[:-1])
 
 
-def shard_levels(bigrams: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds: for each block (of_block, shard) the ``levels`` of its bigrams in their order; and, for each shard
-    of tokens, what this shard's bigrams give to their first tokens (shard, halves, sums)."""
+def shard_filters(bigrams: DataFrame, bits: int) -> DataFrame:
+    """Rows of two kinds: for each shard its filter (shard, words, top); and, for each shard of tokens, what the bigrams of a
+    shard give to their first tokens (shard, halves, sums)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, n, places = _counted(table)
-        taught = n > 0
-        level = (np.floor(np.log(n[taught]) / np.log(BASE) + 1e-9) + 1).astype(np.int64)
-        known = build_filter(keys[taught], level).levels(keys).astype(np.uint8)
-        answers = [zlib.compress(known[x], 1) for x in places]
-        half, back = np.unique(textkit.unmix(keys[taught]) >> np.uint64(32), return_inverse=True)
+        keys, n, _ = _counted(table)
+        keys, n = keys[n > 0], n[n > 0]
+        level = (np.floor(np.log(n) / np.log(BASE) + 1e-9) + 1).astype(np.int64)
+        made = build_filter(keys, level)
+        half, back = np.unique(textkit.unmix(keys) >> np.uint64(32), return_inverse=True)
         mass = np.bincount(back, BASE ** (level - 1.0) - DISCOUNT, len(half))
         shards, parts = _by_shard(half << np.uint64(32), bits)
-        m, k = len(answers), len(parts)
         return pa.table([
-            pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(k, pa.int64())]),
-            pa.array([*table["shard"].to_pylist(), *shards.tolist()], pa.int64()),
-            pa.array([*answers, *[None] * k], pa.binary()),
-            pa.array([*[None] * m, *(_packed_keys(half[x]) for x in parts)], pa.binary()),
-            pa.array([*[None] * m, *(_packed(mass[x]) for x in parts)], pa.binary()),
-        ], ["of_block", "shard", "levels", "halves", "sums"])
+            pa.array([table["shard"][0].as_py(), *shards.tolist()], pa.int64()),
+            pa.array([made.words.tobytes(), *[None] * len(parts)], pa.binary()),
+            pa.array([made.top, *[None] * len(parts)], pa.int32()),
+            pa.array([None, *(_packed_keys(half[x]) for x in parts)], pa.binary()),
+            pa.array([None, *(_packed(mass[x]) for x in parts)], pa.binary()),
+        ], ["shard", "words", "top", "halves", "sums"])
+
+    return bigrams.select("shard", "keys", "seen").groupBy("shard").applyInArrow(run, "shard long, words binary, top int, halves binary, sums binary")
+
+
+def broadcast_rounds(filters: DataFrame, bits: int, some: int) -> Iterator[tuple[int, list[int]]]:
+    """Parts of the stored packets, from 1, with the shards in order whose filters are broadcast together: FILTER_BYTES at
+    most, unless one shard has more."""
+    part, shards, size = 0, [], 0
+    sizes = filters.where(F.col("words").isNotNull()).select("shard", F.octet_length("words").alias("n")).orderBy("shard")
+    for r in sizes.toLocalIterator():  # two numbers a shard, some at a time
+        if shards and (1 + (r.shard >> (bits - some)) != part or size + r.n > FILTER_BYTES):
+            yield part, shards
+            shards, size = [], 0
+        part, size = 1 + (r.shard >> (bits - some)), size + r.n
+        shards.append(r.shard)
+    if shards:
+        yield part, shards
+
+
+def probed(packets: DataFrame, filters: DataFrame) -> DataFrame:
+    """(of_block, shard, levels): the levels that the broadcast filters have for each packet's bigrams, in their order."""
+    context = packets.sparkSession.sparkContext
+    held = context.broadcast({r.shard: (r.words, r.top) for r in filters.select("shard", "words", "top").collect()})
 
-    return bigrams.select("block", "shard", "keys", "seen").groupBy("shard").applyInArrow(run, "of_block long, shard long, levels binary, halves binary, sums binary")
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {shard: LogFrequencyFilter(np.frombuffer(words, "<u8"), top) for shard, (words, top) in held.value.items()}
+        for batch in tables:
+            found = [zlib.compress(known[s].levels(_unpacked_keys(k)).astype(np.uint8), 1) for s, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["of_block", "shard", "levels"])
+
+    return packets.select("block", "shard", "keys").mapInArrow(run, "of_block long, shard long, levels binary")
 
 
 def shard_counts(tokens: DataFrame, masses: DataFrame) -> DataFrame:
@@ -249,16 +283,30 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     learn = F.coalesce(learn, F.lit(False))
     size = df.agg(F.sum(F.octet_length(df[text].cast("string")))).first()[0] or 0
     bits = max(6, int(size // (8 * SHARD_TOKENS)).bit_length())  # a token has some 6 bytes
-    stored, bigrams, drop_bigrams = spill.stash_passing(_blocks(df, learn, key, text, most_words, bits), F.coalesce(F.col("packet") == BIGRAMS, F.lit(False)))
+    some = int(size // (6 * GROUP_TOKENS)).bit_length()
+    group = F.shiftright("shard", bits - some)
+    blocks = _blocks(df, learn, key, text, most_words, bits)
+    stored, drop = spill.stash_parts(blocks, F.when(F.coalesce(F.col("packet") == BIGRAMS, F.lit(False)), 1 + group).otherwise(0), 1 + (1 << some))
+    bigrams = stored.where("part > 0")
+    stored = stored.where("part = 0")
     docs = stored.where(F.col("packet").isNull()).select("block", "k", "learn", "n_tokens", "places", "halves")
     total = docs.where("learn").agg(F.sum("n_tokens")).first()[0] or 0
 
-    levels = spill.stash_last(shard_levels(bigrams, bits))
-    drop_bigrams()
-    counts = spill.stash_last(shard_counts(stored.where(F.col("packet") == TOKENS), levels.where(F.col("halves").isNotNull())))
+    filters = spill.stash_last(shard_filters(bigrams, bits))
+    answered = spill.Appended(spark, "of_block long, shard long, levels binary")
+    done = 0
+    for part, shards in broadcast_rounds(filters, bits, some):
+        while done < part:  # parts that no later round reads
+            drop(done) if done else None
+            done += 1
+        mine = F.col("shard").between(shards[0], shards[-1])
+        answered.add(probed(bigrams.where((F.col("part") == part) & mine), filters.where(mine & F.col("words").isNotNull())))
+    drop(done) if done else None
+    levels = answered.read()
+    counts = spill.stash_last(shard_counts(stored.where(F.col("packet") == TOKENS), filters.where(F.col("halves").isNotNull())))
     distinct = counts.agg(F.sum("new")).first()[0] or 0
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    answers = counts.select("of_block", "shard", "counts", "given", *none("levels")).union(levels.where(F.col("levels").isNotNull()).select("of_block", "shard", *none("counts", "given"), "levels"))
+    answers = counts.select("of_block", "shard", "counts", "given", *none("levels")).union(levels.select("of_block", "shard", *none("counts", "given"), "levels"))
     kind = docs.schema["k"].dataType.simpleString()
     names = ["k", "learned", "n_tokens", "n_known", "base", "score"]
 

@@ -33,15 +33,34 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(_written(df, df.write))
 
 
-def stash_passing(df: DataFrame, part: Column) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
-    """A stash in two: the rows where ``part`` does not hold, those where it does, and what deletes the latter's files
-    once nothing reads them any more."""
+def stash_parts(df: DataFrame, part: Column, parts: int) -> tuple[DataFrame, Callable[[int], None]]:
+    """A stash cut by ``part``, a number below ``parts``: the rows with their ``part``, of which a reader that asks for some
+    reads those files only, and what deletes a part's files once nothing reads them any more."""
     spark = df.sparkSession
-    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):  # no sort by part
-        marked = df.withColumn("__part", F.when(part, 1).otherwise(0))
-        path = _written(df, marked.write.partitionBy("__part"))
+    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(parts + 1)):  # no sort by part
+        marked = df.withColumn("part", part.cast("int"))
+        path = _written(df, marked.write.partitionBy("part"))
     rows = spark.read.schema(marked.schema).option("basePath", path).parquet(path)
-    return *(rows.where(F.col("__part") == i).drop("__part") for i in (0, 1)), lambda: _delete(spark, f"{path}/__part=1")
+    return rows, lambda i: _delete(spark, f"{path}/part={i}")
+
+
+class Appended:
+    """A table in the shared folder that is written in turns."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.turns = spark, schema, 0
+        self.path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/turn={self.turns}")
+        system, target = _file(self.spark, self.path)
+        system.deleteOnExit(target)
+        self.turns += 1
+
+    def read(self) -> DataFrame:
+        if not self.turns:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(f"{self.schema}, turn int").parquet(self.path).drop("turn")
 
 
 def stash_last(df: DataFrame) -> DataFrame:

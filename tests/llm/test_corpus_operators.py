@@ -66,6 +66,24 @@ def test_lm_probabilities_sum_to_one(spark):
     assert math.isclose(sum(p("a", w) for w in [*c, "zz"]), 1)
 
 
+def test_lm_in_rounds_of_broadcasts(spark, sf, monkeypatch):
+    """However many rounds the filters come in, the scores are the same; without what the filter holds they are not."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
+    run = lambda: {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") % 5 > 0).collect()}
+    rounds = []
+    real = lm.probed
+    monkeypatch.setattr(lm, "probed", lambda *given: rounds.append(1) or real(*given))
+    whole = run()
+    assert len(rounds) == 1
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "FILTER_BYTES", 60_000)
+    assert run() == whole and len(rounds) > 8
+    empty = lambda packets, filters: real(packets, filters.withColumn("words", F.lit(bytes(8192))))
+    monkeypatch.setattr(lm, "probed", empty)
+    blind = run()
+    assert sum(blind[i] < whole[i] for i in whole) > 0.9 * len(whole)
+
+
 def test_lm_odd_rows(spark, odd):
     rows = lm.score(odd, F.col("doc_id") != 4).collect()
     assert len(rows) == len(ODD) and all(r.n_tokens >= 1 for r in rows)
