@@ -1,18 +1,21 @@
 """Packing token sequences into windows by non-negative least squares.
 
-Each task packs the documents it reads. A document longer than the window gives whole windows from its start and one
-rest. For the rests, their lengths in classes, all combinations of few classes that fill a window are listed; repeat
-counts for them are solved by non-negative least squares against the histogram of lengths and rounded down; documents
-fill these patterns, the last place of each by the longest document that fits. What is left goes greedily into the
-fullest sequence with room. Sequences that are still short by more than a 256th of the window are dissolved: their
-documents are laid end to end and cut into windows, and the last part of less than a window into powers of two, which
-need no padding. So no sequence pads more than a 256th, whatever the number of documents in a task, and no exchange
-between tasks is needed.
+Documents are encoded once and stored. A document longer than the window gives whole windows from its start and one rest.
+The lengths of the rests alone, not the tokens, go to packers of some 16,000 documents each. For these lengths, in classes,
+all combinations of few classes that fill a window are listed; repeat counts for them are solved by non-negative least
+squares against the histogram and rounded down; documents fill these patterns, the last place of each by the longest
+document that fits. What is left goes greedily into the fullest sequence with room. Then the emptiest sequences are taken
+apart, until their documents hold what all others are short of; cut to size they fill every sequence that is short by more
+than a 256th of the window. What is left of them is laid end to end and cut into windows, and the last part of less than a
+window into powers of two, which need no padding. So no sequence pads more than a 256th, and only few documents are cut.
+
+How it scales. Besides the stored tokens of the rests, two or four bytes each, only some numbers of each document are
+exchanged; the tokens of documents that are cut are met again for the checksums of their pieces.
 
 Cases: a null text is the empty text, which still has its end token. Very long texts are encoded in parts, cut at white
 space. Repeated rows each get their pieces. Columns besides the key and the text are dropped. An empty table gives an
-empty table. sequence_id is the task's number times 2**32 plus a count, so it is unique without coordination; a task that
-runs again reads the same rows and packs alike.
+empty table. Equal lengths go in the order of their rows. sequence_id is the packer's number times 2**32 plus a count, so it is unique
+without coordination; what a packer decides is written once, so a task that runs again finds it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomery.llm import spill, textkit
 
@@ -224,8 +228,9 @@ class _Shelf:
         self.there[length] = True
 
 
-def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int = 3) -> list[list[int]]:
-    """Groups of indices whose lengths (1..window) sum to at most the window."""
+def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int = 3, solved: list[int] | None = None) -> list[list[int]]:
+    """Groups of indices whose lengths (1..window) sum to at most the window. ``solved`` gets the number of groups that stand
+    first and come from solved patterns."""
     width = window // classes
     of = -(-lengths // width)  # a class holds lengths up to its size
     shelf = _Shelf(lengths, window)
@@ -252,6 +257,8 @@ def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int
                     shelf.put(i, int(lengths[i]))
                 break
             groups.append(group)
+    if solved is not None:
+        solved.append(len(groups))
     # Greedy rest: longest first, each into the sequence with the least room that still holds it.
     room: dict[int, list[int]] = defaultdict(list)
     for k, g in enumerate(groups):
@@ -276,37 +283,41 @@ def pack_lengths(lengths: np.ndarray, window: int, classes: int = 64, depth: int
 def place(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (index, start, length); a sequence of less than the window is short by its 256th at most, or its length
     is a power of two."""
-    out, loose = [], []
-    for group in pack_lengths(lengths, window):
-        short = window - int(lengths[group].sum())
-        if short > window // 256:
-            loose += group
-        else:
-            out.append([(i, 0, int(lengths[i])) for i in group])
-    rest = int(lengths[loose].sum())
-    room = sequence = None
-    for i in loose:
-        at = 0
-        while at < lengths[i]:
-            if not room:
-                room = window if rest >= window else 1 << rest.bit_length() - 1
-                rest -= room
-                sequence = []
-                out.append(sequence)
-            n = min(room, int(lengths[i]) - at)
-            sequence.append((i, at, n))
-            at, room = at + n, room - n
+    groups = pack_lengths(lengths, window)
+    short = np.array([window - int(lengths[g].sum()) for g in groups], np.int64)
+    order = np.argsort(-short, kind="stable")
+    need = np.where(short[order] > window // 256, short[order], 0)
+    supply = np.cumsum(window - short[order])  # of the emptiest sequences, up to each
+    n = int(np.argmax(np.r_[0, supply] >= np.r_[need[::-1].cumsum()[::-1], 0]))
+    apart = [i for g in order[:n] for i in groups[g]]
+    left = int(lengths[apart].sum())
+    at = [0, 0]  # document of ``apart``, tokens of it that have a place
+
+    def cut(room: int) -> list[tuple[int, int, int]]:
+        found = []
+        while room:
+            i, start = apart[at[0]], at[1]
+            size = min(room, int(lengths[i]) - start)
+            found.append((i, start, size))
+            room -= size
+            at[:] = [at[0] + 1, 0] if start + size == lengths[i] else [at[0], start + size]
+        return found
+
+    out = []
+    for g in order[n:]:
+        gap = int(short[g]) if short[g] > window // 256 else 0
+        out.append([(i, 0, int(lengths[i])) for i in groups[g]] + cut(gap))
+        left -= gap
+    while left:
+        room = window if left >= window else 1 << left.bit_length() - 1
+        out.append(cut(room))
+        left -= room
     return out
 
 
-SCHEMA = "k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
-def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", most: int = 50_000) -> DataFrame:
-    """One row per piece, see the module. No shuffle. ``most``: documents packed together; a task with more packs several
-    times, so that it holds that many numbers at most."""
+def _encoded(df: DataFrame, vocabulary: str, window: int, end_id: int, key: str, text: str) -> DataFrame:
+    """(row, k, total, crcs of the whole windows, rest, rest_crc, ids of the rest)."""
     spark = df.sparkSession
-    spill.small_batches(spark, rows=4000)
     spec = spark.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a file of 1.7 MB, whatever the data
     rows = textkit.one_text_column(df, key, text=text)
     kind = rows.schema[key].dataType.simpleString()
@@ -314,44 +325,82 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _ids:
             _ids[vocabulary] = WordIds(spec.value)
-        task, made = TaskContext.get(), 0
-        base = (task.partitionId() if task else 0) << 32
-        keys, whole, rests = [], [], []
-
-        def out() -> pa.RecordBatch:
-            nonlocal made
-            pieces = [(*p, base + made + n, 0) for n, p in enumerate(whole)]
-            made += len(whole)
-            if rests:
-                for sequence in place(np.array([len(ids) // 4 for *_, ids in rests]), window):
-                    at = 0
-                    for i, start, size in sequence:
-                        k, begun, total, ids = rests[i]
-                        pieces.append((k, begun + start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total, base + made, at))
-                        at += size
-                    made += 1
-            cols = list(zip(*pieces, strict=True))
-            batch = pa.RecordBatch.from_arrays([pa.array([keys[i] for i in cols[0]], key_type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            keys.clear(), whole.clear(), rests.clear()
-            return batch
-
+        encode, end = _ids[vocabulary], np.array([end_id], "<u4").tobytes()
+        narrow = max(end_id, len(encode.ends) - 1) < 1 << 16
         for batch in textkit.batches(tables, 4000, 8 << 20):
-            key_type = batch.column(0).type
-            end = np.array([end_id], "<u4").tobytes()
-            for k, ids in zip(batch.column(0).to_pylist(), _ids[vocabulary]([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            totals, crcs, rests, rest_crcs, kept = [], [], [], [], []
+            for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids += end
                 total = len(ids) // 4
-                keys.append(k)
-                for start in range(0, total - window + 1, window):
-                    whole.append((len(keys) - 1, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), total))
-                if start := total % window:
-                    rests.append((len(keys) - 1, total - start, total, ids[-4 * start :]))
-            if len(keys) >= most:
-                yield out()
-        if keys:
-            yield out()
-
-    return rows.mapInArrow(run, SCHEMA.format(kind=kind)).withColumnRenamed("k", key)
+                stop = 4 * (total - total % window)
+                rest = ids[stop:]
+                totals.append(total), rests.append(total % window), rest_crcs.append(zlib.crc32(rest))
+                crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, stop, 4 * window)])
+                kept.append(np.frombuffer(rest, "<u4").astype("<u2").tobytes() if narrow else rest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.int64()), pa.array(rest_crcs, pa.int64()), pa.array(kept, pa.binary())], ["k", "total", "crcs", "rest", "rest_crc", "ids"])
+
+    made = rows.mapInArrow(run, f"k {kind}, total long, crcs array<long>, rest long, rest_crc long, ids binary")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+def _placed(docs: DataFrame, window: int, most: int) -> DataFrame:
+    """(row, whole, pieces): the sequence of its first whole window, further ones follow, and the pieces of its rest."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [t for t in tables if t.num_rows]
+        if not given:
+            return
+        base = TaskContext.get().partitionId() << 32
+        table = pa.Table.from_batches(given).sort_by("row")  # in one order, however they came
+        row, rest, windows = (table[c].to_numpy() for c in ("row", "rest", "windows"))
+        whole = base + np.cumsum(windows) - windows
+        made = base + int(windows.sum())
+        pieces: list[list[dict]] = [[] for _ in row]
+        with_rest = np.flatnonzero(rest)
+        for n, sequence in enumerate(place(rest[with_rest], window)):
+            at = 0
+            for i, start, size in sequence:
+                pieces[with_rest[i]].append({"start": start, "length": size, "sequence": made + n, "offset": at})
+                at += size
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "sequence", "offset")]))
+        for i in range(0, len(row), 10_000):
+            part = slice(i, i + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(whole[part]), pa.array(pieces[part], kind)], ["row", "whole", "pieces"])
+
+    lengths = docs.select("row", "rest", F.size("crcs").cast("long").alias("windows"))
+    packers = max(1, -(-docs.count() // most))
+    return lengths.repartition(packers).mapInArrow(run, "row long, whole long, pieces array<struct<start: long, length: long, sequence: long, offset: long>>")
+
+
+def _checksums(cut: DataFrame) -> DataFrame:
+    """(row, cut_crcs) of documents that are cut, from (row, rest, ids, pieces)."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.batches(tables, 4000, 8 << 20):
+            found = []
+            for rest, ids, pieces in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                x = np.frombuffer(ids, f"<u{len(ids) // rest}").astype("<u4")
+                found.append([zlib.crc32(x[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "cut_crcs"])
+
+    return cut.select("row", "rest", "ids", "pieces").mapInArrow(run, "row long, cut_crcs array<long>")
+
+
+def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", most: int = 1 << 14) -> DataFrame:
+    """One row per piece, see the module. ``most``: documents whose lengths one packer sees."""
+    spark = df.sparkSession
+    spill.small_batches(spark, rows=4000)
+    docs = spill.stash(_encoded(df, vocabulary, window, end_id, key, text))
+    placed = spill.stash(_placed(docs, window, most))
+    cut = placed.where(F.size("pieces") > 1)
+    crcs = spill.stash(_checksums(docs.select("row", "rest", "ids").join(cut.select("row", "pieces"), "row")))
+    met = docs.select("row", "k", "total", "crcs", "rest", "rest_crc").join(placed, "row").join(crcs, "row", "left")
+    piece = lambda start, length, crc, sequence, offset: F.struct(start.alias("start"), length.alias("length"), crc.alias("crc"), sequence.alias("sequence"), offset.alias("offset"))
+    long = lambda x: F.lit(x).cast("long")
+    whole = F.transform("crcs", lambda c, i: piece(i.cast("long") * window, long(window), c, F.col("whole") + i.cast("long"), long(0)))
+    rests = F.transform("pieces", lambda p, i: piece(F.col("total") - F.col("rest") + p.start, p.length, F.coalesce(F.get("cut_crcs", i), F.col("rest_crc")), p.sequence, p.offset))
+    each = met.select("k", "total", F.explode(F.concat(whole, rests)).alias("p"))
+    return each.select(F.col("k").alias(key), "p.start", "p.length", F.col("p.crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), F.col("p.sequence").alias("sequence_id"), "p.offset")
 
 
 _ids: dict[str, WordIds] = {}

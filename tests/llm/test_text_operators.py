@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +216,33 @@ def test_packing_pads_little():
     assert sorted(i for g in groups for i in g) == list(range(len(rests))) and all(rests[g].sum() <= 2048 for g in groups)
 
 
+def test_packing_is_by_solved_patterns():
+    """Nine of ten documents stand whole in sequences that least squares asked for, and few are cut."""
+    import pyarrow.parquet as pq
+
+    chars = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy()
+    rests = (chars * 3 // 8 + 1) % 2048
+    rests = rests[rests > 0]
+    for lengths in (rests, rests[:2500], np.r_[rests, rests[:6000]]):
+        solved: list[int] = []
+        groups = packing.pack_lengths(lengths, 2048, solved=solved)
+        asked = {i for g in groups[: solved[0]] for i in g}
+        times = Counter(i for s in packing.place(lengths, 2048) for i, *_ in s)
+        assert sum(times[i] == 1 for i in asked) >= 0.9 * len(lengths)
+        assert sum(n - 1 for n in times.values()) < 0.12 * len(lengths)
+
+
+def test_packers_see_many_documents_however_they_are_read(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for parts, most in ((1, 1000), (16, 1000), (16, 60)):
+        rows = packing.pack(docs.repartition(parts), WORD, most=most).collect()
+        assert len({r.sequence_id >> 32 for r in rows}) == -(-docs.count() // most)
+        used = Counter()
+        for r in rows:
+            used[r.sequence_id] += r.length
+        assert sum(2048 - u for u in used.values() if u & (u - 1)) < 0.004 * sum(used.values())
+
+
 def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(packing, "_PART", 50)
     ours, theirs = packing.WordIds(open(WORD).read()), Tokenizer.from_file(WORD)
