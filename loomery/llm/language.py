@@ -7,7 +7,7 @@ about as near, the row is flagged as ambiguous.
 The classifiers are fitted on a bounded sample: ``sample`` labelled rows, distinct texts with letters, spread evenly over the languages;
 of each language those of the least hashes, so copies count once and every run fits the same model. Every row is predicted, from its whole text.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous. Very long texts are taken whole. A null or repeated id is a row
+Cases: of languages whose codewords are equally near the first in alphabetical order is said, and the row is ambiguous. A null text, or one without a letter, is ``und`` with score 0 and not ambiguous. Very long texts are taken whole. A null or repeated id is a row
 like any other. Rows with a null language teach nothing. Without labelled rows all is ``und``. Other columns are dropped.
 """
 

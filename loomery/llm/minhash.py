@@ -202,3 +202,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: Every document against every other that shares a shingle.
+OP8_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle FROM t, unnest(range(1, greatest(len(w) - 1, 2))) u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(label) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c ON id = doc_id LEFT JOIN n USING (doc_id)
+"""
