@@ -27,13 +27,15 @@ row teaches, base and score are 0, as the unknown outcome is the only one.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ BASE = 1.3  # of the quantisation
 GROUP_TOKENS = 1 << 24  # tokens whose bigrams' packets are stored together
 FILTER_BYTES = 64 << 20  # of filters that are broadcast at once; one shard has some megabytes
 _PROBES = 4
+_LOW = 5  # low places of a key
 _BLOCK_TOKENS = 4_000_000
 _BLOCK_PAIRS = 2_000_000
 
@@ -66,11 +69,16 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
 
 
 def _packed_keys(x: np.ndarray) -> bytes:
-    return _packed(np.diff(x, prepend=np.uint64(0)))
+    """Steps between sorted keys: their high places compressed, then the low ones, which are random, as they are."""
+    places = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.ascontiguousarray(places[_LOW:]), 1) + places[:_LOW].tobytes()
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+    reader = zlib.decompressobj()
+    high = np.frombuffer(reader.decompress(data), np.uint8).reshape(8 - _LOW, -1)
+    low = np.frombuffer(reader.unused_data, np.uint8).reshape(_LOW, -1)
+    return np.cumsum(np.ascontiguousarray(np.concatenate([low, high]).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -78,8 +86,11 @@ def _tokens(text: str | None) -> list[bytes]:
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int32)
+    keys = np.concatenate([k for k, _ in held])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first, dtype=np.int32)
 
 
 def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
@@ -102,7 +113,7 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int,
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 32
-        place: dict[bytes, int] = {}
+        place: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next place
         trained = np.zeros(1 << 18, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         fresh = used = 0
@@ -131,13 +142,15 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int,
             key_type = batch.column(0).type
             sizes, packed = [], []
             for learns, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at = np.array([place.setdefault(w, len(place)) for w in _tokens(t)], np.int32)
+                words = _tokens(t)
+                at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
                 if learns:
                     if len(place) > len(trained):
                         trained = np.r_[trained, np.zeros(len(place), np.int64)]
                     np.add.at(trained, at, 1)
                 wide = at.astype(np.int64)
-                held.append((np.r_[place[b""], wide[:-1]] << 32 | wide, np.full(len(at), bool(learns), np.int32)))
+                before = np.concatenate([[place[b""]], wide[:-1]])
+                held.append((before << 32 | wide, np.full(len(at), bool(learns), np.int32)))
                 fresh += len(at)
                 sizes.append(len(at))
                 packed.append(_packed(at.astype("<i4")))
@@ -149,7 +162,7 @@ def _blocks(df: DataFrame, learn: Column, key: str, text: str, most_words: int,
             if len(place) >= most_words or used >= _BLOCK_TOKENS or len(held[0][0]) >= _BLOCK_PAIRS:
                 yield from listed()
                 block += 1
-                place, held = {}, []
+                place, held = defaultdict(count().__next__), []
                 fresh = used = 0
                 trained[:] = 0
         if place:
@@ -241,8 +254,9 @@ def broadcast_rounds(filters: DataFrame, bits: int, some: int) -> Iterator[tuple
         yield part, shards
 
 
-def probed(packets: DataFrame, filters: DataFrame) -> DataFrame:
-    """(of_block, shard, levels): the levels that the broadcast filters have for each packet's bigrams, in their order."""
+def probed(packets: DataFrame, filters: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(of_block, shard, levels): the levels that the broadcast filters have for each packet's bigrams, in their order; and
+    what is broadcast, for the caller to destroy once the rows are written."""
     context = packets.sparkSession.sparkContext
     held = context.broadcast({r.shard: (r.words, r.top) for r in filters.select("shard", "words", "top").collect()})
 
@@ -252,7 +266,7 @@ def probed(packets: DataFrame, filters: DataFrame) -> DataFrame:
             found = [zlib.compress(known[s].levels(_unpacked_keys(k)).astype(np.uint8), 1) for s, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["of_block", "shard", "levels"])
 
-    return packets.select("block", "shard", "keys").mapInArrow(run, "of_block long, shard long, levels binary")
+    return packets.select("block", "shard", "keys").mapInArrow(run, "of_block long, shard long, levels binary"), held
 
 
 def shard_counts(tokens: DataFrame, masses: DataFrame) -> DataFrame:
@@ -300,7 +314,9 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             drop(done) if done else None
             done += 1
         mine = F.col("shard").between(shards[0], shards[-1])
-        answered.add(probed(bigrams.where((F.col("part") == part) & mine), filters.where(mine & F.col("words").isNotNull())))
+        rows, held = probed(bigrams.where((F.col("part") == part) & mine), filters.where(mine & F.col("words").isNotNull()))
+        answered.add(rows)
+        held.destroy()
     drop(done) if done else None
     levels = answered.read()
     counts = spill.stash_last(shard_counts(stored.where(F.col("packet") == TOKENS), filters.where(F.col("halves").isNotNull())))
