@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomery.functions.similarity import edit_ratio, token_set_ratio, tokens
 from loomery.operators.nested import steps, values_at, with_path
 from loomery.operators.skewed import split_join
+from loomery.sources.rounds import settled
 
 
 def exact(mentions: DataFrame, kb: DataFrame) -> DataFrame:
@@ -222,6 +223,8 @@ def corrected(values: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.select(*[c for c in values.columns if c != "ids"], union.alias("ids"), F.col("more").isNotNull().alias("touched"))
 
 
+SHARE = 5000  # fixed value: records that one task gives the ids of one mention, of which each task gets a copy
+
 #: The paths of process records that name compounds.
 COMPOUND_PATHS = (
     "aldSystem.aldMethod[*].compound", "aldSystem.materialDeposited", "reactantSelection.precursor[*].compound", "reactantSelection.precursor[*].precursor", "reactantSelection.coReactant[*].compound",
@@ -231,16 +234,26 @@ COMPOUND_PATHS = (
 
 def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame], skip: Sequence[str] = ()) -> DataFrame:
     """The records with each value at the paths, but those in ``skip``, as {value, sameAs}; unlinked values have no ids. The distinct mentions of
-    the whole corpus are linked once; each record gets only the links of its own mentions back."""
+    the whole corpus are linked once, and each record gets only the links of its own mentions back. Paths through lists get
+    theirs in a map, by the record's key; a path without a list meets its links by its value, one path after another, so
+    that ids that many records share are not gathered by record before they are put in."""
     kind = df.schema[col].dataType
     paths = [p for p in paths if p not in set(skip)]
-    texts = F.concat(*[F.transform(values_at(F.col(col), kind, steps(p)), lambda x: x.value) for p in paths])
-    mentions = df.select(key, F.explode(F.array_distinct(texts)).alias("mention"))
-    links = linker(mentions.select("mention").distinct())
-    of_record = mentions.join(links.select("mention", "ids"), "mention").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mention", "ids"))).alias("__links"))
+    at = lambda p: F.transform(values_at(F.col(col), kind, steps(p)), lambda x: x.value)
+    mentions = df.select(F.explode(F.array_distinct(F.concat(*map(at, paths)))).alias("mention")).distinct()
+    links = settled(linker(mentions).select("mention", "ids"))
     none = F.array().cast(dict(links.dtypes)["ids"])
-    put = lambda old: F.struct(old.alias("value"), F.coalesce(F.try_element_at(F.col("__links"), old), none).alias("sameAs"))
-    out = F.col(col)
-    for p in paths:
-        out = with_path(out, kind, steps(p), put)
-    return df.join(of_record, key, "left").withColumn(col, out).drop("__links")
+    many = [p for p in paths if None in steps(p)]
+    out, rows, temporary = F.col(col), df, []
+    if many:
+        asked = df.select(key, F.explode(F.array_distinct(F.concat(*map(at, many)))).alias("mention"))
+        of_record = split_join(asked, links, "mention", F.col(key)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mention", "ids"))).alias("__links"))
+        rows, temporary = rows.join(of_record, key, "left"), ["__links"]
+    for i, p in enumerate(p for p in paths if p not in many):
+        rows = rows.withColumn(f"__mention{i}", F.get(at(p), F.lit(0)))
+        rows = split_join(rows, links.select(F.col("mention").alias(f"__mention{i}"), F.col("ids").alias(f"__ids{i}")), f"__mention{i}", F.col(key), "left", SHARE)
+        temporary += [f"__mention{i}", f"__ids{i}"]
+        out = with_path(out, kind, steps(p), lambda old, i=i: F.struct(old.alias("value"), F.coalesce(F.col(f"__ids{i}"), none).alias("sameAs")))
+    for p in many:
+        out = with_path(out, kind, steps(p), lambda old: F.struct(old.alias("value"), F.coalesce(F.try_element_at(F.col("__links"), old), none).alias("sameAs")))
+    return rows.withColumn(col, out).drop(*temporary).select(*df.columns)
