@@ -198,9 +198,11 @@ def cascade(mentions: DataFrame, *stages) -> DataFrame:
 
 
 def two_branches(mentions: DataFrame, by_name: DataFrame, by_formula: DataFrame) -> DataFrame:
-    """(mention, ids): ids found under the name or under the formula, each once."""
-    name = mentions.join(by_name, F.col("mention") == F.col("synonym")).select("mention", "id")
-    formula = mentions.join(by_formula, F.col("formula") == F.col("synonym")).select("mention", "id")
+    """(mention, ids): ids found under the name or under the formula, each once. Mentions, mentions with their formula and
+    synonyms meet as distinct ones, so copies are not multiplied with each other."""
+    by_name, by_formula = (kb.select("synonym", "id").distinct() for kb in (by_name, by_formula))
+    name = split_join(by_name.withColumnRenamed("synonym", "mention"), mentions.select("mention").distinct(), "mention", F.col("id")).select("mention", "id")
+    formula = mentions.select("mention", "formula").distinct().join(by_formula, F.col("formula") == F.col("synonym")).select("mention", "id")
     return name.union(formula).groupBy("mention").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 

@@ -29,6 +29,16 @@ def rows_made(df):
     return most
 
 
+def test_two_branches_multiplies_no_copies(spark):
+    """300 equal mentions and 300 synonyms of that name: 300 links, not 90,000."""
+    mentions = spark.range(300).select(F.lit("a").alias("mention"), F.lit("f").alias("formula"))
+    names = spark.range(300).select(F.lit("a").alias("synonym"), F.col("id").cast("string").alias("id"))
+    formulas = names.select(F.lit("f").alias("synonym"), F.concat(F.lit("f"), "id").alias("id"))
+    df = link.two_branches(mentions, names, formulas)
+    assert df.first().ids == sorted([str(i) for i in range(300)] + [f"f{i}" for i in range(300)])
+    assert rows_made(df) <= 1000
+
+
 def test_in_place_gathers_no_shared_ids_by_record(spark):
     """Ids that many records share are put in where they are met; before, each record's map of them was exchanged and sorted."""
     base = spark.createDataFrame([(n, f"{n}{i}") for n in "abc" for i in range(4)], "synonym string, id string")
