@@ -160,7 +160,8 @@ def best(mentions: DataFrame, kb: DataFrame, percent: int = 85) -> DataFrame:
     holds the mention, in any case, scores 100, others their edit ratio; below ``percent`` the token-set ratio counts.
     Candidates come from substrings, blocks of edit ratios, shared words and reordered words; no pair that reaches
     ``percent`` is lost."""
-    asked = mentions.select("mention").where(F.col("mention") != "").distinct()
+    asked = settled(mentions.select("mention").where(F.col("mention") != "").distinct())
+    kb = settled(kb.select("synonym").where(F.col("synonym").isNotNull()).distinct()).withColumn("id", F.lit(None).cast("string"))  # ids have no say
     plain = lambda c: c
     pairs = contained(asked, "mention", kb, "synonym").unionByName(blocked(asked, kb, percent, form=plain).select("mention", "synonym"))
     pairs = pairs.unionByName(reordered(asked, kb, percent)).unionByName(shared_words(asked, kb, percent)).distinct()

@@ -51,3 +51,13 @@ def test_in_place_gathers_no_shared_ids_by_record(spark):
     assert told == {k: ((x, ids(x)), (y, ids(y)), None if z is None else [(n, ids(n)) for (n,) in z]) for k, x, y, z in rows}
     plain = link.in_place(df, "k", "r", ["x", "in.y"], lambda m: link.exact(m, base))
     assert "map_from_entries" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_looks_at_each_synonym_once(spark):
+    """Copies of a synonym under other ids change nothing and are not compared again."""
+    base = spark.createDataFrame([("zinc oxide", "1"), ("red bolt", "2")], "synonym string, id string")
+    many = base.crossJoin(spark.range(200).select(F.col("id").alias("n"))).select("synonym", F.col("n").cast("string").alias("id"))
+    asked = spark.createDataFrame([("zinc oxid",), ("bolt red",), ("red bolts",)], "mention string")
+    one, two = link.best(asked, base, 85), link.best(asked, many, 85)
+    assert collections.Counter(one.collect()) == collections.Counter(two.collect()) and one.count() == 3
+    assert rows_made(two) <= 100
