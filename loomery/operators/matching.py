@@ -182,36 +182,42 @@ def auction(scored: DataFrame, by: Sequence[str], step: float = 0.01, rounds: in
 
 def one_to_one(scored: DataFrame, group: Sequence[str], least: float = 0.0, most: int = 100_000, largest: int = 2_000_000, step: float = 0.01) -> DataFrame:
     """From scored pairs (group, g, p, score), missing pairs scoring 0: the assignment of greatest total score, rows with
-    at least ``least``. Pairs that are each other's only partner are settled in Spark. Python sees the rest, one group at a
-    time, in memory of the order of its pairs; groups of more than ``most`` pairs are first cut into the components that
+    at least ``least``. Pairs that are each other's only partner are settled in Spark. Python sees the rest, many groups at a
+    time, about ``most`` pairs, in memory of the order of these; groups of more than ``most`` pairs are first cut into the components that
     positive scores connect, which changes nothing in what comes out. A component of more than ``largest`` pairs is no
     single task's work: it is settled by an ``auction``, within ``step`` a pair of the greatest total."""
-    scored = scored.where("score > 0").select(*group, "g", "p", "score")
-    only = lambda c: scored.groupBy(*group, c).agg(F.count("*").alias(f"n_{c}"))
-    counted = scored.join(only("g"), [*group, "g"]).join(only("p"), [*group, "p"])
-    alone = (F.col("n_g") == 1) & (F.col("n_p") == 1)
     columns = [*group, "g", "p", "score"]
+    scored = scored.where("score > 0").select(*columns)
+    for c in (*group, "g", "p"):
+        scored = scored.where(F.col(c).isNotNull())
+    of = lambda *by: F.count("*").over(Window.partitionBy(*group, *by))
+    counted = scored.withColumn("__g", of("g")).withColumn("__p", of("p")).withColumn("__alone", (F.col("__g") == 1) & (F.col("__p") == 1))
+    counted = settled(counted.withColumn("__n", F.count_if(~F.col("__alone")).over(Window.partitionBy(*group))).select(*columns, "__alone", "__n"))
+    rest = counted.where("not __alone")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "p"], kind="stable")
-        sides = [np.unique(pdf[c], return_inverse=True)[1] for c in ("g", "p")]
+        pdf = pdf[columns].sort_values([*group, "g", "p"], kind="stable")
+        sides = [pdf.groupby([*group, c], sort=True, dropna=False).ngroup().to_numpy() for c in ("g", "p")]
         return pdf.iloc[assign_sparse(*sides, pdf["score"].to_numpy())]
 
-    rest = counted.where(~alone).select(*columns).withColumn("__part", F.lit(0).cast("long"))
-    large = rest.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*group)
-    found = counted.where(alone).select(*columns)
-    if large.limit(1).count():
+    def in_tasks(pairs: DataFrame, *together: str) -> DataFrame:
+        """What is connected has the same values of ``together``."""
+        parts = max(1, -(-pairs.count() // most))
+        return pairs.select(*columns, F.pmod(F.xxhash64(*together), F.lit(parts)).alias("__task")).groupBy("__task").applyInPandas(settle, scored.schema)
+
+    found = counted.where("__alone").select(*columns).unionByName(in_tasks(rest.where(F.col("__n") <= most), *group))
+    large = rest.where(F.col("__n") > most)
+    if not large.isEmpty():
         # equal hashes of two ends would only keep two components together
-        ends = settled(rest.join(large, list(group), "left_semi").withColumns({"__a": F.xxhash64(*group, F.lit("g"), "g"), "__b": F.xxhash64(*group, F.lit("p"), "p")}))
+        ends = settled(large.withColumns({"__a": F.xxhash64(*group, F.lit("g"), "g"), "__b": F.xxhash64(*group, F.lit("p"), "p")}))
         labels = graph.components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
         cut = settled(split_join(ends.withColumnRenamed("__a", "id"), labels, "id", F.col("__b")).select(*columns, F.col("component").alias("__part")))
         huge = settled(cut.groupBy("__part").agg(F.count("*").alias("__n")).where(F.col("__n") > largest).select("__part"))
         if not huge.isEmpty():
             found = found.unionByName(auction(cut.join(huge, "__part", "left_semi"), group, step).select(*columns))
             cut = cut.join(huge, "__part", "left_anti")
-        rest = rest.join(large, list(group), "left_anti").unionByName(cut)
-    settled_in_tasks = rest.groupBy(*group, "__part").applyInPandas(lambda pdf: settle(pdf[columns]), scored.schema)
-    return found.unionByName(settled_in_tasks).where(F.col("score") >= least)
+        found = found.unionByName(in_tasks(cut, "__part"))
+    return found.where(F.col("score") >= least)
 
 
 def soft_counts(gold: DataFrame, predicted: DataFrame, group: Sequence[str], text: str = "text", least: float = 0.8) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomery.operators import link
+from loomery.operators import link, matching
 
 
 def rows_made(df):
@@ -61,3 +61,24 @@ def test_best_looks_at_each_synonym_once(spark):
     one, two = link.best(asked, base, 85), link.best(asked, many, 85)
     assert collections.Counter(one.collect()) == collections.Counter(two.collect()) and one.count() == 3
     assert rows_made(two) <= 100
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_to_one_takes_many_groups_at_a_time(spark):
+    """Python gets 500 small groups together, not one by one; each is settled as it is by itself."""
+    rng = random.Random(4)
+    rows = [(k, g, p, rng.choice([0.0, 0.25, 0.5, 0.75, 1.0])) for k in range(500) for g in range(3) for p in range(2)]
+    scored = spark.createDataFrame(rows, "k long, g long, p long, score double")
+    got = matching.one_to_one(scored, ["k"])
+    assert "FlatMapGroupsInPandas [__task" in optimized(got)
+    best = collections.defaultdict(float)
+    for k in range(500):
+        s = {(g, p): x for j, g, p, x in rows if j == k}
+        best[k] = max(s[a, 0] + s[b, 1] for a in range(3) for b in range(3) if a != b)
+    found = collections.defaultdict(float)
+    for r in got.collect():
+        found[r.k] += r.score
+    assert all(abs(found[k] - best[k]) < 1e-9 for k in range(500))
