@@ -20,11 +20,15 @@ def folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+TASKS = 2000  # at most so many tasks make the calls
+
+
 class Ledger:
     """An append-only table of ``keys`` and ``replies`` (both as DDL) below ``folder``. Requests whose keys it holds are
     joined away before a model is called, so a second action, a retry of the job or a later run asks only what is not answered
-    yet. Calls are made and written in portions of about ``portion`` requests; a run that breaks off loses the calls
-    of one portion at most. A reply whose first column is null is a failed call: it is not kept and is asked again by the next
+    yet. Calls are made in one job, however many there are. Each task keeps what it was answered when it ends, so a run that
+    breaks off loses the calls under way only: about ``portion`` for all tasks that run at a time, or, of very many requests,
+    one in TASKS for each of them. A reply whose first column is null is a failed call: it is not kept and is asked again by the next
     run. Of two replies to one key, by runs at the same time, the one of the least run name counts."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: str, replies: str, portion: int = 10_000):
@@ -47,10 +51,11 @@ class Ledger:
         """``requests``, each key once, with their replies; requests without a reply are left out. ``model`` sees all columns of
         the requests and returns keys and replies."""
         wanted = settled(requests.dropDuplicates(self.keys))
-        left = settled(wanted.join(self.known().select(*self.keys), self.keys, "left_anti"))
-        portions = -(-left.count() // self.portion)
-        of = F.pmod(F.xxhash64(*self.keys), F.lit(max(1, portions)))
-        for i in range(portions):
-            answered = left.where(of == i).mapInPandas(model, self.schema).where(F.col(self.replies[0]).isNotNull())
-            answered.write.parquet(f"{self.folder}/run={i:06d}-{uuid.uuid4().hex}")
+        left = wanted.join(self.known().select(*self.keys), self.keys, "left_anti")
+        n, slots = left.count(), self.spark.sparkContext.defaultParallelism
+        if n:
+            tasks = -(-n // max(1, self.portion // slots, -(-n // TASKS)))
+            answered = left.repartition(tasks, *self.keys).mapInPandas(model, self.schema).where(F.col(self.replies[0]).isNotNull())
+            # By this algorithm a task's file is in its place when the task ends, whatever becomes of the others.
+            answered.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.folder}/run={uuid.uuid4().hex}")
         return wanted.join(self.known(), self.keys)

@@ -1,11 +1,14 @@
 """What copies and long inputs must not multiply: rows that operators make, jobs that they run, work that they repeat."""
 
 import collections
+import os
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomery.operators import link, matching
+from loomery.sources.ledger import Ledger
 
 
 def rows_made(df):
@@ -82,3 +85,11 @@ def test_one_to_one_takes_many_groups_at_a_time(spark):
     for r in got.collect():
         found[r.k] += r.score
     assert all(abs(found[k] - best[k]) < 1e-9 for k in range(500))
+
+
+def test_ledger_asks_in_one_job(spark, tmp_path):
+    """Twenty portions are one run: before, each was a job that read all that was left."""
+    model = lambda frames: (pd.DataFrame({"k": f["k"], "reply": f["k"].astype(str)}) for f in frames)
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", "k long", "reply string", portion=10)
+    assert {(r.k, r.reply) for r in ledger.ask(spark.range(200).toDF("k"), model).collect()} == {(i, str(i)) for i in range(200)}
+    assert len([x for x in os.listdir(tmp_path / "ledger") if x.startswith("run=")]) == 1
