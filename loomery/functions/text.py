@@ -121,8 +121,12 @@ def rendered(template: str, **values: Column) -> Column:
 def token_chunks(tokens: Column, size: int, reserve: int = 4) -> Column:
     """An array of arrays of at most ``size - reserve`` tokens."""
     step = size - reserve
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(tokens) - 1) / step).cast("int"), F.lit(0)))
-    return F.when(F.size(tokens) > 0, F.transform(starts, lambda i: F.slice(tokens, i * step + 1, step)))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(t) - 1) / step).cast("int"), F.lit(0)))
+        return F.when(F.size(t) > 0, F.transform(starts, lambda i: F.slice(t, i * step + 1, step)))
+
+    return F.get(F.transform(F.array(tokens), cut), F.lit(0))  # the tokens are worked out once, not for each chunk
 
 
 def holds_any(path: Column, terms: list[str]) -> Column:

@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from loomery.functions import text as X
 from loomery.operators import link, matching
 from loomery.sources.ledger import Ledger
 
@@ -93,3 +94,8 @@ def test_ledger_asks_in_one_job(spark, tmp_path):
     ledger = Ledger(spark, f"file://{tmp_path}/ledger", "k long", "reply string", portion=10)
     assert {(r.k, r.reply) for r in ledger.ask(spark.range(200).toDF("k"), model).collect()} == {(i, str(i)) for i in range(200)}
     assert len([x for x in os.listdir(tmp_path / "ledger") if x.startswith("run=")]) == 1
+
+
+def test_chunks_split_a_text_once(spark):
+    df = spark.createDataFrame([("a b c d e",), ("",), (None,)], "t string").select(X.token_chunks(F.filter(F.split("t", " "), lambda w: w != ""), 6).alias("c"))
+    assert [r.c for r in df.collect()] == [[["a", "b"], ["c", "d"], ["e"]], None, None] and optimized(df).count("split(") == 1
