@@ -15,15 +15,20 @@ def write_documents(df: DataFrame, root: str, *by: str) -> None:
 
 def wide(leaves: DataFrame, by: Sequence[str], paths: Sequence[str] | None = None, sep: str = ", ", missing: str | None = "", most: int = 2000) -> DataFrame:
     """One row per record, one column per named path in order, values of a repeated path joined in order of ``nth``. One
-    exchange by record serves both aggregations, first to one cell per path, then to one row. Without ``paths`` one pass
+    aggregation by record gathers its leaves, none of which is exchanged where they are already dealt by record; the cells
+    are cut from their sorted list. Without ``paths`` one pass
     finds them; more than ``most`` are no table and an error."""
     if paths is None:
         paths = [r[0] for r in leaves.select("path").distinct().limit(most + 1).collect()]
         if len(paths) > most:
             raise ValueError(f"more than {most} paths: name those to be columns")
-    dealt = leaves.where(F.col("path").isin(*paths)).select(*by, "path", "nth", "value").repartition(*by)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x.v), sep)
-    rows = dealt.groupBy(*by, "path").agg(text.alias("cell")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("path", "cell"))).alias("cells"))
+    leaf = F.struct("path", "nth", F.coalesce("value", F.lit("")).alias("v"))
+    rows = leaves.where(F.col("path").isin(*paths)).groupBy(*by).agg(F.array_sort(F.collect_list(leaf)).alias("all"))
+    new = lambda i: F.when(i == 0, True).otherwise(F.get("all", i).path != F.get("all", i - 1).path)
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("all")), lambda i: F.coalesce(new(i), F.lit(True))))  # and the end
+    text = lambda i, k: F.array_join(F.transform(F.slice("all", i + 1, F.get("starts", k + 1) - i), lambda x: x.v), sep)
+    cells = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda i, k: F.struct(F.get("all", i).path, text(i, k)))
+    rows = rows.select(*by, F.map_from_entries(cells).alias("cells"))
     cell = lambda p: F.try_element_at("cells", F.lit(p))
     return rows.select(*by, *[(cell(p) if missing is None else F.coalesce(cell(p), F.lit(missing))).alias(p) for p in sorted(paths)])
 

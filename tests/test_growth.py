@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text as X
 from loomery.operators import link, matching
+from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
 
@@ -99,3 +100,19 @@ def test_ledger_asks_in_one_job(spark, tmp_path):
 def test_chunks_split_a_text_once(spark):
     df = spark.createDataFrame([("a b c d e",), ("",), (None,)], "t string").select(X.token_chunks(F.filter(F.split("t", " "), lambda w: w != ""), 6).alias("c"))
     assert [r.c for r in df.collect()] == [[["a", "b"], ["c", "d"], ["e"]], None, None] and optimized(df).count("split(") == 1
+
+
+def exchanged(df):
+    """Columns that the plan's exchanges of rows carry, by node."""
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_leaves_dealt_by_record_stay(spark):
+    """Leaves of records that are dealt by their key are not exchanged again to become a wide table."""
+    records = spark.range(40).repartition("id")
+    leaves = records.select("id", F.explode(F.expr("array(struct('a' as path, 1 as nth, 'x' as value), struct('a' as path, 0 as nth, null as value), struct('b' as path, 0 as nth, 'z' as value), struct('c' as path, 0 as nth, 'z' as value))")).alias("x")).select("id", "x.*")
+    leaves = leaves.where("path <> 'b' or id % 2 = 0")
+    df = sinks.wide(leaves, ["id"], ["a", "b"])
+    assert sorted(df.collect()) == [(i, ", x", "z" if i % 2 == 0 else "") for i in range(40)]
+    assert len(exchanged(df)) == 1
