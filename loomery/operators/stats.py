@@ -11,20 +11,21 @@ from loomery.functions.text import holds_any, present, to_number
 
 
 def property_statistics(leaves: DataFrame, doc: str = "doc", skip: list[str] | None = None, list_most: int = 0) -> DataFrame:
-    """Per path: documents with a value, occurrences, distinct texts and the numbers' range. One shuffle by path, with
-    partial aggregation; distinct texts are counted, not gathered. With ``list_most``, paths of at most so many distinct
+    """Per path: documents with a value, occurrences, distinct texts and the numbers' range. Leaves are
+    counted by document first, without an exchange where they are dealt by document, and texts by path; neither is gathered. With ``list_most``, paths of at most so many distinct
     texts also list them, sorted; others have a null list."""
-    kept = leaves.where(present(F.col("value")) & ~holds_any(F.col("path"), skip or []))
-    number = to_number(F.col("value"))
-    each = kept.groupBy("path", doc, "value").agg(F.count("*").alias("n"), F.max(number).alias("x"))
-    text = F.when(F.col("x").isNull(), F.col("value"))
-    return each.groupBy("path").agg(F.count_distinct(doc).alias("docs"), F.sum("n").alias("occurrences"), F.count_distinct(text).alias("distinct_texts"), F.min("x").alias("least"), F.max("x").alias("most")).transform(lambda df: _with_texts(df, each, text, list_most) if list_most else df)
+    kept = leaves.where(present(F.col("value")) & ~holds_any(F.col("path"), skip or [])).withColumn("x", to_number(F.col("value")))
+    of_doc = kept.groupBy(doc, "path").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    counts = of_doc.groupBy("path").agg(F.count(doc).alias("docs"), F.sum("n").alias("occurrences"), F.min("least").alias("least"), F.max("most").alias("most"))
+    texts = kept.where("x is null").select("path", F.col("value").alias("text")).distinct()
+    n_texts = texts.groupBy("path").agg(F.count("*").alias("n"))
+    df = counts.join(n_texts, "path", "left").select("path", "docs", "occurrences", F.coalesce("n", F.lit(0)).alias("distinct_texts"), "least", "most")
+    return _with_texts(df, texts, list_most) if list_most else df
 
 
-def _with_texts(df: DataFrame, each: DataFrame, text: Column, most: int) -> DataFrame:
+def _with_texts(df: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     few = df.where(F.col("distinct_texts") <= most).select("path")
-    texts = each.join(few, "path", "left_semi").select("path", text.alias("text")).where("text is not null").distinct()
-    listed = texts.groupBy("path").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    listed = texts.join(few, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list("text")).alias("texts"))
     none = F.when(F.col("distinct_texts") <= most, F.array().cast("array<string>"))
     return df.join(listed, "path", "left").withColumn("texts", F.coalesce("texts", none))
 

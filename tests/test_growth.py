@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
-from loomery.operators import link, matching
+from loomery.operators import link, matching, stats
 from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
@@ -116,3 +116,11 @@ def test_leaves_dealt_by_record_stay(spark):
     df = sinks.wide(leaves, ["id"], ["a", "b"])
     assert sorted(df.collect()) == [(i, ", x", "z" if i % 2 == 0 else "") for i in range(40)]
     assert len(exchanged(df)) == 1
+
+
+def test_statistics_expand_no_rows(spark):
+    """Distinct values beside each other are counted without a copy of every row for each of them."""
+    leaves = spark.createDataFrame([("p", 1, "x"), ("p", 1, "x"), ("p", 2, "3"), ("q", 1, "4"), ("q", None, "y"), ("p", 3, "")], "path string, doc int, value string")
+    df = stats.property_statistics(leaves, list_most=5)
+    assert sorted(df.collect()) == [("p", 2, 3, 1, 3.0, 3.0, ["x"]), ("q", 1, 2, 1, 4.0, 4.0, ["y"])]
+    assert "Expand" not in optimized(df)
