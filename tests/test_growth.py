@@ -4,11 +4,12 @@ import collections
 import os
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
-from loomery.operators import link, matching, stats
+from loomery.operators import cluster, link, matching, stats
 from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
@@ -124,3 +125,26 @@ def test_statistics_expand_no_rows(spark):
     df = stats.property_statistics(leaves, list_most=5)
     assert sorted(df.collect()) == [("p", 2, 3, 1, 3.0, 3.0, ["x"]), ("q", 1, 2, 1, 4.0, 4.0, ["y"])]
     assert "Expand" not in optimized(df)
+
+
+def test_points_without_clusters_are_copied_a_bounded_number_of_times(spark):
+    """Every point near to some and to none: each visits most blocks of a cover, so all stand in one, dealt in few tiles.
+    Before, the tiles' number grew with the points, and with it the copies of each."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 24))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    for eps, least in ((0.4, 2), (0.45, 4)):
+        near = u @ u.T >= 1 - eps
+        cores = near.sum(1) >= least
+        label = np.arange(len(x))
+        for _ in range(60):
+            label = np.where(cores, [label[near[i] & cores].min() if cores[i] else i for i in range(len(x))], label)
+        rank = {v: n for n, v in enumerate(sorted(set(label[cores].tolist())))}
+        want = {i: rank[label[i]] if cores[i] else min((rank[label[j]] for j in np.flatnonzero(near[i] & cores)), default=-1) for i in range(len(x))}
+        assert {r.id: r.cluster for r in cluster.density_clusters(df, eps, least, size=16, tile=16).collect()} == want
+    reach = float(np.arccos(1 - 0.4))
+    found, placed = cluster.cover(df.withColumn("h", F.xxhash64("id")), reach, 16)
+    blocks, placed = cluster.thrifty(placed, found, 16, 24)
+    points = placed.select("id", "vec", "home", F.lit(1).alias("w"), F.lit(0).alias("c"))
+    assert rows_made(cluster.meet(points, blocks, 0.4, cluster._Weights, "id long, k long", 16, 32)) <= (cluster.TILES + 1) * len(x)
