@@ -6,10 +6,14 @@ declared schema goes through ``typed``, which asks Spark for the schema that fit
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,61 +196,140 @@ def prune_quantities(df: DataFrame, col: str, field: str = "quantityValue", numb
     return df.withColumn(col, walk(F.col(col), df.schema[col].dataType))
 
 
-def _json(value: Column) -> Column:
-    """A plain value as JSON text; null stays null."""
+def _json(value: Column, kind: T.DataType | None = None) -> Column:
+    """A plain value as JSON text; null stays null. Where ``kind`` says that the text needs no writer, none is asked."""
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("string")
     text = F.to_json(F.struct(value.alias("v")))
-    return F.when(value.isNotNull(), F.substring(text, F.lit(6), F.length(text) - 6))
+    written = F.when(value.isNotNull(), F.substring(text, F.lit(6), F.length(text) - 6))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), written).otherwise(value.cast("string"))
+    if isinstance(kind, T.StringType):
+        return F.when(value.rlike(r'["\\\x00-\x1f]'), written).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
+    return written
 
 
 def leaves(df: DataFrame, col: str, *keep: str) -> DataFrame:
     """One row per leaf (kept columns, path, value) from which ``rebuild`` gives the record back: every list writes its
     indices, values are JSON text, so that numbers and booleans stay what they are. Empty lists are leaves; null fields are
     left out, null list members are not."""
-    none = F.array().cast(_ENTRY)
-    one = lambda path, text: F.array(F.struct(path.alias("path"), text.alias("value"))).cast(_ENTRY)
+    kind = "struct<path: string not null, value: string>"
+    entry = lambda path, text: F.struct(path.alias("path"), text.alias("value"))
+    one = lambda path, text: F.array(entry(path, text))
+    deep = lambda t: isinstance(t, (T.StructType, T.ArrayType))
 
-    def walk(value: Column, kind: T.DataType, path: Column | None, member: bool) -> Column:
-        at = path if path is not None else F.lit("(root)")
-        missing = one(at, F.lit("null")) if member else none
-        if isinstance(kind, T.StructType):
-            parts = F.concat(none, *[walk(value.getField(f.name), f.dataType, _join(path, f.name), False) for f in kind.fields])
-            return F.when(value.isNull(), missing).when(F.size(parts) == 0, one(at, F.lit("{}"))).otherwise(parts)
-        if isinstance(kind, T.ArrayType):
-            inside = path if path is not None else F.lit("")
-            parts = F.flatten(F.transform(value, lambda x, i: walk(x, kind.elementType, F.concat(inside, F.lit("["), i.cast("string"), F.lit("]")), True)))
-            return F.when(value.isNull(), missing).when(F.size(value) == 0, one(at, F.lit("[]"))).otherwise(parts)
-        return F.when(value.isNull(), missing).otherwise(one(at, _json(value)))
+    def leaf(value: Column, kind: T.DataType, path: Column, member: bool) -> Column:
+        text = _json(value, kind)
+        return entry(path, F.coalesce(text, F.lit("null"))) if member else F.when(value.isNotNull(), entry(path, text))
 
-    rows = df.select(*keep, F.explode(walk(F.col(col), df.schema[col].dataType, None, False)).alias("x"))
+    def walk(value: Column, t: T.DataType, path: Column | None, member: bool) -> Column:
+        """An array of entries, null for fields that are not there. Each part is named once, so it is worked out once."""
+        at = path if path is not None else F.lit("(root)")
+        missing = one(at, F.lit("null")) if member else F.array().cast(f"array<{kind}>")
+        if isinstance(t, T.StructType):
+            fields = [(value.getField(f.name), f.dataType, _join(path, f.name)) for f in t.fields]
+            parts = [F.array(*[leaf(*f, False) for f in fields if not deep(f[1])])] if any(not deep(f[1]) for f in fields) else []
+            parts += [walk(*f, False) for f in fields if deep(f[1])]
+            empty = reduce(lambda a, b: a & b, [f[0].isNull() for f in fields], F.lit(True))
+            return F.when(value.isNull(), missing).when(empty, one(at, F.lit("{}"))).otherwise(F.concat(*parts) if parts else missing)
+        if isinstance(t, T.ArrayType):
+            place = lambda i: F.concat(path if path is not None else F.lit(""), F.lit("["), i.cast("string"), F.lit("]"))
+            each = (lambda x, i: walk(x, t.elementType, place(i), True)) if deep(t.elementType) else (lambda x, i: leaf(x, t.elementType, place(i), True))
+            parts = F.transform(value, each)
+            return F.when(value.isNull(), missing).when(F.size(value) == 0, one(at, F.lit("[]"))).otherwise(F.flatten(parts) if deep(t.elementType) else parts)
+        return F.array(leaf(value, t, at, member))
+
+    rows = df.select(*keep, F.explode(walk(F.col(col), df.schema[col].dataType, None, False)).alias("x")).where("x is not null")
     return rows.select(*keep, "x.path", "x.value")
 
 
+_SHAPES = 200_000  # paths of records' shapes that a task remembers at most
+
+
+def _shape(paths: Sequence[str]) -> tuple[str, list[int]]:
+    """A format for the JSON text of a record with these paths, and the places of the leaves that fill it."""
+    tree: tuple[list[int], dict] = ([], {})
+    for k, path in enumerate(paths):
+        node = tree
+        for step in () if path == "(root)" else path.split("."):
+            node = node[1].setdefault(step, ([], {}))
+        node[0].append(k)
+
+    def index(step: str) -> int:
+        return i if (m := re.fullmatch(r"\[([0-9]+)\]", step)) and (i := int(m[1])) < 1 << 63 else -1
+
+    out, order, todo = [], [], [tree]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part.replace("%", "%%"))
+        elif not part[1]:
+            order += part[0]
+            values = ",".join("%s" for _ in part[0])
+            out.append(values if len(part[0]) == 1 else f"[{values}]")
+        else:
+            steps = sorted((index(step), step) for step in part[1])  # keys come before indices
+            listed = steps[0][0] >= 0
+            todo.append("]" if listed else "}")
+            for n, (_, step) in reversed(list(enumerate(steps))):
+                todo += [part[1][step], ("," if n else "") + ("" if listed else f"{json.dumps(step, ensure_ascii=False)}:")]
+            todo.append("[" if listed else "{")
+    return "".join(out), order
+
+
+def _assembled(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records' texts from leaves (by.., path, text, first) that come record by record. Shapes come again and are remembered."""
+    shapes: dict[tuple[str, ...], tuple[str, list[int]]] = {}
+    held = 0
+
+    def record(paths: Sequence[str], texts: Sequence[str]) -> str:
+        nonlocal held
+        shape = shapes.get(key := tuple(paths))
+        if shape is None:
+            shape = _shape(key)
+            if held > _SHAPES:
+                shapes.clear()
+                held = 0
+            if len(key) <= 1000:
+                shapes[key], held = shape, held + len(key)
+        return shape[0] % tuple([texts[k] for k in shape[1]])
+
+    key, paths, texts = None, [], []
+    for batch in given:
+        p, t, at = batch.column("path").to_pylist(), batch.column("text").to_pylist(), np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False)).tolist()
+        by = pa.Table.from_batches([batch]).select([n for n in batch.schema.names if n not in ("path", "text", "first")])
+        end = at[0] if at else len(p)
+        paths += p[:end]
+        texts += t[:end]
+        if not at:
+            continue
+        made = [record(p[a:b], t[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        keys = by.take(pa.array(at[:-1], pa.int64()))
+        if key is not None:
+            made, keys = [record(paths, texts), *made], pa.concat_tables([key, keys])
+        yield from keys.append_column("text", pa.array(made, pa.string())).combine_chunks().to_batches()
+        key, paths, texts = by.take(pa.array(at[-1:], pa.int64())), p[at[-1] :], t[at[-1] :]
+    if key is not None:
+        yield from key.append_column("text", pa.array([record(paths, texts)], pa.string())).combine_chunks().to_batches()
+
+
 def rebuild(leaves: DataFrame, *by: str, texts: bool = False) -> DataFrame:
-    """From leaves (by.., path, value) the records as VARIANT ``record``: trees put together from the innermost level out.
-    Steps are keys and list indices, ``a.b[0]`` or ``a.b.[0]``; a list is made of the indices that there are, in order, and
+    """From leaves (by.., path, value) the records as VARIANT ``record``. Steps are keys and list indices, ``a.b[0]`` or
+    ``a.b.[0]``; a list is made of the indices that there are, in order, and
     a path that comes more than once is a list of its values (by ``nth`` where the leaves have it). Values are JSON text, or,
     with ``texts``, plain texts. Null values are left out. Where a path is both a leaf and has leaves below, those below
-    count. Keys must not hold dots or brackets. Rows meet once, by record; the levels need no further exchange."""
-    value = _json(F.col("value")) if texts else F.col("value")
+    count. Keys must not hold dots or brackets. Rows meet once, by record, and are sorted; a record's text is then put
+    together from its leaves, in memory for one record at a time."""
+    value = _json(F.col("value"), T.StringType()) if texts else F.col("value")
     order = F.col("nth").cast("long") if "nth" in leaves.columns else F.lit(0).cast("long")
-    marked = F.ltrim(F.regexp_replace("path", r"\.?\[(\d+)\]", r".[$1]"), F.lit("."))
-    at = F.when(F.col("path") == "(root)", F.array().cast("array<string>")).otherwise(F.split(marked, r"\."))
-    rows = settled(leaves.where(F.col("value").isNotNull()).select(*by, at.alias("at"), order.alias("nth"), value.alias("text")))
-    deepest = rows.agg(F.max(F.size("at"))).first()[0] or 0
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x.text)
-    rows = rows.repartition(*by).groupBy(*by, "at").agg(listed.alias("all"))
-    rows = rows.select(*by, "at", F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))).alias("text"))
-    for depth in range(deepest, 0, -1):
-        deep = F.size("at") == depth
-        step = F.when(deep, F.element_at("at", -1))
-        part = F.struct(F.coalesce(F.regexp_extract(step, r"^\[(\d+)\]$", 1).try_cast("long"), F.lit(-1).cast("long")).alias("i"), step.alias("step"), "text")
-        here = rows.select(*by, F.when(deep, F.slice("at", 1, depth - 1)).otherwise(F.col("at")).alias("at"), part.alias("part"))
-        met = here.groupBy(*by, "at").agg(F.array_sort(F.collect_list(F.when(F.col("part.step").isNotNull(), F.col("part")))).alias("parts"), F.max(F.when(F.col("part.step").isNull(), F.col("part.text"))).alias("text"))
-        as_list = F.concat(F.lit("["), F.array_join(F.transform("parts", lambda x: x.text), ","), F.lit("]"))
-        as_object = F.concat(F.lit("{"), F.array_join(F.transform("parts", lambda x: F.concat(_json(x.step), F.lit(":"), x.text)), ","), F.lit("}"))
-        made = F.when(F.size("parts") == 0, F.col("text")).when(F.forall("parts", lambda x: x.i >= 0), as_list).otherwise(as_object)
-        rows = met.select(*by, "at", made.alias("text"))
-    return rows.select(*by, F.try_parse_json("text").alias("record"))
+    path = F.ltrim(F.regexp_replace("path", r"\.?\[(\d+)\]", r".[$1]"), F.lit("."))
+    plain = F.when(F.contains(F.col("path"), F.lit("[")) | F.startswith(F.col("path"), F.lit(".")), path).otherwise(F.col("path"))
+    rows = leaves.where(F.col("value").isNotNull()).select(*[F.col(c).alias(f"by{n}") for n, c in enumerate(by)], plain.alias("path"), order.alias("nth"), value.alias("text"))
+    keys = [f"by{n}" for n in range(len(by))]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("path", "nth", "text")) == 1
+    sorted_ = rows.withColumn("first", first).select(*keys, "path", "text", "first")
+    made = sorted_.mapInArrow(_assembled, T.StructType([*(sorted_.schema[k] for k in keys), T.StructField("text", T.StringType())]))
+    return made.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], F.try_parse_json("text").alias("record"))
 
 
 def zipped(df: DataFrame, col: str, paths: Sequence[str], *keep: str) -> DataFrame:

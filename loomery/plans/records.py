@@ -14,7 +14,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders as records: order, status, customer {key, segment}, lines [{part, price, note}]."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     note = F.when(F.col("l_returnflag") == "N", F.lit(X.MISSING)).otherwise(F.col("l_returnflag"))
-    each = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), note.alias("note")).alias("line")))), lambda x: x.line).alias("lines"))
+    each = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), note.alias("note")).alias("line")))), lambda x: x.line).alias("lines"))
     orders = spark.read.parquet(f"{d}/orders.parquet").join(each, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     customer = F.struct(F.col("o_custkey").alias("key"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"))
     return orders.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), customer.alias("customer"), "lines").alias("record"))

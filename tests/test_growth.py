@@ -1,6 +1,7 @@
 """What copies and long inputs must not multiply: rows that operators make, jobs that they run, work that they repeat."""
 
 import collections
+import json
 import os
 import random
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
-from loomery.operators import cluster, link, matching, stats
+from loomery.operators import cluster, link, matching, nested, stats
 from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
@@ -148,3 +149,29 @@ def test_points_without_clusters_are_copied_a_bounded_number_of_times(spark):
     blocks, placed = cluster.thrifty(placed, found, 16, 24)
     points = placed.select("id", "vec", "home", F.lit(1).alias("w"), F.lit(0).alias("c"))
     assert rows_made(cluster.meet(points, blocks, 0.4, cluster._Weights, "id long, k long", 16, 32)) <= (cluster.TILES + 1) * len(x)
+
+
+def test_rebuild_meets_once_and_levels_need_no_pass(spark):
+    """Deep trees, keys that look odd, values that repeat, records larger than a batch: one window, no aggregation by level."""
+    rows = [(i, f"a.b[{j}].c[{k}].d", str(100 * i + 10 * j + k)) for i in range(30) for j in range(i % 4) for k in range(1 + j)]
+    rows += [(50, f"l[{j}].x", str(j)) for j in range(25_000)] + [(51, "m.[0]", "1"), (51, "m.k", "2"), (51, 'p%s"q', '"5%"'), (51, "w[1].v", "4"), (51, "w.[1].v", "3"), (51, "u", "1"), (51, "u", "0"), (51, "u.t", "null"), (51, "", "7")]
+    df = spark.createDataFrame(rows, "id long, path string, value string").repartition(3)
+    made = nested.rebuild(df, "id")
+    got = {r.id: json.loads(r.j) for r in made.select("id", F.to_json("record").alias("j")).collect()}
+    want = {i: {"a": {"b": [{"c": [{"d": 100 * i + 10 * j + k} for k in range(1 + j)]} for j in range(i % 4)]}} for i in range(30) if i % 4}
+    assert got == want | {50: {"l": [{"x": j} for j in range(25_000)]}, 51: {"m": {"k": 2, "[0]": 1}, 'p%s"q': "5%", "w": [{"v": [3, 4]}], "u": {"t": None}, "": 7}}
+    texts = spark.createDataFrame([(None, "a", 'x"\\\n'), (None, "b", "ä"), (1, "a", "2")], "id long, path string, value string")
+    assert {r.id: json.loads(r.j) for r in nested.rebuild(texts, "id", texts=True).select("id", F.to_json("record").alias("j")).collect()} == {None: {"a": 'x"\\\n', "b": "ä"}, 1: {"a": "2"}}
+    assert "Aggregate" not in optimized(made) and optimized(made).count("Window") == 1
+
+
+def test_leaves_work_out_each_part_once(spark):
+    """What stands in a record is named once in the expression; before, each level named all below it twice."""
+    schema = "struct<a: struct<b: struct<c: struct<d: struct<x: double, y: float, z: bigint, t: boolean, s: string>>>>, l: array<array<double>>>"
+    texts = ['{"a": {"b": {"c": {"d": {"x": 1e10, "y": 0.1, "z": 7, "t": false, "s": "q\\"\\\\\\n"}}}}, "l": [[1.5, null], [], null]}', '{"a": {"b": {"c": {}}}, "l": []}', "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, j string").withColumn("r", F.from_json("j", schema))
+    made = nested.leaves(df, "r", "id")
+    assert sorted(map(tuple, made.collect())) == sorted([
+        (0, "a.b.c.d.x", "1.0E10"), (0, "a.b.c.d.y", "0.1"), (0, "a.b.c.d.z", "7"), (0, "a.b.c.d.t", "false"), (0, "a.b.c.d.s", '"q\\"\\\\\\n"'), (0, "l[0][0]", "1.5"), (0, "l[0][1]", "null"), (0, "l[1]", "[]"), (0, "l[2]", "null"),
+        (1, "a.b.c", "{}"), (1, "l", "[]"), (2, "(root)", "{}")])
+    assert 0 < made._jdf.queryExecution().analyzed().toString().count(".d.z") <= 4
