@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Sequence
+import re
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,27 +42,59 @@ def common_subsequence(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return len(a) - row.bit_count()
 
 
+_PAIRS = 100_000  # of texts up to _SHORT characters, that a task remembers at most
+_SHORT = 500
+
+
+def _by_pair(score: Callable[[str | None, str | None], float | None]) -> Callable[..., Column]:
+    """``score`` of two texts as a function of columns. Pairs that come again in a task are not worked out again."""
+
+    @F.pandas_udf("double")
+    def told(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple, float | None] = {}
+
+        def of(pair: tuple) -> float | None:
+            if pair in known:
+                return known[pair]
+            found = score(*pair)
+            if len(known) >= _PAIRS:
+                known.clear()
+            if len(pair[0] or "") <= _SHORT and len(pair[1] or "") <= _SHORT:
+                known[pair] = found
+            return found
+
+        for x, y in parts:
+            yield pd.Series([of(pair) for pair in zip(x, y, strict=True)], dtype=float)
+
+    return told
+
+
+def _edit_ratio(p: str | None, q: str | None) -> float | None:
+    return None if p is None or q is None else 100.0 if p == q else 200.0 * common_subsequence(p, q) / (len(p) + len(q))
+
+
 def edit_ratio(a: Column | str, b: Column | str) -> Column:
     """200 * common subsequence / both lengths: 100 for equal texts, also for two empty ones."""
+    return _by_pair(_edit_ratio)(a, b)
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else 100.0 if p == q else 200.0 * common_subsequence(p, q) / (len(p) + len(q)) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return ratio(a, b)
+def _token_set_ratio(p: str | None, q: str | None) -> float | None:
+    x, y = (None if t is None else {w for w in re.split(r"\s+", t, flags=re.ASCII) if w} for t in (p, q))
+    if x == set() or y == set():
+        return 0.0
+    if x is None or y is None:
+        return None
+    both = sorted(x & y)
+    if both and len(both) in (len(x), len(y)):
+        return 100.0
+    one, two = (" ".join(both + sorted(t - o)) for t, o in ((x, y), (y, x)))
+    return max(_edit_ratio(one, two), *(_edit_ratio(" ".join(both), t) for t in (one, two) if both), 0.0)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Over sorted distinct tokens: 100 if one set holds the other, else the best edit ratio among the common tokens and
     the common tokens followed by either rest; 0 if a side has no tokens."""
-    x, y = F.array_sort(F.array_distinct(tokens(a))), F.array_sort(F.array_distinct(tokens(b)))
-    both = F.array_intersect(x, y)
-    joined = lambda *parts: F.array_join(F.concat(*parts), " ")
-    one, two = joined(both, F.array_except(x, y)), joined(both, F.array_except(y, x))
-    best = F.greatest(edit_ratio(one, two), F.when(F.size(both) > 0, F.greatest(edit_ratio(joined(both), one), edit_ratio(joined(both), two))))
-    none = (F.size(x) == 0) | (F.size(y) == 0)
-    holds = (F.size(both) > 0) & ((F.size(both) == F.size(x)) | (F.size(both) == F.size(y)))
-    return F.when(none, 0.0).when(holds, 100.0).otherwise(best)
+    return _by_pair(_token_set_ratio)(a, b)
 
 
 def ngrams(t: Column, n: int) -> Column:

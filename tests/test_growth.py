@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from loomery.functions import similarity
 from loomery.functions import text as X
-from loomery.operators import cluster, link, matching, nested, stats
+from loomery.operators import cluster, link, matching, nested, stats, validate
 from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
@@ -175,3 +176,21 @@ def test_leaves_work_out_each_part_once(spark):
         (0, "a.b.c.d.x", "1.0E10"), (0, "a.b.c.d.y", "0.1"), (0, "a.b.c.d.z", "7"), (0, "a.b.c.d.t", "false"), (0, "a.b.c.d.s", '"q\\"\\\\\\n"'), (0, "l[0][0]", "1.5"), (0, "l[0][1]", "null"), (0, "l[1]", "[]"), (0, "l[2]", "null"),
         (1, "a.b.c", "{}"), (1, "l", "[]"), (2, "(root)", "{}")])
     assert 0 < made._jdf.queryExecution().analyzed().toString().count(".d.z") <= 4
+
+
+def test_a_pair_of_texts_is_scored_once_a_task(spark, tmp_path):
+    """Equal pairs that come again are remembered; token sets are as before."""
+    asked = tmp_path / "asked"
+
+    def score(p, q):
+        with asked.open("a") as f:
+            f.write("x")
+        return 1.0 if p == q else None
+
+    df = spark.range(3000, numPartitions=1).select((F.col("id") % 2).cast("string").alias("a"), F.when(F.col("id") % 3 > 0, "1").alias("b"))
+    assert df.where(similarity._by_pair(score)("a", "b") == 1.0).count() == 1000 and len(asked.read_text()) == 4
+    texts = ["a b", "b  a c", "zinc oxide", "oxide zinc film", "zinc oxid", "", " \t", None, "a b"]
+    pairs = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    got = {(r.a, r.b): r.s for r in pairs.withColumn("s", similarity.token_set_ratio(F.col("a"), F.col("b"))).collect()}
+    assert got["a b", "b  a c"] == 100.0 and got["", None] == got[" \t", "a b"] == 0.0 and got[None, "a b"] is got[None, None] is None
+    assert got["zinc oxid", "oxide zinc film"] == 200.0 * 9 / 24  # "zinc oxid" in "zinc film oxide"
