@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -41,10 +43,16 @@ def wrapped(json: Column, key: str) -> Column:
 
 #: Keywords of JSON Schema (draft 7) that are understood, and those that say nothing about validity.
 _CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "anyOf", "oneOf", "allOf", "$ref"}
+#: Those of them that ask for a value's kind.
+_BY_KIND = {"type", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern"}
 _SILENT = {"title", "description", "default", "examples", "format", "$schema", "$id", "$comment", "$defs", "definitions"}
 _FAILS = "array<struct<path:string,rule:string>>"
 
 
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of the value, which is worked out once however often ``then`` names it."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -68,6 +76,9 @@ def schema_failures(v: Column, schema: Mapping[str, Any] | bool) -> Column:
             at = at[name]
         return at
 
+    def asks_kind(s: Mapping[str, Any]) -> bool:
+        return bool(set(s) & _BY_KIND) or any(map(_is_number, [*s.get("enum", []), s.get("const")]))
+
     def check(v: Column, s: Mapping[str, Any] | bool, path: Column, above: tuple[str, ...]) -> Column:
         if isinstance(s, bool):
             return none if s else fail(path, "never", F.lit(True))
@@ -77,16 +88,38 @@ def schema_failures(v: Column, schema: Mapping[str, Any] | bool) -> Column:
             if s["$ref"] in above:
                 raise ValueError(f"{s['$ref']} refers to itself")
             return check(v, resolved(s["$ref"]), path, (*above, s["$ref"]))
-        members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
-        shape = F.when(F.is_variant_null(v), "null").when(members.isNotNull(), "object").when(items.isNotNull(), "array").otherwise(F.schema_of_variant(v))
-        parts = F.struct(shape.alias("shape"), members.alias("members"), items.alias("items"), v.alias("v"))
-        return _bound(parts, lambda x: inside(x, s, path, above))
-
-    def inside(x: Column, s: Mapping[str, Any], path: Column, above: tuple[str, ...]) -> Column:
-        shape, v, out = x["shape"], x["v"], []
-        is_number = shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        # Only what the schema asks is worked out: parts of objects and lists for some, a kind for others.
+        named = [s["type"]] if isinstance(s.get("type"), str) else s.get("type", [])
+        of = {"members": ("object", "map<string,variant>", {"required", "properties", "additionalProperties"}), "items": ("array", "array<variant>", {"items", "minItems", "maxItems"})}
+        parts = {name: F.try_variant_get(v, "$", kind) for name, (shape, kind, words) in of.items() if shape in named or words & set(s)}
+        if not parts:
+            return scalar(v, s, path, above)
+        return _bound(F.struct(*[p.alias(name) for name, p in parts.items()], v.alias("v")), lambda x: shaped({n: x[n] for n in parts}, x["v"], s, path, above))
+
+    def scalar(v: Column, s: Mapping[str, Any], path: Column, above: tuple[str, ...]) -> Column:
+        if not asks_kind(s):
+            return inside({"v": v}, s, path, above)
+        kind = F.when(F.is_variant_null(v), "null").otherwise(F.schema_of_variant(v))
+        return _bound(F.struct(kind.alias("kind"), v.alias("v")), lambda x: inside({"shape": F.when(F.startswith(x["kind"], F.lit("OBJECT")), "object").when(F.startswith(x["kind"], F.lit("ARRAY")), "array").otherwise(x["kind"]), "v": x["v"]}, s, path, above))
+
+    def shaped(parts: dict[str, Column], v: Column, s: Mapping[str, Any], path: Column, above: tuple[str, ...]) -> Column:
+        if not asks_kind(s):
+            return inside({**parts, "v": v}, s, path, above)
+        shape = F.when(F.is_variant_null(v), "null")
+        for name, label in (("members", "object"), ("items", "array")):
+            if name in parts:
+                shape = shape.when(parts[name].isNotNull(), label)
+        rest = F.schema_of_variant(v)
+        for label in ("OBJECT", "ARRAY"):
+            if {"OBJECT": "members", "ARRAY": "items"}[label] not in parts:
+                shape = shape.when(F.startswith(rest, F.lit(label)), label.lower())
+        return _bound(shape.otherwise(rest), lambda told: inside({**parts, "shape": told, "v": v}, s, path, above))
+
+    def inside(x: dict[str, Column], s: Mapping[str, Any], path: Column, above: tuple[str, ...]) -> Column:
+        shape, v, out = x.get("shape", F.lit(None).cast("string")), x["v"], []
+        is_number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(shape, F.lit("DECIMAL"))
         number, text = F.when(is_number, F.try_variant_get(v, "$", "double")), F.when(shape == "STRING", F.try_variant_get(v, "$", "string"))
-        kinds = {"string": shape == "STRING", "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": shape == "BOOLEAN", "null": shape == "null", "object": shape == "object", "array": shape == "array"}
+        kinds = {"string": shape == "STRING", "number": is_number, "integer": (shape == "BIGINT") | is_number & (number == F.floor(number)), "boolean": shape == "BOOLEAN", "null": shape == "null", "object": shape == "object", "array": shape == "array"}
         if "type" in s:
             named = [s["type"]] if isinstance(s["type"], str) else s["type"]
             fits = F.lit(False)
@@ -95,9 +128,10 @@ def schema_failures(v: Column, schema: Mapping[str, Any] | bool) -> Column:
             out.append(fail(path, "type", ~fits))
         for rule, allowed in (("enum", s.get("enum")), ("const", [s["const"]] if "const" in s else None)):
             if allowed is not None:
-                same = F.lit(False)
-                for value in allowed:  # as VARIANT, so that spelling and the order of keys do not matter
-                    same = same | (number == float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+                numbers, others = [x for x in allowed if _is_number(x)], [F.to_json(F.parse_json(F.lit(json.dumps(x)))) for x in allowed if not _is_number(x)]
+                same = F.to_json(v).isin(*others) if others else F.lit(False)  # as VARIANT, so that spelling and the order of keys do not matter
+                if numbers:
+                    same = F.coalesce(number.isin(*map(float, numbers)), F.lit(False)) | same
                 out.append(fail(path, rule, ~F.coalesce(same, F.lit(False))))
         for rule, wrong in (("minimum", lambda m: number < m), ("maximum", lambda m: number > m), ("exclusiveMinimum", lambda m: number <= m), ("exclusiveMaximum", lambda m: number >= m), ("minLength", lambda m: F.length(text) < m), ("maxLength", lambda m: F.length(text) > m), ("pattern", lambda m: ~text.rlike(m)), ("minItems", lambda m: F.size(x["items"]) < m), ("maxItems", lambda m: F.size(x["items"]) > m)):
             if rule in s:
@@ -120,10 +154,11 @@ def schema_failures(v: Column, schema: Mapping[str, Any] | bool) -> Column:
             out.append(F.coalesce(F.flatten(F.transform(x["items"], lambda y, i: check(y, s["items"], at(i), above))), none))
         for inner in s.get("allOf", ()):
             out.append(check(v, inner, path, above))
-        for rule, wrong in (("anyOf", lambda n: n == 0), ("oneOf", lambda n: n != 1)):
-            if rule in s:
-                passed = [F.when(F.size(check(v, inner, path, above)) == 0, 1).otherwise(0) for inner in s[rule]]
-                out.append(fail(path, rule, wrong(sum(passed, F.lit(0)))))
+        passes = lambda inner: F.size(check(v, inner, path, above)) == 0
+        if "anyOf" in s:  # the first that passes is the last that is looked at
+            out.append(fail(path, "anyOf", ~reduce(or_, map(passes, s["anyOf"]), F.lit(False))))
+        if "oneOf" in s:
+            out.append(fail(path, "oneOf", sum((F.when(passes(inner), 1).otherwise(0) for inner in s["oneOf"]), F.lit(0)) != 1))
         return F.concat(none, *out)
 
     return check(v, schema, F.lit(""), ())

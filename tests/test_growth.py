@@ -194,3 +194,12 @@ def test_a_pair_of_texts_is_scored_once_a_task(spark, tmp_path):
     got = {(r.a, r.b): r.s for r in pairs.withColumn("s", similarity.token_set_ratio(F.col("a"), F.col("b"))).collect()}
     assert got["a b", "b  a c"] == 100.0 and got["", None] == got[" \t", "a b"] == 0.0 and got[None, "a b"] is got[None, None] is None
     assert got["zinc oxid", "oxide zinc film"] == 200.0 * 9 / 24  # "zinc oxid" in "zinc film oxide"
+
+
+def test_schema_asks_only_for_what_it_needs(spark):
+    """A field that must be a whole number is not taken apart as an object and a list."""
+    df = spark.createDataFrame([(1, '{"a": 1, "e": "x", "n": 2}'), (2, '{"a": "1", "e": true, "n": [2]}'), (3, '{"a": {"b": 1}, "e": null, "n": 1.5}')], "doc int, j string")
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "e": {"enum": ["x", 3, None]}, "n": {"anyOf": [{"const": 2}, {"type": "array"}]}}}
+    made = validate.schema_violations(df, "doc", "j", schema)
+    assert sorted((r.doc, r.path, r.rule) for r in made.collect()) == [(2, "a", "type"), (2, "e", "enum"), (3, "a", "type"), (3, "n", "anyOf")]
+    assert made._jdf.queryExecution().analyzed().toString().count("variant_get(") <= 6  # before: 28
