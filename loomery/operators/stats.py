@@ -75,11 +75,22 @@ def relation_statistics(documents: DataFrame, variant: str, n: str, variants: li
 
 def dataset_profile(mentions: DataFrame, split: str, kind: str, doc: str, identifier: str, novel: Column | None = None) -> DataFrame:
     """By split and type, and by split over all types ("all"): documents, mentions, distinct ids and the share of novel
-    ones. One pass; distinct values are counted, not gathered."""
-    share = F.avg((novel if novel is not None else F.lit(False)).cast("int"))
-    sums = [F.count_distinct(doc).alias("docs"), F.count("*").alias("mentions"), F.count_distinct(identifier).alias("ids"), F.round(share, 6).alias("novel")]
-    sets = mentions.groupingSets([[split, kind], [split]], split, kind).agg(*sums, F.grouping(kind).alias("g"))
-    return sets.select(split, F.when(F.col("g") == 1, "all").otherwise(F.col(kind).cast("string")).alias(kind), "docs", "mentions", "ids", "novel")
+    ones. No row is copied: mentions are counted by document, ids are made distinct, and what is left is counted twice."""
+    new = (novel if novel is not None else F.lit(False)).cast("int")
+    of_doc = mentions.groupBy(split, kind, F.col(doc).alias("__key")).agg(F.count("*").alias("__n"), F.sum(new).alias("__new"), F.count(new).alias("__told"))
+    of_id = mentions.select(split, kind, F.col(identifier).alias("__key")).distinct()
+
+    def counted(rows: DataFrame, name: str, *sums: str) -> DataFrame:
+        add, key = [F.sum(c).alias(c) for c in sums], F.count("__key").alias(name)
+        each = rows.groupBy(split, kind).agg(key, *add).withColumn("__all", F.lit(False))
+        once = rows.groupBy(split, "__key").agg(*add) if add else rows.select(split, "__key").distinct()
+        over = once.groupBy(split).agg(key, *add).withColumns({kind: F.lit(None).cast(mentions.schema[kind].dataType), "__all": F.lit(True)})
+        return each.unionByName(over)
+
+    a, b = counted(of_doc, "docs", "__n", "__new", "__told"), counted(of_id, "ids").select(F.col(split).alias("__s"), F.col(kind).alias("__k"), F.col("__all").alias("__a"), "ids")
+    met = a.join(b, a[split].eqNullSafe(b["__s"]) & a[kind].eqNullSafe(b["__k"]) & (a["__all"] == b["__a"]))
+    share = F.round(F.try_divide(F.col("__new"), F.col("__told")), 6).alias("novel")
+    return met.select(split, F.when(F.col("__all"), "all").otherwise(F.col(kind).cast("string")).alias(kind), "docs", F.col("__n").alias("mentions"), "ids", share)
 
 
 def relation_profile(relations: DataFrame, split: str, kind: str, doc: str, members: list[str], novel: Column | None = None) -> DataFrame:

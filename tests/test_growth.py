@@ -203,3 +203,12 @@ def test_schema_asks_only_for_what_it_needs(spark):
     made = validate.schema_violations(df, "doc", "j", schema)
     assert sorted((r.doc, r.path, r.rule) for r in made.collect()) == [(2, "a", "type"), (2, "e", "enum"), (3, "a", "type"), (3, "n", "anyOf")]
     assert made._jdf.queryExecution().analyzed().toString().count("variant_get(") <= 6  # before: 28
+
+
+def test_profile_copies_no_rows(spark):
+    """Documents and ids are counted by type and over all types without copies of the rows; nulls are groups, not values."""
+    rows = [("s", "a", 1, "x", True), ("s", "b", 1, "x", False), ("s", None, 2, None, None), ("t", "a", None, "y", True), ("t", "a", 3, "z", True), ("t", "a", 3, "z", False)]
+    df = spark.createDataFrame(rows, "split string, kind string, doc int, id string, new boolean")
+    made = stats.dataset_profile(df, "split", "kind", "doc", "id", F.col("new"))
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, [("s", "a", 1, 1, 1, 1.0), ("s", "b", 1, 1, 1, 0.0), ("s", None, 1, 1, 0, None), ("s", "all", 2, 3, 1, 0.5), ("t", "a", 1, 3, 2, 0.666667), ("t", "all", 1, 3, 2, 0.666667)]))
+    assert "Expand" not in optimized(made)
