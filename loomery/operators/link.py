@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions.similarity import edit_ratio, token_set_ratio, tokens
 from loomery.operators.nested import steps, values_at, with_path
-from loomery.operators.skewed import split_join
+from loomery.operators.skewed import join_apart, split_join
 from loomery.sources.rounds import settled
 
 
@@ -235,17 +235,19 @@ COMPOUND_PATHS = (
 )
 
 
-def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame], skip: Sequence[str] = ()) -> DataFrame:
+def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Callable[[DataFrame], DataFrame], skip: Sequence[str] = (), form: Callable[[Column], Column] | None = None) -> DataFrame:
     """The records with each value at the paths, but those in ``skip``, as {value, sameAs}; unlinked values have no ids. The distinct mentions of
     the whole corpus are linked once, and each record gets only the links of its own mentions back. Paths through lists get
     theirs in a map, by the record's key; a path without a list meets its links by its value, one path after another, so
-    that ids that many records share are not gathered by record before they are put in."""
+    that ids that many records share are not gathered by record before they are put in, and records that share a mention with
+    many others come in tasks of their own. ``form``: what sameAs holds, made of the ids once for a mention, not in each record."""
     kind = df.schema[col].dataType
     paths = [p for p in paths if p not in set(skip)]
     at = lambda p: F.transform(values_at(F.col(col), kind, steps(p)), lambda x: x.value)
     mentions = df.select(F.explode(F.array_distinct(F.concat(*map(at, paths)))).alias("mention")).distinct()
-    links = settled(linker(mentions).select("mention", "ids"))
-    none = F.array().cast(dict(links.dtypes)["ids"])
+    links, made = linker(mentions).select("mention", "ids"), form or (lambda ids: ids)
+    none = made(F.array().cast(dict(links.dtypes)["ids"]))
+    links = settled(links.select("mention", made(F.col("ids")).alias("ids")))
     many = [p for p in paths if None in steps(p)]
     out, rows, temporary = F.col(col), df, []
     if many:
@@ -254,7 +256,7 @@ def in_place(df: DataFrame, key: str, col: str, paths: Sequence[str], linker: Ca
         rows, temporary = rows.join(of_record, key, "left"), ["__links"]
     for i, p in enumerate(p for p in paths if p not in many):
         rows = rows.withColumn(f"__mention{i}", F.get(at(p), F.lit(0)))
-        rows = split_join(rows, links.select(F.col("mention").alias(f"__mention{i}"), F.col("ids").alias(f"__ids{i}")), f"__mention{i}", F.col(key), "left", SHARE)
+        rows = join_apart(rows, links.select(F.col("mention").alias(f"__mention{i}"), F.col("ids").alias(f"__ids{i}")), f"__mention{i}", f"__ids{i}", F.col(key), SHARE)
         temporary += [f"__mention{i}", f"__ids{i}"]
         out = with_path(out, kind, steps(p), lambda old, i=i: F.struct(old.alias("value"), F.coalesce(F.col(f"__ids{i}"), none).alias("sameAs")))
     for p in many:

@@ -75,8 +75,9 @@ def in_place(spark, d):
     kb = _kb(spark, d)
     said = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" x")))
     records = parts.select("p_partkey", F.struct(F.struct(said.alias("name")).alias("main"), F.array(F.struct(F.col("p_brand").alias("name"), "p_size")).alias("other")).alias("r"))
-    done = link.in_place(records, "p_partkey", "r", ["main.name", "other[*].name"], lambda m: link.exact(m, kb))
-    return done.select("p_partkey", F.col("r.main.name.value").alias("value"), F.array_join("r.main.name.sameAs", ",").alias("ids"), F.size(F.get("r.other.name", F.lit(0)).sameAs).alias("others"))
+    form = lambda ids: F.struct(F.array_join(ids, ",").alias("text"), F.size(ids).alias("n"))
+    done = link.in_place(records, "p_partkey", "r", ["main.name", "other[*].name"], lambda m: link.exact(m, kb), form=form)
+    return done.select("p_partkey", F.col("r.main.name.value").alias("value"), F.col("r.main.name.sameAs.text").alias("ids"), F.get("r.other.name", F.lit(0)).sameAs.n.alias("others"))
 
 
 PLACE_SQL = """WITH k AS (SELECT p_name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids FROM part GROUP BY 1)

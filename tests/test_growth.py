@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomery.functions import similarity
 from loomery.functions import text as X
 from loomery.operators import cluster, link, matching, nested, stats, validate
+from loomery.plans import linking
 from loomery.sources import sinks
 from loomery.sources.ledger import Ledger
 
@@ -61,6 +62,29 @@ def test_in_place_gathers_no_shared_ids_by_record(spark):
     assert "map_from_entries" not in plain._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_in_place_puts_heavy_mentions_apart(spark, sf, monkeypatch):
+    """A task puts out the ids of one heavy mention; before, a Parquet writer met the long ids of several in one task, behind
+    rows without any, and held thousands of them. The text of the ids is made once for a mention; before, in each record."""
+    monkeypatch.setattr(link, "SHARE", 20)
+    base = spark.createDataFrame([(n, f"{n}{i}") for n in "abcdef" for i in range(4)], "synonym string, id string")
+    names = [*"abcdef", "x", "y", None]
+    rows = [(i, names[i % 9]) for i in range(900)] + [(900 + i, f"few{i % 10}") for i in range(50)] + [(950, "f"), (951, "a")]
+    df = spark.createDataFrame(rows, "k long, x string").select("k", F.struct("x").alias("r"))
+    ids = lambda v: [f"{v}{i}" for i in range(4)] if v and v in "abcdef" else []
+    text = lambda c: F.array_join(c, ",")
+    for more, of in (({}, ids), ({"form": text}, lambda v: ",".join(ids(v)))):
+        done = link.in_place(df, "k", "r", ["x"], lambda m: link.exact(m, base), **more)
+        assert done.columns == ["k", "r"]
+        got = done.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.k, r.r.x.value, r.r.x.sameAs) for r in got) == [(k, x, of(x)) for k, x in rows]
+        tasks = collections.defaultdict(set)
+        for r in got:
+            if r.r.x.sameAs:
+                tasks[r.task].add(r.r.x.value)
+        assert len(tasks) > 6 and all(len(t) == 1 for t in tasks.values())
+    assert "array_join" not in linking.in_place(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_best_looks_at_each_synonym_once(spark):
     """Copies of a synonym under other ids change nothing and are not compared again."""
     base = spark.createDataFrame([("zinc oxide", "1"), ("red bolt", "2")], "synonym string, id string")
